@@ -1,0 +1,8 @@
+"""Structured Streaming.
+
+The reference recomputes every table as a full batch: it has no stream
+source, watermark, event-time window or state. Nothing here is needed to
+match it; the batch operators are plain DataFrame functions, so they can be
+applied to each micro-batch of a ``readStream`` through ``foreachBatch`` if a
+caller wants that. No streaming operator is added beyond the reference.
+"""
