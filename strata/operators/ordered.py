@@ -99,7 +99,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                     how: str = "inner") -> DataFrame:
     """Join on ``keys`` treating null = null; right's key copies are dropped."""
     if not keys:
-        return left.crossJoin(F.broadcast(right))  # right is one aggregate row
+        raise ValueError("no join keys")
     ren = {k: f"__rk_{i}" for i, k in enumerate(keys)}
     r = right.select(*[F.col(c).alias(ren.get(c, c)) for c in right.columns])
     cond = None

@@ -86,22 +86,20 @@ def not_in(df: DataFrame, key: str | Column, values: DataFrame, value_col: str)
     passes; otherwise a NULL key never passes, and a NULL in the list makes
     every row fail. Built as a hash anti join plus one global
     (count, null count) row, instead of the null-aware broadcast nested-loop
-    join Spark falls back to when the list is too large to broadcast.
+    join Spark falls back to when the list is too large to broadcast. The two
+    counts are scalar subqueries.
     """
     k = col(key)
     vals = values.select(F.col(value_col).alias("__v"))
-    stats = vals.agg(F.count(F.lit(1)).alias("__n"),
-                     F.count(F.when(F.col("__v").isNull(), 1)).alias("__nulls"))
-    kept = df.join(vals.filter(F.col("__v").isNotNull()).distinct(), k == F.col("__v"),
-                   "left_anti")
-    kept = kept.crossJoin(F.broadcast(stats))  # one aggregate row
-    keep = (F.col("__n") == 0) | (k.isNotNull() & (F.col("__nulls") == 0))
-    return kept.filter(keep).drop("__n", "__nulls")
+    n = vals.agg(F.count(F.lit(1))).scalar()
+    nulls = vals.agg(F.count(F.when(F.col("__v").isNull(), 1))).scalar()
+    kept = df.join(vals.filter(F.col("__v").isNotNull()), k == F.col("__v"), "left_anti")
+    return kept.filter((n == 0) | (k.isNotNull() & (nulls == 0)))
 
 
 def anti_join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``df`` with no row in ``other`` equal on ``keys`` (NULL = NULL)."""
-    o = other.select(*[F.col(k).alias(f"__o_{k}") for k in keys]).distinct()
+    o = other.select(*[F.col(k).alias(f"__o_{k}") for k in keys])
     cond = None
     for k in keys:
         term = df[k].eqNullSafe(o[f"__o_{k}"])
