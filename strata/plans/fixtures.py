@@ -55,6 +55,18 @@ def periods(t: Tables) -> DataFrame:
     return nxt.withColumnRenamed("next_start_date", "end_date")
 
 
+def rule_periods(t: Tables, per: DataFrame | None = None) -> DataFrame:
+    """Periods plus derived disconnection / de-energisation dates and flag."""
+    pk = F.col("pk")
+    per = periods(t) if per is None else per
+    return (per
+            .withColumn("disc_date", F.when(pk % 9 == 0,
+                                            F.date_add("start_date", (pk % 500).cast("int"))))
+            .withColumn("energ", F.when(pk % 4 == 1, F.lit("D")).otherwise(F.lit("E")))
+            .withColumn("deenerg_date", F.when(pk % 4 == 1,
+                                               F.date_add("start_date", (pk % 300).cast("int")))))
+
+
 def reads(t: Tables) -> DataFrame:
     """(id, ts, code, note, l_orderkey, l_linenumber): line items as readings."""
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag",

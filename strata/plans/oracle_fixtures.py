@@ -35,6 +35,12 @@ CTE = {
          LEAD(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey
               ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS end_date
   FROM orders)"""),
+    "rule_periods": (["periods"], """rule_periods AS (
+  SELECT *,
+         CASE WHEN pk % 9 = 0 THEN CAST(start_date + CAST(pk % 500 AS INTEGER) AS DATE) END AS disc_date,
+         CASE WHEN pk % 4 = 1 THEN 'D' ELSE 'E' END AS energ,
+         CASE WHEN pk % 4 = 1 THEN CAST(start_date + CAST(pk % 300 AS INTEGER) AS DATE) END AS deenerg_date
+  FROM periods)"""),
     "reads": ([], """reads AS (
   SELECT o_custkey AS id, l_shipdate AS ts, l_returnflag AS code,
          CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_linestatus END AS note,

@@ -98,23 +98,6 @@ def q_concat_parts(spark, sf):
     return x.select("c_custkey", concat_parts(address_parts()).alias("address")).distinct()
 
 
-def rule_inputs(periods):
-    """Derived dates/flags per period for the affecting-settlement cascade."""
-    pk = F.col("pk")
-    return (periods
-            .withColumn("disc_date", F.when(pk % 9 == 0, F.date_add("start_date", (pk % 500).cast("int"))))
-            .withColumn("energ", F.when(pk % 4 == 1, F.lit("D")).otherwise(F.lit("E")))
-            .withColumn("deenerg_date", F.when(pk % 4 == 1,
-                                               F.date_add("start_date", (pk % 300).cast("int")))))
-
-
-RULE_INPUTS_SQL = """rule_periods AS (
-  SELECT *,
-         CASE WHEN pk % 9 = 0 THEN CAST(start_date + CAST(pk % 500 AS INTEGER) AS DATE) END AS disc_date,
-         CASE WHEN pk % 4 = 1 THEN 'D' ELSE 'E' END AS energ,
-         CASE WHEN pk % 4 = 1 THEN CAST(start_date + CAST(pk % 300 AS INTEGER) AS DATE) END AS deenerg_date
-  FROM periods)"""
-
 AFFECTING_SQL = """CASE
     WHEN p.start_date > (SELECT MAX(max_date) FROM intervals WHERE run = 'II') THEN FALSE
     WHEN p.end_date < (SELECT MAX(max_date) FROM intervals WHERE run = 'RF') THEN FALSE
@@ -129,14 +112,14 @@ AFFECTING_SQL = """CASE
     ELSE TRUE END"""
 
 
-@register("q_rule_cascade", with_ctes(["periods", "checkpoints", "intervals"], f"""
+@register("q_rule_cascade", with_ctes(["rule_periods", "checkpoints", "intervals"], f"""
 SELECT p.pk, p.id, {AFFECTING_SQL} AS affecting
-FROM rule_periods p LEFT JOIN checkpoints c ON c.id = p.id""", extra=[RULE_INPUTS_SQL]))
+FROM rule_periods p LEFT JOIN checkpoints c ON c.id = p.id"""))
 def q_rule_cascade(spark, sf):
     """Ten ordered reasons a period does not affect settlement; first TRUE
     wins, NULL comparisons fall through, default TRUE."""
     t = Tables(spark, sf)
-    p = rule_inputs(fx.periods(t)).join(fx.checkpoints(t), "id", "left")
+    p = fx.rule_periods(t).join(fx.checkpoints(t), "id", "left")
     out = affecting_flags(p, fx.intervals(t), "start_date", "end_date", "disc_date", "energ",
                           "deenerg_date", "cp_date")
     return out.select("pk", "id", "affecting")
