@@ -23,6 +23,12 @@ inside a group, ``RANK`` and ``NTILE`` follow by arithmetic plus an aggregate
 over the group keys (partial, map-side) joined back, which AQE broadcasts when
 measured small or skew-splits otherwise.
 
+Size-adaptive: the input is first written once to the checkpoint folder
+(cutting its lineage, so branches do not recompute it) and counted there. Up
+to ``strata.ordered.singleTaskRows`` rows (default 1,000,000) one task can
+sort it comfortably and Spark's native window functions are used; above that
+the range-partitioned global index is used. Both give identical results.
+
 Every order passed here must be total (end with a unique key); the callers
 append one, so results never depend on partition layout.
 """
@@ -38,6 +44,18 @@ from strata.session import materialize
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
+SINGLE_TASK_ROWS_CONF = "strata.ordered.singleTaskRows"
+DEFAULT_SINGLE_TASK_ROWS = 1_000_000
+
+
+def prepare(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Materialize ``df`` and decide whether one task may hold it.
+
+    Pass the returned flag as ``small=`` to several ordered operators on the
+    same (materialized) frame to decide once."""
+    limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(DEFAULT_SINGLE_TASK_ROWS)))
+    src = materialize(df)
+    return src, src.count() <= limit
 
 
 def _num_ranges(df: DataFrame, num_partitions: int | None) -> int:
@@ -114,11 +132,16 @@ def _group_first(group: Sequence[str]) -> list[Column]:
 
 
 def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                    out: str = "rn", num_partitions: int | None = None) -> DataFrame:
+                    out: str = "rn", num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY group ORDER BY order)``, 1-based, long.
 
     ``order`` must make the order total within each group.
     """
+    if small is None:
+        df, small = prepare(df)
+    if small:
+        w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
     idx = with_global_index(df, [*_group_first(group), *order], "__gidx",
                             num_partitions=num_partitions)
     if not group:
@@ -130,12 +153,17 @@ def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column]
 
 def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column],
               rank_by: Sequence[str], tiebreak: Sequence[Column], out: str = "rank",
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
     """``RANK() OVER (PARTITION BY group ORDER BY order)`` with gaps, long.
 
     ``order`` sorts on the columns ``rank_by`` (rows equal on them tie);
     ``tiebreak`` only makes the index total and does not affect the rank.
     """
+    if small is None:
+        df, small = prepare(df)
+    if small:
+        w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
+        return df.withColumn(out, F.rank().over(w).cast("long"))
     idx = with_global_index(df, [*_group_first(group), *order, *tiebreak], "__gidx",
                             num_partitions=num_partitions)
     keys = [*group, *rank_by]
@@ -151,13 +179,17 @@ def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def with_ntile(df: DataFrame, order: Sequence[Column], k: int, out: str = "ntile",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
     """``NTILE(k) OVER (ORDER BY order)`` over the whole table, long.
 
     From position i of n rows: q, r = n div k, n mod k; the first r tiles get
     q+1 rows, so tile = i div (q+1) + 1 while i < r(q+1), else
     r + (i - r(q+1)) div q + 1.
     """
+    if small is None:
+        df, small = prepare(df)
+    if small:
+        return df.withColumn(out, F.ntile(k).over(Window.orderBy(*order)).cast("long"))
     idx = with_global_index(df, order, "__gidx", total="__n", num_partitions=num_partitions)
     i, n = F.col("__gidx"), F.col("__n")
     q = F.floor(n / k).cast("long")
@@ -169,7 +201,7 @@ def with_ntile(df: DataFrame, order: Sequence[Column], k: int, out: str = "ntile
 
 
 def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                     measure: str, out: str, num_partitions: int | None = None) -> DataFrame:
+                     measure: str, out: str, num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
     """``SUM(measure) OVER (PARTITION BY group ORDER BY order ROWS UNBOUNDED
     PRECEDING)`` with a total order; also adds ``<out>_rn`` (row number in group).
 
@@ -177,6 +209,12 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column
     inside the range (window over one range, bounded by the range size). The
     group's running sum subtracts the prefix just before the group's first row.
     """
+    if small is None:
+        df, small = prepare(df)
+    if small:
+        w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
+        return (df.withColumn(out, F.sum(measure).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                .withColumn(f"{out}_rn", F.row_number().over(w).cast("long")))
     ranged = _ranged(df, [*_group_first(group), *order], num_partitions)
     offsets = _range_offsets(ranged, F.col(measure))
     in_range = Window.partitionBy("__pid").orderBy("__loc").rowsBetween(
@@ -200,12 +238,17 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column
 
 def with_next_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                        cols: Sequence[str], prefix: str = "next_",
-                       num_partitions: int | None = None) -> DataFrame:
+                       num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
     """``LEAD(c) OVER (PARTITION BY group ORDER BY order)`` for each c in cols.
 
     Row i's successor is row i+1 of the global index if it has the same group:
     an equi join on unique positions, so no group lands in one task.
     """
+    if small is None:
+        df, small = prepare(df)
+    if small:
+        w = Window.partitionBy(*group).orderBy(*order)
+        return df.select("*", *[F.lead(c).over(w).alias(f"{prefix}{c}") for c in cols])
     idx = with_global_index(df, [*_group_first(group), *order], "__gidx",
                             num_partitions=num_partitions)
     nxt = idx.select((F.col("__gidx") - 1).alias("__pidx"),

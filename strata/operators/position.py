@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import concat_parts, first_match, later_of, safe_ratio
-from strata.operators.intervals import (bucket_by_interval, count_events_in_period,
-                                        count_since_checkpoint, latest_event_in_period)
-from strata.operators.ordered import with_rank, with_row_number
+from strata.operators.intervals import bucket_by_interval, summarize_events_in_period
+from strata.operators.ordered import prepare, with_rank, with_row_number
 from strata.operators.rows import fallback_lookup
 
 
@@ -76,17 +75,17 @@ def priority_score(volume: str, run: str, affecting: str, cp: str, start: str,
 
 
 def priority_rank(df: DataFrame, partition: Sequence[str], score: str, tiebreak: Sequence[str],
-                  out: str = "rank") -> DataFrame:
+                  out: str = "rank", small: bool | None = None) -> DataFrame:
     """``RANK() OVER (PARTITION BY partition ORDER BY score DESC)`` computed
     without putting a whole partition (an area of the grid) into one task."""
     return with_rank(df, partition, [F.col(score).desc_nulls_last()], [score],
-                     [F.col(c).asc() for c in tiebreak], out=out)
+                     [F.col(c).asc() for c in tiebreak], out=out, small=small)
 
 
 def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
                    volumes: DataFrame, defaults: DataFrame, customers: DataFrame,
                    intervals: DataFrame, as_of: dt.date, keep_event: Column | None,
-                   bin_days: int = 30) -> DataFrame:
+                   bin_days: int = 30, intervals_bound: int | None = None) -> DataFrame:
     """Wide position table, one row per valid period (see ``q_position``).
 
     Inputs (already renamed to these columns):
@@ -109,31 +108,30 @@ def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
                            [(F.col("class_code").try_cast("bigint"), "class_num"),
                             (F.col("segment"), "segment")], "default_eac", out="volume",
                            source="volume_source")
-    base = bucket_by_interval(base, "last_valid_date", intervals, label="run")
+    base = bucket_by_interval(base, "last_valid_date", intervals, label="run",
+                              bound=intervals_bound)
     base = affecting_flags(base, intervals, "start_date", "end_date", "disc_date", "energ",
                            "deenerg_date", "cp_date")
     base = base.withColumn("current_supplier",
                            F.col("end_date").isNull() | (F.col("end_date") >= F.lit(as_of)))
-    per = base.select("pk", "id", "start_date", "end_date", "cp_date")
-    counts = count_events_in_period(per.drop("cp_date"), reads, "pk", "id", "start_date",
-                                    "end_date", "ts", as_of, keep_event, out="count_since_start",
-                                    bin_days=bin_days).select("pk", "count_since_start")
-    since = count_since_checkpoint(per.drop("cp_date"), checkpoints, reads, "pk", "id",
-                                   "start_date", "end_date", "ts", "cp_date", as_of, keep_event,
-                                   out="count_since_checkpoint", bin_days=bin_days
-                                   ).select("pk", "count_since_checkpoint")
-    latest = latest_event_in_period(per.drop("cp_date"), reads, "pk", "id", "start_date",
-                                    "end_date", "ts", ["l_orderkey", "l_linenumber", "code", "note"],
-                                    [], as_of, keep_event, bin_days=bin_days)
-    latest = latest.select("pk", F.col("ts").alias("latest_read_ts"),
-                           F.col("code").alias("latest_read_code"),
-                           F.col("note").alias("latest_read_note"))
-    pos = base.join(counts, "pk", "left").join(since, "pk", "left").join(latest, "pk", "left")
+    facts = summarize_events_in_period(
+        base.select("pk", "id", "start_date", "end_date", "cp_date"), reads, "pk", "id",
+        "start_date", "end_date", "ts", as_of, since=later_of("cp_date", "start_date"),
+        order=["l_orderkey", "l_linenumber", "code", "note"], event_filter=keep_event,
+        bin_days=bin_days, attach=False)
+    facts = facts.select("pk", "count_since_start", "count_since_checkpoint",
+                         F.col("latest.ts").alias("latest_read_ts"),
+                         F.col("latest.code").alias("latest_read_code"),
+                         F.col("latest.note").alias("latest_read_note"))
+    pos = base.join(facts, "pk", "left")
+    for c in ("count_since_start", "count_since_checkpoint"):
+        pos = pos.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
     pos = pos.withColumn("score", priority_score("volume", "run", "affecting", "cp_date",
                                                  "start_date", run_max(intervals, "RF"), as_of))
-    pos = priority_rank(pos, ["handler"], "score", ["pk"], out="priority_rank")
+    pos, small = prepare(pos)  # one materialization for both ordered steps
+    pos = priority_rank(pos, ["handler"], "score", ["pk"], out="priority_rank", small=small)
     return with_row_number(pos, ["id"], [F.col("start_date").desc(), F.col("pk").desc()],
-                           out="period_rank")
+                           out="period_rank", small=small)
 
 
 def position_filter(pos: DataFrame, day: dt.date, segment: str, handler_not: str) -> DataFrame:

@@ -8,12 +8,14 @@ and must stay equivalent row for row.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.intervals import bucket_by_interval, contiguous_intervals
 from strata.operators.ordered import with_next_in_group
+from strata.session import materialize
 from strata.sources.tables import Tables
 
 AS_OF = dt.date(2001, 8, 1)
@@ -30,20 +32,35 @@ CAPACITY = [("agent0", 36.5), ("agent1", 36.5), ("agent2", 30.0), ("agent3", 22.
 STATUS_CODES = [("F", "fulfilled"), ("O", "open"), ("P", "partial")]
 
 
+def memo(fn):
+    """Derive a fixture once per query plan (see ``Tables.memo``)."""
+    @functools.wraps(fn)
+    def wrapper(t: Tables, *args, **kwargs):
+        if args or kwargs:
+            return fn(t, *args, **kwargs)
+        return t.memo(fn.__name__, lambda: fn(t))
+    return wrapper
+
+
+@memo
 def runs(t: Tables) -> DataFrame:
     """(run, date, da_run_date): each distinct order day is a run day two days
     later; each run type settles the day ``lag`` days before the order day."""
     days = t.orders.select(F.to_date("o_orderdate").alias("d")).distinct()
     lags = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(n).alias("lag")) for r, n in RUN_LAGS])
-    return (days.select("d", F.inline(lags))
-            .select("run", F.date_sub("d", F.col("lag")).alias("date"),
-                    F.date_add("d", 2).alias("da_run_date")))
+    cal = (days.select("d", F.inline(lags))
+           .select("run", F.date_sub("d", F.col("lag")).alias("date"),
+                   F.date_add("d", 2).alias("da_run_date")))
+    return materialize(cal)  # the run calendar table (days x run types)
 
 
+@memo
 def intervals(t: Tables) -> DataFrame:
-    return contiguous_intervals(runs(t), AS_OF)
+    """One row per run type; written once so scalar lookups read a tiny file."""
+    return materialize(contiguous_intervals(runs(t), AS_OF))
 
 
+@memo
 def periods(t: Tables) -> DataFrame:
     """(pk, id, start_date, end_date, status, priority): one validity period per order,
     ending on the customer's next order day (open for the last order)."""
@@ -55,6 +72,7 @@ def periods(t: Tables) -> DataFrame:
     return nxt.withColumnRenamed("next_start_date", "end_date")
 
 
+@memo
 def rule_periods(t: Tables, per: DataFrame | None = None) -> DataFrame:
     """Periods plus derived disconnection / de-energisation dates and flag."""
     pk = F.col("pk")
@@ -67,6 +85,7 @@ def rule_periods(t: Tables, per: DataFrame | None = None) -> DataFrame:
                                                F.date_add("start_date", (pk % 300).cast("int")))))
 
 
+@memo
 def reads(t: Tables) -> DataFrame:
     """(id, ts, code, note, l_orderkey, l_linenumber): line items as readings."""
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag",
@@ -80,6 +99,7 @@ def reads(t: Tables) -> DataFrame:
                     "l_orderkey", "l_linenumber"))
 
 
+@memo
 def checkpoints(t: Tables) -> DataFrame:
     """(id, cp_date): latest fulfilled order day per customer."""
     return (t.orders.filter(F.col("o_orderstatus") == "F")
@@ -87,6 +107,7 @@ def checkpoints(t: Tables) -> DataFrame:
             .agg(F.max(F.to_date("o_orderdate")).alias("cp_date")))
 
 
+@memo
 def contracts(t: Tables) -> DataFrame:
     """(id, ced): latest urgent/high order day per customer (contract end)."""
     return (t.orders.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
@@ -94,6 +115,7 @@ def contracts(t: Tables) -> DataFrame:
             .agg(F.max(F.to_date("o_orderdate")).alias("ced")))
 
 
+@memo
 def position(t: Tables) -> DataFrame:
     """One row per customer: name, meter_type (both with nulls), area, value,
     and the run/start/end of one order picked by md5 of its key."""
@@ -112,9 +134,11 @@ def position(t: Tables) -> DataFrame:
                     .otherwise(F.col("n_regionkey").cast("string")).alias("meter_type"),
                     F.col("n_name").alias("area"), F.col("c_acctbal").alias("value")))
     pos = cust.join(picked, "id")
-    return bucket_by_interval(pos, "start_date", intervals(t), label="run")
+    pos = bucket_by_interval(pos, "start_date", intervals(t), label="run", bound=len(RUN_LAGS))
+    return materialize(pos)  # the position table: written once, read by many queries
 
 
+@memo
 def cases(t: Tables) -> DataFrame:
     """Work items: (id, owner, team, status, kind, parent_id, subject)."""
     k = F.col("o_orderkey")
@@ -138,6 +162,7 @@ def status_codes(spark) -> DataFrame:
     return spark.createDataFrame(STATUS_CODES, "code string, description string")
 
 
+@memo
 def profit(t: Tables) -> DataFrame:
     """(id, value): per part, discounted revenue minus list price x quantity,
     summed exactly in decimal and returned as double."""
@@ -153,6 +178,7 @@ def profit(t: Tables) -> DataFrame:
                     (F.col("rev") - F.col("price") * F.col("qty")).cast("double").alias("value")))
 
 
+@memo
 def messages(t: Tables) -> DataFrame:
     return (t.conversations.filter(F.col("role") == "user")
             .select(F.col("conv_id").alias("id"), "turn", "text"))

@@ -38,7 +38,8 @@ def q_interval_bucket(spark, sf):
     t = Tables(spark, sf)
     last = fx.reads(t).groupBy("id").agg(F.max(F.to_date("ts")).alias("last_read"))
     cust = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
-    b = bucket_by_interval(cust.join(last, "id", "left"), "last_read", fx.intervals(t), "run")
+    b = bucket_by_interval(cust.join(last, "id", "left"), "last_read", fx.intervals(t), "run",
+                           bound=len(fx.RUN_LAGS))
     return b.groupBy("run").agg(
         F.count(F.lit(1)).alias("n_customers"),
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total_value"))

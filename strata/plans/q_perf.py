@@ -30,6 +30,10 @@ _SD_EQUAL = f"""settle AS (
 
 
 def group_performance_frame(t: Tables):
+    return t.memo("group_performance", lambda: _group_performance(t))
+
+
+def _group_performance(t: Tables):
     pos = fx.position(t)
     day = settlement_day(settlement_dates(fx.runs(t), fx.AS_OF, rule="next"), "R2")
     return group_performance(pos, ["name", "meter_type"], "value", "run", R2_ERRORS, day,
@@ -68,6 +72,10 @@ def q_group_performance(spark, sf):
 
 
 def multi_run_frame(t: Tables):
+    return t.memo("multi_run", lambda: _multi_run(t))
+
+
+def _multi_run(t: Tables):
     settle = settlement_dates(fx.runs(t), fx.AS_OF, rule="equal")
     return multi_run_performance(fx.position(t), "id", "meter_type", "value", "run",
                                  "start_date", "end_date", THRESHOLDS, settle)

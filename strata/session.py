@@ -8,6 +8,7 @@ lineage-cutting helper the ordered operators need.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,10 +69,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and cut its lineage.
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and
+    return a DataFrame reading it back: the lineage is cut there.
 
-    Used where two branches of one plan must see the *same* physical rows,
-    e.g. a range partitioning whose sampled bounds would differ if recomputed.
+    Used where several branches of a plan read the same intermediate, and where
+    they must see the *same* rows (e.g. a range partitioning whose sampled
+    bounds would move if recomputed). Unlike ``DataFrame.checkpoint``, which
+    runs its plan once for the action and again to write Java-serialized rows,
+    this is a single job writing columnar files; the read-back has exact size
+    statistics for the planner, and a lost executor only costs re-reading
+    files from shared storage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)

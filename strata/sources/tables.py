@@ -19,9 +19,17 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._memo: dict = {}
+
+    def memo(self, key, build):
+        """Build a derived relation once per ``Tables`` (i.e. per query plan),
+        so a fixture used by several branches is planned and materialized once."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in TABLE_NAMES:
+        if name.startswith("_") or name not in TABLE_NAMES:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
