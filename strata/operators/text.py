@@ -72,7 +72,7 @@ def python_analyzer(factory: Callable[[], Callable[[str], object]]):
 
     state: dict = {}
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts):
         if "fn" not in state:
             state["fn"] = factory()
         fn = state["fn"]
@@ -88,6 +88,7 @@ def python_analyzer(factory: Callable[[], Callable[[str], object]]):
                 out.append(json.dumps({"raw_output": f"Error: {e}"}))
         return pd.Series(out)
 
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}  # Series -> Series UDF
     return F.pandas_udf(run, T.StringType())
 
 
