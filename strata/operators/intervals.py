@@ -37,7 +37,8 @@ def contiguous_intervals(runs: DataFrame, as_of: dt.date, label: str = "run",
 
 
 def interval_join(points: DataFrame, ranges: DataFrame, key: str, ts: str,
-                  lo: str, hi: str, bin_days: int = 30, range_key: str | None = None) -> DataFrame:
+                  lo: str, hi: str, bin_days: int = 30, range_key: str | None = None,
+                  whole_end_day: bool = False) -> DataFrame:
     """Inner join: ``points.key = ranges.key AND points.ts BETWEEN lo AND hi``.
 
     ``lo``/``hi`` are dates (inclusive; a timestamp after midnight on ``hi`` is
@@ -49,6 +50,9 @@ def interval_join(points: DataFrame, ranges: DataFrame, key: str, ts: str,
     splits what remains skewed). Each (point, range) pair meets in exactly one
     bin, the point's own, so no pair is produced twice.
 
+    ``whole_end_day=True`` counts every timestamp on the ``hi`` day (compares
+    with the start of the next day) instead of SQL BETWEEN's midnight cut.
+
     ``ranges`` must not carry a column named like a ``points`` column except the
     key; the range key is dropped from the output.
     """
@@ -60,8 +64,8 @@ def interval_join(points: DataFrame, ranges: DataFrame, key: str, ts: str,
         F.array().cast("array<bigint>"))
     r = (ranges.withColumnRenamed(rk, "__rkey")
          .withColumn("__bin", F.explode(bins)))
-    cond = ((p[key] == r["__rkey"]) & (p["__bin"] == r["__bin"])
-            & (p[ts] >= r[lo]) & (p[ts] <= r[hi]))
+    upper = (p[ts] < F.date_add(r[hi], 1)) if whole_end_day else (p[ts] <= r[hi])
+    cond = ((p[key] == r["__rkey"]) & (p["__bin"] == r["__bin"]) & (p[ts] >= r[lo]) & upper)
     return p.join(r, cond, "inner").drop("__bin", "__rkey")
 
 
@@ -104,7 +108,8 @@ def count_events_in_period(periods: DataFrame, events: DataFrame, pk: str, key:
                            event_filter: Column | None = None,
                            all_columns: Sequence[str] | None = None,
                            out: str = "event_count", out_all: str | None = None,
-                           lower: Column | None = None, bin_days: int = 30) -> DataFrame:
+                           lower: Column | None = None, bin_days: int = 30,
+                           whole_end_day: bool = False) -> DataFrame:
     """Per period: events of the same key with ``lower <= ts <= coalesce(end, as_of)``.
 
     Zero-preserving: every period is returned, with 0 when nothing matched.
@@ -125,7 +130,8 @@ def count_events_in_period(periods: DataFrame, events: DataFrame, pk: str, key:
     rng = (_period_bounds(periods, start, end, as_of)
            .select(F.col(pk).alias("__pk"), F.col(key).alias("__pkey"),
                    lo.alias("__lo"), "__hi"))
-    pairs = interval_join(ev, rng, "__ekey", ts, "__lo", "__hi", bin_days, range_key="__pkey")
+    pairs = interval_join(ev, rng, "__ekey", ts, "__lo", "__hi", bin_days, range_key="__pkey",
+                          whole_end_day=whole_end_day)
     aggs = [F.count(F.col("__ekey")).alias(out)]
     if out_all:
         aggs.append(F.count(F.when(all_not_null(["__ekey", ts, *(all_columns or [])]), 1))

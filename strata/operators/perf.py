@@ -41,7 +41,8 @@ def settlement_day(settle: DataFrame, run: str) -> Column:
 
 def group_performance(df: DataFrame, keys: Sequence[str], measure: str, run: str,
                       error_runs: Sequence[str], settle_day: Column, start: str, end: str,
-                      prefix: str = "", label: str = "unknown", exact_decimal: int = 2) -> DataFrame:
+                      prefix: str = "", label: str = "unknown", exact_decimal: int = 2,
+                      group_on: str = "raw") -> DataFrame:
     """Per group: volume and count settled vs in error, their totals and the
     settled share of volume.
 
@@ -52,6 +53,8 @@ def group_performance(df: DataFrame, keys: Sequence[str], measure: str, run: str
     * groups are formed on the raw keys and then labelled (NULL -> ``label``),
       so a NULL group and a literal ``label`` group stay apart; the two sides
       are matched on the labels (full outer join).
+    * ``group_on='label'`` instead groups on the labels (NULL and a literal
+      ``label`` merge into one group).
     * volumes are summed exactly as ``decimal(38, exact_decimal)`` and returned
       as double rounded to that scale; performance = settled / (settled +
       error) with 0 for a zero total, rounded to 4 places.
@@ -62,7 +65,11 @@ def group_performance(df: DataFrame, keys: Sequence[str], measure: str, run: str
     not_err = ~F.col(run).isin(*error_runs)
 
     def side(cond, vol, cnt):
-        agg = df.filter(cond).groupBy(*keys).agg(F.sum(m).alias(vol), F.count(F.col(measure)).alias(cnt))
+        rows = df.filter(cond)
+        if group_on == "label":
+            rows = rows.select(*[F.coalesce(F.col(k), F.lit(label)).alias(k) for k in keys],
+                               measure)
+        agg = rows.groupBy(*keys).agg(F.sum(m).alias(vol), F.count(F.col(measure)).alias(cnt))
         return agg.select(*[F.coalesce(F.col(k), F.lit(label)).alias(k) for k in keys], vol, cnt)
 
     err = side(in_err, "__ve", "__ce")
@@ -94,7 +101,7 @@ METRICS = ("volume_settled", "count_settled", "volume_error", "count_error", "to
 
 def multi_run_performance(df: DataFrame, id_col: str, second_key: str, measure: str, run: str,
                           start: str, end: str, thresholds: Sequence[tuple[str, Sequence[str]]],
-                          settle: DataFrame) -> DataFrame:
+                          settle: DataFrame, null_safe: bool = True) -> DataFrame:
     """Wide performance per id for several nested cut-offs, in one pass.
 
     ``thresholds`` = [(prefix, error_runs), ...]; the settlement day of cut-off
@@ -107,7 +114,9 @@ def multi_run_performance(df: DataFrame, id_col: str, second_key: str, measure:
     Requires ``id_col`` to be unique: the equivalent SQL joins five per-cut-off
     tables back on (id, second key) with NULL-safe equality, which with
     unique ids is the same as this single projection: no join and no shuffle,
-    the run days enter as scalar subqueries.
+    the run days enter as scalar subqueries. ``null_safe=False`` reproduces
+    the plain-equality join back: a NULL second key never matches, so such
+    ids keep their keys but get NULL metrics everywhere.
     """
     eac = F.coalesce(F.col(measure), F.lit(0.0))
     cols = [F.col(id_col), F.col(second_key)]
@@ -124,6 +133,7 @@ def multi_run_performance(df: DataFrame, id_col: str, second_key: str, measure:
         vals = {"volume_settled": vs, "count_settled": cs, "volume_error": ve, "count_error": ce,
                 "total_volume": vs + ve, "total_count": ce + cs,
                 "performance": safe_ratio(vs, vs + ve, 0.0)}
-        cols += [F.when(member, vals[m]).alias(f"{prefix}_{m}") for m in METRICS]
+        matched = member if null_safe else member & F.col(second_key).isNotNull()
+        cols += [F.when(matched, vals[m]).alias(f"{prefix}_{m}") for m in METRICS]
         any_in = member if any_in is None else (any_in | member)
     return df.filter(any_in).select(*cols)

@@ -310,3 +310,36 @@ def test_seeded_key_matches_md5(spark, seed):
     import hashlib
     v = spark.range(1).select(seeded_order_key(seed, F.lit(5)).alias("h")).first().h
     assert v == hashlib.md5(f"{seed}|5".encode()).hexdigest()
+
+
+def test_whole_end_day_option(spark):
+    per = spark.createDataFrame([(1, 1, D(2024, 5, 1), D(2024, 5, 10))],
+                                "pk long, id long, start_date date, end_date date")
+    ev = _events(spark, [(1, TS(2024, 5, 10, 9, 0), "a", "x")])
+    n = intervals.count_events_in_period(per, ev, "pk", "id", "start_date", "end_date", "ts",
+                                         D(2024, 6, 1), out="n", whole_end_day=True).first().n
+    assert n == 1
+
+
+def test_group_on_label_merges_null_and_literal(spark):
+    df = spark.createDataFrame([(None, "RF", 1.0), ("unknown", "RF", 2.0)],
+                               "name string, run string, v double")
+    df = df.withColumn("s", F.lit(D(2020, 1, 1))).withColumn("e", F.lit(None).cast("date"))
+    out = perf.group_performance(df, ["name"], "v", "run", ["RF"], F.lit(D(2021, 1, 1)), "s", "e",
+                                 group_on="label").collect()
+    assert [(r.name, r.count_error) for r in out] == [("unknown", 2)]
+
+
+def test_sinks_modes_and_declared_schema(spark, tmp_path):
+    from pyspark.sql import types as T
+    from strata.sources.sinks import conform, write_parquet
+    df = spark.createDataFrame([(1, "2.5")], "a long, b string")
+    declared = T.StructType([T.StructField("b", T.DoubleType()), T.StructField("a", T.IntegerType())])
+    c = conform(df, declared)
+    assert c.schema == declared and c.first().b == 2.5
+    path = str(tmp_path / "t")
+    write_parquet(c, path)                                  # replace
+    write_parquet(c.withColumn("a", F.lit(9)), path, mode="ignore")   # create once: kept
+    assert spark.read.parquet(path).first().a == 1
+    write_parquet(c, path, mode="append")
+    assert spark.read.parquet(path).count() == 2
