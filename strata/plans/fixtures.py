@@ -68,8 +68,10 @@ def periods(t: Tables) -> DataFrame:
                         F.to_date("o_orderdate").alias("start_date"),
                         F.col("o_orderstatus").alias("status"),
                         F.col("o_orderpriority").alias("priority"))
-    nxt = with_next_in_group(o, ["id"], [F.col("start_date"), F.col("pk")], ["start_date"], prefix="next_")
-    return nxt.withColumnRenamed("next_start_date", "end_date")
+    nxt = with_next_in_group(o, ["id"], [F.col("start_date"), F.col("pk")], ["start_date"],
+                             prefix="next_")
+    # the validity-period table: written once, read by every period query
+    return materialize(nxt.withColumnRenamed("next_start_date", "end_date"))
 
 
 @memo
