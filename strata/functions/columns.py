@@ -86,6 +86,12 @@ def later_of(a: str | Column, b: str | Column) -> Column:
     return F.when(a.isNull() | (a < b), b).otherwise(a)
 
 
+def ntz(value) -> Column:
+    """A ``timestamp_ntz`` literal (no session time zone involved), from a
+    ``datetime``/``date`` or an ISO string."""
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def day_number(c: str | Column) -> Column:
     """Days since 1970-01-01 of a date or timestamp (its calendar day)."""
     return F.datediff(col(c).cast("date"), F.lit("1970-01-01").cast("date"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import first_match
-from strata.operators.ordered import with_ntile, with_row_number, with_running_sum
+from strata.operators.ordered import prepare, with_ntile, with_row_number, with_running_sum
 
 
 def performance_bucket(perf: str, edges: Sequence[tuple[str, str, float]] = (
@@ -51,11 +51,12 @@ def banded_deal(df: DataFrame, measure: str, perf_order: Sequence[Column], size:
     Both the tiling and the positions use the global index: no single task
     holds a whole tile.
     """
-    banded = with_ntile(df, [*perf_order, *tiebreak], bands, out="performance_band")
+    df, small = prepare(df)  # decide once for both ordered steps
+    banded = with_ntile(df, [*perf_order, *tiebreak], bands, out="performance_band", small=small)
     banded = banded.withColumn("order_key", F.when(F.col("performance_band") % 2 == 1,
                                                    -F.col(size)).otherwise(F.col(size)))
     pos = with_row_number(banded, ["performance_band"], [F.col("order_key").asc(), *tiebreak],
-                          out="band_position")
+                          out="band_position", small=small)
     return pos.withColumn("grp", ((F.col("band_position") - 1) % groups + first_group).cast("long"))
 
 
@@ -99,6 +100,9 @@ def assign_calendar(groups: DataFrame, calendar: DataFrame, size: str, perf: str
     cycle = ((F.col("rn") - 1) % n_weeks) + 1
     target = "slot" if slot == "dense" else "week_number"
     cal = calendar.select(F.col(target).alias("__slot"), "week_start", "week_number")
-    rest = small.join(F.broadcast(cal), cycle == F.col("__slot")).drop("__slot")
+    # the cycle position is projected first: a scalar subquery inside a join
+    # key is not reliably evaluated before the join's exchange
+    small = small.withColumn("__cycle", cycle)
+    rest = small.join(cal, F.col("__cycle") == F.col("__slot")).drop("__cycle", "__slot")
     return (big.withColumn("size_class", F.lit("large"))
             .unionByName(rest.withColumn("size_class", F.lit("small"))))

@@ -7,7 +7,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from strata.functions.columns import concat_parts, first_match
+from strata.functions.columns import ntz, concat_parts, first_match
 from strata.operators.position import affecting_flags
 from strata.operators.rows import fallback_lookup, join_chain, not_in, preferred_row
 from strata.plans import fixtures as fx
@@ -60,7 +60,7 @@ def q_bridge_lookup(spark, sf):
     """Readings -> preferred period per id -> customer (only with a positive
     balance, a filter inside the join) -> nation -> region, all left joins."""
     t = Tables(spark, sf)
-    rd = fx.reads(t).filter(F.col("ts") >= F.lit(dt.datetime(2001, 1, 1)))
+    rd = fx.reads(t).filter(F.col("ts") >= ntz(dt.datetime(2001, 1, 1)))
     per = preferred_row(fx.periods(t).filter(F.col("status") != "P"), ["id"], "start_date",
                         "end_date", [F.col("pk").desc()]).select(F.col("id").alias("p_id"), "pk")
     c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
@@ -193,7 +193,7 @@ def q_fallback_lookup(spark, sf):
     t = Tables(spark, sf)
     li = t.lineitem
     primary = (li.filter((F.col("l_returnflag") == "R")
-                         & (F.col("l_shipdate") >= F.lit(dt.datetime(2001, 1, 1))))
+                         & (F.col("l_shipdate") >= ntz(dt.datetime(2001, 1, 1))))
                .groupBy(F.col("l_partkey").alias("p_partkey"))
                .agg(F.sum("l_quantity").alias("volume")))
     band = F.floor(F.col("p_size") / 10).cast("bigint")

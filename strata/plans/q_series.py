@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from strata.functions.columns import ntz
 from strata.operators.series import seasonal_sample, unpivot_periods
 from strata.plans import fixtures as fx
 from strata.plans.registry import register
@@ -54,8 +55,7 @@ def q_unpivot(spark, sf):
     """Four measure columns of recent line items to (period, value) rows,
     filtered early on the ship date, then a name lookup."""
     t = Tables(spark, sf)
-    li = t.lineitem.filter(F.col("l_shipdate") >= F.lit(dt.datetime.combine(UNPIVOT_CUTOFF,
-                                                                              dt.time())))
+    li = t.lineitem.filter(F.col("l_shipdate") >= ntz(dt.datetime.combine(UNPIVOT_CUTOFF, dt.time())))
     long = unpivot_periods(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"],
                            PERIOD_COLS, period="period", value="hh_volume")
     p = t.part.select(F.col("p_partkey"), F.col("p_name"))

@@ -47,6 +47,7 @@ def rows_of(cols, rows):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--tz", default=None, help="session time zone override")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
 
@@ -54,6 +55,8 @@ def main():
     from strata.session import build_session
 
     spark = build_session()
+    if a.tz:
+        spark.conf.set("spark.sql.session.timeZone", a.tz)
     con = duckdb.connect()
     for t in TABLE_NAMES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
