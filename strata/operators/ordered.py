@@ -76,8 +76,9 @@ def _ranged(df: DataFrame, order: Sequence[Column], num_partitions: int | None)
             .withColumn("__loc", F.col("__mid").bitwiseAND(F.lit(_LOCAL_MASK))))
 
 
-def _range_offsets(ranged: DataFrame, measure: Column | None = None) -> DataFrame:
-    """One row per range: rows (and optional measure sum) in earlier ranges.
+def _range_offsets(ranged: DataFrame, measure: Column | None = None,
+                   count: Column | None = None) -> DataFrame:
+    """One row per range: rows (and optional measure / count sums) in earlier ranges.
 
     The frame has as many rows as there are ranges, so the unpartitioned window
     over it and the broadcast of it are bounded by the partition count.
@@ -85,6 +86,8 @@ def _range_offsets(ranged: DataFrame, measure: Column | None = None) -> DataFram
     aggs = [F.count(F.lit(1)).alias("__cnt")]
     if measure is not None:
         aggs.append(F.sum(measure).alias("__msum"))
+    if count is not None:
+        aggs.append(F.sum(count).alias("__nsum"))
     per_range = ranged.groupBy("__pid").agg(*aggs)
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding,
@@ -94,6 +97,8 @@ def _range_offsets(ranged: DataFrame, measure: Column | None = None) -> DataFram
             F.sum("__cnt").over(whole).alias("__total")]
     if measure is not None:
         cols.append(F.coalesce(F.sum("__msum").over(before), F.lit(0)).alias("__moff"))
+    if count is not None:
+        cols.append(F.coalesce(F.sum("__nsum").over(before), F.lit(0)).alias("__nnoff"))
     return per_range.select(*cols)
 
 
@@ -215,25 +220,35 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column
         w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
         return (df.withColumn(out, F.sum(measure).over(w.rowsBetween(Window.unboundedPreceding, 0)))
                 .withColumn(f"{out}_rn", F.row_number().over(w).cast("long")))
-    ranged = _ranged(df, [*_group_first(group), *order], num_partitions)
-    offsets = _range_offsets(ranged, F.col(measure))
+    # NULL measures are skipped as in SQL: prefix sums run over coalesce(m, 0)
+    # and a parallel prefix count of non-null values turns "no value yet" into NULL.
+    src = df.withColumn("__m0", F.coalesce(F.col(measure), F.lit(0)))
+    src = src.withColumn("__nn", F.col(measure).isNotNull().cast("long"))
+    ranged = _ranged(src, [*_group_first(group), *order], num_partitions)
+    offsets = _range_offsets(ranged, F.col("__m0"), F.col("__nn"))
     in_range = Window.partitionBy("__pid").orderBy("__loc").rowsBetween(
         Window.unboundedPreceding, 0)
-    res = (ranged.withColumn("__lsum", F.sum(measure).over(in_range))
+    res = (ranged.withColumn("__lsum", F.sum("__m0").over(in_range))
+           .withColumn("__lnn", F.sum("__nn").over(in_range))
            .join(F.broadcast(offsets), "__pid")
            .withColumn("__g", F.col("__moff") + F.col("__lsum"))
+           .withColumn("__gnn", F.col("__nnoff") + F.col("__lnn"))
            .withColumn("__gidx", F.col("__off") + F.col("__loc")))
     if group:
         first = res.groupBy(*group).agg(
-            F.min_by(F.col("__g") - F.col(measure), F.col("__gidx")).alias("__before"),
+            F.min_by(F.struct((F.col("__g") - F.col("__m0")).alias("s"),
+                              (F.col("__gnn") - F.col("__nn")).alias("n")),
+                     F.col("__gidx")).alias("__before"),
             F.min("__gidx").alias("__gstart"))
         res = _null_safe_join(res, first, list(group))
+        before, before_nn = F.col("__before.s"), F.col("__before.n")
     else:
-        res = res.withColumn("__before", F.lit(0)).withColumn("__gstart", F.lit(0).cast("long"))
-    res = (res.withColumn(out, F.col("__g") - F.col("__before"))
+        res = res.withColumn("__gstart", F.lit(0).cast("long"))
+        before, before_nn = F.lit(0), F.lit(0)
+    res = (res.withColumn(out, F.when(F.col("__gnn") - before_nn > 0, F.col("__g") - before))
            .withColumn(f"{out}_rn", F.col("__gidx") - F.col("__gstart") + 1))
-    return res.drop("__pid", "__loc", "__mid", "__off", "__total", "__moff", "__lsum",
-                    "__g", "__gidx", "__before", "__gstart")
+    return res.drop("__pid", "__loc", "__mid", "__off", "__total", "__moff", "__nnoff", "__lsum",
+                    "__lnn", "__g", "__gnn", "__gidx", "__before", "__gstart", "__m0", "__nn")
 
 
 def with_next_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],

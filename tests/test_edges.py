@@ -343,3 +343,11 @@ def test_sinks_modes_and_declared_schema(spark, tmp_path):
     assert spark.read.parquet(path).first().a == 1
     write_parquet(c, path, mode="append")
     assert spark.read.parquet(path).count() == 2
+
+
+def test_running_sum_skips_nulls_like_sql(spark, distributed):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", 3), (3, "a", None), (4, "a", 2),
+                                (5, "b", 1), (6, "b", None)], "id long, g string, v long")
+    out = ordered.with_running_sum(df, ["g"], [F.col("id")], "v", "cs")
+    got = {r.id: r.cs for r in out.collect()}
+    assert got == {1: None, 2: 3, 3: 3, 4: 5, 5: 1, 6: 1}
