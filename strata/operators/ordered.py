@@ -40,7 +40,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.session import materialize
+from strata.session import materialize, materialize_counted
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
@@ -54,8 +54,8 @@ def prepare(df: DataFrame) -> tuple[DataFrame, bool]:
     Pass the returned flag as ``small=`` to several ordered operators on the
     same (materialized) frame to decide once."""
     limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(DEFAULT_SINGLE_TASK_ROWS)))
-    src = materialize(df)
-    return src, src.count() <= limit
+    src, n = materialize_counted(df)
+    return src, n <= limit
 
 
 def _num_ranges(df: DataFrame, num_partitions: int | None) -> int:

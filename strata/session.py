@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that matter for the operators' plans at scale:
 #  * AQE re-plans joins from measured stage sizes (size-checked broadcast,
@@ -80,7 +81,14 @@ def materialize(df: DataFrame) -> DataFrame:
     statistics for the planner, and a lost executor only costs re-reading
     files from shared storage.
     """
+    return materialize_counted(df)[0]
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`materialize` that also returns the row count, observed as a
+    metric of the write job itself (no second job to count)."""
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/tables/{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path), int(obs.get["n"])
