@@ -23,9 +23,14 @@ import duckdb  # noqa: E402
 from strata.sources.tables import TABLE_NAMES  # noqa: E402
 
 
+EXACT = False
+
+
 def norm(v):
     if v is None:
         return None
+    if isinstance(v, float) and EXACT:
+        return repr(v)
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
@@ -50,8 +55,11 @@ def main():
     ap.add_argument("--tz", default=None, help="session time zone override")
     ap.add_argument("--distributed", action="store_true",
                     help="force the range-partitioned path of the ordered operators")
+    ap.add_argument("--exact", action="store_true", help="compare floats bit for bit, and types")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
+    global EXACT
+    EXACT = a.exact
 
     from strata.plans import ORACLE, QUERIES
     from strata.session import build_session
@@ -90,6 +98,14 @@ def main():
             bad += 1
             continue
         ok_cols = sorted(s_cols) == sorted(d_cols)
+        if a.exact:
+            st = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+            dt_ = {c[0]: str(c[1]) for c in cur.description}
+            m = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+            bad_t = {k: (st[k], dt_.get(k)) for k in st if m.get(st[k], st[k]) != dt_.get(k)}
+            if bad_t:
+                print(f"   types differ: {bad_t}")
         cs, cd = Counter(s_rows), Counter(d_rows)
         ok = ok_cols and cs == cd
         status = "OK" if ok else "MISMATCH"
