@@ -67,3 +67,38 @@ def test_results_do_not_depend_on_partitioning(spark):
     wl = alloc.owner_workload(fx.cases(t), fx.capacity(spark))
     b = sorted((r.id, r.assigned_agent) for r in alloc.apportion(items, wl, fx.SEED).collect())
     assert a == b
+
+
+def test_hot_key_is_spread_by_the_binned_join(spark):
+    """A key holding a third of all events is spread over many shuffle
+    partitions by the (key, time bin) join instead of landing in one task."""
+    import datetime as dt
+
+    from strata.operators.intervals import interval_join
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        start = dt.datetime(2020, 1, 1)
+        ev = spark.range(30000).select(
+            F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500).alias("k"),
+            (F.lit(start) + F.make_dt_interval(days=(F.col("id") % 700).cast("int"))).alias("ts"))
+        ev = ev.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        per = spark.range(500).select(F.col("id").alias("pk"), F.col("id").alias("rk"),
+                                      F.lit(dt.date(2020, 1, 1)).alias("lo"),
+                                      F.lit(dt.date(2021, 12, 31)).alias("hi"))
+        pairs = interval_join(ev, per, "k", "ts", "lo", "hi", bin_days=30, range_key="rk")
+        dist = [r.c for r in pairs.groupBy(F.spark_partition_id().alias("p"))
+                .agg(F.count("*").alias("c")).collect()]
+        assert sum(dist) == 30000
+        assert len(dist) >= 12 and max(dist) < 0.25 * sum(dist)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
