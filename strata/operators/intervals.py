@@ -90,13 +90,13 @@ def bucket_by_interval(df: DataFrame, date: str, intervals: DataFrame, label: st
         cond = (F.col(date) >= F.col("__lo")) & (F.col(date) <= F.col("__hi"))
         res = df.join(F.broadcast(small), cond, "left")
         return res.drop("__lo", "__hi").withColumnRenamed("__lab", out)
-    keyed = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__k", F.lit(0))
-    hits = interval_join(keyed.select("__row", "__k", date),
-                         small.withColumn("__k2", F.lit(0)), "__k", date, "__lo", "__hi",
+    # row ids are fixed by writing them once, so both sides below see the same ids
+    keyed = materialize(df.withColumn("__row", F.monotonically_increasing_id()))
+    points = keyed.select("__row", date).withColumn("__k", F.lit(0))
+    hits = interval_join(points, small.withColumn("__k2", F.lit(0)), "__k", date, "__lo", "__hi",
                          bin_days=30, range_key="__k2")
     hits = hits.select("__row", F.col("__lab").alias(out))
-    keyed = materialize(keyed)
-    return keyed.join(hits, "__row", "left").drop("__row", "__k")
+    return keyed.join(hits, "__row", "left").drop("__row")
 
 
 def _period_bounds(periods: DataFrame, start: str, end: str, as_of: dt.date) -> DataFrame:
