@@ -29,7 +29,8 @@ def main() -> None:
     from strata.plans import QUERIES
     from strata.session import build_session
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus * 2)
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts)
     names = names or sorted(QUERIES)
     for _ in range(2):  # JVM / code-generation warm-up
         QUERIES["q_interval_bucket"](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -49,7 +50,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     out = {"metric": "sum_of_median_query_latency", "value": round(sum(timings.values()), 3),
            "unit": "sec", "queries": timings, "sf": sf, "cpus": cpus, "reps": reps,
-           "spark_conf": {"spark.sql.shuffle.partitions": cpus * 2,
+           "spark_conf": {"spark.sql.shuffle.partitions": parts,
                           "spark.sql.adaptive.enabled": True}}
     if errors:
         out["errors"] = errors
