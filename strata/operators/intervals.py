@@ -38,7 +38,7 @@ def contiguous_intervals(runs: DataFrame, as_of: dt.date, label: str = "run",
 
 def interval_join(points: DataFrame, ranges: DataFrame, key: str, ts: str,
                   lo: str, hi: str, bin_days: int = 30, range_key: str | None = None,
-                  whole_end_day: bool = False) -> DataFrame:
+                  whole_end_day: bool = False, salt: int = 1) -> DataFrame:
     """Inner join: ``points.key = ranges.key AND points.ts BETWEEN lo AND hi``.
 
     ``lo``/``hi`` are dates (inclusive; a timestamp after midnight on ``hi`` is
@@ -53,11 +53,19 @@ def interval_join(points: DataFrame, ranges: DataFrame, key: str, ts: str,
     ``whole_end_day=True`` counts every timestamp on the ``hi`` day (compares
     with the start of the next day) instead of SQL BETWEEN's midnight cut.
 
+    ``salt=S > 1`` additionally splits each (key, bin) S ways: a point gets a
+    hash of its columns mod S, a range row is repeated for every salt value.
+    A key whose points crowd into one bin then spreads over S tasks without
+    relying on AQE's skew split, at the price of S copies of the range bins;
+    each pair still meets exactly once.
+
     ``ranges`` must not carry a column named like a ``points`` column except the
     key; the range key is dropped from the output.
     """
     rk = range_key or key
     p = points.withColumn("__bin", F.floor(day_number(ts) / bin_days))
+    if salt > 1:
+        p = p.withColumn("__salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt)))
     lo_bin = F.floor(day_number(lo) / bin_days)
     hi_bin = F.floor(day_number(hi) / bin_days)
     bins = F.when(F.col(lo) <= F.col(hi), F.sequence(lo_bin, hi_bin)).otherwise(
@@ -66,7 +74,11 @@ def interval_join(points: DataFrame, ranges: DataFrame, key: str, ts: str,
          .withColumn("__bin", F.explode(bins)))
     upper = (p[ts] < F.date_add(r[hi], 1)) if whole_end_day else (p[ts] <= r[hi])
     cond = ((p[key] == r["__rkey"]) & (p["__bin"] == r["__bin"]) & (p[ts] >= r[lo]) & upper)
-    return p.join(r, cond, "inner").drop("__bin", "__rkey")
+    if salt > 1:
+        r = r.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                        F.lit(salt - 1).cast("long"))))
+        cond = cond & (p["__salt"] == r["__salt"])
+    return p.join(r, cond, "inner").drop("__bin", "__rkey", "__salt")
 
 
 def bucket_by_interval(df: DataFrame, date: str, intervals: DataFrame, label: str = "run",
@@ -109,7 +121,7 @@ def count_events_in_period(periods: DataFrame, events: DataFrame, pk: str, key:
                            all_columns: Sequence[str] | None = None,
                            out: str = "event_count", out_all: str | None = None,
                            lower: Column | None = None, bin_days: int = 30,
-                           whole_end_day: bool = False) -> DataFrame:
+                           whole_end_day: bool = False, salt: int = 1) -> DataFrame:
     """Per period: events of the same key with ``lower <= ts <= coalesce(end, as_of)``.
 
     Zero-preserving: every period is returned, with 0 when nothing matched.
@@ -131,7 +143,7 @@ def count_events_in_period(periods: DataFrame, events: DataFrame, pk: str, key:
            .select(F.col(pk).alias("__pk"), F.col(key).alias("__pkey"),
                    lo.alias("__lo"), "__hi"))
     pairs = interval_join(ev, rng, "__ekey", ts, "__lo", "__hi", bin_days, range_key="__pkey",
-                          whole_end_day=whole_end_day)
+                          whole_end_day=whole_end_day, salt=salt)
     aggs = [F.count(F.col("__ekey")).alias(out)]
     if out_all:
         aggs.append(F.count(F.when(all_not_null(["__ekey", ts, *(all_columns or [])]), 1))

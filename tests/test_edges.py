@@ -74,6 +74,9 @@ def test_interval_join_equals_brute_force(spark):
     got = intervals.count_events_in_period(p, e, "pk", "id", "start_date", "end_date", "ts", as_of,
                                            out="n", bin_days=7)
     got = {r.pk: r.n for r in got.collect()}
+    salted = intervals.count_events_in_period(p, e, "pk", "id", "start_date", "end_date", "ts",
+                                              as_of, out="n", bin_days=7, salt=4)
+    assert {r.pk: r.n for r in salted.collect()} == got
     want = {}
     for pk, i, s, end in per:
         hi = end or as_of
