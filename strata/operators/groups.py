@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import first_match
+from strata.operators.rows import anti_join_null_safe
 from strata.operators.ordered import prepare, with_ntile, with_row_number, with_running_sum
 
 
@@ -106,3 +107,35 @@ def assign_calendar(groups: DataFrame, calendar: DataFrame, size: str, perf: str
     rest = small.join(cal, F.col("__cycle") == F.col("__slot")).drop("__cycle", "__slot")
     return (big.withColumn("size_class", F.lit("large"))
             .unionByName(rest.withColumn("size_class", F.lit("small"))))
+
+
+def assign_groups(base: DataFrame, keys: Sequence[str], bucket: Column, sample_order: Sequence[Column],
+                  measure: str, quotas: dict[str, str | float], perf_order: Sequence[Column],
+                  tiebreak: Sequence[Column], bands: int, groups: int, first_group: int,
+                  cols: Sequence[str]) -> DataFrame:
+    """Group 1 = quota sample per quality bucket; the remainder (NULL-safe
+    anti join on ``keys``, so a sampled row is never dealt again) is snake
+    dealt into ``groups`` groups from ``first_group``. Returns ``cols`` + grp."""
+    b = base.withColumn("perf_bucket", bucket)
+    g1 = quota_sample(b, "perf_bucket", sample_order, measure, quotas) \
+        .withColumn("grp", F.lit(1).cast("long"))
+    rest = anti_join_null_safe(base, g1, list(keys))
+    dealt = banded_deal(rest, measure, perf_order, measure, tiebreak, bands, groups, first_group)
+    return g1.select(*cols, "grp").unionByName(dealt.select(*cols, "grp"))
+
+
+def expand_members(members: DataFrame, group_weeks: DataFrame, keys: Sequence[str],
+                   contracts: DataFrame, id_col: str, end_col: str,
+                   decision: Column, label: str = "unknown") -> DataFrame:
+    """Member rows get their group's week (matched on the NULL-labelled group
+    keys, so a member with a NULL key still finds its group) and their latest
+    contract end, then a decision computed by ``decision`` (an expression over
+    ``end_col``). ``contracts`` must have one row per id."""
+    g = group_weeks.select(*[F.col(k).alias(f"__g_{k}") for k in keys], "week_start")
+    cond = None
+    for k in keys:
+        term = F.coalesce(members[k], F.lit(label)) == g[f"__g_{k}"]
+        cond = term if cond is None else cond & term
+    m = members.join(g, cond, "left").drop(*[f"__g_{k}" for k in keys])
+    m = m.join(contracts.select(id_col, end_col), id_col, "left")
+    return m.withColumn("decision", decision)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.columns import all_not_null, col, day_number, later_of
+from strata.functions.columns import all_not_null, day_number, later_of
 from strata.session import materialize
 
 FLOOR_DATE = dt.date(1900, 1, 1)

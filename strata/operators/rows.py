@@ -45,6 +45,24 @@ def join_chain(base: DataFrame, steps: Sequence[tuple[DataFrame, Column | str |
     return out
 
 
+def flatten_hierarchy(base: DataFrame, steps: Sequence[tuple[DataFrame, Column]],
+                      lookup: DataFrame, code: str, lookup_code: str,
+                      flagged_codes: Sequence[str], flag_col: str, select: Sequence[Column | str],
+                      flag_values: tuple[str, str] = ("Non-Auditable", "Auditable"),
+                      flag_source: str | None = None) -> DataFrame:
+    """Inner join chain down a message hierarchy, a code-description lookup
+    (inner: unknown codes drop out), an audit flag and DISTINCT.
+
+    ``flag_source`` names the column tested against ``flagged_codes``
+    (default: ``code``). ``select`` lists the output columns besides the flag.
+    """
+    flat = join_chain(base, steps)
+    flat = flat.join(lookup, flat[code] == lookup[lookup_code])
+    src = F.col(flag_source or code)
+    flag = F.when(src.isin(*flagged_codes), F.lit(flag_values[0])).otherwise(F.lit(flag_values[1]))
+    return flat.select(*select, flag.alias(flag_col)).distinct()
+
+
 def fallback_lookup(df: DataFrame, primary: DataFrame, primary_on: Sequence[str],
                     primary_value: str, secondary: DataFrame,
                     secondary_on: Sequence[tuple[Column, str]], secondary_value: str,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strata.functions.columns import ntz, concat_parts, first_match
 from strata.operators.position import affecting_flags
-from strata.operators.rows import fallback_lookup, join_chain, not_in, preferred_row
+from strata.operators.rows import (fallback_lookup, flatten_hierarchy, join_chain, not_in,
+                                  preferred_row)
 from strata.plans import fixtures as fx
 from strata.plans.oracle_fixtures import with_ctes
 from strata.plans.registry import register
@@ -30,17 +31,13 @@ def q_hierarchy_flatten(spark, sf):
     """Four-level inner join chain, a code lookup and an audit flag, distinct."""
     t = Tables(spark, sf)
     r, n, c, o = t.region, t.nation, t.customer, t.orders
-    codes = fx.status_codes(spark)
-    flat = join_chain(r, [(n, n.n_regionkey == r.r_regionkey),
-                          (c, c.c_nationkey == n.n_nationkey),
-                          (o, o.o_custkey == c.c_custkey),
-                          (codes, codes.code == o.o_orderstatus)])
-    audit = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Non-Auditable") \
-        .otherwise("Auditable")
-    return flat.select("r_name", "n_name", "c_custkey",
-                       F.to_date("o_orderdate").alias("order_day"),
-                       F.col("o_orderstatus").alias("status"), "description",
-                       audit.alias("audit_status")).distinct()
+    return flatten_hierarchy(
+        r, [(n, n.n_regionkey == r.r_regionkey), (c, c.c_nationkey == n.n_nationkey),
+            (o, o.o_custkey == c.c_custkey)],
+        fx.status_codes(spark), "o_orderstatus", "code", ["1-URGENT", "2-HIGH"], "audit_status",
+        ["r_name", "n_name", "c_custkey", F.to_date("o_orderdate").alias("order_day"),
+         F.col("o_orderstatus").alias("status"), "description"],
+        flag_source="o_orderpriority")
 
 
 @register("q_bridge_lookup", with_ctes(["periods", "reads"], """
