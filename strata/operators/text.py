@@ -65,17 +65,22 @@ def rule_analysis(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit('{"raw_output":null}')).otherwise(analysed)
 
 
-def python_analyzer(factory: Callable[[], Callable[[str], object]]):
+# Analyzers built in this Python worker, by name. Module state survives from
+# task to task in a reused worker, unlike state captured in the UDF closure
+# (which is unpickled again for every task).
+_ANALYZERS: dict[str, Callable[[str], object]] = {}
+
+
+def python_analyzer(factory: Callable[[], Callable[[str], object]], name: str = "default"):
     """Wrap ``factory() -> analyze(text) -> dict | str`` as a pandas UDF
-    returning JSON text. The analyzer is built once per Python worker."""
+    returning JSON text. The analyzer is built once per Python worker and
+    ``name`` (use distinct names for distinct analyzers)."""
     import pandas as pd
 
-    state: dict = {}
-
     def run(texts):
-        if "fn" not in state:
-            state["fn"] = factory()
-        fn = state["fn"]
+        fn = _ANALYZERS.get(name)
+        if fn is None:
+            fn = _ANALYZERS[name] = factory()
         out = []
         for t in texts:
             if t is None or t == "":

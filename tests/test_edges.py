@@ -286,7 +286,7 @@ def test_text_json_failures_are_kept(spark):
         return analyze
 
     df = spark.createDataFrame([(k,) for k in [*outputs, "boom", ""]], "t string")
-    out = {r.t: r for r in text.enrich_text(df, "t", ["t"], analyzer=text.python_analyzer(factory))
+    out = {r.t: r for r in text.enrich_text(df, "t", ["t"], analyzer=text.python_analyzer(factory, name="test-json-failures"))
            .collect()}
     assert out["a"].sentiment == "negative" and out["a"].urgent is True
     assert json.loads(out["a"].reference_numbers) == ["A1", "B2"]
