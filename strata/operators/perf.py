@@ -30,7 +30,7 @@ def settlement_dates(runs: DataFrame, as_of: dt.date, rule: str = "next", label:
     return chosen.groupBy(label).agg(F.max(date).alias("settlement_date"))
 
 
-def _valid_on(start: str, end: str, day: Column) -> Column:
+def valid_on(start: str, end: str, day: Column) -> Column:
     return (F.col(start) <= day) & ((F.col(end) >= day) | F.col(end).isNull())
 
 
@@ -73,7 +73,7 @@ def group_performance(df: DataFrame, keys: Sequence[str], measure: str, run: str
         return agg.select(*[F.coalesce(F.col(k), F.lit(label)).alias(k) for k in keys], vol, cnt)
 
     err = side(in_err, "__ve", "__ce")
-    sett = side(not_err & _valid_on(start, end, settle_day), "__vs", "__cs")
+    sett = side(not_err & valid_on(start, end, settle_day), "__vs", "__cs")
     cond = None
     for k in keys:
         term = err[k] == sett[k]
@@ -124,7 +124,7 @@ def multi_run_performance(df: DataFrame, id_col: str, second_key: str, measure:
     for prefix, errs in thresholds:
         day = settlement_day(settle, errs[-1])
         err = F.coalesce(F.col(run).isin(*errs), F.lit(False))
-        sett = F.coalesce(~F.col(run).isin(*errs) & _valid_on(start, end, day), F.lit(False))
+        sett = F.coalesce(~F.col(run).isin(*errs) & valid_on(start, end, day), F.lit(False))
         member = err | sett
         vs = F.when(sett, eac).otherwise(F.lit(0.0))
         ve = F.when(err, eac).otherwise(F.lit(0.0))

@@ -18,10 +18,10 @@ from strata.sources.tables import Tables
 # note, by three-valued logic).
 EXCLUDED_CODE = "R"
 KEYWORDS = ("f",)
-_EXCL_SQL = "NOT (r.code = 'R' AND (lower(r.note) LIKE '%f%'))"
+EXCLUSION_SQL = "NOT (r.code = 'R' AND (lower(r.note) LIKE '%f%'))"
 
 
-def _keep(prefix: str = ""):
+def keep_reading(prefix: str = ""):
     return keep_unless_excluded(f"{prefix}code", f"{prefix}note", EXCLUDED_CODE, KEYWORDS)
 
 
@@ -97,13 +97,13 @@ SELECT p.pk, p.id, p.start_date, p.end_date, COUNT(r.id) AS read_count,
 FROM periods p
 LEFT JOIN reads r ON r.id = p.id
       AND r.ts BETWEEN p.start_date AND COALESCE(p.end_date, {AS_OF})
-      AND {_EXCL_SQL}
+      AND {EXCLUSION_SQL}
 GROUP BY p.pk, p.id, p.start_date, p.end_date"""))
 def q_period_counts(spark, sf):
     t = Tables(spark, sf)
     per = fx.periods(t).select("pk", "id", "start_date", "end_date")
     return count_events_in_period(per, fx.reads(t), "pk", "id", "start_date", "end_date", "ts",
-                                  fx.AS_OF, event_filter=_keep(), all_columns=["code", "note"],
+                                  fx.AS_OF, event_filter=keep_reading(), all_columns=["code", "note"],
                                   out="read_count", out_all="read_count_all")
 
 
@@ -115,13 +115,13 @@ LEFT JOIN reads r ON r.id = p.id
       AND r.ts BETWEEN CASE WHEN c.cp_date IS NULL OR c.cp_date < p.start_date
                             THEN p.start_date ELSE c.cp_date END
                    AND COALESCE(p.end_date, {AS_OF})
-      AND {_EXCL_SQL}
+      AND {EXCLUSION_SQL}
 GROUP BY p.pk, p.id, p.start_date, p.end_date, c.cp_date"""))
 def q_count_since_checkpoint(spark, sf):
     t = Tables(spark, sf)
     per = fx.periods(t).select("pk", "id", "start_date", "end_date")
     return count_since_checkpoint(per, fx.checkpoints(t), fx.reads(t), "pk", "id", "start_date",
-                                  "end_date", "ts", "cp_date", fx.AS_OF, event_filter=_keep(),
+                                  "end_date", "ts", "cp_date", fx.AS_OF, event_filter=keep_reading(),
                                   out="read_count_since")
 
 
@@ -132,18 +132,18 @@ SELECT pk, ts, l_orderkey, l_linenumber, code, note FROM (
                             r.l_linenumber DESC, r.code DESC, r.note DESC NULLS LAST) rn
   FROM periods p JOIN reads r ON r.id = p.id
        AND r.ts BETWEEN p.start_date AND COALESCE(p.end_date, {AS_OF})
-       AND {_EXCL_SQL}) x
+       AND {EXCLUSION_SQL}) x
 WHERE rn = 1"""))
 def q_period_latest(spark, sf):
     t = Tables(spark, sf)
     per = fx.periods(t).select("pk", "id", "start_date", "end_date")
     return latest_event_in_period(per, fx.reads(t), "pk", "id", "start_date", "end_date", "ts",
                                   order=["l_orderkey", "l_linenumber", "code", "note"],
-                                  payload=[], as_of=fx.AS_OF, event_filter=_keep())
+                                  payload=[], as_of=fx.AS_OF, event_filter=keep_reading())
 
 
 @register("q_exclusion_rule", with_ctes(["reads"], f"""
-SELECT code, note, COUNT(*) AS n_reads FROM reads r WHERE {_EXCL_SQL} GROUP BY code, note"""))
+SELECT code, note, COUNT(*) AS n_reads FROM reads r WHERE {EXCLUSION_SQL} GROUP BY code, note"""))
 def q_exclusion_rule(spark, sf):
     r = fx.reads(Tables(spark, sf))
-    return r.filter(_keep()).groupBy("code", "note").agg(F.count(F.lit(1)).alias("n_reads"))
+    return r.filter(keep_reading()).groupBy("code", "note").agg(F.count(F.lit(1)).alias("n_reads"))

@@ -19,12 +19,12 @@ def _in(xs):
     return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
 
-_SD_NEXT = f"""settle AS (
+SD_NEXT = f"""settle AS (
   SELECT run AS sd_run, MAX(date) AS settlement_date FROM runs
   WHERE da_run_date = (SELECT MIN(da_run_date) FROM runs
                        WHERE da_run_date >= CAST({AS_OF} + 1 AS DATE))
   GROUP BY run)"""
-_SD_EQUAL = f"""settle AS (
+SD_EQUAL = f"""settle AS (
   SELECT run AS sd_run, MAX(date) AS settlement_date FROM runs
   WHERE da_run_date = CAST({AS_OF} + 1 AS DATE) GROUP BY run)"""
 
@@ -40,7 +40,7 @@ def _group_performance(t: Tables):
                              "start_date", "end_date", prefix="r2_")
 
 
-GROUP_PERFORMANCE_CTES = [_SD_NEXT, f"""e AS (SELECT * FROM position WHERE run IN {_in(R2_ERRORS)}),
+GROUP_PERFORMANCE_CTES = [SD_NEXT, f"""e AS (SELECT * FROM position WHERE run IN {_in(R2_ERRORS)}),
 s AS (SELECT position.* FROM position LEFT JOIN settle ON settle.sd_run = 'R2'
       WHERE run NOT IN {_in(R2_ERRORS)} AND start_date <= settlement_date
         AND (end_date >= settlement_date OR end_date IS NULL)),
@@ -81,8 +81,8 @@ def _multi_run(t: Tables):
                                  "start_date", "end_date", THRESHOLDS, settle)
 
 
-def _multi_run_ctes() -> list[str]:
-    parts = [_SD_EQUAL]
+def multi_run_ctes() -> list[str]:
+    parts = [SD_EQUAL]
     for p, errs in THRESHOLDS:
         run = errs[-1]
         parts.append(f"""{p}_e AS (SELECT * FROM position WHERE run IN {_in(errs)}),
@@ -116,7 +116,7 @@ FROM master_keys
 
 
 @register("q_multi_run_performance", with_ctes(["runs", "position"], "SELECT * FROM multi_run",
-                                               extra=_multi_run_ctes()))
+                                               extra=multi_run_ctes()))
 def q_multi_run_performance(spark, sf):
     """Per id: settled/error volume, count, totals and share for five nested
     run cut-offs (run day rule 'equal'), NULL-safe on the second key."""
@@ -124,7 +124,7 @@ def q_multi_run_performance(spark, sf):
 
 
 @register("q_master_keys", with_ctes(["runs", "position"], "SELECT id, meter_type FROM master_keys",
-                                     extra=_multi_run_ctes()[:-1]))
+                                     extra=multi_run_ctes()[:-1]))
 def q_master_keys(spark, sf):
     """Distinct (id, meter type) present at any cut-off (UNION of five sets)."""
     return multi_run_frame(Tables(spark, sf)).select("id", "meter_type").distinct()

@@ -70,7 +70,7 @@ def q_bridge_lookup(spark, sf):
     return out.select("id", "ts", "l_orderkey", "l_linenumber", "pk", "c_name", "n_name", "r_name")
 
 
-_ADDRESS_SQL = """TRIM(CONCAT_WS(', ',
+ADDRESS_SQL = """TRIM(CONCAT_WS(', ',
          NULLIF(TRIM(c_name), ''),
          NULLIF(TRIM(CASE WHEN c_custkey % 7 = 0 THEN '   ' ELSE c_mktsegment END), ''),
          NULLIF(TRIM(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE n_name END), ''),
@@ -86,7 +86,7 @@ def address_parts():
 
 
 @register("q_concat_parts", f"""
-SELECT DISTINCT c_custkey, {_ADDRESS_SQL} AS address
+SELECT DISTINCT c_custkey, {ADDRESS_SQL} AS address
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def q_concat_parts(spark, sf):
     t = Tables(spark, sf)
