@@ -160,19 +160,21 @@ def count_since_checkpoint(periods: DataFrame, checkpoints: DataFrame, events: D
                            pk: str, key: str, start: str, end: str, ts: str, cp: str,
                            as_of: dt.date, event_filter: Column | None = None,
                            out: str = "count_since_checkpoint",
-                           bin_days: int = 30) -> DataFrame:
+                           bin_days: int = 30, salt: int = 1) -> DataFrame:
     """Like :func:`count_events_in_period` but counting from the later of the
     key's checkpoint date and the period start (a NULL checkpoint means the
     start). ``checkpoints`` has one row per key (pre-aggregated)."""
     p = periods.join(checkpoints.select(key, cp), key, "left")
     return count_events_in_period(p, events, pk, key, start, end, ts, as_of, event_filter,
-                                  out=out, lower=later_of(cp, start), bin_days=bin_days)
+                                  out=out, lower=later_of(cp, start), bin_days=bin_days,
+                                  salt=salt)
 
 
 def latest_event_in_period(periods: DataFrame, events: DataFrame, pk: str, key: str,
                            start: str, end: str, ts: str, order: Sequence[str],
                            payload: Sequence[str], as_of: dt.date,
-                           event_filter: Column | None = None, bin_days: int = 30) -> DataFrame:
+                           event_filter: Column | None = None, bin_days: int = 30,
+                           salt: int = 1) -> DataFrame:
     """Per period with at least one event: the event with the greatest
     (ts, *order) inside the period, returning ``payload`` columns.
 
@@ -187,7 +189,8 @@ def latest_event_in_period(periods: DataFrame, events: DataFrame, pk: str, key:
     rng = (_period_bounds(periods, start, end, as_of)
            .select(F.col(pk).alias("__pk"), F.col(key).alias("__pkey"),
                    F.col(start).alias("__lo"), "__hi"))
-    pairs = interval_join(ev, rng, "__ekey", ts, "__lo", "__hi", bin_days, range_key="__pkey")
+    pairs = interval_join(ev, rng, "__ekey", ts, "__lo", "__hi", bin_days, range_key="__pkey",
+                          salt=salt)
     best = pairs.groupBy("__pk").agg(F.max(F.struct(*fields)).alias("__best"))
     return best.select(F.col("__pk").alias(pk), *[F.col(f"__best.{f}").alias(f) for f in fields])
 
@@ -199,7 +202,7 @@ def summarize_events_in_period(periods: DataFrame, events: DataFrame, pk: str, k
                                out_count: str = "count_since_start",
                                out_since: str = "count_since_checkpoint",
                                out_latest: str = "latest", bin_days: int = 30,
-                               attach: bool = True) -> DataFrame:
+                               attach: bool = True, salt: int = 1) -> DataFrame:
     """One pass for three per-period facts over the same (event, period) pairs:
 
     * ``out_count``: events in ``[start, coalesce(end, as_of)]``;
@@ -218,7 +221,8 @@ def summarize_events_in_period(periods: DataFrame, events: DataFrame, pk: str, k
     rng = (_period_bounds(periods, start, end, as_of)
            .select(F.col(pk).alias("__pk"), F.col(key).alias("__pkey"),
                    F.col(start).alias("__lo"), "__hi", since.alias("__since")))
-    pairs = interval_join(ev, rng, "__ekey", ts, "__lo", "__hi", bin_days, range_key="__pkey")
+    pairs = interval_join(ev, rng, "__ekey", ts, "__lo", "__hi", bin_days, range_key="__pkey",
+                          salt=salt)
     agg = pairs.groupBy("__pk").agg(
         F.count(F.lit(1)).alias(out_count),
         F.count(F.when(F.col(ts) >= F.col("__since"), 1)).alias(out_since),

@@ -85,7 +85,8 @@ def priority_rank(df: DataFrame, partition: Sequence[str], score: str, tiebreak:
 def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
                    volumes: DataFrame, defaults: DataFrame, customers: DataFrame,
                    intervals: DataFrame, as_of: dt.date, keep_event: Column | None,
-                   bin_days: int = 30, intervals_bound: int | None = None) -> DataFrame:
+                   bin_days: int = 30, intervals_bound: int | None = None,
+                   salt: int = 1) -> DataFrame:
     """Wide position table, one row per valid period (see ``q_position``).
 
     Inputs (already renamed to these columns):
@@ -118,7 +119,7 @@ def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
         base.select("pk", "id", "start_date", "end_date", "cp_date"), reads, "pk", "id",
         "start_date", "end_date", "ts", as_of, since=later_of("cp_date", "start_date"),
         order=["l_orderkey", "l_linenumber", "code", "note"], event_filter=keep_event,
-        bin_days=bin_days, attach=False)
+        bin_days=bin_days, attach=False, salt=salt)
     facts = facts.select("pk", "count_since_start", "count_since_checkpoint",
                          F.col("latest.ts").alias("latest_read_ts"),
                          F.col("latest.code").alias("latest_read_code"),

@@ -354,3 +354,20 @@ def test_running_sum_skips_nulls_like_sql(spark, distributed):
     out = ordered.with_running_sum(df, ["g"], [F.col("id")], "v", "cs")
     got = {r.id: r.cs for r in out.collect()}
     assert got == {1: None, 2: 3, 3: 3, 4: 5, 5: 1, 6: 1}
+
+
+def test_salted_latest_and_summary_equal_unsalted(spark):
+    per = spark.createDataFrame([(1, 1, D(2024, 1, 1), None), (2, 1, D(2023, 1, 1), D(2023, 12, 31))],
+                                "pk long, id long, start_date date, end_date date")
+    ev = _events(spark, [(1, TS(2024, 1, 1) + dt.timedelta(hours=7 * i), "a", str(i)) for i in range(200)]
+                 + [(1, TS(2023, 6, 1), "b", None)])
+    args = (per, ev, "pk", "id", "start_date", "end_date", "ts")
+    a = intervals.latest_event_in_period(*args, order=["code", "note"], payload=[],
+                                         as_of=D(2024, 6, 1)).collect()
+    b = intervals.latest_event_in_period(*args, order=["code", "note"], payload=[],
+                                         as_of=D(2024, 6, 1), salt=5).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    since = F.lit(D(2024, 1, 15))
+    s1 = intervals.summarize_events_in_period(*args, D(2024, 6, 1), since, ["code"]).collect()
+    s2 = intervals.summarize_events_in_period(*args, D(2024, 6, 1), since, ["code"], salt=3).collect()
+    assert sorted(map(str, s1)) == sorted(map(str, s2))
