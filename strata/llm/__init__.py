@@ -1 +1,11 @@
-"""Operators of a training-data pipeline; nothing else in the library imports this."""
+"""Operators of a training-data pipeline; nothing else in the library imports this.
+
+Their task functions travel to the executors by value, so these need no copy
+of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import embedding_dedup, line_dedup, mixing, url_filter
+from strata.llm import embedding_dedup, line_dedup, mixing, ppm, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +91,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.md5(text).alias("kept_md5"))
 
 
+@register("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -146,3 +152,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page URL."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules)
+
+
+@register("op10_ppm_score")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte model's and the unigram base's log10 probability of every document."""
+    return ppm.score_documents(read(spark, sf_dir, "documents"))
