@@ -164,6 +164,16 @@ class Trie:
         return out
 
 
+def _plain(x) -> dict:
+    return {k: vars(v) if isinstance(v, Table) else v for k, v in vars(x).items()}
+
+
+def _object(cls, state: dict):
+    out = cls.__new__(cls)
+    out.__dict__.update(state)
+    return out
+
+
 def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(sorted_keys):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -212,7 +222,7 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [got.column(n).to_numpy() for n in names]
 
 
-def score_documents(docs: DataFrame, order: int = 4, folds: int = 10, held_out: int = 0,
+def score_documents(docs: DataFrame, order: int = 5, folds: int = 10, held_out: int = 0,
                     max_entries: int = 4_000_000, heavy: int = 1 << 20) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per row of ``docs``.
 
@@ -263,10 +273,14 @@ def score_documents(docs: DataFrame, order: int = 4, folds: int = 10, held_out:
             pairs = spark.range(1 << 16).where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
             mine = np.zeros(1 << 16, bool)
             mine[_columns(pairs, "id")[0]] = True
-        shared = spark.sparkContext.broadcast((trie, known, mine))
+        # arrays alone, so that executors need no class of this package to read them
+        shared = spark.sparkContext.broadcast((_plain(trie), known and (_plain(known[0]), known[1]), mine))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trie, known, mine = shared.value
+            trie = _object(Trie, trie)
+            trie.table = _object(Table, trie.table)
+            known = known and (_object(Table, known[0]), known[1])
             base_row, n_row = TaskContext.get().partitionId() << 36, 0
             for batch in batches:
                 for piece in bytescan.slices(batch, "text"):
