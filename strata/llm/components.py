@@ -48,4 +48,5 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch,
             break
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

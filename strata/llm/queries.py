@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import embedding_dedup, line_dedup, mixing, ppm, quality, url_filter
+from strata.llm import embedding_dedup, jaccard_join, line_dedup, mixing, ppm, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,6 +130,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+@register("op7_ngram_jaccard")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: 4-word shingles, component and links at a Jaccard similarity of 85 %."""
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 #: The rules of the contract.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
