@@ -94,6 +94,28 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, e, np.searchsorted(s, off)
 
 
+LETTER = np.zeros(256, bool)
+LETTER[ord("a"):ord("z") + 1] = LETTER[ord("A"):ord("Z") + 1] = LETTER[0x80:] = True
+ALNUM = LETTER.copy()
+ALNUM[ord("0"):ord("9") + 1] = True
+
+
+def core_words(raw: np.ndarray, off: np.ndarray, edge: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes in lower case, and start, end and text number of each word
+    without the bytes around it that are not in ``edge``; a word of such bytes alone is left out."""
+    low = LOWER[raw] if len(raw) else raw
+    s, e, at = words(raw, off)
+    text = np.repeat(np.arange(len(off) - 1), np.diff(at))
+    is_edge = edge[low]
+    where = np.flatnonzero(is_edge)
+    upto = np.concatenate([[0], np.cumsum(is_edge)])
+    has = upto[e] > upto[s]
+    s, e, text = s[has], e[has], text[has]
+    if len(s):
+        s, e = where[upto[s]], where[upto[e] - 1] + 1
+    return low, s, e, text
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash (uint64) of each byte span; spans are sorted and apart from each other."""
     out = np.empty(len(starts), np.uint64)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import embedding_dedup, jaccard_join, line_dedup, mixing, ppm, quality, url_filter
+from strata.llm import (decontam, embedding_dedup, jaccard_join, line_dedup, mixing, ppm, quality, token_scan,
+                        toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,6 +131,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+@register("op5_benchmark_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: whether it holds benchmark items, which, and how closely."""
+    out = decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.col("hits.item_id").alias("item_ids"),
+                      F.array_max("hits.cosine").alias("cosine"), F.array_max("hits.lcs").alias("lcs"))
+
+
+@register("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted from flat token files written for them."""
+    return token_scan.document_token_counts(read(spark, sf_dir, "documents"))
+
+
 @register("op7_ngram_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: 4-word shingles, component and links at a Jaccard similarity of 85 %."""
@@ -160,6 +175,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules)
 
 
+@register("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @register("op10_ppm_score")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte model's and the unigram base's log10 probability of every document."""
