@@ -181,6 +181,22 @@ def fit(table: DataFrame, prior: float | None = None, ridge: float = 1e-4, steps
     return good, mean, scale
 
 
+def _training(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Feature tables in the shared folder: all documents, and ``f, label`` for the fit."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    table = docs.select("doc_id", "text").mapInArrow(_featurise, f"doc_id {kind}, f array<float>")
+    table = scratch.table(table.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out, F.lit(False))), "features")
+    known = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
+             .agg(F.min("quality").alias("label"), F.max("quality").alias("_max")).where("label = _max").select("doc_id", "label"))
+    rows = table.join(known, "doc_id", "left").select("f", F.when(~F.col("held_out"), F.col("label")).cast("int").alias("label"))
+    return table, scratch.table(rows, "rows")
+
+
+def _score(x: np.ndarray, model: tuple) -> np.ndarray:
+    w, mean, scale = model
+    return 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w, -30, 30)))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3,
                   prior: float | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row per row of ``docs``.
@@ -191,19 +207,32 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     one. A null id is not held out and has no label. Repeated rows are scored
     alike. Without any usable positive label every score is 0.5.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    table = docs.select("doc_id", "text").mapInArrow(_featurise, f"doc_id {kind}, f array<float>")
-    table = scratch.table(table.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out, F.lit(False))), "features")
-    known = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
-             .agg(F.min("quality").alias("label"), F.max("quality").alias("_max")).where("label = _max").select("doc_id", "label"))
-    rows = scratch.table(table.join(known, "doc_id", "left").select("f", F.when(~F.col("held_out"), F.col("label")).cast("int").alias("label")), "rows")
-    w, mean, scale = fit(rows, prior)
+    table, rows = _training(docs, labels, folds, held_out, Scratch(docs.sparkSession, "quality"))
+    model = fit(rows, prior)
 
     def score(batches):
         for b in batches:
-            z = np.clip(((_matrix(b) - mean) / scale) @ w, -30, 30)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(_score(_matrix(b), model))], ["doc_id", "held_out", "score"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     out = table.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3,
+              prior: float | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`score_quality`
+    predicts to be good; scored where they are read, so that no text is shuffled."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    table, rows = _training(docs, labels, folds, held_out, scratch)
+    model = fit(rows, prior)
+    for t in (table, rows):
+        scratch.drop(t)
+
+    def good(batches):
+        for batch in batches:
+            for part in bytescan.slices(batch, "text"):
+                x = features(*bytescan.buffer_of(part.column("text"))).astype(np.float32).astype(np.float64)
+                yield part.filter(pa.array(_score(x, model) >= threshold))
+
+    return docs.mapInArrow(good, docs.schema)
