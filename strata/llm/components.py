@@ -35,13 +35,15 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch,
         if _is_star_forest(e):
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are tables of their own: a join between two plain scans is one whose hot partitions can be split
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = scratch.table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         new = scratch.table(small, "star")
-        scratch.drop(e)
+        for t in (e, least, large, low):
+            scratch.drop(t)
         e = new
     else:
         raise RuntimeError(f"no star forest after {max_rounds} rounds")

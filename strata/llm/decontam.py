@@ -238,11 +238,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride:
         if number == 0:
             out = found
         else:  # rows of one text have the same hits
-            more = (found.where("size(hits) > 0").select(F.xxhash64("text").alias("_h"), F.length("text").alias("_n"), F.col("hits").alias("_more"))
-                    .dropDuplicates(["_h", "_n"]))
+            more = (found.where("size(hits) > 0").select(F.xxhash64("text").alias("__leak_hash"), F.length("text").alias("__leak_size"), F.col("hits").alias("__leak_more"))
+                    .dropDuplicates(["__leak_hash", "__leak_size"]))
             more = Scratch(spark, "leaks").table(more, "more")
-            out = (out.join(more, (F.xxhash64("text") == F.col("_h")) & (F.length("text") == F.col("_n")), "left")
-                   .withColumn("hits", F.concat("hits", F.coalesce("_more", F.array().cast(out.schema["hits"].dataType)))).drop("_h", "_n", "_more"))
+            out = (out.join(more, (F.xxhash64("text") == F.col("__leak_hash")) & (F.length("text") == F.col("__leak_size")), "left")
+                   .withColumn("hits", F.concat("hits", F.coalesce("__leak_more", F.array().cast(out.schema["hits"].dataType)))).drop("__leak_hash", "__leak_size", "__leak_more"))
     return out
 
 

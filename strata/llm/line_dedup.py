@@ -70,10 +70,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 2, min
     scratch = Scratch(docs.sparkSession, "lines")
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lost = recurring_lines(docs.select("doc_id", "text"), scratch, min_docs, depth=depth, min_fields=min_fields, min_tokens=min_tokens)
-    lost = lost.select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    out = docs.select(*cols).join(lost, F.col("doc_id") == F.col("_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("_dropped"), F.lit(0))).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept))
-    return out.drop("_id", "_dropped")
+    # the row travels as one struct, so that no name of its can clash
+    out = docs.select(F.struct(*cols).alias("row")).join(lost.withColumnRenamed("doc_id", "id"), F.col("row.doc_id") == F.col("id"), "left")
+    text = F.col("row.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    new = F.when(F.col("dropped").isNull(), text).otherwise(kept)
+    return out.select(*(new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in cols),
+                      F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
+                      F.when(text.isNull(), 0).otherwise(F.coalesce(F.size("dropped"), F.lit(0))).cast("long").alias("n_dropped"))

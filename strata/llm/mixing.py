@@ -112,5 +112,5 @@ def emit_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` (``doc_id, copies``) says.
     Ids must be unique among rows with copies; a row without id is not emitted."""
     copies = mixed.where("copies > 0 and doc_id is not null").select("doc_id", "copies")
-    return (docs.join(copies, "doc_id").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-            .select(*docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(copies, F.col("row.doc_id") == F.col("doc_id"))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -1,0 +1,167 @@
+"""Nulls, empty and long texts, repeated rows, clashing columns and empty tables for every operator."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from strata.llm import decontam, embedding_dedup, jaccard_join, line_dedup, mixing, ppm, quality, token_scan, toxicity, url_filter
+
+LONG = "word " * 40_000 + "x" * 60_000
+ODD = [(1, "a b c d e f g h i", "s", "en"), (1, "a b c d e f g h i", "s", "en"), (2, None, None, None), (3, "", "s", None), (None, "no id here at all", "t", "en"),
+       (4, " \n\t \n", "", "de"), (5, LONG, "s", "en"), (6, LONG, "t", "en"), (7, "é ñ ß\u00a0x \U0001f600 " * 9, None, "es"), (8, "a", "s", "en")]
+#: names that the operators use inside
+CLASH = ["n_lines", "n_dropped", "hits", "score", "held_out", "label", "key", "pos", "n", "h", "rid", "size", "copies", "target", "tile", "_id", "path", "number", "f"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string, source string, lang string")
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASH}).cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 1), (5, 1, 0), (6, 0, 1), (8, 1, 0), (8, 0, 1), (99, 0, 1)],
+                                 "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, "a b c d e f g h i"), (1, "a b c d e f g h i"), (2, None), (None, "x y z u v w"), (3, ""), (4, "two words"), (5, "é ñ ß x é ñ ß x q r s t")],
+                                 "item_id long, text string")
+
+
+RUNS = {
+    "quality": lambda d, l, b: quality.score_quality(d, l),
+    "good": lambda d, l, b: quality.keep_good(d, l),
+    "lines": lambda d, l, b: line_dedup.drop_recurring_lines(d),
+    "mix": lambda d, l, b: mixing.mix_sources(d),
+    "leaks": lambda d, l, b: decontam.find_leaks(d, b),
+    "tokens": lambda d, l, b: token_scan.document_token_counts(d),
+    "jaccard": lambda d, l, b: jaccard_join.jaccard_join(d),
+    "toxicity": lambda d, l, b: toxicity.score_toxicity(d, l),
+    "ppm": lambda d, l, b: ppm.score_documents(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_odd_rows(docs, labels, benchmark, name):
+    rows = RUNS[name](docs, labels, benchmark).collect()
+    ids = sorted((r.doc_id for r in rows), key=repr)
+    if name == "good":
+        assert set(ids) <= {d for d, *_ in ODD}
+    else:
+        assert ids == sorted((d for d, *_ in ODD), key=repr)
+    same = [tuple(r) for r in rows if r.doc_id == 1]
+    if name not in ("mix",):
+        assert len(set(map(str, same))) <= 1  # equal rows, equal results
+    by_id = {r.doc_id: r for r in rows}
+    if name in ("quality", "toxicity"):
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+        assert by_id[2].score == by_id[3].score
+    if name == "jaccard":
+        assert (by_id[1].component_id, by_id[1].n_links) == (1, 1)
+        assert (by_id[6].component_id, by_id[6].n_links) == (5, 1)
+        assert [(by_id[i].n_shingles, by_id[i].component_id) for i in (2, 3, 4)] == [(0, 2), (0, 3), (0, 4)]
+        assert by_id[None].component_id is None
+    if name == "leaks":
+        assert [h.item_id for h in by_id[1].hits] == [1]
+        assert by_id[2].hits == [] and by_id[5].hits == []
+        assert by_id[1].score == "own score"
+    if name == "lines":
+        assert by_id[2].text is None and by_id[3].text == "" and by_id[None].text == "no id here at all"
+        assert (by_id[5].n_dropped, by_id[6].n_dropped, by_id[6].text) == (0, 1, "")
+        assert by_id[1].score == "own score"
+    if name == "mix":
+        assert all(r.taken == r.copies * r["size"] and 0 <= r.copies <= 2 for r in rows)
+    if name == "tokens":
+        assert by_id[2].n_tokens == by_id[3].n_tokens == 0
+
+
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_empty_tables(spark, labels, benchmark, name):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
+    assert RUNS[name](docs, labels, benchmark).collect() == []
+
+
+@pytest.mark.parametrize("name", ["quality", "toxicity", "leaks"])
+def test_empty_second_table(docs, labels, benchmark, name):
+    rows = RUNS[name](docs, labels.limit(0), benchmark.limit(0)).collect()
+    assert len(rows) == len(ODD)
+    if name == "leaks":
+        assert all(r.hits == [] for r in rows)
+
+
+def test_mix_reruns_and_layouts_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a = sorted(map(tuple, mixing.mix_sources(docs).collect()), key=repr)
+    assert a == sorted(map(tuple, mixing.mix_sources(docs.repartition(7, "lang")).collect()), key=repr)
+
+
+def test_mix_targets_and_emission(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = mixing.mix_sources(docs).cache()
+    by = mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    assert all(abs(r.taken - r.target) <= r.most for r in by)
+    total = mixed.agg(F.sum("size")).first()[0]
+    assert sum(r.target for r in by) == pytest.approx(1.5 * total)
+    assert mixing.emit_copies(docs, mixed).count() == mixed.agg(F.sum("copies")).first()[0]
+
+
+def test_embeddings(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [0.98, 0.1985], 0), (5, [0.97, 0.25], 0), (6, [1.0, 0.0], 1), (7, [1.0, 0.0], None),
+            (8, None, 0), (9, [], 0), (10, [0.0, 0.0], 0), (11, [nan, 1.0], 0), (12, [inf, 1.0], 0), (13, [1.0, None], 0), (14, [1.0, 0.0, 0.0], 0),
+            (None, [1.0, 0.0], 0), (15, [0.0, -0.0, 5e-324], 2), (16, [0.0, 0.0, 1e300], 2), (1, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"tile": F.lit("x"), "copies": F.lit("y"), "links": F.lit("z")})
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, tile=2).collect()), key=repr)
+    lone = [(i, 0, i, True) for i in (6, 7, 8, 9, 10, 11, 12, 13, 14)]
+    # 4 and 5 are within the threshold of each other, 5 is not of the rest
+    want = [(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 5, 1, False), (5, 1, 1, False), *lone,
+            (None, 0, None, False), (15, 1, 15, True), (16, 1, 15, False)]
+    assert got == sorted(want, key=repr)
+    assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_quantised_product_is_exact(spark):
+    import numpy as np
+    r = np.random.default_rng(3)
+    base = r.standard_normal((40, 1500))
+    x = np.concatenate([base, base + 0.2 * r.standard_normal(base.shape), base + 0.21 * r.standard_normal(base.shape)]) * r.uniform(1e-6, 1e6, (120, 1))
+    parts = embedding_dedup.quantise(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (embedding_dedup.linked(parts, parts, 0.98) == (unit @ unit.T >= 0.98)).all()
+
+
+def test_urls(spark):
+    urls = ["https://Blog.Example.ORG/en/123?x", "https://example.org/en/2", "http://example.org/es/", "http://example.orgs/es/", "http://notexample.org/es/x", "x://com/fr/", "x://a.com/fr",
+            "x://a.b.com/de/1#f", "no scheme", "", None, "://", "http://example.org", "http://a.example.org/en/1://b.com/de/", "x://a.com:80/de/", "x://.org/", "x://com./fr/"]
+    pages = spark.createDataFrame([*((i, u, "k") for i, u in enumerate(urls)), (None, urls[0], "k"), (0, urls[0], "k")], "page_id long, url string, key string")
+    rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block"), ("EXAMPLE.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+                                   ("com", "/de/", "allow"), (None, "/", "block"), ("", "/", "block"), ("org", None, "block")], "host string, path string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    law = [("org", "/"), ("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/fr/"), ("com", "/de/")]
+    for i, u in enumerate(urls):
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+            host, rest = rest[:cut].lower(), rest[cut:]
+            path = rest[:min([rest.find(c) for c in "?#" if c in rest] or [len(rest)])]
+        fit = [(h + p) for h, p in law if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = max(fit, key=len, default=None)
+        assert got[i] == (host, path, rule, "block" if rule in ("example.org/es/", "example.org/en/1", "com/de/") else "allow"), u
+    assert got[None] == got[0]
+    assert url_filter.filter_urls(pages, rules).count() == len(urls) + 2
+    assert url_filter.filter_urls(pages.limit(0), rules).collect() == []
+    assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_line_templates(spark):
+    rows = [(1, "Posted by Ann on 3 May 2020 at noon\nunique words stand on this first line here"), (2, "Posted by Ann on 4 June 2021 at noon\nother words make up the second text body"),
+            (3, "Posted by Ann on 9 May 2022 at noon"), (4, "ok\nok\nshort line"), (5, "ok\nshort line"), (6, "All rights reserved."), (7, "All rights reserved."), (8, "All  rights\treserved.")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 2, 0)
+    assert got[2] == ("other words make up the second text body", 2, 1)
+    assert got[3] == ("", 1, 1)
+    assert got[4] == (rows[3][1], 3, 0) and got[5] == (rows[4][1], 2, 0)
+    assert [got[i][2] for i in (6, 7, 8)] == [0, 1, 1]
