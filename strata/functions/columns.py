@@ -72,14 +72,6 @@ def all_not_null(cols: Iterable[str | Column]) -> Column:
     return expr
 
 
-def null_safe_eq(pairs: Iterable[tuple[Column, Column]]) -> Column:
-    expr = None
-    for a, b in pairs:
-        term = a.eqNullSafe(b)
-        expr = term if expr is None else (expr & term)
-    return expr
-
-
 def later_of(a: str | Column, b: str | Column) -> Column:
     """``CASE WHEN a IS NULL OR a < b THEN b ELSE a END`` (b wins ties and nulls)."""
     a, b = col(a), col(b)

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import all_not_null, day_number, later_of
-from strata.session import materialize
 
 FLOOR_DATE = dt.date(1900, 1, 1)
+#: ways in which every (key, bin) of an interval join is split
+DEFAULT_SALT = 4
 
 
 def contiguous_intervals(runs: DataFrame, as_of: dt.date, label: str = "run",
@@ -36,79 +37,67 @@ def contiguous_intervals(runs: DataFrame, as_of: dt.date, label: str = "run",
     return agg.select(label, lower.alias("min_date"), "max_date", "run_date")
 
 
-def interval_join(points: DataFrame, ranges: DataFrame, key: str, ts: str,
+def interval_join(points: DataFrame, ranges: DataFrame, key: str | None, ts: str,
                   lo: str, hi: str, bin_days: int = 30, range_key: str | None = None,
-                  whole_end_day: bool = False, salt: int = 1) -> DataFrame:
-    """Inner join: ``points.key = ranges.key AND points.ts BETWEEN lo AND hi``.
+                  whole_end_day: bool = False, salt: int = DEFAULT_SALT, how: str = "inner") -> DataFrame:
+    """Join: ``points.key = ranges.key AND points.ts BETWEEN lo AND hi``.
 
     ``lo``/``hi`` are dates (inclusive; a timestamp after midnight on ``hi`` is
     outside, as with SQL BETWEEN). Instead of pairing every point with every
     range of the same key and filtering, both sides get a time bin of
     ``bin_days`` days: a point gets the bin of its day, a range one row per bin
-    it covers. The equi join on (key, bin) then compares a point only with the
-    ranges overlapping its bin, and a hot key is spread over its bins (AQE
-    splits what remains skewed). Each (point, range) pair meets in exactly one
-    bin, the point's own, so no pair is produced twice.
-
-    ``whole_end_day=True`` counts every timestamp on the ``hi`` day (compares
-    with the start of the next day) instead of SQL BETWEEN's midnight cut.
-
-    ``salt=S > 1`` additionally splits each (key, bin) S ways: a point gets a
-    hash of its columns mod S, a range row is repeated for every salt value.
-    A key whose points crowd into one bin then spreads over S tasks without
-    relying on AQE's skew split, at the price of S copies of the range bins;
-    each pair still meets exactly once.
-
-    ``ranges`` must not carry a column named like a ``points`` column except the
-    key; the range key is dropped from the output.
+    it covers. The equi join on (key, bin, salt) then compares a point only with
+    the ranges overlapping its bin. Each (point, range) pair meets in exactly
+    one bin, the point's own, so no pair is produced twice.
+
+    Bins of a range are clamped to the days that occur among the points (one
+    aggregate over the time column), so an open range that ends in the year
+    9999 has no more rows than the data has months.
+
+    (key, bin) is split ``salt`` ways: a point gets a hash of its columns mod
+    ``salt``, a range row is repeated for every salt value. A key whose points
+    crowd into one bin spreads over ``salt`` tasks in any session; adaptive
+    execution can split further.
+
+    ``key=None`` joins on time alone. ``how="left"`` keeps points without a
+    range. ``whole_end_day=True`` counts every timestamp on the ``hi`` day
+    (compares with the start of the next day) instead of SQL BETWEEN's midnight
+    cut. ``ranges`` must not carry a column named like a ``points`` column
+    except the key; the range key is dropped from the output.
     """
-    rk = range_key or key
-    p = points.withColumn("__bin", F.floor(day_number(ts) / bin_days))
-    if salt > 1:
-        p = p.withColumn("__salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt)))
-    lo_bin = F.floor(day_number(lo) / bin_days)
-    hi_bin = F.floor(day_number(hi) / bin_days)
-    bins = F.when(F.col(lo) <= F.col(hi), F.sequence(lo_bin, hi_bin)).otherwise(
+    p = (points.withColumn("__bin", F.floor(day_number(ts) / bin_days))
+         .withColumn("__salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt))))
+    first = points.agg(F.coalesce(F.floor(day_number(F.min(ts)) / bin_days), F.lit(1))).scalar()
+    last = points.agg(F.coalesce(F.floor(day_number(F.max(ts)) / bin_days), F.lit(0))).scalar()
+    r = ranges if key is None else ranges.withColumnRenamed(range_key or key, "__rkey")
+    r = r.withColumns({"__from": first, "__to": last})
+    lo_bin = F.greatest(F.floor(day_number(lo) / bin_days), F.col("__from"))
+    hi_bin = F.least(F.floor(day_number(hi) / bin_days), F.col("__to"))
+    bins = F.when((F.col(lo) <= F.col(hi)) & (lo_bin <= hi_bin), F.sequence(lo_bin, hi_bin)).otherwise(
         F.array().cast("array<bigint>"))
-    r = (ranges.withColumnRenamed(rk, "__rkey")
-         .withColumn("__bin", F.explode(bins)))
+    r = (r.withColumn("__rbin", F.explode(bins)).drop("__from", "__to")
+         .withColumn("__rsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))))
     upper = (p[ts] < F.date_add(r[hi], 1)) if whole_end_day else (p[ts] <= r[hi])
-    cond = ((p[key] == r["__rkey"]) & (p["__bin"] == r["__bin"]) & (p[ts] >= r[lo]) & upper)
-    if salt > 1:
-        r = r.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                        F.lit(salt - 1).cast("long"))))
-        cond = cond & (p["__salt"] == r["__salt"])
-    return p.join(r, cond, "inner").drop("__bin", "__rkey", "__salt")
+    cond = (p["__bin"] == r["__rbin"]) & (p["__salt"] == r["__rsalt"]) & (p[ts] >= r[lo]) & upper
+    if key is not None:
+        cond = (p[key] == r["__rkey"]) & cond
+    return p.join(r, cond, how).drop("__bin", "__rbin", "__rkey", "__salt", "__rsalt")
 
 
 def bucket_by_interval(df: DataFrame, date: str, intervals: DataFrame, label: str = "run",
                        lo: str = "min_date", hi: str = "max_date", out: str | None = None,
-                       max_broadcast_rows: int = 10_000, bound: int | None = None) -> DataFrame:
+                       bin_days: int = 30, salt: int = DEFAULT_SALT) -> DataFrame:
     """Label each row with the interval containing ``date`` (NULL if none).
 
-    Up to ``max_broadcast_rows`` intervals the interval table is broadcast (one
-    range comparison per interval, no shuffle of ``df``); beyond that a binned
-    equi join is used. ``bound`` is a proven maximum row count of
-    ``intervals`` (e.g. one row per run type); without it the table is
-    materialized and counted first.
+    One binned equi-join whatever the number of intervals; the planner
+    broadcasts the bins when it measures them small. Overlapping intervals
+    repeat the row, as a range join does.
     """
     out = out or label
     small = intervals.select(F.col(label).alias("__lab"), F.col(lo).alias("__lo"),
                              F.col(hi).alias("__hi"))
-    if bound is None:
-        small = materialize(small)
-        bound = small.count()
-    if bound <= max_broadcast_rows:
-        cond = (F.col(date) >= F.col("__lo")) & (F.col(date) <= F.col("__hi"))
-        res = df.join(F.broadcast(small), cond, "left")
-        return res.drop("__lo", "__hi").withColumnRenamed("__lab", out)
-    # row ids are fixed by writing them once, so both sides below see the same ids
-    keyed = materialize(df.withColumn("__row", F.monotonically_increasing_id()))
-    points = keyed.select("__row", date).withColumn("__k", F.lit(0))
-    hits = interval_join(points, small.withColumn("__k2", F.lit(0)), "__k", date, "__lo", "__hi",
-                         bin_days=30, range_key="__k2")
-    hits = hits.select("__row", F.col("__lab").alias(out))
-    return keyed.join(hits, "__row", "left").drop("__row")
+    res = interval_join(df, small, None, date, "__lo", "__hi", bin_days=bin_days, salt=salt, how="left")
+    return res.drop("__lo", "__hi").withColumnRenamed("__lab", out)
 
 
 def _period_bounds(periods: DataFrame, start: str, end: str, as_of: dt.date) -> DataFrame:
@@ -121,7 +110,7 @@ def count_events_in_period(periods: DataFrame, events: DataFrame, pk: str, key:
                            all_columns: Sequence[str] | None = None,
                            out: str = "event_count", out_all: str | None = None,
                            lower: Column | None = None, bin_days: int = 30,
-                           whole_end_day: bool = False, salt: int = 1) -> DataFrame:
+                           whole_end_day: bool = False, salt: int = DEFAULT_SALT) -> DataFrame:
     """Per period: events of the same key with ``lower <= ts <= coalesce(end, as_of)``.
 
     Zero-preserving: every period is returned, with 0 when nothing matched.
@@ -160,7 +149,7 @@ def count_since_checkpoint(periods: DataFrame, checkpoints: DataFrame, events: D
                            pk: str, key: str, start: str, end: str, ts: str, cp: str,
                            as_of: dt.date, event_filter: Column | None = None,
                            out: str = "count_since_checkpoint",
-                           bin_days: int = 30, salt: int = 1) -> DataFrame:
+                           bin_days: int = 30, salt: int = DEFAULT_SALT) -> DataFrame:
     """Like :func:`count_events_in_period` but counting from the later of the
     key's checkpoint date and the period start (a NULL checkpoint means the
     start). ``checkpoints`` has one row per key (pre-aggregated)."""
@@ -174,7 +163,7 @@ def latest_event_in_period(periods: DataFrame, events: DataFrame, pk: str, key:
                            start: str, end: str, ts: str, order: Sequence[str],
                            payload: Sequence[str], as_of: dt.date,
                            event_filter: Column | None = None, bin_days: int = 30,
-                           salt: int = 1) -> DataFrame:
+                           salt: int = DEFAULT_SALT) -> DataFrame:
     """Per period with at least one event: the event with the greatest
     (ts, *order) inside the period, returning ``payload`` columns.
 
@@ -202,7 +191,7 @@ def summarize_events_in_period(periods: DataFrame, events: DataFrame, pk: str, k
                                out_count: str = "count_since_start",
                                out_since: str = "count_since_checkpoint",
                                out_latest: str = "latest", bin_days: int = 30,
-                               attach: bool = True, salt: int = 1) -> DataFrame:
+                               attach: bool = True, salt: int = DEFAULT_SALT) -> DataFrame:
     """One pass for three per-period facts over the same (event, period) pairs:
 
     * ``out_count``: events in ``[start, coalesce(end, as_of)]``;

@@ -3,31 +3,21 @@
 Spark's window functions put every row of one ``PARTITION BY`` group into one
 task, and an unpartitioned window puts the whole table into one task. Where the
 groups are few and large (4 quality buckets, 9 bands, 5 teams) or absent
-(``NTILE`` over a whole table), these helpers compute the same numbers from a
-*global index* instead:
-
-1. ``repartitionByRange`` on the full (total) order: Spark samples the keys and
-   cuts the table into balanced, ordered ranges, splitting a hot leading key on
-   the later keys. Sort within each range, number rows with
-   ``monotonically_increasing_id`` (partition id in the high bits, local
-   position in the low bits): no extra shuffle.
-2. Checkpoint that once to the reliable checkpoint folder, so both uses below
-   see the same ranges even after an executor loss (the range bounds come from
-   a random sample and would move if recomputed).
-3. Count rows per range, turn the counts into offsets with a window over one
-   row per range, broadcast that table (its size is the number of ranges we
-   chose, a proven bound) and add the offset to each local position.
-
-The result is each row's exact 0-based position in the total order. Positions
-inside a group, ``RANK`` and ``NTILE`` follow by arithmetic plus an aggregate
-over the group keys (partial, map-side) joined back, which AQE broadcasts when
-measured small or skew-splits otherwise.
-
-Size-adaptive: the input is first written once to the checkpoint folder
-(cutting its lineage, so branches do not recompute it) and counted there. Up
-to ``strata.ordered.singleTaskRows`` rows (default 1,000,000) one task can
-sort it comfortably and Spark's native window functions are used; above that
-the range-partitioned global index is used. Both give identical results.
+(``NTILE`` over a whole table), these helpers compute the same numbers in one
+way at every size:
+
+1. ``repartitionByRange`` on the full (total) order, group columns first. The
+   number of ranges follows the estimated size of the input, so a range stays
+   about as large at any scale; a hot group is cut into many ranges. Rows are
+   sorted within a range and numbered with ``monotonically_increasing_id``
+   (partition id in the high bits, position in the low bits).
+2. This is written once to the checkpoint folder: range bounds come from a
+   random sample and would move if they were recomputed.
+3. One aggregate per (range, group) gives counts and sums; a window over these
+   few rows gives what each group has in *its own* earlier ranges. Joined back
+   on (range, group), it turns the position inside a range into the position in
+   the group. Nothing is subtracted across groups, so a large value in one
+   group cannot blur another.
 
 Every order passed here must be total (end with a unique key); the callers
 append one, so results never depend on partition layout.
@@ -40,82 +30,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.session import materialize, materialize_counted
+from strata.session import materialize
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
-SINGLE_TASK_ROWS_CONF = "strata.ordered.singleTaskRows"
-DEFAULT_SINGLE_TASK_ROWS = 1_000_000
-
-
-def prepare(df: DataFrame) -> tuple[DataFrame, bool]:
-    """Materialize ``df`` and decide whether one task may hold it.
-
-    Pass the returned flag as ``small=`` to several ordered operators on the
-    same (materialized) frame to decide once."""
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(DEFAULT_SINGLE_TASK_ROWS)))
-    src, n = materialize_counted(df)
-    return src, n <= limit
+RANGE_BYTES = 128 << 20
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def _num_ranges(df: DataFrame, num_partitions: int | None) -> int:
+    """At least the session's shuffle partitions; more when the tables read are large (their sizes, not join estimates)."""
     if num_partitions:
         return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(least, min(size // RANGE_BYTES, 100_000))
 
 
 def _ranged(df: DataFrame, order: Sequence[Column], num_partitions: int | None) -> DataFrame:
     """Range-partitioned, locally sorted, materialized copy with __pid/__loc."""
-    n = _num_ranges(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order)
+    ranged = (df.repartitionByRange(_num_ranges(df, num_partitions), *order)
               .sortWithinPartitions(*order)
               .withColumn("__mid", F.monotonically_increasing_id()))
     ranged = materialize(ranged)
     return (ranged
             .withColumn("__pid", F.shiftright(F.col("__mid"), _LOCAL_BITS))
-            .withColumn("__loc", F.col("__mid").bitwiseAND(F.lit(_LOCAL_MASK))))
-
-
-def _range_offsets(ranged: DataFrame, measure: Column | None = None,
-                   count: Column | None = None) -> DataFrame:
-    """One row per range: rows (and optional measure / count sums) in earlier ranges.
-
-    The frame has as many rows as there are ranges, so the unpartitioned window
-    over it and the broadcast of it are bounded by the partition count.
-    """
-    aggs = [F.count(F.lit(1)).alias("__cnt")]
-    if measure is not None:
-        aggs.append(F.sum(measure).alias("__msum"))
-    if count is not None:
-        aggs.append(F.sum(count).alias("__nsum"))
-    per_range = ranged.groupBy("__pid").agg(*aggs)
-    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding,
-                                                Window.unboundedFollowing)
-    cols = [F.col("__pid"),
-            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
-            F.sum("__cnt").over(whole).alias("__total")]
-    if measure is not None:
-        cols.append(F.coalesce(F.sum("__msum").over(before), F.lit(0)).alias("__moff"))
-    if count is not None:
-        cols.append(F.coalesce(F.sum("__nsum").over(before), F.lit(0)).alias("__nnoff"))
-    return per_range.select(*cols)
-
-
-def with_global_index(df: DataFrame, order: Sequence[Column], out: str = "gidx",
-                      total: str | None = None,
-                      num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 0-based position of the row in ``order`` (a total order).
-
-    With ``total`` set, also add the table's row count under that name.
-    """
-    ranged = _ranged(df, order, num_partitions)
-    offsets = _range_offsets(ranged)
-    res = ranged.join(F.broadcast(offsets), "__pid")
-    res = res.withColumn(out, (F.col("__off") + F.col("__loc")).cast("long"))
-    if total:
-        res = res.withColumn(total, F.col("__total").cast("long"))
-    return res.drop("__pid", "__loc", "__mid", "__off", "__total")
+            .withColumn("__loc", F.col("__mid").bitwiseAND(F.lit(_LOCAL_MASK)))
+            .drop("__mid"))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -136,65 +78,73 @@ def _group_first(group: Sequence[str]) -> list[Column]:
     return [F.col(g).asc_nulls_first() for g in group]
 
 
+def _parts(ranged: DataFrame, group: Sequence[str], *aggs: Column) -> DataFrame:
+    """One row per (range, group): rows of the group in its earlier ranges
+    (``__earlier``), position of its first row here (``__first``), and ``aggs``."""
+    parts = ranged.groupBy("__pid", *group).agg(F.count(F.lit(1)).alias("__cnt"), F.min("__loc").alias("__first"), *aggs)
+    earlier = Window.partitionBy(*group).orderBy("__pid").rowsBetween(*_BEFORE)
+    return parts.withColumn("__earlier", F.coalesce(F.sum("__cnt").over(earlier), F.lit(0)))
+
+
+def with_global_index(df: DataFrame, order: Sequence[Column], out: str = "gidx",
+                      total: str | None = None,
+                      num_partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = 0-based position of the row in ``order`` (a total order).
+
+    With ``total`` set, also add the table's row count under that name.
+    """
+    ranged = _ranged(df, order, num_partitions)
+    parts = _parts(ranged, [])
+    if total:
+        parts = parts.withColumn(total, F.sum("__cnt").over(Window.partitionBy()))
+    # one row per range: a bounded number, chosen above
+    res = ranged.join(F.broadcast(parts.drop("__cnt", "__first")), "__pid")
+    return res.withColumn(out, (F.col("__earlier") + F.col("__loc")).cast("long")).drop("__pid", "__loc", "__earlier")
+
+
 def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                    out: str = "rn", num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
+                    out: str = "rn", num_partitions: int | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY group ORDER BY order)``, 1-based, long.
 
     ``order`` must make the order total within each group.
     """
-    if small is None:
-        df, small = prepare(df)
-    if small:
-        w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-    idx = with_global_index(df, [*_group_first(group), *order], "__gidx",
-                            num_partitions=num_partitions)
     if not group:
+        idx = with_global_index(df, order, "__gidx", num_partitions=num_partitions)
         return idx.withColumn(out, F.col("__gidx") + 1).drop("__gidx")
-    starts = idx.groupBy(*group).agg(F.min("__gidx").alias("__gstart"))
-    res = _null_safe_join(idx, starts, list(group))
-    return res.withColumn(out, F.col("__gidx") - F.col("__gstart") + 1).drop("__gidx", "__gstart")
+    ranged = _ranged(df, [*_group_first(group), *order], num_partitions)
+    res = _null_safe_join(ranged, _parts(ranged, group), ["__pid", *group])
+    return (res.withColumn(out, F.col("__earlier") + F.col("__loc") - F.col("__first") + 1)
+            .drop("__pid", "__loc", "__cnt", "__first", "__earlier"))
 
 
 def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column],
               rank_by: Sequence[str], tiebreak: Sequence[Column], out: str = "rank",
-              num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
+              num_partitions: int | None = None) -> DataFrame:
     """``RANK() OVER (PARTITION BY group ORDER BY order)`` with gaps, long.
 
     ``order`` sorts on the columns ``rank_by`` (rows equal on them tie);
-    ``tiebreak`` only makes the index total and does not affect the rank.
+    ``tiebreak`` only makes the index total and does not affect the rank. The
+    start of a tie is found per range and carried over by a minimum over the
+    ranges of the tie, so rows join on (range, group, tie) and a tie that holds
+    most of a group stays spread over its ranges.
     """
-    if small is None:
-        df, small = prepare(df)
-    if small:
-        w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-        return df.withColumn(out, F.rank().over(w).cast("long"))
-    idx = with_global_index(df, [*_group_first(group), *order, *tiebreak], "__gidx",
-                            num_partitions=num_partitions)
+    ranged = _ranged(df, [*_group_first(group), *order, *tiebreak], num_partitions)
     keys = [*group, *rank_by]
-    ties = idx.groupBy(*keys).agg(F.min("__gidx").alias("__tstart"))
-    if group:
-        gstart = ties.groupBy(*group).agg(F.min("__tstart").alias("__gstart"))
-        ties = _null_safe_join(ties, gstart, list(group))
-    else:
-        ties = ties.withColumn("__gstart", F.lit(0).cast("long"))
-    res = _null_safe_join(idx, ties, keys)
-    return (res.withColumn(out, F.col("__tstart") - F.col("__gstart") + 1)
-            .drop("__gidx", "__tstart", "__gstart"))
+    ties = ranged.groupBy("__pid", *keys).agg(F.min("__loc").alias("__tie"))
+    ties = _null_safe_join(ties, _parts(ranged, group), ["__pid", *group])
+    start = F.col("__earlier") + F.col("__tie") - F.col("__first") + 1
+    ties = ties.select("__pid", *keys, F.min(start).over(Window.partitionBy(*keys)).cast("long").alias(out))
+    return _null_safe_join(ranged, ties, ["__pid", *keys]).drop("__pid", "__loc")
 
 
 def with_ntile(df: DataFrame, order: Sequence[Column], k: int, out: str = "ntile",
-               num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
+               num_partitions: int | None = None) -> DataFrame:
     """``NTILE(k) OVER (ORDER BY order)`` over the whole table, long.
 
     From position i of n rows: q, r = n div k, n mod k; the first r tiles get
     q+1 rows, so tile = i div (q+1) + 1 while i < r(q+1), else
     r + (i - r(q+1)) div q + 1.
     """
-    if small is None:
-        df, small = prepare(df)
-    if small:
-        return df.withColumn(out, F.ntile(k).over(Window.orderBy(*order)).cast("long"))
     idx = with_global_index(df, order, "__gidx", total="__n", num_partitions=num_partitions)
     i, n = F.col("__gidx"), F.col("__n")
     q = F.floor(n / k).cast("long")
@@ -206,64 +156,35 @@ def with_ntile(df: DataFrame, order: Sequence[Column], k: int, out: str = "ntile
 
 
 def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                     measure: str, out: str, num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
+                     measure: str, out: str, num_partitions: int | None = None) -> DataFrame:
     """``SUM(measure) OVER (PARTITION BY group ORDER BY order ROWS UNBOUNDED
     PRECEDING)`` with a total order; also adds ``<out>_rn`` (row number in group).
 
-    Global prefix sum = sum over earlier ranges (broadcast offsets) + prefix
-    inside the range (window over one range, bounded by the range size). The
-    group's running sum subtracts the prefix just before the group's first row.
+    Sum of the group's earlier ranges plus the prefix inside the range (a
+    window over one range of one group). NULL measures are skipped as in SQL,
+    and the type is that of ``SUM(measure)``.
     """
-    if small is None:
-        df, small = prepare(df)
-    if small:
-        w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-        return (df.withColumn(out, F.sum(measure).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                .withColumn(f"{out}_rn", F.row_number().over(w).cast("long")))
-    # NULL measures are skipped as in SQL: prefix sums run over coalesce(m, 0)
-    # and a parallel prefix count of non-null values turns "no value yet" into NULL.
-    src = df.withColumn("__m0", F.coalesce(F.col(measure), F.lit(0)))
-    src = src.withColumn("__nn", F.col(measure).isNotNull().cast("long"))
-    ranged = _ranged(src, [*_group_first(group), *order], num_partitions)
-    offsets = _range_offsets(ranged, F.col("__m0"), F.col("__nn"))
-    in_range = Window.partitionBy("__pid").orderBy("__loc").rowsBetween(
-        Window.unboundedPreceding, 0)
-    res = (ranged.withColumn("__lsum", F.sum("__m0").over(in_range))
-           .withColumn("__lnn", F.sum("__nn").over(in_range))
-           .join(F.broadcast(offsets), "__pid")
-           .withColumn("__g", F.col("__moff") + F.col("__lsum"))
-           .withColumn("__gnn", F.col("__nnoff") + F.col("__lnn"))
-           .withColumn("__gidx", F.col("__off") + F.col("__loc")))
-    if group:
-        first = res.groupBy(*group).agg(
-            F.min_by(F.struct((F.col("__g") - F.col("__m0")).alias("s"),
-                              (F.col("__gnn") - F.col("__nn")).alias("n")),
-                     F.col("__gidx")).alias("__before"),
-            F.min("__gidx").alias("__gstart"))
-        res = _null_safe_join(res, first, list(group))
-        before, before_nn = F.col("__before.s"), F.col("__before.n")
-    else:
-        res = res.withColumn("__gstart", F.lit(0).cast("long"))
-        before, before_nn = F.lit(0), F.lit(0)
-    res = (res.withColumn(out, F.when(F.col("__gnn") - before_nn > 0, F.col("__g") - before))
-           .withColumn(f"{out}_rn", F.col("__gidx") - F.col("__gstart") + 1))
-    return res.drop("__pid", "__loc", "__mid", "__off", "__total", "__moff", "__nnoff", "__lsum",
-                    "__lnn", "__g", "__gnn", "__gidx", "__before", "__gstart", "__m0", "__nn")
+    ranged = _ranged(df, [*_group_first(group), *order], num_partitions)
+    kind = ranged.agg(F.sum(measure)).schema[0].dataType
+    inside = Window.partitionBy("__pid", *group).orderBy("__loc").rowsBetween(Window.unboundedPreceding, 0)
+    parts = _parts(ranged, group, F.sum(measure).alias("__sum"))
+    earlier = Window.partitionBy(*group).orderBy("__pid").rowsBetween(*_BEFORE)
+    parts = parts.withColumn("__before", F.sum("__sum").over(earlier).cast(kind)).drop("__sum", "__cnt")
+    res = _null_safe_join(ranged.withColumn("__own", F.sum(measure).over(inside)), parts, ["__pid", *group])
+    both = (F.col("__before") + F.col("__own")).cast(kind)
+    return (res.withColumn(out, F.coalesce(both, "__own", "__before"))
+            .withColumn(f"{out}_rn", F.col("__earlier") + F.col("__loc") - F.col("__first") + 1)
+            .drop("__pid", "__loc", "__own", "__before", "__first", "__earlier"))
 
 
 def with_next_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                        cols: Sequence[str], prefix: str = "next_",
-                       num_partitions: int | None = None, small: bool | None = None) -> DataFrame:
+                       num_partitions: int | None = None) -> DataFrame:
     """``LEAD(c) OVER (PARTITION BY group ORDER BY order)`` for each c in cols.
 
     Row i's successor is row i+1 of the global index if it has the same group:
     an equi join on unique positions, so no group lands in one task.
     """
-    if small is None:
-        df, small = prepare(df)
-    if small:
-        w = Window.partitionBy(*group).orderBy(*order)
-        return df.select("*", *[F.lead(c).over(w).alias(f"{prefix}{c}") for c in cols])
     idx = with_global_index(df, [*_group_first(group), *order], "__gidx",
                             num_partitions=num_partitions)
     nxt = idx.select((F.col("__gidx") - 1).alias("__pidx"),

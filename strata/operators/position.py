@@ -9,10 +9,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.columns import concat_parts, first_match, later_of, safe_ratio
-from strata.operators.intervals import bucket_by_interval, summarize_events_in_period
-from strata.operators.ordered import prepare, with_rank, with_row_number
+from strata.functions.columns import first_match, later_of, safe_ratio
+from strata.operators.intervals import DEFAULT_SALT, bucket_by_interval, summarize_events_in_period
+from strata.operators.ordered import with_rank, with_row_number
 from strata.operators.rows import fallback_lookup
+from strata.session import materialize
 
 
 def run_max(intervals: DataFrame, run: str) -> Column:
@@ -75,18 +76,17 @@ def priority_score(volume: str, run: str, affecting: str, cp: str, start: str,
 
 
 def priority_rank(df: DataFrame, partition: Sequence[str], score: str, tiebreak: Sequence[str],
-                  out: str = "rank", small: bool | None = None) -> DataFrame:
+                  out: str = "rank") -> DataFrame:
     """``RANK() OVER (PARTITION BY partition ORDER BY score DESC)`` computed
     without putting a whole partition (an area of the grid) into one task."""
     return with_rank(df, partition, [F.col(score).desc_nulls_last()], [score],
-                     [F.col(c).asc() for c in tiebreak], out=out, small=small)
+                     [F.col(c).asc() for c in tiebreak], out=out)
 
 
 def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
                    volumes: DataFrame, defaults: DataFrame, customers: DataFrame,
                    intervals: DataFrame, as_of: dt.date, keep_event: Column | None,
-                   bin_days: int = 30, intervals_bound: int | None = None,
-                   salt: int = 1) -> DataFrame:
+                   bin_days: int = 30, salt: int = DEFAULT_SALT) -> DataFrame:
     """Wide position table, one row per valid period (see ``q_position``).
 
     Inputs (already renamed to these columns):
@@ -109,8 +109,7 @@ def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
                            [(F.col("class_code").try_cast("bigint"), "class_num"),
                             (F.col("segment"), "segment")], "default_eac", out="volume",
                            source="volume_source")
-    base = bucket_by_interval(base, "last_valid_date", intervals, label="run",
-                              bound=intervals_bound)
+    base = bucket_by_interval(base, "last_valid_date", intervals, label="run")
     base = affecting_flags(base, intervals, "start_date", "end_date", "disc_date", "energ",
                            "deenerg_date", "cp_date")
     base = base.withColumn("current_supplier",
@@ -129,10 +128,12 @@ def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
         pos = pos.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
     pos = pos.withColumn("score", priority_score("volume", "run", "affecting", "cp_date",
                                                  "start_date", run_max(intervals, "RF"), as_of))
-    pos, small = prepare(pos)  # one materialization for both ordered steps
-    pos = priority_rank(pos, ["handler"], "score", ["pk"], out="priority_rank", small=small)
-    return with_row_number(pos, ["id"], [F.col("start_date").desc(), F.col("pk").desc()],
-                           out="period_rank", small=small)
+    # only keys and order columns go through the two ordered steps; the wide rows are written once
+    pos = materialize(pos)
+    ranked = priority_rank(pos.select("pk", "handler", "score"), ["handler"], "score", ["pk"], out="priority_rank")
+    numbered = with_row_number(pos.select("pk", "id", "start_date"), ["id"], [F.col("start_date").desc(), F.col("pk").desc()],
+                               out="period_rank")
+    return pos.join(ranked.select("pk", "priority_rank"), "pk").join(numbered.select("pk", "period_rank"), "pk")
 
 
 def position_filter(pos: DataFrame, day: dt.date, segment: str, handler_not: str) -> DataFrame:
@@ -143,7 +144,3 @@ def position_filter(pos: DataFrame, day: dt.date, segment: str, handler_not: str
                       & (F.col("run") != "RF") & (F.col("handler") != handler_not)
                       & (F.col("start_date") <= d)
                       & ((F.col("end_date") >= d) | F.col("end_date").isNull()))
-
-
-def address_of(cols: Sequence[str]) -> Column:
-    return concat_parts(cols)

@@ -105,14 +105,15 @@ def not_in(df: DataFrame, key: str | Column, values: DataFrame, value_col: str)
     every row fail. Built as a hash anti join plus one global
     (count, null count) row, instead of the null-aware broadcast nested-loop
     join Spark falls back to when the list is too large to broadcast. The two
-    counts are scalar subqueries.
+    counts are one scalar subquery; the list is made distinct before it is
+    shuffled to the join, and rows with a null key do not go through it.
     """
     k = col(key)
     vals = values.select(F.col(value_col).alias("__v"))
-    n = vals.agg(F.count(F.lit(1))).scalar()
-    nulls = vals.agg(F.count(F.when(F.col("__v").isNull(), 1))).scalar()
-    kept = df.join(vals.filter(F.col("__v").isNotNull()), k == F.col("__v"), "left_anti")
-    return kept.filter((n == 0) | (k.isNotNull() & (nulls == 0)))
+    seen = vals.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("__v").isNull(), 1)).alias("nulls"))).scalar()
+    kept = df.filter(k.isNotNull()).join(vals.filter(F.col("__v").isNotNull()).distinct(), k == F.col("__v"), "left_anti")
+    kept = kept.filter(seen["nulls"] == 0)
+    return kept.unionByName(df.filter(k.isNull() & (seen["n"] == 0)))
 
 
 def anti_join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,11 +124,3 @@ def anti_join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) ->
         term = df[k].eqNullSafe(o[f"__o_{k}"])
         cond = term if cond is None else cond & term
     return df.join(o, cond, "left_anti")
-
-
-def union_distinct(frames: Sequence[DataFrame]) -> DataFrame:
-    """``q1 UNION q2 ...`` (by name); NULLs deduplicate as equal."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.distinct()

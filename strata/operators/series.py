@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 def recently_active(readings: DataFrame, id_col: str, ts: str, as_of: dt.date, days: int,
                     active_filter: Column | None = None) -> DataFrame:
     """Readings of ids with at least one (optionally filtered) reading in the
-    ``days`` before ``as_of``: a left semi join, so the recent ids are never
-    materialised as a distinct list and a hot id is not multiplied."""
+    ``days`` before ``as_of``: a left semi join with the recent ids, which are
+    reduced to one row per id before the shuffle."""
     recent = readings.filter(F.col(ts) >= F.date_sub(F.lit(as_of), days))
     if active_filter is not None:
         recent = recent.filter(active_filter)
-    recent = recent.select(F.col(id_col).alias("__rid"))
+    recent = recent.select(F.col(id_col).alias("__rid")).distinct()
     return readings.join(recent, F.col(id_col) == F.col("__rid"), "left_semi")
 
 

@@ -136,7 +136,7 @@ def position(t: Tables) -> DataFrame:
                     .otherwise(F.col("n_regionkey").cast("string")).alias("meter_type"),
                     F.col("n_name").alias("area"), F.col("c_acctbal").alias("value")))
     pos = cust.join(picked, "id")
-    pos = bucket_by_interval(pos, "start_date", intervals(t), label="run", bound=len(RUN_LAGS))
+    pos = bucket_by_interval(pos, "start_date", intervals(t), label="run")
     return materialize(pos)  # the position table: written once, read by many queries
 
 

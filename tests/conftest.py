@@ -14,12 +14,3 @@ def spark():
     s = build_session(master="local[*]", shuffle_partitions=8)
     yield s
     s.stop()
-
-
-@pytest.fixture
-def distributed(spark):
-    """Force the range-partitioned (large input) path of the ordered operators."""
-    from strata.operators.ordered import SINGLE_TASK_ROWS_CONF
-    spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
-    yield
-    spark.conf.unset(SINGLE_TASK_ROWS_CONF)

@@ -91,7 +91,7 @@ def test_bucket_binned_path_equals_broadcast_path(spark):
     df = spark.createDataFrame([(i, D(2020, 1, 1) + dt.timedelta(days=i * 9)) for i in range(30)],
                                "k long, d date")
     a = intervals.bucket_by_interval(df, "d", iv).collect()
-    b = intervals.bucket_by_interval(df, "d", iv, max_broadcast_rows=0).collect()
+    b = intervals.bucket_by_interval(df, "d", iv, salt=7, bin_days=3).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
@@ -193,7 +193,7 @@ def test_seeded_order_is_layout_independent(spark):
 
 
 # -------------------------------------------------------------------- groups
-def test_ntile_two_rows_nine_tiles(spark, distributed):
+def test_ntile_two_rows_nine_tiles(spark):
     df = spark.createDataFrame([(1,), (2,)], "id long")
     out = ordered.with_ntile(df, [F.col("id")], 9, "t").collect()
     assert sorted(r.t for r in out) == [1, 2]
@@ -230,7 +230,7 @@ def test_quota_sample_stops_at_overshoot(spark):
 
 
 # ------------------------------------------------------------------ ordered
-def test_ordered_distributed_equals_native(spark, distributed):
+def test_ordered_distributed_equals_native(spark):
     rnd = random.Random(3)
     df = spark.createDataFrame([(i, rnd.choice("abc"), rnd.randint(0, 5)) for i in range(300)],
                                "id long, g string, v long")
@@ -248,7 +248,7 @@ def test_ordered_distributed_equals_native(spark, distributed):
     assert all(native[i] == (got_rn[i], got_rk[i], got_cs[i]) for i in native)
 
 
-def test_ordered_hot_group_is_split(spark, distributed):
+def test_ordered_hot_group_is_split(spark):
     # a third of all rows in one group: positions are still exact
     df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"g{i % 50}") for i in range(3000)],
                                "id long, g string")
@@ -348,7 +348,7 @@ def test_sinks_modes_and_declared_schema(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_running_sum_skips_nulls_like_sql(spark, distributed):
+def test_running_sum_skips_nulls_like_sql(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", 3), (3, "a", None), (4, "a", 2),
                                 (5, "b", 1), (6, "b", None)], "id long, g string, v long")
     out = ordered.with_running_sum(df, ["g"], [F.col("id")], "v", "cs")
@@ -371,3 +371,36 @@ def test_salted_latest_and_summary_equal_unsalted(spark):
     s1 = intervals.summarize_events_in_period(*args, D(2024, 6, 1), since, ["code"]).collect()
     s2 = intervals.summarize_events_in_period(*args, D(2024, 6, 1), since, ["code"], salt=3).collect()
     assert sorted(map(str, s1)) == sorted(map(str, s2))
+
+
+def test_running_sum_is_not_blurred_by_another_group(spark):
+    df = spark.createDataFrame([(i, "b", 0.1) for i in range(10)] + [(100, "a", 1e16)], "id long, g string, v double")
+    for parts in (1, 3, 16):
+        out = ordered.with_running_sum(df, ["g"], [F.col("id")], "v", "cs", num_partitions=parts)
+        assert abs(max(r.cs for r in out.filter("g = 'b'").collect()) - 1.0) < 1e-9
+
+
+def test_running_sum_type_is_that_of_sum(spark):
+    df = spark.sql("SELECT id, CAST(1.25 AS DECIMAL(12,2)) AS v FROM range(20)")
+    for parts in (1, 7):
+        out = ordered.with_running_sum(df, [], [F.col("id")], "v", "cs", num_partitions=parts)
+        assert out.schema["cs"].dataType == df.agg(F.sum("v")).schema[0].dataType
+        assert max(r.cs for r in out.collect()) == 25
+
+
+def test_open_ended_period_and_hot_key(spark):
+    per = spark.createDataFrame([(1, 1, D(1900, 1, 1), D(9999, 12, 31)), (2, 2, D(2024, 1, 5), None)],
+                                "pk long, id long, start_date date, end_date date")
+    ev = spark.createDataFrame([(1 if i % 3 else 2, TS(2024, 1, 1 + i % 28)) for i in range(900)], "id long, ts timestamp_ntz")
+    got = {r.pk: r.event_count for r in intervals.count_events_in_period(
+        per, ev, "pk", "id", "start_date", "end_date", "ts", D(2024, 6, 1)).collect()}
+    assert got == {1: 600, 2: sum(1 for i in range(0, 900, 3) if 1 + i % 28 >= 5)}
+    empty = intervals.count_events_in_period(per, ev.limit(0), "pk", "id", "start_date", "end_date", "ts", D(2024, 6, 1))
+    assert {r.event_count for r in empty.collect()} == {0}
+
+
+def test_rank_with_a_tie_over_many_ranges(spark):
+    df = spark.createDataFrame([(i, "h", 0.0 if i < 900 else float(i)) for i in range(1000)], "id long, g string, s double")
+    out = ordered.with_rank(df, ["g"], [F.col("s").desc()], ["s"], [F.col("id")], "rk", num_partitions=12).collect()
+    assert {r.rk for r in out if r.s == 0.0} == {101}
+    assert sorted(r.rk for r in out if r.s > 0) == list(range(1, 101))

@@ -53,8 +53,6 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--tz", default=None, help="session time zone override")
-    ap.add_argument("--distributed", action="store_true",
-                    help="force the range-partitioned path of the ordered operators")
     ap.add_argument("--exact", action="store_true", help="compare floats bit for bit, and types")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
@@ -67,9 +65,6 @@ def main():
     spark = build_session()
     if a.tz:
         spark.conf.set("spark.sql.session.timeZone", a.tz)
-    if a.distributed:
-        from strata.operators.ordered import SINGLE_TASK_ROWS_CONF
-        spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
     con = duckdb.connect()
     for t in TABLE_NAMES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
