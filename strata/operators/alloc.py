@@ -55,46 +55,58 @@ def unassigned(cases: DataFrame, kinds: Sequence[str], owner: str = "owner",
             .select(alt.alias("altered_agent"), adj.alias("adjusted_team"), *cases.columns))
 
 
+WEIGHT_UNIT = 10 ** 9
+
+
 def agent_weights(workload: DataFrame, load_offset: int = 5) -> DataFrame:
-    """weight = hours / (open_count + offset) for owners with hours > 0,
-    normalised to sum to 1 per team, and the cumulative share by owner name.
+    """weight = hours / (open_count + offset) for owners with hours > 0, its
+    share of the team's weight, and the cumulative share by owner name.
+
+    Weights are taken in whole units of 1e-9 (``units``), so sums over a team
+    (``team_units``, and ``cum_units`` up to an owner) are exact and do not
+    depend on the order in which rows arrive; shares are one division each, and
+    a team's last cumulative share is exactly 1.
 
     One row per (owner, team): the per-team windows hold at most the number of
     owners in a team, which does not grow with the data.
     """
-    aw = (workload.filter(F.col("hours") > 0)
-          .withColumn("weight", F.col("hours") / (F.col("open_count") + load_offset)))
+    units = F.floor(F.col("hours") / (F.col("open_count") + load_offset) * WEIGHT_UNIT + 0.5).cast("long")
     team = Window.partitionBy("adjusted_team")
     running = team.orderBy("owner").rowsBetween(Window.unboundedPreceding, 0)
-    return (aw.withColumn("normalized_weight", F.col("weight") / F.sum("weight").over(team))
-            .withColumn("cum_weight", F.sum("normalized_weight").over(running)))
+    return (workload.filter(F.col("hours") > 0).withColumn("units", units)
+            .withColumn("team_units", F.sum("units").over(team))
+            .withColumn("cum_units", F.sum("units").over(running))
+            .withColumn("weight", F.col("units") / F.lit(float(WEIGHT_UNIT)))
+            .withColumn("normalized_weight", F.col("units") / F.col("team_units"))
+            .withColumn("cum_weight", F.col("cum_units") / F.col("team_units")))
 
 
 def agent_bands(weights: DataFrame, totals: DataFrame, mode: str = "exact") -> DataFrame:
-    """Item-number band (lo, hi] of each owner within its team of n items.
+    """Item-number band (lo, hi] of each owner within its team of n items:
+    hi = floor(cumulative share x n), in integer arithmetic.
 
-    ``exact``: hi = floor(cum x n), the team's last owner pinned to n, lo = the
-    previous owner's hi; bands tile 1..n, every item is assigned exactly once.
-    ``floor``: hi = floor(cum x n), lo = floor((cum - w) x n); float rounding
-    can drop the last item or give one item to two owners.
+    ``exact``: lo = the previous owner's hi. ``floor``: lo is computed anew as
+    floor((cumulative share - own share) x n). With exact sums both tile 1..n,
+    so every item has one owner.
     """
     w = weights.join(totals, "adjusted_team")
-    n = F.col("n_items")
-    hi = F.floor(F.col("cum_weight") * n)
     if mode == "floor":
-        lo = F.floor((F.col("cum_weight") - F.col("normalized_weight")) * n)
-        return w.withColumn("band_lo", lo).withColumn("band_hi", hi)
+        return (w.withColumn("__prev", F.col("cum_units") - F.col("units"))
+                .withColumn("band_lo", _div("__prev")).withColumn("band_hi", _div("cum_units")).drop("__prev"))
     if mode != "exact":
         raise ValueError(mode)
     team = Window.partitionBy("adjusted_team").orderBy("owner")
-    last = F.row_number().over(Window.partitionBy("adjusted_team")
-                               .orderBy(F.col("owner").desc())) == 1
-    w = w.withColumn("band_hi", F.when(last, n).otherwise(hi).cast("long"))
+    w = w.withColumn("band_hi", _div("cum_units"))
     return w.withColumn("band_lo", F.coalesce(F.lag("band_hi").over(team), F.lit(0)).cast("long"))
 
 
+def _div(units: str) -> Column:
+    """floor(units x n_items / team_units) in integer arithmetic."""
+    return F.expr(f"(cast({units} as decimal(20,0)) * cast(n_items as decimal(18,0))) div team_units").cast("long")
+
+
 def band_join(items: DataFrame, bands: DataFrame, key: str, pos: str, lo: str, hi: str,
-              width: int = 1024) -> DataFrame:
+              width: int = 1024, how: str = "inner") -> DataFrame:
     """Items whose ``pos`` lies in a band ``(lo, hi]`` of the same ``key``.
 
     Bands are cut into chunks of ``width`` positions and joined on
@@ -109,9 +121,9 @@ def band_join(items: DataFrame, bands: DataFrame, key: str, pos: str, lo: str, h
     chunks = F.when(F.col(hi) > F.col(lo), F.sequence(first, last)).otherwise(
         F.array().cast("array<bigint>"))
     b = bands.withColumnRenamed(key, "__bkey").withColumn("__chunk", F.explode(chunks))
-    cond = ((it[key] == b["__bkey"]) & (it["__chunk"] == b["__chunk"])
+    cond = ((it[key] == b["__bkey"]) & (it["__chunk"] == F.col("__bchunk"))
             & (it[pos] > b[lo]) & (it[pos] <= b[hi]))
-    return it.join(b, cond).drop("__chunk", "__bkey")
+    return it.join(b.withColumnRenamed("__chunk", "__bchunk"), cond, how).drop("__chunk", "__bchunk", "__bkey")
 
 
 def apportion(items: DataFrame, workload: DataFrame, seed: int, id_col: str = "id",
@@ -120,9 +132,9 @@ def apportion(items: DataFrame, workload: DataFrame, seed: int, id_col: str = "i
 
     Items are numbered per team in a seeded pseudo-random order (md5 of seed
     and id, then id), which reproduces across runs and partitionings. Each
-    owner receives the items whose number falls in its band. Returns the items
-    with ``case_rn``, ``assigned_agent``, ``open_count`` and ``hours``; teams
-    with no weighted owner keep their items unassigned (dropped here).
+    owner receives the items whose number falls in its band. Returns all items
+    with ``case_rn``, ``assigned_agent``, ``open_count`` and ``hours``; items of
+    teams with no weighted owner come back unassigned (null agent).
     """
     order = [seeded_order_key(seed, id_col).asc(), F.col(id_col).asc()]
     numbered = with_row_number(items, ["adjusted_team"], order, out="case_rn")
@@ -130,7 +142,7 @@ def apportion(items: DataFrame, workload: DataFrame, seed: int, id_col: str = "i
     bands = agent_bands(agent_weights(workload), totals, mode)
     bands = bands.select(F.col("adjusted_team"), F.col("owner").alias("assigned_agent"),
                          "band_lo", "band_hi", "open_count", "hours")
-    return band_join(numbered, bands, "adjusted_team", "case_rn", "band_lo", "band_hi") \
+    return band_join(numbered, bands, "adjusted_team", "case_rn", "band_lo", "band_hi", how="left") \
         .drop("band_lo", "band_hi")
 
 

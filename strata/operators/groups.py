@@ -84,19 +84,21 @@ def assign_calendar(groups: DataFrame, calendar: DataFrame, size: str, perf: str
     matches the cycle position to the original week number, which skips
     zero-weight weeks and leaves trailing weeks unused (compat).
     Large groups number at most 1 / share, so their ranking window is small;
-    the small groups are numbered with the global index.
+    with more large groups than weeks the ranks start over. A group of unknown
+    size counts as small. The small groups are numbered with the global index.
     """
     total = groups.agg(F.sum(size)).scalar()
-    is_large = F.col(size) > F.lit(Decimal(str(share))) * total
+    is_large = F.coalesce(F.col(size) > F.lit(Decimal(str(share))) * total, F.lit(False))
+    n_weeks = calendar.agg(F.count(F.lit(1))).scalar()
     tb = [F.col(k).asc() for k in keys]
     large = groups.filter(is_large).withColumn(
         "rn", F.row_number().over(Window.orderBy(F.col(size).desc(), *tb)).cast("long"))
     small = with_row_number(groups.filter(~is_large), [], [F.col(perf).desc(), *tb], out="rn")
     ranks = calendar.withColumn("rn_week", F.row_number().over(
         Window.orderBy(F.col("week_weight").desc(), F.col("week_number"))).cast("long"))
+    large = large.withColumn("__turn", ((F.col("rn") - 1) % n_weeks) + 1)
     big = large.join(ranks.select("rn_week", "week_start", "week_number"),
-                     F.col("rn") == F.col("rn_week")).drop("rn_week")
-    n_weeks = calendar.agg(F.count(F.lit(1))).scalar()
+                     F.col("__turn") == F.col("rn_week")).drop("rn_week", "__turn")
     cycle = ((F.col("rn") - 1) % n_weeks) + 1
     target = "slot" if slot == "dense" else "week_number"
     cal = calendar.select(F.col(target).alias("__slot"), "week_start", "week_number")
@@ -127,10 +129,14 @@ def expand_members(members: DataFrame, group_weeks: DataFrame, keys: Sequence[st
                    contracts: DataFrame, id_col: str, end_col: str,
                    decision: Column, label: str = "unknown") -> DataFrame:
     """Member rows get their group's week (matched on the NULL-labelled group
-    keys, so a member with a NULL key still finds its group) and their latest
-    contract end, then a decision computed by ``decision`` (an expression over
-    ``end_col``). ``contracts`` must have one row per id."""
-    g = group_weeks.select(*[F.col(k).alias(f"__g_{k}") for k in keys], "week_start")
+    keys, so a member with a NULL key still finds its group; of several groups
+    with one label the earliest week counts) and their latest contract end,
+    then a decision computed by ``decision`` (an expression over ``end_col``).
+    Member rows are never multiplied: both right sides are reduced to one row
+    per key."""
+    g = (group_weeks.groupBy(*[F.coalesce(F.col(k), F.lit(label)).alias(f"__g_{k}") for k in keys])
+         .agg(F.min("week_start").alias("week_start")))
+    contracts = contracts.groupBy(id_col).agg(F.max(end_col).alias(end_col))
     cond = None
     for k in keys:
         term = F.coalesce(members[k], F.lit(label)) == g[f"__g_{k}"]

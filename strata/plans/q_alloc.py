@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from strata.operators.alloc import (agent_weights, apportion, inherit_from_child,
                                     owner_workload, unassigned)
 from strata.plans import fixtures as fx
@@ -13,24 +11,22 @@ from strata.sources.tables import Tables
 
 _ADJ = "CASE WHEN UPPER(subject) LIKE '%COMPLEX%' THEN 'Complex Cases' ELSE team END"
 _WORKLOAD = f"""workload AS (
-  SELECT w.owner, w.adjusted_team, w.open_count, CAST(COALESCE(c.hours, 0) AS DOUBLE) AS hours
-  FROM (SELECT owner, {_ADJ} AS adjusted_team, CAST(COUNT(*) AS INTEGER) AS open_count
-        FROM cases
-        WHERE status <> 'Closed' AND kind IN ('LoneCase', 'ChildCase') AND owner IS NOT NULL
-        GROUP BY owner, {_ADJ}) w
-  LEFT JOIN capacity c ON c.owner = w.owner)"""
-_WEIGHTS = """aw AS (SELECT *, hours / (open_count + 5) AS weight FROM workload WHERE hours > 0),
-nw AS (SELECT *, weight / SUM(weight) OVER (PARTITION BY adjusted_team) AS normalized_weight FROM aw),
-cw AS (SELECT *, SUM(normalized_weight) OVER (PARTITION BY adjusted_team ORDER BY owner
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_weight FROM nw)"""
+  SELECT cases.owner, {_ADJ} AS adjusted_team, count(*)::INTEGER AS open_count, coalesce(any_value(hours), 0)::DOUBLE AS hours
+  FROM cases LEFT JOIN capacity ON capacity.owner = cases.owner
+  WHERE status != 'Closed' AND kind != 'ParentCase' AND cases.owner IS NOT NULL GROUP BY ALL)"""
+# whole units of 1e-9; an owner's cumulative units are those of the names up to it
+_WEIGHTS = """shares AS (
+  SELECT *, floor(hours / (open_count + 5) * 1000000000 + 0.5)::BIGINT AS units FROM workload WHERE hours > 0),
+shared AS (
+  SELECT a.*, (SELECT sum(units) FROM shares b WHERE b.adjusted_team = a.adjusted_team)::BIGINT AS team_units,
+         (SELECT sum(units) FROM shares b WHERE b.adjusted_team = a.adjusted_team AND b.owner <= a.owner)::BIGINT AS upto
+  FROM shares a)"""
 
 
 def _unassigned_sql(kinds: str) -> str:
     return f"""items AS (
-  SELECT COALESCE(owner, 'No Agent Assigned') AS altered_agent, {_ADJ} AS adjusted_team, *
-  FROM cases
-  WHERE status <> 'Closed' AND COALESCE(owner, 'No Agent Assigned') = 'No Agent Assigned'
-    AND {_ADJ} != 'Complex Cases' AND kind IN {kinds})"""
+  SELECT 'No Agent Assigned' AS altered_agent, {_ADJ} AS adjusted_team, * FROM cases
+  WHERE owner IS NULL AND status = 'Open' AND {_ADJ} NOT IN ('Complex Cases') AND kind IN {kinds})"""
 
 
 def _workload(t):
@@ -57,41 +53,26 @@ def q_unassigned_parents(spark, sf):
 
 
 @register("q_weight_share", with_ctes(["cases", "capacity"], """
-SELECT owner, adjusted_team, open_count, hours, ROUND(weight, 10) AS weight,
-       ROUND(normalized_weight, 10) AS normalized_weight, ROUND(cum_weight, 10) AS cum_weight
-FROM cw""", extra=[_WORKLOAD, _WEIGHTS]))
+SELECT owner, adjusted_team, open_count, hours, units / 1000000000::DOUBLE AS weight,
+       units / team_units::DOUBLE AS normalized_weight, upto / team_units::DOUBLE AS cum_weight
+FROM shared""", extra=[_WORKLOAD, _WEIGHTS]))
 def q_weight_share(spark, sf):
     """Owner weights hours / (open + 5), normalised per team, cumulative."""
     w = agent_weights(_workload(Tables(spark, sf)))
-    return w.select("owner", "adjusted_team", "open_count", "hours",
-                    *[F.round(c, 10).alias(c) for c in ("weight", "normalized_weight", "cum_weight")])
-
-
-def _apportion_sql(mode: str) -> str:
-    if mode == "exact":
-        bands = """bands AS (
-  SELECT cw.*, t.n_items,
-         CASE WHEN ROW_NUMBER() OVER (PARTITION BY cw.adjusted_team ORDER BY owner DESC) = 1
-              THEN t.n_items ELSE CAST(FLOOR(cum_weight * t.n_items) AS BIGINT) END AS band_hi
-  FROM cw JOIN totals t ON t.adjusted_team = cw.adjusted_team),
-bands2 AS (
-  SELECT *, COALESCE(LAG(band_hi) OVER (PARTITION BY adjusted_team ORDER BY owner), 0) AS band_lo
-  FROM bands)"""
-    else:
-        bands = """bands2 AS (
-  SELECT cw.*, CAST(FLOOR((cum_weight - normalized_weight) * t.n_items) AS BIGINT) AS band_lo,
-         CAST(FLOOR(cum_weight * t.n_items) AS BIGINT) AS band_hi
-  FROM cw JOIN totals t ON t.adjusted_team = cw.adjusted_team)"""
-    return with_ctes(["cases", "capacity"], """
-SELECT n.*, b.owner AS assigned_agent, b.open_count, b.hours
-FROM numbered n JOIN bands2 b ON n.adjusted_team = b.adjusted_team
- AND n.case_rn > b.band_lo AND n.case_rn <= b.band_hi""", extra=[
+    return w.select("owner", "adjusted_team", "open_count", "hours", "weight", "normalized_weight", "cum_weight")
+
+
+# the k-th of n items goes to the first owner whose cumulative share reaches k / n
+_APPORTION_SQL = with_ctes(["cases", "capacity"], """
+SELECT i.*, x.case_rn, s.owner AS assigned_agent, s.open_count, s.hours
+FROM (SELECT n.*, (SELECT min(owner) FROM shared s WHERE s.adjusted_team = n.adjusted_team
+                   AND s.upto::HUGEINT * n.of_team >= n.case_rn::HUGEINT * s.team_units) AS agent FROM numbered n) x
+JOIN items i USING (id) LEFT JOIN shared s ON s.owner = x.agent AND s.adjusted_team = x.adjusted_team""", extra=[
         _WORKLOAD, _WEIGHTS, _unassigned_sql("('LoneCase', 'ChildCase')"),
         f"""numbered AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY adjusted_team
-              ORDER BY md5(concat_ws('|', '{fx.SEED}', CAST(id AS VARCHAR))), id) AS case_rn
-  FROM items),
-totals AS (SELECT adjusted_team, COUNT(*) AS n_items FROM items GROUP BY adjusted_team)""", bands])
+  SELECT id, adjusted_team, count(*) OVER (PARTITION BY adjusted_team) AS of_team,
+         rank() OVER (PARTITION BY adjusted_team ORDER BY md5('{fx.SEED}|' || id), id) AS case_rn
+  FROM items)"""])
 
 
 def _apportion(spark, sf, mode):
@@ -100,40 +81,24 @@ def _apportion(spark, sf, mode):
     return apportion(items, _workload(t), fx.SEED, mode=mode)
 
 
-@register("q_apportion", _apportion_sql("exact"))
+@register("q_apportion", _APPORTION_SQL)
 def q_apportion(spark, sf):
     """Unassigned items dealt to owners by weight; every item exactly once."""
     return _apportion(spark, sf, "exact")
 
 
-# No oracle entry on purpose: floor mode reproduces the reference's band edges
-# floor(cum x n), and whether cum ends at 0.9999999999999999 or 1.0 depends on
-# the order a engine adds the weights in, so Spark and DuckDB may legitimately
-# lose different items. Its SQL is kept here for reading: FLOOR_MODE_SQL.
-FLOOR_MODE_SQL = _apportion_sql("floor")
-
-
-@register("q_apportion_floor")
+@register("q_apportion_floor", _APPORTION_SQL)
 def q_apportion_floor(spark, sf):
-    """Same with the band edges recomputed by floor (compat: items can be lost
-    or doubled at band edges; float-order dependent, so rows-only check)."""
+    """Same with both band edges computed by floor; exact sums make them meet."""
     return _apportion(spark, sf, "floor")
 
 
 @register("q_inherit_child", with_ctes(["cases"], f"""
-SELECT p.*, k.child_owner AS assigned_agent
-FROM parents p JOIN (
-  SELECT parent_ref, child_owner FROM (
-    SELECT p.id AS parent_ref, c.owner AS child_owner,
-           ROW_NUMBER() OVER (PARTITION BY p.id
-             ORDER BY md5(concat_ws('|', '{fx.SEED}', CAST(c.id AS VARCHAR))), c.id) AS rn
-    FROM parents p JOIN children c ON c.parent_id = p.id AND c.team = p.team) x
-  WHERE rn = 1) k ON k.parent_ref = p.id""", extra=["""parents AS (
-  SELECT * FROM cases WHERE status <> 'Closed'
-    AND COALESCE(owner, 'No Agent Assigned') = 'No Agent Assigned' AND kind = 'ParentCase'),
-children AS (
-  SELECT * FROM cases WHERE status <> 'Closed'
-    AND COALESCE(owner, 'No Agent Assigned') <> 'No Agent Assigned' AND kind = 'ChildCase')"""]))
+SELECT p.*, pick AS assigned_agent
+FROM (SELECT parent_id, team, arg_min(owner, row(md5('{fx.SEED}|' || id), id)) AS pick
+      FROM cases WHERE owner IS NOT NULL AND kind = 'ChildCase' AND status = 'Open' GROUP BY ALL) k
+JOIN cases p ON p.id = k.parent_id AND p.team = k.team
+WHERE p.owner IS NULL AND p.kind = 'ParentCase' AND p.status = 'Open'"""))
 def q_inherit_child(spark, sf):
     """Unassigned parents take the owner of one seeded-random assigned child."""
     return inherit_from_child(fx.cases(Tables(spark, sf)), fx.SEED)

@@ -19,14 +19,14 @@ def _in(xs):
     return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
 
+# the days of one run day: the first from the cut-off on, or the cut-off itself
 SD_NEXT = f"""settle AS (
-  SELECT run AS sd_run, MAX(date) AS settlement_date FROM runs
-  WHERE da_run_date = (SELECT MIN(da_run_date) FROM runs
-                       WHERE da_run_date >= CAST({AS_OF} + 1 AS DATE))
-  GROUP BY run)"""
+  SELECT run AS sd_run, max(date) AS settlement_date FROM runs
+  GROUP BY run, da_run_date HAVING da_run_date > {AS_OF}
+  QUALIFY da_run_date = min(da_run_date) OVER ())"""
 SD_EQUAL = f"""settle AS (
-  SELECT run AS sd_run, MAX(date) AS settlement_date FROM runs
-  WHERE da_run_date = CAST({AS_OF} + 1 AS DATE) GROUP BY run)"""
+  SELECT run AS sd_run, max(date) FILTER (date_diff('day', {AS_OF}, da_run_date) = 1) AS settlement_date
+  FROM runs GROUP BY run)"""
 
 
 def group_performance_frame(t: Tables):
@@ -40,28 +40,22 @@ def _group_performance(t: Tables):
                              "start_date", "end_date", prefix="r2_")
 
 
-GROUP_PERFORMANCE_CTES = [SD_NEXT, f"""e AS (SELECT * FROM position WHERE run IN {_in(R2_ERRORS)}),
-s AS (SELECT position.* FROM position LEFT JOIN settle ON settle.sd_run = 'R2'
-      WHERE run NOT IN {_in(R2_ERRORS)} AND start_date <= settlement_date
-        AND (end_date >= settlement_date OR end_date IS NULL)),
-agg_e AS (SELECT COALESCE(e.name, 'unknown') AS name, COALESCE(e.meter_type, 'unknown') AS meter_type,
-                 SUM(CAST(value AS DECIMAL(38,2))) AS ve, COUNT(value) AS ce
-          FROM e GROUP BY e.name, e.meter_type),
-agg_s AS (SELECT COALESCE(s.name, 'unknown') AS name, COALESCE(s.meter_type, 'unknown') AS meter_type,
-                 SUM(CAST(value AS DECIMAL(38,2))) AS vs, COUNT(value) AS cs
-          FROM s GROUP BY s.name, s.meter_type),
+# one pass: every row is on the error side, the settled side or neither
+GROUP_PERFORMANCE_CTES = [SD_NEXT, f"""sided AS (
+  SELECT *, CASE WHEN run IN {_in(R2_ERRORS)} THEN 'error'
+                 WHEN (SELECT max(settlement_date) FROM settle WHERE sd_run = 'R2')
+                      BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31') AND run IS NOT NULL THEN 'settled' END AS side
+  FROM position),
+sums AS (
+  SELECT coalesce(name, 'unknown') AS name, coalesce(meter_type, 'unknown') AS meter_type,
+         coalesce(sum(value::DECIMAL(38,2)) FILTER (side = 'settled'), 0) AS good, count(value) FILTER (side = 'settled') AS n_good,
+         coalesce(sum(value::DECIMAL(38,2)) FILTER (side = 'error'), 0) AS bad, count(value) FILTER (side = 'error') AS n_bad
+  FROM sided WHERE side IS NOT NULL GROUP BY ALL),
 group_perf AS (
-  SELECT COALESCE(s.name, e.name) AS name, COALESCE(s.meter_type, e.meter_type) AS meter_type,
-         CAST(ROUND(COALESCE(s.vs, 0), 2) AS DOUBLE) AS r2_volume_settled,
-         CAST(COALESCE(s.cs, 0) AS BIGINT) AS r2_count_settled,
-         CAST(ROUND(COALESCE(e.ve, 0), 2) AS DOUBLE) AS r2_volume_error,
-         CAST(COALESCE(e.ce, 0) AS BIGINT) AS r2_count_error,
-         CAST(ROUND(COALESCE(s.vs, 0) + COALESCE(e.ve, 0), 2) AS DOUBLE) AS r2_total_volume,
-         CAST(COALESCE(e.ce, 0) + COALESCE(s.cs, 0) AS BIGINT) AS r2_total_count,
-         ROUND(COALESCE(CAST(COALESCE(s.vs, 0) AS DOUBLE)
-               / NULLIF(CAST(COALESCE(s.vs, 0) + COALESCE(e.ve, 0) AS DOUBLE), 0), 0), 4)
-           AS r2_performance
-  FROM agg_s s FULL OUTER JOIN agg_e e ON e.name = s.name AND e.meter_type = s.meter_type)"""]
+  SELECT name, meter_type, good::DOUBLE AS r2_volume_settled, n_good AS r2_count_settled, bad::DOUBLE AS r2_volume_error,
+         n_bad AS r2_count_error, (good + bad)::DOUBLE AS r2_total_volume, n_good + n_bad AS r2_total_count,
+         CASE WHEN good + bad = 0 THEN 0 ELSE round(good::DOUBLE / (good + bad)::DOUBLE, 4) END AS r2_performance
+  FROM sums)"""]
 
 
 @register("q_group_performance", with_ctes(["runs", "position"], "SELECT * FROM group_perf",
@@ -82,37 +76,26 @@ def _multi_run(t: Tables):
 
 
 def multi_run_ctes() -> list[str]:
-    parts = [SD_EQUAL]
-    for p, errs in THRESHOLDS:
-        run = errs[-1]
-        parts.append(f"""{p}_e AS (SELECT * FROM position WHERE run IN {_in(errs)}),
-{p}_s AS (SELECT position.* FROM position LEFT JOIN settle ON settle.sd_run = '{run}'
-          WHERE run NOT IN {_in(errs)} AND start_date <= settlement_date
-            AND (end_date >= settlement_date OR end_date IS NULL)),
-{p}_results AS (
-  SELECT COALESCE(s.id, e.id) AS id, COALESCE(s.meter_type, e.meter_type) AS meter_type,
-         COALESCE(s.value, 0) AS {p}_volume_settled,
-         CAST(CASE WHEN s.id IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS {p}_count_settled,
-         COALESCE(e.value, 0) AS {p}_volume_error,
-         CAST(CASE WHEN e.id IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS {p}_count_error,
-         COALESCE(s.value, 0) + COALESCE(e.value, 0) AS {p}_total_volume,
-         CAST((CASE WHEN e.id IS NOT NULL THEN 1 ELSE 0 END)
-              + (CASE WHEN s.id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS {p}_total_count,
-         COALESCE(COALESCE(s.value, 0) / NULLIF(COALESCE(s.value, 0) + COALESCE(e.value, 0), 0), 0)
-           AS {p}_performance
-  FROM {p}_s s FULL OUTER JOIN {p}_e e ON e.id = s.id)""")
-    union = "\n  UNION\n  ".join(f"SELECT id, meter_type FROM {p}_results" for p, _ in THRESHOLDS)
-    parts.append(f"master_keys AS (\n  {union})")
-    cols = ",\n  ".join(f"{p}_results.* EXCLUDE (id, meter_type)" for p, _ in THRESHOLDS)
-    joins = "\n".join(f"LEFT JOIN {p}_results ON {p}_results.id = master_keys.id "
-                      f"AND {p}_results.meter_type IS NOT DISTINCT FROM master_keys.meter_type"
-                      for p, _ in THRESHOLDS)
-    parts.append(f"""multi_run AS (
-SELECT master_keys.id, master_keys.meter_type,
-  {cols}
-FROM master_keys
-{joins})""")
-    return parts
+    """One scan: a row's run has a level; it is in error from the cut-off of that level on."""
+    order = [errs[-1] for _, errs in THRESHOLDS]
+    cols, seen = [], []
+    for k, (p, errs) in enumerate(THRESHOLDS, 1):
+        day = f"(SELECT max(settlement_date) FROM settle WHERE sd_run = '{errs[-1]}')"
+        bad = f"coalesce(level <= {k}, FALSE)"
+        good = f"(run IS NOT NULL AND NOT {bad} AND coalesce({day} BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31'), FALSE))"
+        v = "coalesce(value, 0)"
+        seen.append(f"{bad} OR {good}")
+        for name, x in (("volume_settled", f"if({good}, {v}, 0)"), ("count_settled", f"{good}::BIGINT"),
+                        ("volume_error", f"if({bad}, {v}, 0)"), ("count_error", f"{bad}::BIGINT"),
+                        ("total_volume", v), ("total_count", "1::BIGINT"),
+                        ("performance", f"if({v} = 0 OR {bad}, 0, 1)::DOUBLE")):
+            cols.append(f"if({bad} OR {good}, {x}, NULL) AS {p}_{name}")
+    listed = ",\n  ".join(cols)
+    return [SD_EQUAL, f"""leveled AS (SELECT *, list_position({order}, run) AS level FROM position),
+multi_run AS (
+  SELECT id, meter_type,
+  {listed}
+  FROM leveled WHERE {" OR ".join(seen)})"""]
 
 
 @register("q_multi_run_performance", with_ctes(["runs", "position"], "SELECT * FROM multi_run",
@@ -123,8 +106,8 @@ def q_multi_run_performance(spark, sf):
     return multi_run_frame(Tables(spark, sf))
 
 
-@register("q_master_keys", with_ctes(["runs", "position"], "SELECT id, meter_type FROM master_keys",
-                                     extra=multi_run_ctes()[:-1]))
+@register("q_master_keys", with_ctes(["runs", "position"], "SELECT DISTINCT id, meter_type FROM multi_run",
+                                     extra=multi_run_ctes()))
 def q_master_keys(spark, sf):
     """Distinct (id, meter type) present at any cut-off (UNION of five sets)."""
     return multi_run_frame(Tables(spark, sf)).select("id", "meter_type").distinct()

@@ -70,11 +70,9 @@ def q_bridge_lookup(spark, sf):
     return out.select("id", "ts", "l_orderkey", "l_linenumber", "pk", "c_name", "n_name", "r_name")
 
 
-ADDRESS_SQL = """TRIM(CONCAT_WS(', ',
-         NULLIF(TRIM(c_name), ''),
-         NULLIF(TRIM(CASE WHEN c_custkey % 7 = 0 THEN '   ' ELSE c_mktsegment END), ''),
-         NULLIF(TRIM(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE n_name END), ''),
-         NULLIF(TRIM(r_name), '')))"""
+ADDRESS_SQL = """trim(array_to_string(list_filter(list_transform(
+         [c_name, if(c_custkey % 7 = 0, '', c_mktsegment), if(c_custkey % 5 = 0, NULL, n_name), r_name],
+         lambda part: trim(part)), lambda part: part <> ''), ', '))"""
 
 
 def address_parts():
@@ -95,18 +93,15 @@ def q_concat_parts(spark, sf):
     return x.select("c_custkey", concat_parts(address_parts()).alias("address")).distinct()
 
 
-AFFECTING_SQL = """CASE
-    WHEN p.start_date > (SELECT MAX(max_date) FROM intervals WHERE run = 'II') THEN FALSE
-    WHEN p.end_date < (SELECT MAX(max_date) FROM intervals WHERE run = 'RF') THEN FALSE
-    WHEN p.disc_date < (SELECT MAX(max_date) FROM intervals WHERE run = 'RF') THEN FALSE
-    WHEN p.energ = 'D' AND p.deenerg_date < (SELECT MAX(max_date) FROM intervals WHERE run = 'RF') THEN FALSE
-    WHEN p.start_date >= p.end_date THEN FALSE
-    WHEN p.start_date >= p.disc_date THEN FALSE
-    WHEN c.cp_date >= p.end_date THEN FALSE
-    WHEN c.cp_date >= p.disc_date THEN FALSE
-    WHEN p.energ = 'D' AND c.cp_date >= p.deenerg_date THEN FALSE
-    WHEN p.energ = 'D' AND p.deenerg_date <= p.start_date THEN FALSE
-    ELSE TRUE END"""
+# every reason says FALSE, so one that is true is enough; grouped by what they compare
+_RF, _II = (f"(SELECT max(max_date) FROM intervals WHERE run = '{r}')" for r in ("RF", "II"))
+AFFECTING_SQL = f"""NOT list_contains([
+    -- never live within the settled days
+    p.start_date > {_II}, p.end_date < {_RF}, p.disc_date < {_RF}, if(p.energ = 'D', p.deenerg_date < {_RF}, FALSE),
+    -- no day between start and end
+    p.end_date <= p.start_date, p.disc_date <= p.start_date, if(p.energ = 'D', p.deenerg_date <= p.start_date, FALSE),
+    -- read up to the end
+    c.cp_date >= least(p.end_date, p.disc_date), if(p.energ = 'D', c.cp_date >= p.deenerg_date, FALSE)], TRUE)"""
 
 
 @register("q_rule_cascade", with_ctes(["rule_periods", "checkpoints", "intervals"], f"""

@@ -164,13 +164,40 @@ def test_apportion_six_equal_weights_seven_items(spark):
     exact = alloc.apportion(_items(spark, 7), wl, seed=1, mode="exact").collect()
     assert sorted(r.id for r in exact) == list(range(1, 8))        # each exactly once
     floor = alloc.apportion(_items(spark, 7), wl, seed=1, mode="floor").collect()
-    # floor mode follows float arithmetic of the reference formula
-    w = [1 / 6] * 6
-    cum, expect = 0.0, 0
-    for x in w:
-        cum += x
-        expect += int((cum * 7) // 1) - int(((cum - x) * 7) // 1)
-    assert len(floor) == expect
+    # sums of units are exact, so the bands of floor mode meet as well
+    assert sorted(r.id for r in floor) == list(range(1, 8))
+
+
+def test_apportion_keeps_items_of_teams_without_weight(spark):
+    wl = _workload(spark, [("a", "T", 1, 6.0), ("b", "U", 1, 0.0)])
+    items = spark.createDataFrame([(1, "T"), (2, "U"), (3, "V")], "id long, adjusted_team string")
+    got = {r.id: r.assigned_agent for r in alloc.apportion(items, wl, seed=1).collect()}
+    assert got == {1: "a", 2: None, 3: None}
+
+
+def test_weights_do_not_depend_on_row_order(spark):
+    rows = [(f"a{i:02d}", "T", i % 9, 1.0 + i / 7) for i in range(40)]
+    seen = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = alloc.agent_weights(_workload(spark, rows).repartition(1 + seed)).collect()
+        seen.add(tuple(sorted((r.owner, r.cum_weight) for r in got)))
+    assert len(seen) == 1
+
+
+def test_more_large_groups_than_weeks(spark):
+    cal = groups.weighted_calendar(spark, D(2026, 1, 5), D(2026, 1, 12), 7, [(1, 5), (2, 9)])
+    g = spark.createDataFrame([(f"g{i}", 10, 0.5) for i in range(5)] + [("n", None, 0.1)], "name string, size long, perf double")
+    got = groups.assign_calendar(g, cal, "size", "perf", ["name"], "0.1").collect()
+    assert sorted(r.name for r in got) == ["g0", "g1", "g2", "g3", "g4", "n"]
+
+
+def test_members_are_never_multiplied(spark):
+    m = spark.createDataFrame([(1, None), (2, "unknown"), (3, "a"), (4, "b")], "id long, name string")
+    weeks = spark.createDataFrame([("unknown", D(2026, 1, 5)), ("unknown", D(2026, 1, 12)), ("a", D(2026, 2, 2))], "name string, week_start date")
+    ends = spark.createDataFrame([(1, D(2001, 1, 1)), (1, D(2002, 1, 1))], "id long, ced date")
+    got = {r.id: (r.week_start, r.ced) for r in groups.expand_members(m, weeks, ["name"], ends, "id", "ced", F.lit("x")).collect()}
+    assert got == {1: (D(2026, 1, 5), D(2002, 1, 1)), 2: (D(2026, 1, 5), None), 3: (D(2026, 2, 2), None), 4: (None, None)}
 
 
 def test_apportion_exact_never_doubles(spark):
