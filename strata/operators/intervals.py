@@ -16,7 +16,7 @@ DEFAULT_SALT = 4
 
 
 def contiguous_intervals(runs: DataFrame, as_of: dt.date, label: str = "run",
-                         date: str = "date", run_date: str = "da_run_date",
+                         date: str = "date", run_date: str = "run_day",
                          floor_date: dt.date = FLOOR_DATE) -> DataFrame:
     """One interval per label: ``[previous label's max + 1 day, own max]``.
 

@@ -12,7 +12,7 @@ from strata.functions.columns import safe_ratio
 
 
 def settlement_dates(runs: DataFrame, as_of: dt.date, rule: str = "next", label: str = "run",
-                     date: str = "date", run_date: str = "da_run_date") -> DataFrame:
+                     date: str = "date", run_date: str = "run_day") -> DataFrame:
     """(run, settlement_date): each run's latest settled day on the chosen run day.
 
     ``rule='next'``: the first run day on or after ``as_of + 1``;
@@ -118,7 +118,7 @@ def multi_run_performance(df: DataFrame, id_col: str, second_key: str, measure:
     the plain-equality join back: a NULL second key never matches, so such
     ids keep their keys but get NULL metrics everywhere.
     """
-    eac = F.coalesce(F.col(measure), F.lit(0.0))
+    annual_volume = F.coalesce(F.col(measure), F.lit(0.0))
     cols = [F.col(id_col), F.col(second_key)]
     any_in = None
     for prefix, errs in thresholds:
@@ -126,8 +126,8 @@ def multi_run_performance(df: DataFrame, id_col: str, second_key: str, measure:
         err = F.coalesce(F.col(run).isin(*errs), F.lit(False))
         sett = F.coalesce(~F.col(run).isin(*errs) & valid_on(start, end, day), F.lit(False))
         member = err | sett
-        vs = F.when(sett, eac).otherwise(F.lit(0.0))
-        ve = F.when(err, eac).otherwise(F.lit(0.0))
+        vs = F.when(sett, annual_volume).otherwise(F.lit(0.0))
+        ve = F.when(err, annual_volume).otherwise(F.lit(0.0))
         cs = F.when(sett, 1).otherwise(0).cast("long")
         ce = F.when(err, 1).otherwise(0).cast("long")
         vals = {"volume_settled": vs, "count_settled": cs, "volume_error": ve, "count_error": ce,

@@ -93,8 +93,8 @@ def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
       periods(pk, id, start_date, end_date, status, disc_date, energ, deenerg_date)
       reads(id, ts, code, note, l_orderkey, l_linenumber)
       checkpoints(id, cp_date) one row per id
-      volumes(id, eac) primary volume, one row per id
-      defaults(class_num, segment, default_eac) fallback volume
+      volumes(id, annual_volume) primary volume, one row per id
+      defaults(class_num, segment, default_annual_volume) fallback volume
       customers(id, class_code, segment, cust_name, area, handler, address)
     Periods that are filtered out still contribute nothing; every join to a
     per-period or per-id table is on a unique key, so nothing fans out.
@@ -105,9 +105,9 @@ def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
     base = base.join(checkpoints, "id", "left")
     base = base.withColumn("last_valid_date", later_of("cp_date", "start_date"))
     base = base.join(customers, "id", "left")
-    base = fallback_lookup(base, volumes, ["id"], "eac", defaults,
+    base = fallback_lookup(base, volumes, ["id"], "annual_volume", defaults,
                            [(F.col("class_code").try_cast("bigint"), "class_num"),
-                            (F.col("segment"), "segment")], "default_eac", out="volume",
+                            (F.col("segment"), "segment")], "default_annual_volume", out="volume",
                            source="volume_source")
     base = bucket_by_interval(base, "last_valid_date", intervals, label="run")
     base = affecting_flags(base, intervals, "start_date", "end_date", "disc_date", "energ",

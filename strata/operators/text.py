@@ -34,7 +34,8 @@ URGENT = "urgent|asap|immediately|emergency"
 ISSUES = [("billing", "bill|invoice|charge"), ("payment", "pay|refund"),
           ("meter", "meter|reading"), ("account", "account|login|password")]
 REFERENCE = "[A-Z]{2,}[0-9]{3,}|[0-9]{6,}"
-FIRST_SENTENCE = "^[^.!?]*[.!?]?"
+# up to three sentences, or a text without any end mark
+SUMMARY = "^(?:[^.!?]*[.!?]){1,3}|^[^.!?]+"
 
 
 def clean_text(c: str | Column) -> Column:
@@ -57,7 +58,7 @@ def rule_analysis(text: Column) -> Column:
     for name, pat in reversed(ISSUES):
         issue = F.when(text.rlike(f"(?i)({pat})"), F.lit(name)).otherwise(issue)
     refs = F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), 1)
-    summary = F.trim(F.regexp_extract(text, FIRST_SENTENCE, 0))
+    summary = F.trim(F.regexp_extract(text, SUMMARY, 0))
     analysed = F.to_json(F.struct(sentiment.alias("sentiment"), issue.alias("issue"),
                                   refs.alias("reference_numbers"),
                                   text.rlike(f"(?i)({URGENT})").alias("urgent"),

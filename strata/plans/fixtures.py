@@ -44,13 +44,13 @@ def memo(fn):
 
 @memo
 def runs(t: Tables) -> DataFrame:
-    """(run, date, da_run_date): each distinct order day is a run day two days
+    """(run, date, run_day): each distinct order day is a run day two days
     later; each run type settles the day ``lag`` days before the order day."""
     days = t.orders.select(F.to_date("o_orderdate").alias("d")).distinct()
     lags = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(n).alias("lag")) for r, n in RUN_LAGS])
     cal = (days.select("d", F.inline(lags))
            .select("run", F.date_sub("d", F.col("lag")).alias("date"),
-                   F.date_add("d", 2).alias("da_run_date")))
+                   F.date_add("d", 2).alias("run_day")))
     return materialize(cal)  # the run calendar table (days x run types)
 
 
@@ -111,10 +111,10 @@ def checkpoints(t: Tables) -> DataFrame:
 
 @memo
 def contracts(t: Tables) -> DataFrame:
-    """(id, ced): latest urgent/high order day per customer (contract end)."""
+    """(id, contract_end): latest urgent/high order day per customer (contract end)."""
     return (t.orders.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
             .groupBy(F.col("o_custkey").alias("id"))
-            .agg(F.max(F.to_date("o_orderdate")).alias("ced")))
+            .agg(F.max(F.to_date("o_orderdate")).alias("contract_end")))
 
 
 @memo
@@ -182,5 +182,5 @@ def profit(t: Tables) -> DataFrame:
 
 @memo
 def messages(t: Tables) -> DataFrame:
-    return (t.conversations.filter(F.col("role") == "user")
+    return (t.conversations
             .select(F.col("conv_id").alias("id"), "turn", "text"))

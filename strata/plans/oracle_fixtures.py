@@ -19,7 +19,7 @@ def _values(rows) -> str:
 
 CTE = {
     "runs": ([], f"""runs AS (
-  SELECT l.run, CAST(d.d - l.lag AS DATE) AS date, CAST(d.d + 2 AS DATE) AS da_run_date
+  SELECT l.run, CAST(d.d - l.lag AS DATE) AS date, CAST(d.d + 2 AS DATE) AS run_day
   FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) d
   CROSS JOIN (VALUES {_values(RUN_LAGS)}) l(run, lag))"""),
     "intervals": (["runs"], f"""intervals AS (
@@ -27,8 +27,8 @@ CTE = {
          COALESCE(CAST(LAG(max_date) OVER (ORDER BY max_date, run) + 1 AS DATE),
                   DATE '1900-01-01') AS min_date,
          max_date, run_date
-  FROM (SELECT run, MAX(date) AS max_date, CAST(MAX(da_run_date) - 1 AS DATE) AS run_date
-        FROM runs WHERE da_run_date <= CAST({AS_OF} + 1 AS DATE) GROUP BY run) a)"""),
+  FROM (SELECT run, MAX(date) AS max_date, CAST(MAX(run_day) - 1 AS DATE) AS run_date
+        FROM runs WHERE run_day <= CAST({AS_OF} + 1 AS DATE) GROUP BY run) a)"""),
     "periods": ([], """periods AS (
   SELECT o_orderkey AS pk, o_custkey AS id, CAST(o_orderdate AS DATE) AS start_date,
          o_orderstatus AS status, o_orderpriority AS priority,
@@ -50,7 +50,7 @@ CTE = {
   SELECT o_custkey AS id, MAX(CAST(o_orderdate AS DATE)) AS cp_date
   FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)"""),
     "contracts": ([], """contracts AS (
-  SELECT o_custkey AS id, MAX(CAST(o_orderdate AS DATE)) AS ced
+  SELECT o_custkey AS id, MAX(CAST(o_orderdate AS DATE)) AS contract_end
   FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_custkey)"""),
     "position": (["periods", "intervals"], """picked AS (
   SELECT id, pk, start_date, end_date FROM (
@@ -86,7 +86,7 @@ position AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey
   GROUP BY p_partkey, p_retailprice)"""),
     "messages": ([], """messages AS (
-  SELECT conv_id AS id, turn, text FROM conversations WHERE role = 'user')"""),
+  SELECT conv_id AS id, turn, text FROM conversations)"""),
 }
 
 

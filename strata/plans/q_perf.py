@@ -21,11 +21,11 @@ def _in(xs):
 
 # the days of one run day: the first from the cut-off on, or the cut-off itself
 SD_NEXT = f"""settle AS (
-  SELECT run AS sd_run, max(date) AS settlement_date FROM runs
-  GROUP BY run, da_run_date HAVING da_run_date > {AS_OF}
-  QUALIFY da_run_date = min(da_run_date) OVER ())"""
+  SELECT run AS settle_run, max(date) AS settlement_date FROM runs
+  GROUP BY run, run_day HAVING run_day > {AS_OF}
+  QUALIFY run_day = min(run_day) OVER ())"""
 SD_EQUAL = f"""settle AS (
-  SELECT run AS sd_run, max(date) FILTER (date_diff('day', {AS_OF}, da_run_date) = 1) AS settlement_date
+  SELECT run AS settle_run, max(date) FILTER (date_diff('day', {AS_OF}, run_day) = 1) AS settlement_date
   FROM runs GROUP BY run)"""
 
 
@@ -43,7 +43,7 @@ def _group_performance(t: Tables):
 # one pass: every row is on the error side, the settled side or neither
 GROUP_PERFORMANCE_CTES = [SD_NEXT, f"""sided AS (
   SELECT *, CASE WHEN run IN {_in(R2_ERRORS)} THEN 'error'
-                 WHEN (SELECT max(settlement_date) FROM settle WHERE sd_run = 'R2')
+                 WHEN (SELECT max(settlement_date) FROM settle WHERE settle_run = 'R2')
                       BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31') AND run IS NOT NULL THEN 'settled' END AS side
   FROM position),
 sums AS (
@@ -80,7 +80,7 @@ def multi_run_ctes() -> list[str]:
     order = [errs[-1] for _, errs in THRESHOLDS]
     cols, seen = [], []
     for k, (p, errs) in enumerate(THRESHOLDS, 1):
-        day = f"(SELECT max(settlement_date) FROM settle WHERE sd_run = '{errs[-1]}')"
+        day = f"(SELECT max(settlement_date) FROM settle WHERE settle_run = '{errs[-1]}')"
         bad = f"coalesce(level <= {k}, FALSE)"
         good = f"(run IS NOT NULL AND NOT {bad} AND coalesce({day} BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31'), FALSE))"
         v = "coalesce(value, 0)"

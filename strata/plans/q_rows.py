@@ -51,13 +51,12 @@ LEFT JOIN (SELECT id, pk FROM (
     FROM periods WHERE status <> 'P') x WHERE rn = 1) p ON p.id = r.id
 LEFT JOIN customer c ON c.c_custkey = p.id AND c.c_acctbal > 0
 LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
-LEFT JOIN region g ON g.r_regionkey = n.n_regionkey
-WHERE r.ts >= TIMESTAMP '2001-01-01 00:00:00'"""))
+LEFT JOIN region g ON g.r_regionkey = n.n_regionkey"""))
 def q_bridge_lookup(spark, sf):
     """Readings -> preferred period per id -> customer (only with a positive
     balance, a filter inside the join) -> nation -> region, all left joins."""
     t = Tables(spark, sf)
-    rd = fx.reads(t).filter(F.col("ts") >= ntz(dt.datetime(2001, 1, 1)))
+    rd = fx.reads(t)
     per = preferred_row(fx.periods(t).filter(F.col("status") != "P"), ["id"], "start_date",
                         "end_date", [F.col("pk").desc()]).select(F.col("id").alias("p_id"), "pk")
     c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
@@ -123,12 +122,12 @@ DECISION_DAYS = ("2001-01-01", "2001-03-31", "2001-04-01", "2001-05-31", "2001-0
 
 
 @register("q_decision_dates", with_ctes(["contracts"], """
-SELECT c_custkey, k.ced,
-       CASE WHEN k.ced IS NULL THEN 'manual'
-            WHEN k.ced < DATE '2001-01-01' THEN 'exclude'
-            WHEN k.ced BETWEEN DATE '2001-01-01' AND DATE '2001-03-31' THEN 'defer'
-            WHEN k.ced BETWEEN DATE '2001-04-01' AND DATE '2001-05-31' THEN 'caution'
-            WHEN k.ced >= DATE '2001-06-01' THEN 'safe'
+SELECT c_custkey, k.contract_end,
+       CASE WHEN k.contract_end IS NULL THEN 'manual'
+            WHEN k.contract_end < DATE '2001-01-01' THEN 'exclude'
+            WHEN k.contract_end BETWEEN DATE '2001-01-01' AND DATE '2001-03-31' THEN 'defer'
+            WHEN k.contract_end BETWEEN DATE '2001-04-01' AND DATE '2001-05-31' THEN 'caution'
+            WHEN k.contract_end >= DATE '2001-06-01' THEN 'safe'
             ELSE 'unknown' END AS decision
 FROM customer LEFT JOIN contracts k ON k.id = c_custkey"""))
 def q_decision_dates(spark, sf):
@@ -136,11 +135,11 @@ def q_decision_dates(spark, sf):
     t = Tables(spark, sf)
     c = t.customer.select("c_custkey").join(
         fx.contracts(t).withColumnRenamed("id", "c_custkey"), "c_custkey", "left")
-    d = F.col("ced").cast("date")
+    d = F.col("contract_end").cast("date")
     lo, hi, lo2, hi2, safe = (F.to_date(F.lit(x)) for x in DECISION_DAYS)
     rules = [(d.isNull(), "manual"), (d < lo, "exclude"), (d.between(lo, hi), "defer"),
              (d.between(lo2, hi2), "caution"), (d >= safe, "safe")]
-    return c.select("c_custkey", "ced", first_match(rules, "unknown").alias("decision"))
+    return c.select("c_custkey", "contract_end", first_match(rules, "unknown").alias("decision"))
 
 
 def part_class(part):
@@ -169,9 +168,8 @@ SELECT p.p_partkey,
        CASE WHEN v.l_partkey IS NOT NULL THEN 'primary'
             WHEN d.default_volume IS NOT NULL THEN 'secondary' END AS volume_source
 FROM part_class p
-LEFT JOIN (SELECT l_partkey, SUM(l_quantity) AS volume FROM lineitem
-           WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '2001-01-01 00:00:00'
-           GROUP BY l_partkey) v ON v.l_partkey = p.p_partkey
+LEFT JOIN (SELECT l_partkey, SUM(l_quantity) FILTER (l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '2001-01-01 00:00:00') AS volume
+           FROM lineitem GROUP BY l_partkey HAVING volume IS NOT NULL) v ON v.l_partkey = p.p_partkey
 LEFT JOIN (SELECT TRY_CAST(substr(p_brand, 7, 10) AS BIGINT) AS class_num,
                   CAST(p_size // 10 AS BIGINT) AS size_band,
                   CAST(SUM(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS default_volume
@@ -184,10 +182,10 @@ def q_fallback_lookup(spark, sf):
     through a try_cast composite key."""
     t = Tables(spark, sf)
     li = t.lineitem
-    primary = (li.filter((F.col("l_returnflag") == "R")
-                         & (F.col("l_shipdate") >= ntz(dt.datetime(2001, 1, 1))))
-               .groupBy(F.col("l_partkey").alias("p_partkey"))
-               .agg(F.sum("l_quantity").alias("volume")))
+    counted = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= ntz(dt.datetime(2001, 1, 1)))
+    primary = (li.groupBy(F.col("l_partkey").alias("p_partkey"))
+               .agg(F.sum(F.when(counted, F.col("l_quantity"))).alias("volume"))
+               .filter(F.col("volume").isNotNull()))
     band = F.floor(F.col("p_size") / 10).cast("bigint")
     defaults = (t.part.groupBy(F.substring("p_brand", 7, 10).try_cast("bigint").alias("class_num"),
                                band.alias("size_band"))
@@ -203,10 +201,10 @@ def q_fallback_lookup(spark, sf):
 
 @register("q_null_aware_anti", """
 SELECT c_custkey, c_name FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders
-                        WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')""")
+WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)""")
 def q_null_aware_anti(spark, sf):
-    """Customers without an urgent partial order, with SQL NOT IN semantics."""
+    """Customers whose key is not twice that of any customer with an order,
+    with SQL NOT IN semantics, against all orders."""
     t = Tables(spark, sf)
-    lst = t.orders.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
-    return not_in(t.customer.select("c_custkey", "c_name"), "c_custkey", lst, "o_custkey")
+    lst = t.orders.select((F.col("o_custkey") * 2).alias("key"))
+    return not_in(t.customer.select("c_custkey", "c_name"), "c_custkey", lst, "key")

@@ -47,7 +47,7 @@ PERIOD_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SELECT u.*, p.p_name FROM (
   {' UNION ALL '.join(
       f"SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, CAST({i} AS BIGINT) AS period, "
-      f"CAST({c} AS DOUBLE) AS hh_volume FROM lineitem "
+      f"CAST({c} AS DOUBLE) AS period_volume FROM lineitem "
       f"WHERE l_shipdate >= TIMESTAMP '{UNPIVOT_CUTOFF} 00:00:00'"
       for i, c in enumerate(PERIOD_COLS, start=1))}) u
 LEFT JOIN part p ON p.p_partkey = u.l_partkey""")
@@ -57,6 +57,6 @@ def q_unpivot(spark, sf):
     t = Tables(spark, sf)
     li = t.lineitem.filter(F.col("l_shipdate") >= ntz(dt.datetime.combine(UNPIVOT_CUTOFF, dt.time())))
     long = unpivot_periods(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"],
-                           PERIOD_COLS, period="period", value="hh_volume")
+                           PERIOD_COLS, period="period", value="period_volume")
     p = t.part.select(F.col("p_partkey"), F.col("p_name"))
     return long.join(p, long.l_partkey == p.p_partkey, "left").drop("p_partkey")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators.text import (FIRST_SENTENCE, ISSUES, NEGATIVE, POSITIVE, REFERENCE, URGENT,
+from strata.operators.text import (ISSUES, NEGATIVE, POSITIVE, REFERENCE, SUMMARY, URGENT,
                                    enrich_text)
 from strata.plans import fixtures as fx
 from strata.plans.oracle_fixtures import with_ctes
@@ -37,7 +37,7 @@ SELECT id, turn,
        CASE WHEN e THEN NULL ELSE to_json(regexp_extract_all(t, '({REFERENCE})', 1))::VARCHAR END
          AS reference_numbers,
        CASE WHEN e THEN NULL ELSE regexp_matches(t, '(?i)({URGENT})') END AS urgent,
-       CASE WHEN e THEN NULL ELSE trim(regexp_extract(t, '{FIRST_SENTENCE}', 0)) END AS summary,
+       CASE WHEN e THEN NULL ELSE trim(regexp_extract(t, '{SUMMARY}', 0)) END AS summary,
        CAST(NULL AS VARCHAR) AS raw_output, TRUE AS parse_ok
 FROM (SELECT id, turn, t, (t IS NULL OR t = '') AS e,
              len(regexp_extract_all(t, '(?i)({POSITIVE})')) AS pos,
@@ -45,5 +45,5 @@ FROM (SELECT id, turn, t, (t IS NULL OR t = '') AS e,
       FROM (SELECT id, turn, replace(replace(text, chr(10), ' '), chr(13), ' ') AS t
             FROM messages) c) x"""))
 def q_text_enrich(spark, sf):
-    """User turns: clean, analyse (built-in rules), parse JSON, flatten."""
+    """All turns: clean, analyse (built-in rules), parse JSON, flatten."""
     return enrich_text(fx.messages(Tables(spark, sf)), "text", ["id", "turn"])

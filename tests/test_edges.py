@@ -21,7 +21,7 @@ def test_contiguous_interval_lower_bounds(spark):
     runs = spark.createDataFrame(
         [("A", D(2024, 1, 1), D(2024, 1, 5)), ("B", D(2024, 2, 1), D(2024, 2, 5)),
          ("B", D(2024, 3, 1), D(2030, 1, 1))],  # run day after as_of + 1: ignored
-        "run string, date date, da_run_date date")
+        "run string, date date, run_day date")
     out = {r.run: r for r in intervals.contiguous_intervals(runs, D(2024, 6, 1)).collect()}
     assert out["A"].min_date == D(1900, 1, 1) and out["A"].max_date == D(2024, 1, 1)
     assert out["B"].min_date == D(2024, 1, 2) and out["B"].max_date == D(2024, 2, 1)
@@ -30,7 +30,7 @@ def test_contiguous_interval_lower_bounds(spark):
 def test_equal_maxima_give_an_empty_interval(spark):
     runs = spark.createDataFrame(
         [("A", D(2024, 1, 1), D(2024, 1, 2)), ("B", D(2024, 1, 1), D(2024, 1, 2))],
-        "run string, date date, da_run_date date")
+        "run string, date date, run_day date")
     out = {r.run: r for r in intervals.contiguous_intervals(runs, D(2024, 6, 1)).collect()}
     assert out["B"].min_date > out["B"].max_date  # empty: nothing can fall in it
 
@@ -195,8 +195,8 @@ def test_more_large_groups_than_weeks(spark):
 def test_members_are_never_multiplied(spark):
     m = spark.createDataFrame([(1, None), (2, "unknown"), (3, "a"), (4, "b")], "id long, name string")
     weeks = spark.createDataFrame([("unknown", D(2026, 1, 5)), ("unknown", D(2026, 1, 12)), ("a", D(2026, 2, 2))], "name string, week_start date")
-    ends = spark.createDataFrame([(1, D(2001, 1, 1)), (1, D(2002, 1, 1))], "id long, ced date")
-    got = {r.id: (r.week_start, r.ced) for r in groups.expand_members(m, weeks, ["name"], ends, "id", "ced", F.lit("x")).collect()}
+    ends = spark.createDataFrame([(1, D(2001, 1, 1)), (1, D(2002, 1, 1))], "id long, contract_end date")
+    got = {r.id: (r.week_start, r.contract_end) for r in groups.expand_members(m, weeks, ["name"], ends, "id", "contract_end", F.lit("x")).collect()}
     assert got == {1: (D(2026, 1, 5), D(2002, 1, 1)), 2: (D(2026, 1, 5), None), 3: (D(2026, 2, 2), None), 4: (None, None)}
 
 
