@@ -5,10 +5,11 @@ every document. With class prior p, logistic loss l and score z the unbiased
 risk is  p E_pos[l(z)] + (E_all[l(-z)] - p E_pos[l(-z)]);  its second part
 estimates the risk on the unseen negatives and must not go below zero, where
 it would only fit noise. The logistic loss makes the unbiased risk convex with
-gradient  E_all[s(z) x] - p E_pos[x],  so a few Newton steps minimise it; a step
-that would make the second part negative is halved, and the descent stops
-where no step keeps it at or above zero (non-negative risk). The prior is the share of
-positives among the labelled training rows.
+gradient  E_all[s(z) x] - p E_pos[x],  so a few Newton steps minimise it. The fit
+goes along a path of weaker and weaker ridge penalties and keeps the last
+model whose second part is not negative by more than twice its standard error
+(non-negative risk). The prior is the
+share of positives among the labelled training rows.
 
 Each Newton step is one aggregate over the feature table of all documents: a
 task sends one partial sum per matrix cell, which Spark adds up by cell. No
@@ -131,7 +132,10 @@ def _vector(cells: dict[int, float], n: int) -> np.ndarray:
     return np.array([cells.get(i, 0.0) for i in range(n)])
 
 
-def fit(table: DataFrame, prior: float | None = None, ridge: float = 1e-4, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+RIDGES = (0.3, 0.1, 0.03, 0.01, 0.003, 0.001, 0.0003, 0.0001)
+
+
+def fit(table: DataFrame, prior: float | None = None, ridges: tuple = RIDGES, steps: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means and scales from a table of ``f, label`` (label null: unlabelled).
     Without a positive row all weights are 0 (every score is one half)."""
     def moments(b):
@@ -159,25 +163,31 @@ def fit(table: DataFrame, prior: float | None = None, ridge: float = 1e-4, steps
             loss = np.logaddexp(0, z)
             grad = x.T @ s / n - prior * x[pos].sum(0) / n_pos
             hess = (x * (s * (1 - s))[:, None]).T @ x / n
-            below = loss.sum() / n - prior * loss[pos].sum() / n_pos
-            return np.concatenate([[below], grad, hess.ravel()])
-        v = _vector(_cells(table, cells), 1 + WIDTH + WIDTH ** 2)
-        return v[0], v[1:1 + WIDTH] + ridge * w, v[1 + WIDTH:].reshape(WIDTH, WIDTH) + ridge * np.eye(WIDTH)
+            sums = [loss.sum(), (loss ** 2).sum(), loss[pos].sum(), (loss[pos] ** 2).sum()]
+            return np.concatenate([sums, grad, hess.ravel()])
+        v = _vector(_cells(table, cells), 4 + WIDTH + WIDTH ** 2)
+        all_, pos = v[0] / n, v[2] / n_pos
+        error = np.sqrt(max(0.0, v[1] / n - all_ ** 2) / n + prior ** 2 * max(0.0, v[3] / n_pos - pos ** 2) / n_pos
+                        + prior * (1 - prior) / max(1.0, n_known) * pos ** 2)
+        return all_ - prior * pos, error, v[4:4 + WIDTH], v[4 + WIDTH:].reshape(WIDTH, WIDTH)
 
     w = good = np.zeros(WIDTH)
-    for _ in range(steps):
-        negatives, grad, hess = risk(w)
-        if negatives < 0:  # the estimated risk on negatives must not fall below zero
-            if np.abs(w - good).max() < 1e-3:
+    for ridge in ridges:  # from a stiff model to a free one, each started from the one before
+        for _ in range(steps):
+            negatives, error, grad, hess = risk(w)
+            eye = np.eye(WIDTH)
+            eye[0, 0] = 1e-3  # the constant is hardly held back
+            step = np.linalg.solve(hess + ridge * eye, grad + ridge * eye @ w)
+            w = w - step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
+            if np.abs(step).max() < 0.02:
                 break
-            w = (w + good) / 2
-            continue
-        good = w
-        step = np.linalg.solve(hess + 1e-9 * np.eye(WIDTH), grad)
-        step *= min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-3:
+        if negatives < -2 * error:  # below zero by more than its sampling error: only noise is fitted from here on
+            for _ in range(4):  # as far towards it as the risk allows
+                half = (good + w) / 2
+                negatives, error, _, _ = risk(half)
+                good, w = (half, w) if negatives >= -2 * error else (good, half)
             break
-        w = w - step
+        good = w
     return good, mean, scale
 
 
