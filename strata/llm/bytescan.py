@@ -100,9 +100,11 @@ ALNUM = LETTER.copy()
 ALNUM[ord("0"):ord("9") + 1] = True
 
 
-def core_words(raw: np.ndarray, off: np.ndarray, edge: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def core_words(raw: np.ndarray, off: np.ndarray, edge: np.ndarray = ALNUM,
+               head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes in lower case, and start, end and text number of each word
-    without the bytes around it that are not in ``edge``; a word of such bytes alone is left out."""
+    without the bytes around it that are not in ``edge`` (in front: not in
+    ``head``, a superset); a word of such bytes alone is left out."""
     low = LOWER[raw] if len(raw) else raw
     s, e, at = words(raw, off)
     text = np.repeat(np.arange(len(off) - 1), np.diff(at))
@@ -112,7 +114,12 @@ def core_words(raw: np.ndarray, off: np.ndarray, edge: np.ndarray = ALNUM) -> tu
     has = upto[e] > upto[s]
     s, e, text = s[has], e[has], text[has]
     if len(s):
-        s, e = where[upto[s]], where[upto[e] - 1] + 1
+        e = where[upto[e] - 1] + 1
+        if head is None:
+            s = where[upto[s]]
+        else:
+            is_head = head[low]
+            s = np.flatnonzero(is_head)[np.concatenate([[0], np.cumsum(is_head)])[s]]
     return low, s, e, text
 
 

@@ -42,6 +42,8 @@ _SWAP, _SKIP, _TWICE, _SIGN = -0.3, -0.2, -0.3, -1.5
 _LETTER = bytescan.LETTER
 _EDGE = bytescan.ALNUM.copy()
 _EDGE[[ord("@"), ord("$")]] = True
+_HEAD = _EDGE.copy()
+_HEAD[[ord("!"), ord("|"), ord("(")]] = True
 PREFIXES = (4, 5, 6)
 
 
@@ -91,7 +93,7 @@ def restore(word: bytes, model: tuple) -> bytes:
 def restored_words(raw: np.ndarray, off: np.ndarray, model: tuple, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, starts, ends and text numbers of the words to score, without marks
     around them, in lower case, with disguised words in restored form."""
-    low, s, e, text = bytescan.core_words(raw, off, _EDGE)
+    low, s, e, text = bytescan.core_words(raw, off, _EDGE, _HEAD)
 
     def inside(flags):
         total = np.concatenate([[0], np.cumsum(flags)])
