@@ -35,7 +35,7 @@ def owner_workload(cases: DataFrame, capacity: DataFrame, kinds: Sequence[str] =
                               & F.col(owner).isNotNull())
     agg = (open_items.groupBy(F.col(owner).alias("owner"), adjusted_team().alias("adjusted_team"))
            .agg(F.count(F.lit(1)).cast("int").alias("open_count")))
-    cap = capacity.select(F.col("owner").alias("__cap_owner"), F.col("hours"))
+    cap = capacity.groupBy(F.col("owner").alias("__cap_owner")).agg(F.max("hours").alias("hours"))
     res = agg.join(cap, agg.owner == cap.__cap_owner, "left").drop("__cap_owner")
     return res.withColumn("hours", F.coalesce(F.col("hours"), F.lit(0.0)).cast("double"))
 

@@ -152,8 +152,8 @@ def count_since_checkpoint(periods: DataFrame, checkpoints: DataFrame, events: D
                            bin_days: int = 30, salt: int = DEFAULT_SALT) -> DataFrame:
     """Like :func:`count_events_in_period` but counting from the later of the
     key's checkpoint date and the period start (a NULL checkpoint means the
-    start). ``checkpoints`` has one row per key (pre-aggregated)."""
-    p = periods.join(checkpoints.select(key, cp), key, "left")
+    start). Of several checkpoints of a key the latest counts."""
+    p = periods.join(checkpoints.groupBy(key).agg(F.max(cp).alias(cp)), key, "left")
     return count_events_in_period(p, events, pk, key, start, end, ts, as_of, event_filter,
                                   out=out, lower=later_of(cp, start), bin_days=bin_days,
                                   salt=salt)

@@ -102,38 +102,42 @@ METRICS = ("volume_settled", "count_settled", "volume_error", "count_error", "to
 def multi_run_performance(df: DataFrame, id_col: str, second_key: str, measure: str, run: str,
                           start: str, end: str, thresholds: Sequence[tuple[str, Sequence[str]]],
                           settle: DataFrame, null_safe: bool = True) -> DataFrame:
-    """Wide performance per id for several nested cut-offs, in one pass.
+    """Wide performance per id for several nested cut-offs, in one aggregate.
 
     ``thresholds`` = [(prefix, error_runs), ...]; the settlement day of cut-off
     ``prefix`` is looked up in ``settle`` (run, settlement_date) under the run
     named by the last entry of its ``error_runs``. For each cut-off a row is in
     error (run in the set), settled (run not in the set and valid on that day)
-    or neither; when neither, its metrics for that cut-off are NULL. Rows in
-    neither set for every cut-off are dropped. Volumes are not rounded.
-
-    Requires ``id_col`` to be unique: the equivalent SQL joins five per-cut-off
-    tables back on (id, second key) with NULL-safe equality, which with
-    unique ids is the same as this single projection: no join and no shuffle,
-    the run days enter as scalar subqueries. ``null_safe=False`` reproduces
-    the plain-equality join back: a NULL second key never matches, so such
-    ids keep their keys but get NULL metrics everywhere.
+    or neither. Per id the volumes and counts of either side are summed, so an
+    id with an error period and a settled period is one row with both; with
+    neither at a cut-off, its metrics there are NULL. Ids in neither set for
+    every cut-off are dropped. Volumes are not rounded. The second key of an
+    id is its largest.
+
+    The equivalent SQL joins five per-cut-off tables back on (id, second key);
+    here conditional sums are combined before one shuffle on the id, and the
+    run days enter as scalar subqueries. ``null_safe=False`` reproduces the
+    plain-equality join back: a NULL second key never matches, so such ids keep
+    their keys but get NULL metrics everywhere.
     """
-    annual_volume = F.coalesce(F.col(measure), F.lit(0.0))
-    cols = [F.col(id_col), F.col(second_key)]
-    any_in = None
+    volume = F.coalesce(F.col(measure), F.lit(0.0))
+    sums, any_in = [], None
     for prefix, errs in thresholds:
         day = settlement_day(settle, errs[-1])
         err = F.coalesce(F.col(run).isin(*errs), F.lit(False))
         sett = F.coalesce(~F.col(run).isin(*errs) & valid_on(start, end, day), F.lit(False))
         member = err | sett
-        vs = F.when(sett, annual_volume).otherwise(F.lit(0.0))
-        ve = F.when(err, annual_volume).otherwise(F.lit(0.0))
-        cs = F.when(sett, 1).otherwise(0).cast("long")
-        ce = F.when(err, 1).otherwise(0).cast("long")
+        counted = member if null_safe else member & F.col(second_key).isNotNull()
+        for name, side in (("s", sett), ("e", err)):
+            sums += [F.sum(F.when(counted, F.when(side, volume).otherwise(F.lit(0.0)))).alias(f"__{prefix}_v{name}"),
+                     F.sum(F.when(counted, F.when(side, 1).otherwise(0))).cast("long").alias(f"__{prefix}_c{name}")]
+        any_in = member if any_in is None else (any_in | member)
+    by_id = df.filter(any_in).groupBy(id_col).agg(F.max(second_key).alias(second_key), *sums)
+    cols = [F.col(id_col), F.col(second_key)]
+    for prefix, _ in thresholds:
+        vs, ve, cs, ce = (F.col(f"__{prefix}_{x}") for x in ("vs", "ve", "cs", "ce"))
         vals = {"volume_settled": vs, "count_settled": cs, "volume_error": ve, "count_error": ce,
                 "total_volume": vs + ve, "total_count": ce + cs,
-                "performance": safe_ratio(vs, vs + ve, 0.0)}
-        matched = member if null_safe else member & F.col(second_key).isNotNull()
-        cols += [F.when(matched, vals[m]).alias(f"{prefix}_{m}") for m in METRICS]
-        any_in = member if any_in is None else (any_in | member)
-    return df.filter(any_in).select(*cols)
+                "performance": F.when(cs.isNotNull(), safe_ratio(vs, vs + ve, 0.0))}
+        cols += [vals[m].alias(f"{prefix}_{m}") for m in METRICS]
+    return by_id.select(*cols)

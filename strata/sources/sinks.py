@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -33,3 +33,14 @@ def save_table(df: DataFrame, name: str, mode: str = "overwrite",
     if schema is not None:
         df = conform(df, schema)
     df.write.mode(mode).saveAsTable(name)
+
+
+def declare_table(spark: SparkSession, name: str, schema: T.StructType) -> None:
+    """An empty table with a declared layout; one of that name is replaced."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.createDataFrame([], schema).write.saveAsTable(name)
+
+
+def insert_into(df: DataFrame, name: str) -> None:
+    """Append to a declared table: columns by name, cast to its types."""
+    conform(df, df.sparkSession.table(name).schema).write.insertInto(name)

@@ -35,3 +35,12 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
+
+
+class CatalogTables(Tables):
+    """The same tables by name from the session's catalog (``database.table``)."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in TABLE_NAMES:
+            raise AttributeError(name)
+        return self.spark.table(f"{self.root}.{name}")
