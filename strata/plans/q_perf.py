@@ -88,7 +88,7 @@ def multi_run_ctes() -> list[str]:
         for name, x in (("volume_settled", f"if({good}, {v}, 0)"), ("count_settled", f"{good}::BIGINT"),
                         ("volume_error", f"if({bad}, {v}, 0)"), ("count_error", f"{bad}::BIGINT"),
                         ("total_volume", v), ("total_count", "1::BIGINT"),
-                        ("performance", f"if({v} = 0 OR {bad}, 0, 1)::DOUBLE")):
+                        ("performance", f"coalesce(if({good}, {v}, 0) / nullif({v}, 0), 0)")):
             cols.append(f"if({bad} OR {good}, {x}, NULL) AS {p}_{name}")
     listed = ",\n  ".join(cols)
     return [SD_EQUAL, f"""leveled AS (SELECT *, list_position({order}, run) AS level FROM position),
