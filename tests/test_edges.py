@@ -331,7 +331,7 @@ def test_rule_analyzer(spark):
     a = r[0] if r[0].t else r[1]
     assert a.sentiment == "positive" and a.urgent is True
     assert json.loads(a.reference_numbers) == ["AB12345"]
-    assert a.summary == "Thanks, great help!"
+    assert a.summary == "Thanks, great help! Ref AB12345 please."
 
 
 @pytest.mark.parametrize("seed", [1, 2])
