@@ -204,7 +204,8 @@ def _training(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, scr
 
 def _score(x: np.ndarray, model: tuple) -> np.ndarray:
     w, mean, scale = model
-    return 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w, -30, 30)))
+    # summed row by row: a matrix product may round equal rows differently
+    return 1 / (1 + np.exp(-np.clip((((x - mean) / scale) * w).sum(axis=1), -30, 30)))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3,
