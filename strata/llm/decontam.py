@@ -15,9 +15,12 @@ Candidates are decided on the words: the longest common subsequence of item
 and surrounding text must cover ``strong`` of the item, or ``weak`` of it if
 the item's answer (its last words) is found there too (a paraphrase).
 
-The benchmark is a query set: it is taken in blocks of ``block`` items with a
-model each, ``blocks_at_once`` models to a pass over the documents, so what is
-broadcast has a fixed bound. Every document is read whole.
+The benchmark is a query set: it is taken in blocks of at most ``block`` items
+and ``rank`` passages with a model each, so a block's space has a dimension for
+every passage and no direction of a short item falls out of it. A pass over the
+documents takes at most ``blocks_at_once * block`` items and ``blocks_at_once *
+rank`` passages (one item with more is a pass of its own), so what is broadcast
+has a fixed bound. Every document is read whole.
 """
 
 from __future__ import annotations
@@ -149,8 +152,8 @@ def _decide(h: np.ndarray, lo: int, hi: int, first: int, last: int, words: list[
 
 def _search(shared, window: int, stride: int, threshold: float, answer: int, strong: float, weak: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, blocks, item_ids, item_words = shared.value
-        tables = [_object(Table, t) for t, *_ in blocks]
+        idf, table, blocks, item_ids, item_words = shared.value
+        table = _object(Table, table)
         square = idf * idf
         for batch in batches:
             for part in bytescan.slices(batch, "text"):
@@ -159,8 +162,9 @@ def _search(shared, window: int, stride: int, threshold: float, answer: int, str
                 weight = square[_bucket(h)]
                 every = np.concatenate([[0.0], np.cumsum(weight)])
                 hits: list[dict] = [{} for _ in range(part.num_rows)]
-                for table, (_, vectors, passages, owner) in zip(tables, blocks, strict=True):
-                    i = table.find(h)
+                known = table.find(h)
+                for row, dots, owner in blocks:
+                    i = row[known]
                     own = np.concatenate([[0.0], np.cumsum(np.where(i >= 0, weight, 0.0))])
                     share = (own[e] - own[s]) / np.maximum(every[e] - every[s], 1e-12)
                     cand = np.flatnonzero(share >= threshold * threshold)
@@ -170,11 +174,10 @@ def _search(shared, window: int, stride: int, threshold: float, answer: int, str
                         there = at_word < e[c][:, None]
                         at_word = np.minimum(at_word, len(h) - 1)
                         code = np.where(there, i[at_word], -1)
-                        latent = np.where((code >= 0)[:, :, None], vectors[code], np.float32(0)).sum(axis=1)
                         hw = h[at_word]
                         same = (hw[:, :, None] == hw[:, None, :]) & there[:, None, :]
                         length = np.sqrt((np.where(there, weight[at_word], 0.0) * same.sum(axis=2)).sum(axis=1))
-                        cosine = latent @ passages.T / np.maximum(length, 1e-9)[:, None]
+                        cosine = dots[code].sum(axis=1) / np.maximum(length, 1e-9)[:, None]
                         for w, p in zip(*np.nonzero(cosine >= threshold), strict=True):
                             d, item = int(text[c[w]]), int(owner[p])
                             hits[d].setdefault(item, []).append((int(s[c[w]]), int(e[c[w]]), float(cosine[w, p])))
@@ -231,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride:
              .orderBy("item_id", "text"))
     out, base = None, docs.select(*names)
     # a pass over the documents for every chunk of the benchmark; the first one always runs
-    for number, chunk in enumerate(_chunks(items.toLocalIterator(), block * blocks_at_once, min_words)):
+    for number, chunk in enumerate(_chunks(items.toLocalIterator(), block * blocks_at_once, rank * blocks_at_once, min_words, window, stride)):
         shared = spark.sparkContext.broadcast(_index(spark, chunk, idf, window, stride, rank, block))
         found = base.mapInArrow(_search(shared, window, stride, threshold, answer, strong, weak, names),
                                 _fields(base) + ", hits array<struct<item_id:long,cosine:double,lcs:double,answer:boolean,first_word:long,last_word:long>>")
@@ -250,30 +253,47 @@ def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _chunks(rows: Iterator, size: int, min_words: int) -> Iterator[list]:
-    """Lists of (item_id, words as hashes) of usable items; one empty list if there are none."""
-    held, any_ = [], False
+def _chunks(rows: Iterator, size: int, most: int, min_words: int, window: int, stride: int) -> Iterator[list]:
+    """Lists of (item_id, words as hashes) of usable items, at most ``size`` items
+    and ``most`` passages (or one item); one empty list if there are none."""
+    held, n, any_ = [], 0, False
     for row in rows:
         h, _ = word_hashes(*bytescan.buffer_of(pa.array([row.text])))
-        if len(h) >= min_words:
-            held.append((row.item_id, h))
-        if len(held) == size:
+        if len(h) < min_words:
+            continue
+        more = len(windows(np.array([0, len(h)]), window, stride)[0])
+        if held and (len(held) == size or n + more > most):
             any_ = True
             yield held
-            held = []
+            held, n = [], 0
+        held.append((row.item_id, h))
+        n += more
     if held or not any_:
         yield held
 
 
-def _index(spark, items: list, idf: np.ndarray, window: int, stride: int, rank: int, block: int) -> tuple:
-    vocab: dict = {}
-    passages: dict = {}
+def _blocks(items: list, window: int, stride: int, rank: int, block: int) -> list[list]:
+    """The passages (number of the item, words) in blocks of at most ``rank`` passages of ``block`` items."""
+    out: list = []
+    owners: set = set()
     for number, (_, h) in enumerate(items):
-        b = number // block
-        vocab.setdefault(b, []).append(h)
         s, e, _ = windows(np.array([0, len(h)]), window, stride)
-        passages.setdefault(b, []).extend((number, h[x:y]) for x, y in zip(s, e, strict=True))
-    vocab = {b: np.unique(np.concatenate(v)) for b, v in vocab.items()}
+        for x, y in zip(s, e, strict=True):
+            if not out or len(out[-1]) == rank or len(owners | {number}) > block:
+                out.append([])
+                owners = set()
+            out[-1].append((number, h[x:y]))
+            owners.add(number)
+    return out
+
+
+def _index(spark, items: list, idf: np.ndarray, window: int, stride: int, rank: int, block: int) -> tuple:
+    """Document frequencies, the table of all words, and per block: the row of a
+    known word (-1: none), its share of the dot product with each passage of
+    length 1 (the last row, for -1, is zero), and the passages' items."""
+    passages = dict(enumerate(_blocks(items, window, stride, rank, block)))
+    vocab = {b: np.unique(np.concatenate([w for _, w in v])) for b, v in passages.items()}
+    words = np.unique(np.concatenate([*vocab.values(), np.empty(0, _U)]))
     blocks = []
     if vocab:
         rows = pa.table({"block": pa.array([b for b, v in passages.items() for _ in v], pa.int64()),
@@ -283,5 +303,8 @@ def _index(spark, items: list, idf: np.ndarray, window: int, stride: int, rank:
             weighted = vectors[b] * idf[_bucket(v)][:, None].astype(np.float32)
             latent = np.stack([weighted[np.searchsorted(v, w)].sum(axis=0) for _, w in passages[b]])
             size = np.sqrt((latent * latent).sum(axis=1, keepdims=True))
-            blocks.append((_plain(Table(v)), weighted, latent / np.maximum(size, 1e-9), np.array([i for i, _ in passages[b]])))
-    return idf, blocks, [i for i, _ in items], [h.tolist() for _, h in items]
+            dots = weighted @ (latent / np.maximum(size, 1e-9)).T
+            row = np.full(len(words) + 1, -1, np.int32)
+            row[np.searchsorted(words, v)] = np.arange(len(v))
+            blocks.append((row, np.concatenate([dots, np.zeros((1, dots.shape[1]), np.float32)]), np.array([i for i, _ in passages[b]])))
+    return idf, _plain(Table(words)), blocks, [i for i, _ in items], [h.tolist() for _, h in items]
