@@ -109,8 +109,22 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
 
 
 def emit_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` (``doc_id, copies``) says.
-    Ids must be unique among rows with copies; a row without id is not emitted."""
-    copies = mixed.where("copies > 0 and doc_id is not null").select("doc_id", "copies")
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(copies, F.col("row.doc_id") == F.col("doc_id"))
-    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    """The rows of ``docs``, each as often as ``mixed`` (``mix_sources`` of the same rows) says.
+
+    A null id is an id here. Rows of one id, source and size take the copies of
+    just these rows of ``mixed``: all get the same number or one more, the first
+    ones by a hash of their values. Rows are written once with a key of their
+    own, so that the text meets its copies one to one however often an id recurs.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+    rows = Scratch(docs.sparkSession, "emit").table(rows, "rows")
+    values = [f"row.`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    key = F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"))
+    plan = (mixed.groupBy(F.struct("doc_id", "source", "size").alias("key"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("total")).where("total > 0"))
+    # nulls in a struct equal each other
+    known = rows.select("at", key.alias("key"), F.xxhash64(*values).alias("order")).join(plan, "key")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("order", "at"))
+    several = known.where("n > 1").withColumn("nth", nth).select("at", F.expr("total div n + if(nth <= total % n, 1, 0)").alias("copies"))
+    copies = known.where("n = 1").select("at", F.col("total").alias("copies")).unionAll(several).where("copies > 0")
+    return rows.join(copies, "at").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
