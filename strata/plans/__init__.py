@@ -1,6 +1,6 @@
 """Registered queries (one per operator of the survey) and their oracles."""
 
-from strata.plans import (q_alloc, q_groups, q_intervals, q_perf, q_position,  # noqa: F401
+from strata.plans import (q_alloc, q_groups, q_intervals, q_perf, q_period_perf, q_position,  # noqa: F401
                           q_rows, q_series, q_text)
 from strata.plans.registry import ORACLE, QUERIES
 
