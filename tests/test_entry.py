@@ -5,8 +5,7 @@ import os
 
 import pytest
 
-from oracle_util import compare, duck
-from conftest import SF_SMALL
+from oracle_util import SF_SMALL, compare, duck
 from strata.plans import QUERIES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -3,8 +3,8 @@
 from decimal import Decimal
 
 from pyspark.sql import functions as F
+from oracle_util import SF_SMALL
 
-from conftest import SF_SMALL
 from strata.operators import alloc, groups
 from strata.plans import fixtures as fx
 from strata.plans import q_alloc, q_groups

@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
-from oracle_util import compare, duck
+from oracle_util import SF_SMALL, compare, duck
 from strata.plans import ORACLE, QUERIES
 from strata.plans.q_perf import R2_ERRORS
 from strata.plans.q_position import position_frame

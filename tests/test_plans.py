@@ -4,8 +4,8 @@ import contextlib
 import io
 
 import pytest
+from oracle_util import SF_SMALL
 
-from conftest import SF_SMALL
 from strata.plans import QUERIES
 
 
