@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import (decontam, embedding_dedup, jaccard_join, line_dedup, mixing, ppm, quality, token_scan,
-                        toxicity, url_filter)
+from strata.llm import (decontam, embedding_dedup, filter_audit, jaccard_join, line_dedup, mixing, ppm, prefix_bpe, quality,
+                        token_alignment, token_scan, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -185,3 +185,61 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte model's and the unigram base's log10 probability of every document."""
     return ppm.score_documents(read(spark, sf_dir, "documents"))
+
+
+_AUDIT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), m AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+                coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE)] AS fails,
+         coalesce(l.good, FALSE) AS good, coalesce(l.toxic, FALSE) AS toxic
+  FROM t LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL
+), f(i) AS (VALUES (1), (2), (3), (4), (5)), orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(o, lambda x: chr(64 + x)), '') AS filter_order, s.i AS step, o[s.i] AS own, o[:s.i - 1] AS before
+  FROM orders, f s
+), hit AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS mine,
+         len(list_filter(before, lambda x: fails[x])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS n_failed
+  FROM steps, g
+), r AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT mine AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (mine AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (mine AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (mine AND n_failed = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (mine AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mine AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM hit GROUP BY ALL
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+
+@register("op11_filter_audit", _AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language, order of five filters and step: what is kept, removed, redundant and lost."""
+    return filter_audit.filter_interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op12_prefix_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded: tokens, digests of the ids and of the decoded bytes."""
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    out = prefix_bpe.decode_documents(prefix_bpe.encode_documents(read(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under two tokenizers: groups, links and how common the linked pairs are."""
+    return token_alignment.align_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
