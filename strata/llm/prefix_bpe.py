@@ -43,48 +43,106 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def merge(ranks: dict[bytes, int], data: bytes, down_to: int = 1) -> list[bytes]:
+    """The tokens of a short string by merging its lowest-ranked pair, leftmost first, again and again (or until ``down_to`` are left)."""
+    parts = [data[i:i + 1] for i in range(len(data))]
+    while len(parts) > down_to:
+        rank, i = min((ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(itertools.pairwise(parts)))
+        if rank == 1 << 62:
+            break
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
+def last_merges(ranks: dict[bytes, int]) -> dict[int, int]:
+    """For each token of several bytes, the length of its left half at its last merge; 0 if no merges make it."""
+    out = {}
+    for t, i in ranks.items():
+        if len(t) > 1:
+            halves = merge(ranks, t, 2)
+            out[i] = len(halves[0]) if len(halves) == 2 else 0
+    return out
+
+
 class PrefixCoder:
     """Encoder and decoder of pieces (bytes) by a vocabulary of ranks that holds all single bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: int = 1 << 19):
-        self.ranks, self.memory = ranks, memory
+    def __init__(self, ranks: dict[bytes, int], halves: dict[int, int] | None = None, memory: int = 1 << 19):
+        self.ranks, self.memory, self.size = ranks, memory, len(ranks) + max(ranks.values())
+        self.halves = last_merges(ranks) if halves is None else halves
         self.token = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.reach = dict.fromkeys((bytes([i]) for i in range(256)), 1)  # the longest token that ends in up to three bytes
-        for t in ranks:
-            self.reach[t[-3:]] = max(self.reach.get(t[-3:], 0), len(t))
-        self._fits: dict[tuple[int, int], bool] = {}
+        ends: dict[bytes, set[int]] = {}
+        for t, i in ranks.items():
+            if len(t) == 1 or self.halves[i]:
+                ends.setdefault(t[-4:], set()).add(len(t))
+        # for the last four bytes (or fewer), the lengths of the tokens that end in them, the longest first
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self._fits: dict[int, bool] = {}
         self._pieces: dict[str, bytes] = {}
+        self._spines: dict[tuple[int, bool], list[bytes]] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """The tokens of a short string by merging its lowest-ranked pair, leftmost first, again and again."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(itertools.pairwise(parts)))
-            if rank == 1 << 62:
-                break
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+    def _spine(self, token: int, right: bool) -> list[bytes]:
+        """The tokens at one edge of a token while it is merged, from its byte up to itself."""
+        got = self._spines.get((token, right))
+        if got is None:
+            data, got = self.token[token], []
+            while True:
+                got.append(data)
+                if len(data) == 1:
+                    break
+                cut = self.halves[self.ranks[data]]
+                data = data[cut:] if right else data[:cut]
+            got.reverse()
+            self._spines[token, right] = got
+        return got
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a: the pair's own bytes are merged to the pair."""
-        if len(self._fits) >= self.memory:
-            self._fits.clear()
-        got = self._fits[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
-        return got
+        """Whether token b may follow token a, that is, merging the pair's own bytes gives the pair.
+
+        Merges inside a and b go by rank, whatever the other does. So it is enough to go up
+        the two edges that meet in rank order and see that their tokens never merge with
+        each other before one of them is taken up by its own side (the left one on ties).
+        """
+        left, right = self._spine(a, True), self._spine(b, False)
+        ranks, none = self.ranks, 1 << 62
+        i = j = 0
+        while True:
+            up_left = ranks[left[i + 1]] if i + 1 < len(left) else none
+            up_right = ranks[right[j + 1]] if j + 1 < len(right) else none
+            across = ranks.get(left[i] + right[j], none)
+            if across < up_left and across <= up_right and across != none:
+                return False
+            if up_left == up_right == none:
+                return True
+            if up_left <= up_right:
+                i += 1
+            else:
+                j += 1
 
     def last_token(self, data: bytes, table: array, end: int) -> int:
         """The valid last token of ``data[:end]``; ``table[i - 1]`` is that of ``data[:i]`` for smaller i."""
-        ranks, known = self.ranks, self._fits
-        for start in range(max(0, end - self.reach.get(data[end - 3:end], 2)) if end > 2 else 0, end):
-            t = ranks.get(data[start:end])
-            if t is None:
+        ranks, known, size = self.ranks, self._fits, self.size
+        for k in (4, 3, 2, 1):
+            if k > end:
                 continue
-            if not start:
-                return t
-            fits = known.get((table[start - 1], t))
-            if fits or fits is None and self.fits(table[start - 1], t):
-                return t
+            for n in self.lengths.get(data[end - k:end], ()):
+                start = end - n
+                if start < 0 or n > k and k < 4:
+                    continue
+                t = ranks.get(data[start:end])
+                if t is None:
+                    continue
+                if not start:
+                    return t
+                key = table[start - 1] * size + t
+                fits = known.get(key)
+                if fits is None:
+                    if len(known) >= self.memory:
+                        known.clear()
+                    fits = known[key] = self.fits(table[start - 1], t)
+                if fits:
+                    return t
         raise ValueError("the vocabulary lacks a byte")
 
     def extend(self, data: bytes, table: array) -> array:
@@ -254,8 +312,9 @@ def _resumed(coder: PrefixCoder, old: bytes, table: array, data: bytes) -> array
 
 
 def _shared(spark: SparkSession, path: str):
-    """The vocabulary for tasks; its size is that of the file, whatever the texts."""
-    return spark.sparkContext.broadcast((load_ranks(path), newer_letters()))
+    """The vocabulary for tasks, with the halves of its tokens; its size is that of the file, whatever the texts."""
+    ranks = load_ranks(path)
+    return spark.sparkContext.broadcast((ranks, last_merges(ranks), newer_letters()))
 
 
 def _passed(batch: pa.RecordBatch, schema: list[str]) -> list[pa.Array]:
@@ -273,8 +332,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", id_col: str
     shared = _shared(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, newer = shared.value
-        coder, splitter = PrefixCoder(ranks), Splitter(newer)
+        ranks, halves, newer = shared.value
+        coder, splitter = PrefixCoder(ranks, halves), Splitter(newer)
         for batch in batches:
             for part in bytescan.slices(batch, "text"):
                 ids = [b"".join(b"".join(map(coder.packed, p)) for p in splitter.pieces(t.as_py() or "")) for t in part.column("text")]
@@ -319,8 +378,8 @@ def edit_documents(docs: DataFrame, edits: DataFrame, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, newer = shared.value
-        coder, splitter = PrefixCoder(ranks), Splitter(newer)
+        ranks, halves, newer = shared.value
+        coder, splitter = PrefixCoder(ranks, halves), Splitter(newer)
         for batch in batches:
             for part in bytescan.slices(batch, "text"):
                 out = []
