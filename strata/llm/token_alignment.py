@@ -14,6 +14,8 @@ documents; the others meet their documents in an equi-join.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -30,6 +32,12 @@ from strata.llm.shared import Scratch
 HELD = 2_000_000
 
 
+#: white space beyond ASCII that the pattern of side A joins with blanks around it, in UTF-8
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: ASCII white space, of which all but the carriage return may begin a segment (side B has tokens such as ";" and it)
+_SPACE, _CUT = " \t\n\x0b\x0c\r", " \t\n\x0b\x0c"
+
+
 class SideA:
     """A tokenizer in the ``tokenizers`` library's JSON, whose entries are byte-level encoded."""
 
@@ -44,9 +52,17 @@ class SideA:
         size = max(self.coder.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         names = [self.coder.id_to_token(i) or "" for i in range(size)]
         self.token = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in names]
+        spec = json.loads(data)
+        split = spec.get("pre_tokenizer") or {}
+        #: texts split at white space by the byte-level pattern alone
+        self.by_segment = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        """Whole texts, each with a space in front."""
+        return self.encode_segments([" " + t for t in texts])
+
+    def encode_segments(self, segments: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.coder.encode_batch_fast(segments, add_special_tokens=False)]
 
 
 class SideB:
@@ -57,10 +73,19 @@ class SideB:
         self.coder = sentencepiece.SentencePieceProcessor(model_proto=data)
         pieces = [self.coder.id_to_piece(i) for i in range(self.coder.vocab_size())]
         self.token = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        # no piece goes on from another character to white space, and a line feed joins with nothing
+        inner = re.compile(f"(?s)[^{_SPACE}][{_CUT}]|\n.|.\n")
+        self.by_segment = not any(inner.search(p.replace("▁", " ")) for p in pieces) and [pieces[i] for i in self.coder.encode("\n")] == ["▁", "<0x0A>"]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Whole texts; the model adds the space."""
         return self.coder.encode(texts, num_threads=1)
 
+    def encode_segments(self, segments: list[str]) -> list[list[int]]:
+        # the model's own space is the segment's, or stands apart before a line feed
+        plain = [s[1:] if s[:1] == " " else "\n" + s for s in segments]
+        return [ids if s[:1] == " " else ids[2:] for s, ids in zip(segments, self.coder.encode(plain, num_threads=1), strict=True)]
+
 
 class _Bytes:
     """The bytes of a vocabulary's tokens, by id."""
@@ -71,45 +96,147 @@ class _Bytes:
         self.raw = np.frombuffer(b"".join(token), np.uint8)
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
-        n = self.length[ids]
-        ends = np.cumsum(n)
-        return self.raw[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - (ends - n), n)]
-
-
-def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    out = np.empty(off[-1], np.int64)
-    for r, a in zip(rows, off, strict=False):
-        out[a:a + len(r)] = r
-    return out, off
+        return self.raw[_places(self.start[ids], self.length[ids])]
+
+
+def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places ``start[i] .. start[i] + n[i] - 1`` of all i, one after the other."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)
+
+
+class _Segments:
+    """Token ids of segments by the segment's hash; the library is asked once per segment."""
+
+    def __init__(self, side, limit: int = 1 << 19):
+        self.side, self.limit = side, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[int, int] = {}
+        self.ids, self.start, self.n = np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = 0
+
+    def rows(self, hashes: np.ndarray, segment) -> np.ndarray:
+        """A row per hash; ``segment(i)`` is the string of the i-th."""
+        if len(self.row) > self.limit or self.used > 8 * self.limit:
+            self.clear()
+        keys = hashes.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.row]
+        for at in range(0, len(new), 4096):  # the library's own results are large objects
+            some = new[at:at + 4096]
+            found = self.side.encode_segments([segment(i) for i in some])
+            n = np.array([len(x) for x in found], np.int64)
+            flat = np.fromiter((t for x in found for t in x), np.int32, int(n.sum()))
+            if self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(len(self.ids), len(flat)), np.int32)])
+            self.ids[self.used:self.used + len(flat)] = flat
+            for k, i in enumerate(some):
+                self.row[keys[i]] = len(self.n) + k
+            self.start = np.concatenate([self.start, self.used + np.cumsum(n) - n])
+            self.n = np.concatenate([self.n, n])
+            self.used += len(flat)
+        return np.fromiter((self.row[k] for k in keys), np.int64, len(keys))
+
+
+class _Tokens:
+    """One side's ids of a batch of texts, flat with offsets, whose bytes are checked against the texts'."""
+
+    def __init__(self, side):
+        self.side, self.bytes, self.known = side, _Bytes(side.token), _Segments(side)
+
+    def of(self, raw: np.ndarray, off: np.ndarray, uniq: np.ndarray, which: np.ndarray, segment, doc_segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, offsets and which texts' bytes are those of ``raw``; texts that are not have no ids here."""
+        row = self.known.rows(uniq, segment)[which]
+        n = self.known.n[row]
+        ids = self.known.ids[_places(self.known.start[row], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[doc_segments]
+        size = np.concatenate([[0], np.cumsum(self.bytes.length[ids])])[ends]
+        good = np.diff(size) == np.diff(off)
+        keep = np.repeat(good, np.diff(ends))
+        ids, n_doc = ids[keep], np.where(good, np.diff(ends), 0)
+        differs = self.bytes.joined(ids) != raw[np.repeat(good, np.diff(off))]
+        if differs.any():
+            text = np.repeat(np.arange(len(good))[good], np.diff(off)[good])
+            wrong = np.zeros(len(good), bool)
+            wrong[text[differs]] = True
+            ids = ids[~np.repeat(wrong, n_doc)]
+            good, n_doc = good & ~wrong, np.where(wrong, 0, n_doc)
+        return ids, np.concatenate([[0], np.cumsum(n_doc)]), good
+
+    def whole(self, text: str) -> np.ndarray | None:
+        """The ids of a text asked for as a whole, if their bytes are its."""
+        ids = np.array(self.side.encode([text])[0], np.int32)
+        return ids if self.bytes.joined(ids).tobytes() == b" " + text.encode() else None
+
+
+def _spaced(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes with a space in front of each."""
+    to = off + np.arange(len(off))
+    out = np.full(len(raw) + len(off) - 1, 0x20, np.uint8)
+    body = np.ones(len(out), bool)
+    body[to[:-1]] = False
+    out[body] = raw
+    return out, to
+
+
+def _segment_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where runs of ASCII white space begin (other than by a carriage return), and every text (with its space)."""
+    space = bytescan.SPACE[raw]
+    first = space & (raw != 0x0D)
+    first[1:] &= ~space[:-1]
+    first[off[:-1]] = True
+    return np.flatnonzero(first)
 
 
 def tokenize_both(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
     """``doc_id, a array<int>, b array<int>``: the ids of both sides, one row per row of ``docs``.
 
     A text that is null or empty, or whose joined bytes of a side differ from
-    the space and the text, has no tokens on either side.
+    the space and the text, has no tokens on either side. Neither tokenizer
+    joins a character with white space behind it, so texts are cut there and
+    each distinct segment of a task is encoded once (remembered up to a bound);
+    a text with other than ASCII white space, and one whose bytes then differ,
+    is encoded as a whole, and so is every text if a vocabulary breaks the rule.
     """
     shared = docs.sparkSession.sparkContext.broadcast((a_file, b_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = [kind(data) for kind, data in zip((SideA, SideB), shared.value, strict=True)]
-        vocabularies = [_Bytes(s.token) for s in sides]
+        sides = [_Tokens(kind(data)) for kind, data in zip((SideA, SideB), shared.value, strict=True)]
+        by_segment = all(s.side.by_segment for s in sides)
         for batch in batches:
-            for part in bytescan.slices(batch, "text", 1 << 20):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                want = [np.frombuffer(b" " + t.encode(), np.uint8) for t in texts]
-                found, good = [], np.array([bool(t) for t in texts])
-                for side, vocabulary in zip(sides, vocabularies, strict=True):
-                    rows = [np.array(r, np.int32) for r in side.encode(texts)]
-                    found.append(rows)
-                    good &= np.array([np.array_equal(vocabulary.joined(r), w) for r, w in zip(rows, want, strict=True)], bool)
-                cols = [pa.array([r if ok else r[:0] for r, ok in zip(rows, good, strict=True)], pa.list_(pa.int32())) for rows in found]
+            for part in bytescan.slices(batch, "text"):
+                texts = part.column("text")
+                raw, off = _spaced(*bytescan.buffer_of(texts))
+                start = _segment_starts(raw, off)
+                end = np.append(start[1:], len(raw))
+                uniq, at, which = np.unique(bytescan.span_hashes(raw, start, end), return_index=True, return_inverse=True)
+                data = raw.tobytes()
+                segment = lambda i, at=at, start=start, end=end, data=data: data[start[at[i]]:end[at[i]]].decode()
+                found = [s.of(raw, off, uniq, which, segment, np.searchsorted(start, off)) for s in sides]
+                good = found[0][2] & found[1][2] & by_segment
+                rows = [[ids[x:y] for x, y in itertools.pairwise(ends.tolist())] for ids, ends, _ in found]
+                for i, text in enumerate(texts.to_pylist()):
+                    if not text:
+                        good[i] = False
+                    elif not good[i] or not text.isascii() and _WIDE_SPACE.search(text):
+                        whole = [s.whole(text) for s in sides]
+                        good[i] = whole[0] is not None and whole[1] is not None
+                        for r, x in zip(rows, whole, strict=True):
+                            r[i] = x
+                cols = []
+                for r in rows:
+                    kept = [x if ok else _NONE for x, ok in zip(r, good.tolist(), strict=True)]
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_NONE, *kept]))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "a", "b"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, a array<int>, b array<int>")
 
 
+_NONE = np.zeros(0, np.int32)
+
+
 class Aligned:
     """Groups and links of the texts of a batch; a text's tokens of both sides cover the same bytes."""
 
