@@ -25,10 +25,14 @@ append one, so results never depend on partition layout.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.session import materialize
 
@@ -177,21 +181,83 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column
             .drop("__pid", "__loc", "__own", "__before", "__first", "__earlier"))
 
 
+def scan_ranges(df: DataFrame, order: Sequence[Column], step: Callable, schema: str, num_partitions: int | None = None) -> DataFrame:
+    """Deal ``df`` out by ranges of ``order``, sort each range, and run ``step`` once over it; stored.
+
+    ``step(part, batches) -> batches`` gets the number of its range and the
+    range's rows in order, as Arrow batches, and may keep what it likes between
+    them, so long as that is bounded. One exchange, no group in one task. What
+    a row needs from beyond its range is for ``step`` to give out as boundary
+    rows, of which there is a bounded number per range. The result is written
+    once: range bounds come from a random sample and would move if recomputed.
+    """
+    def run(batches):
+        from pyspark import TaskContext
+        yield from step(TaskContext.get().partitionId(), batches)
+
+    ranged = df.repartitionByRange(_num_ranges(df, num_partitions), *order).sortWithinPartitions(*order)
+    return materialize(ranged.mapInArrow(run, schema))
+
+
+def _ddl(schema: T.StructType, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), *more])
+
+
 def with_next_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                        cols: Sequence[str], prefix: str = "next_",
                        num_partitions: int | None = None) -> DataFrame:
     """``LEAD(c) OVER (PARTITION BY group ORDER BY order)`` for each c in cols.
 
-    Row i's successor is row i+1 of the global index if it has the same group:
-    an equi join on unique positions, so no group lands in one task.
+    Rows are dealt out by ranges of (group, order) and each range is passed
+    over once: a row's successor is the next row of the range, if its group is
+    the same. The last row of a range takes the first row of the next range
+    that has any, from a table of one row per range. One exchange, and no group
+    in one task, however large it is.
     """
-    idx = with_global_index(df, [*_group_first(group), *order], "__gidx",
-                            num_partitions=num_partitions)
-    nxt = idx.select((F.col("__gidx") - 1).alias("__pidx"),
-                     *[F.col(g).alias(f"__ng_{i}") for i, g in enumerate(group)],
-                     *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    cond = idx["__gidx"] == nxt["__pidx"]
+    def step(part, batches):
+        held = None  # the row whose successor is not known yet
+        first = True
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not rows.num_rows:
+                continue
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            yield from _with_next(rows.slice(0, rows.num_rows - 1), rows.slice(1), group, cols, prefix, part, first, False).to_batches()
+            first = first and rows.num_rows == 1
+            held = rows.slice(rows.num_rows - 1)
+        if held is not None:
+            yield from _with_next(held, held.slice(0, 0), group, cols, prefix, part, first, True).to_batches()
+
+    leads = [f"`{prefix}{c}` {df.schema[c].dataType.simpleString()}" for c in cols]
+    rows = scan_ranges(df, [*_group_first(group), *order], step, _ddl(df.schema, *leads, "__part int", "__first boolean", "__last boolean"), num_partitions)
+    heads = rows.where("__first").select("__part", *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], *[F.col(c).alias(f"__c{i}") for i, c in enumerate(cols)])
+    # one row per range: a bounded number
+    heads = heads.withColumn("__after", F.lag("__part").over(Window.orderBy("__part"))).drop("__part")
+    cond = F.col("__last") & (F.col("__part") == F.col("__after"))
     for i, g in enumerate(group):
-        cond = cond & idx[g].eqNullSafe(nxt[f"__ng_{i}"])
-    res = idx.join(nxt, cond, "left")
-    return res.drop("__gidx", "__pidx", *[f"__ng_{i}" for i in range(len(group))])
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    out = rows.join(F.broadcast(heads), cond, "left")
+    out = out.withColumns({f"{prefix}{c}": F.when(F.col("__last"), F.col(f"__c{i}")).otherwise(F.col(f"{prefix}{c}")) for i, c in enumerate(cols)})
+    return out.select(*df.columns, *[f"{prefix}{c}" for c in cols])
+
+
+def _with_next(rows: pa.Table, after: pa.Table, group: Sequence[str], cols: Sequence[str], prefix: str, part: int, first: bool, last: bool) -> pa.Table:
+    """``rows`` with the values of the rows one place later, null where the group changes or none follows."""
+    n = rows.num_rows
+    same = np.ones(n, bool) if after.num_rows else np.zeros(n, bool)
+    if after.num_rows:
+        for g in group:
+            same &= _same(rows.column(g), after.column(g))
+    place = pa.array(np.arange(n), mask=~same)
+    for c in cols:
+        rows = rows.append_column(f"{prefix}{c}", after.column(c).take(place))
+    head = np.zeros(n, bool)
+    head[:1] = first
+    return (rows.append_column("__part", pa.array(np.full(n, part, np.int32))).append_column("__first", pa.array(head))
+            .append_column("__last", pa.array(np.full(n, last))))
+
+
+def _same(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """Row by row whether the values are equal, null like null."""
+    both = pc.and_(pc.is_null(a), pc.is_null(b))
+    return pc.or_(pc.fill_null(pc.equal(a, b), False), both).to_numpy(zero_copy_only=False).astype(bool)

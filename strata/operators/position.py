@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import first_match, later_of, safe_ratio
+from strata.operators.history import EventHistory
 from strata.operators.intervals import DEFAULT_SALT, bucket_by_interval, summarize_events_in_period
+from strata.operators.lookups import LookupReport, checked_lookup
 from strata.operators.ordered import with_rank, with_row_number
 from strata.operators.rows import fallback_lookup
 from strata.session import materialize
@@ -136,6 +138,80 @@ def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
     return pos.join(ranked.select("pk", "priority_rank"), "pk").join(numbered.select("pk", "period_rank"), "pk")
 
 
+def position_base(periods: DataFrame, details: DataFrame, checkpoints: DataFrame, volumes: DataFrame, defaults: DataFrame,
+                  customers: DataFrame, exports: DataFrame, meters: DataFrame, handlers: DataFrame, intervals: DataFrame,
+                  as_of: dt.date, reports: dict[str, LookupReport] | None = None) -> DataFrame:
+    """All that a valid period is and belongs to, without its events and ranks.
+
+    Inputs, under these names:
+      periods(pk, id, start_date, end_date, status, disc_date, energ, deenerg_date), pk unique
+      details(pk, distributor, line_class, profile_class, config_id, area, postcode, service_flag)
+      checkpoints(id, cp_date)
+      volumes(id, annual_volume), defaults(class_num, config_id, area, default_annual_volume): decimals
+      customers(id, customer_type, customer_name, customer_number, address)
+      exports(participant, class_id, export_indicator, priority): the row of the smallest priority counts
+      meters(link, meter_type, seen, line): the latest row of a link counts
+      handlers(area, handler): one row per area, checked
+    Every lookup states its rule for repeated keys (:mod:`strata.operators.lookups`),
+    so a period is one row. ``reports`` takes a :class:`LookupReport` by lookup name.
+    The volume is rounded to 2 places. Filters on the result that need no volume
+    reach the periods below the lookups.
+    """
+    report = (reports or {}).get
+    base = periods.filter(F.col("status").isin("O", "F") & ((F.col("start_date") < F.col("end_date")) | F.col("end_date").isNull()))
+    own = ["distributor", "line_class", "profile_class", "config_id", "area", "postcode", "service_flag"]
+    base = checked_lookup(base, details, [("pk", "pk")], {c: c for c in own}, name="period details", report=report("details"))
+    base = checked_lookup(base, checkpoints, [("id", "id")], {"cp_date": "cp_date"}, rule="last", name="checkpoints", report=report("checkpoints"))
+    base = base.withColumn("last_valid_date", later_of("cp_date", "start_date"))
+    base = bucket_by_interval(base, "last_valid_date", intervals, label="run", salt=1)
+    base = affecting_flags(base, intervals, "start_date", "end_date", "disc_date", "energ", "deenerg_date", "cp_date")
+    base = base.withColumn("current_supplier", F.col("end_date").isNull() | (F.col("end_date") >= F.lit(as_of)))
+    base = checked_lookup(base, exports, [("distributor", "participant"), ("line_class", "class_id")], {"export_indicator": "export_indicator"},
+                          rule="first", order=["priority"], name="export flags", report=report("exports"))
+    base = checked_lookup(base, meters, [("pk", "link")], {"meter_type": "meter_type"}, rule="last", order=["seen", "line"], name="meters", report=report("meters"))
+    base = checked_lookup(base, handlers, [("area", "area")], {"handler": "handler"}, name="handlers", report=report("handlers"))
+    who = ["customer_type", "customer_name", "customer_number", "address"]
+    base = checked_lookup(base, customers, [("id", "id")], {c: c for c in who}, name="customers", report=report("customers"))
+    base = checked_lookup(base, volumes, [("id", "id")], {"annual_volume": "annual_volume"}, found="__own", name="volumes", report=report("volumes"))
+    # a default only where the id has no volume of its own: a null key matches nothing
+    missing = lambda c: F.when(~F.col("__own"), c)
+    base = checked_lookup(base, defaults, [(missing(F.col("profile_class").try_cast("bigint")), "class_num"), ("config_id", "config_id"), ("area", "area")],
+                          {"default_annual_volume": "default_annual_volume"}, rule="first", name="default volumes", report=report("defaults"))
+    volume = F.round(F.when(F.col("__own"), F.col("annual_volume")).otherwise(F.col("default_annual_volume")), 2)
+    return base.withColumn("volume", volume.cast("double")).drop("__own", "annual_volume", "default_annual_volume")
+
+
+def with_event_facts(base: DataFrame, history: EventHistory, as_of: dt.date, order: Sequence[str], keep_event: Column | None) -> DataFrame:
+    """``base`` with each period's event counts and its latest event: time, code, description, note, audit flag.
+    One join to the stored history; periods without events have counts of 0."""
+    payload = ["code", "note", "description", "audit_status"]
+    facts = history.facts(base, "pk", "id", "start_date", "end_date", as_of, since=F.col("last_valid_date"), order=[*order, *payload], event_filter=keep_event)
+    facts = facts.select("pk", "events_since_start", "events_since_checkpoint", F.col(f"latest.{history.ts}").alias("event_ts"),
+                         *[F.col(f"latest.{c}").alias(n) for c, n in (("code", "event_code"), ("description", "event_description"),
+                                                                      ("note", "event_note"), ("audit_status", "audit_status"))])
+    out = base.join(facts, "pk", "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("events_since_start", "events_since_checkpoint")})
+
+
+def with_priority(base: DataFrame, intervals: DataFrame, as_of: dt.date) -> DataFrame:
+    """``base`` with its score, the rank of the score per handler and the number of the period per id (latest first).
+    Only keys and order columns go through the two ordered steps."""
+    scored = base.withColumn("score", priority_score("volume", "run", "affecting", "cp_date", "start_date", run_max(intervals, "RF"), as_of))
+    scored = materialize(scored)
+    ranked = priority_rank(scored.select("pk", "handler", "score"), ["handler"], "score", ["pk"], out="priority_rank").select("pk", "priority_rank")
+    numbered = with_row_number(scored.select("pk", "id", "start_date"), ["id"], [F.col("start_date").desc(), F.col("pk").desc()], out="period_rank")
+    return scored.join(ranked, "pk").join(numbered.select("pk", "period_rank"), "pk")
+
+
+def drill_down(pos: DataFrame, day: dt.date, customer: str, meter_type: str, customer_type: str, final_run: str = "RF") -> DataFrame:
+    """Rows of one customer, meter type and customer type that affect settlement, are known not
+    to export (null is not FALSE), are not in the final run and are live on ``day``."""
+    d = F.lit(day)
+    return pos.filter((F.col("customer_name") == customer) & (F.col("meter_type") == meter_type) & (F.col("customer_type") == customer_type)
+                      & F.col("affecting") & ~F.col("export_indicator") & (F.col("run") != final_run)
+                      & (F.col("start_date") <= d) & ((F.col("end_date") >= d) | F.col("end_date").isNull()))
+
+
 def position_filter(pos: DataFrame, day: dt.date, segment: str, handler_not: str) -> DataFrame:
     """Drill-down: affecting, current on ``day``, one segment, excluding one
     handler's final-run rows (plain predicates, pushed to the scan)."""

@@ -13,6 +13,8 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.columns import concat_parts, ntz
+from strata.operators.history import EventHistory, describe_events
 from strata.operators.intervals import bucket_by_interval, contiguous_intervals
 from strata.operators.ordered import with_next_in_group
 from strata.session import materialize
@@ -70,8 +72,7 @@ def periods(t: Tables) -> DataFrame:
                         F.col("o_orderpriority").alias("priority"))
     nxt = with_next_in_group(o, ["id"], [F.col("start_date"), F.col("pk")], ["start_date"],
                              prefix="next_")
-    # the validity-period table: written once, read by every period query
-    return materialize(nxt.withColumnRenamed("next_start_date", "end_date"))
+    return nxt.withColumnRenamed("next_start_date", "end_date")  # stored once, read by every period query
 
 
 @memo
@@ -156,6 +157,89 @@ def cases(t: Tables) -> DataFrame:
         F.when(k % 11 == 0, "Complex query").otherwise("Routine query").alias("subject"))
 
 
+# Descriptions of the return flags (the event code lookup table).
+EVENT_CODES = [("A", "accepted"), ("N", "not returned"), ("R", "returned")]
+# What a part type says about export; other types are FALSE.
+EXPORT_TYPES, UNKNOWN_EXPORT_TYPES = ("ECONOMY", "SMALL"), ("PROMO",)
+COMMERCIAL_SEGMENTS = ("BUILDING", "MACHINERY", "AUTOMOBILE")
+
+
+def event_codes(spark) -> DataFrame:
+    return spark.createDataFrame(EVENT_CODES, "code string, description string")
+
+
+@memo
+def details(t: Tables) -> DataFrame:
+    """(pk, distributor, line_class, profile_class, config_id, area, postcode, service_flag): what a
+    period's registration says; the class is not a number for every tenth customer."""
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    c, n = t.customer, t.nation
+    x = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return x.select(F.col("o_orderkey").alias("pk"), F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 25 + 1).cast("string")).alias("distributor"),
+                    (F.col("c_custkey") % 50 + 1).cast("int").alias("line_class"),
+                    F.when(F.col("c_custkey") % 10 == 0, F.lit("n/a")).otherwise(F.col("c_nationkey").cast("string")).alias("profile_class"),
+                    F.col("c_mktsegment").alias("config_id"), F.col("n_name").alias("area"),
+                    F.concat_ws(" ", F.concat(F.lit("Z"), F.col("c_nationkey").cast("string")), (F.col("c_custkey") % 90 + 10).cast("string")).alias("postcode"),
+                    F.substring("o_orderpriority", 1, 1).alias("service_flag"))
+
+
+@memo
+def exports(t: Tables) -> DataFrame:
+    """(participant, class_id, export_indicator, priority): keys repeat; the flag is three-valued."""
+    flag = F.when(F.col("p_type").isin(*UNKNOWN_EXPORT_TYPES), F.lit(None)).otherwise(F.col("p_type").isin(*EXPORT_TYPES))
+    return t.part.select(F.col("p_brand").alias("participant"), F.col("p_size").alias("class_id"), flag.alias("export_indicator"), F.col("p_partkey").alias("priority"))
+
+
+@memo
+def meters(t: Tables) -> DataFrame:
+    """(link, meter_type, seen, line): a meter per line item, linked to its order's period."""
+    return t.lineitem.select(F.col("l_orderkey").alias("link"), F.col("l_returnflag").alias("meter_type"), F.col("l_shipdate").alias("seen"), F.col("l_linenumber").alias("line"))
+
+
+@memo
+def handlers(t: Tables) -> DataFrame:
+    """(area, handler): of each nation the supplier with the largest balance."""
+    s, n = t.supplier, t.nation
+    return (s.join(n, s.s_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("area"))
+            .agg(F.max_by("s_name", F.struct("s_acctbal", "s_suppkey")).alias("handler")))
+
+
+@memo
+def account_holders(t: Tables) -> DataFrame:
+    """(id, customer_type, customer_name, customer_number, address); every 17th has no name."""
+    c, n, r = t.customer, t.nation, t.region
+    parts = [F.col("c_name"), F.when(F.col("c_custkey") % 7 == 0, F.lit("   ")).otherwise(F.col("c_mktsegment")),
+             F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).otherwise(F.col("n_name")), F.col("r_name")]
+    return (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+            .select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment").isin(*COMMERCIAL_SEGMENTS), "Commercial").otherwise("Domestic").alias("customer_type"),
+                    F.when(F.col("c_custkey") % 17 != 0, F.col("n_name")).alias("customer_name"), F.col("c_name").alias("customer_number"),
+                    concat_parts(parts).alias("address")))
+
+
+@memo
+def own_volumes(t: Tables) -> DataFrame:
+    """(id, annual_volume): recent returned value per customer that has any, as a decimal."""
+    li, o = t.lineitem, t.orders.select("o_orderkey", "o_custkey")
+    recent = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= ntz(dt.datetime(2000, 1, 1)))
+    return (li.filter(recent).join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("id"))
+            .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("annual_volume")))
+
+
+@memo
+def default_volumes(t: Tables) -> DataFrame:
+    """(class_num, config_id, area, default_annual_volume): mean balance per nation and segment, as a decimal."""
+    c, n = t.customer, t.nation
+    return (c.join(n, c.c_nationkey == n.n_nationkey)
+            .groupBy(F.col("c_nationkey").cast("bigint").alias("class_num"), F.col("c_mktsegment").alias("config_id"), F.col("n_name").alias("area"))
+            .agg((F.sum(F.col("c_acctbal").cast("decimal(18,2)")) / F.count(F.lit(1))).alias("default_annual_volume")))
+
+
+@memo
+def event_history(t: Tables) -> EventHistory:
+    """All readings with description and audit flag, stored once (bucketed) for every join to periods."""
+    return EventHistory.store(describe_events(reads(t), event_codes(t.spark), "code", "code", "description", ["N"]), "id", "ts")
+
+
 def capacity(spark) -> DataFrame:
     return spark.createDataFrame(CAPACITY, "owner string, hours double")
 

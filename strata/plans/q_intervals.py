@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.functions.columns import keep_unless_excluded
-from strata.operators.intervals import (bucket_by_interval, count_events_in_period,
-                                        count_since_checkpoint, latest_event_in_period)
+from strata.functions.columns import keep_unless_excluded, later_of
+from strata.operators.intervals import bucket_by_interval
 from strata.operators.rows import latest_per_key, preferred_row
+from strata.operators.sweep import facts_in_period, sweep_periods
 from strata.plans import fixtures as fx
 from strata.plans.oracle_fixtures import AS_OF, with_ctes
 from strata.plans.registry import register
@@ -25,6 +25,11 @@ def keep_reading(prefix: str = ""):
     return keep_unless_excluded(f"{prefix}code", f"{prefix}note", EXCLUDED_CODE, KEYWORDS)
 
 
+def until():
+    """The last day of a period; an open one lasts to the reference date."""
+    return F.coalesce("end_date", F.lit(fx.AS_OF))
+
+
 @register("q_interval_bucket", with_ctes(["reads", "intervals"], """
 SELECT i.run, COUNT(*) AS n_customers,
        CAST(SUM(CAST(c.c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total_value
@@ -101,9 +106,8 @@ GROUP BY p.pk, p.id, p.start_date, p.end_date"""))
 def q_period_counts(spark, sf):
     t = Tables(spark, sf)
     per = fx.periods(t).select("pk", "id", "start_date", "end_date")
-    return count_events_in_period(per, fx.reads(t), "pk", "id", "start_date", "end_date", "ts",
-                                  fx.AS_OF, event_filter=keep_reading(), all_columns=["code", "note"],
-                                  out="read_count", out_all="read_count_all")
+    return facts_in_period(per, fx.reads(t), "pk", "id", F.col("start_date"), until(), "ts", {"n": "read_count", "n_whole": "read_count_all"},
+                           whole=["code", "note"], event_filter=keep_reading())
 
 
 @register("q_count_since_checkpoint", with_ctes(["periods", "reads", "checkpoints"], f"""
@@ -119,9 +123,8 @@ GROUP BY p.pk, p.id, p.start_date, p.end_date, c.cp_date"""))
 def q_count_since_checkpoint(spark, sf):
     t = Tables(spark, sf)
     per = fx.periods(t).select("pk", "id", "start_date", "end_date")
-    return count_since_checkpoint(per, fx.checkpoints(t), fx.reads(t), "pk", "id", "start_date",
-                                  "end_date", "ts", "cp_date", fx.AS_OF, event_filter=keep_reading(),
-                                  out="read_count_since")
+    per = per.join(fx.checkpoints(t), "id", "left")
+    return facts_in_period(per, fx.reads(t), "pk", "id", later_of("cp_date", "start_date"), until(), "ts", {"n": "read_count_since"}, event_filter=keep_reading())
 
 
 @register("q_period_latest", with_ctes(["periods", "reads"], f"""
@@ -136,9 +139,8 @@ WHERE rn = 1"""))
 def q_period_latest(spark, sf):
     t = Tables(spark, sf)
     per = fx.periods(t).select("pk", "id", "start_date", "end_date")
-    return latest_event_in_period(per, fx.reads(t), "pk", "id", "start_date", "end_date", "ts",
-                                  order=["l_orderkey", "l_linenumber", "code", "note"],
-                                  payload=[], as_of=fx.AS_OF, event_filter=keep_reading())
+    found = sweep_periods(per, fx.reads(t).filter(keep_reading()), "pk", "id", F.col("start_date"), until(), "ts", order=["l_orderkey", "l_linenumber", "code", "note"])
+    return found.where("n > 0").select("pk", "latest.*")
 
 
 @register("q_exclusion_rule", with_ctes(["reads"], f"""
