@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bytescan
+from strata.llm import bytescan, segments
 
 #: Fixed value: how the byte-level vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -67,7 +67,7 @@ def last_merges(ranks: dict[bytes, int]) -> dict[int, int]:
 class PrefixCoder:
     """Encoder and decoder of pieces (bytes) by a vocabulary of ranks that holds all single bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], halves: dict[int, int] | None = None, memory: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], halves: dict[int, int] | None = None, memory: int = 1 << 18):
         self.ranks, self.memory, self.size = ranks, memory, len(ranks) + max(ranks.values())
         self.halves = last_merges(ranks) if halves is None else halves
         self.token = {i: t for t, i in ranks.items()}
@@ -76,7 +76,10 @@ class PrefixCoder:
         for t, i in ranks.items():
             if len(t) == 1 or self.halves[i]:
                 ends.setdefault(t[-4:], set()).add(len(t))
-        # for the last four bytes (or fewer), the lengths of the tokens that end in them, the longest first
+        # for the last four bytes (fewer where no token ends in so many) the lengths of tokens that may end there, the longest first
+        for key in sorted(ends, key=len):
+            for k in range(1, len(key)):
+                ends[key] |= ends.get(key[k:], set()) if k == 1 or key[k - 1:] not in ends else set()
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self._fits: dict[int, bool] = {}
         self._pieces: dict[str, bytes] = {}
@@ -120,21 +123,27 @@ class PrefixCoder:
             else:
                 j += 1
 
-    def last_token(self, data: bytes, table: array, end: int) -> int:
-        """The valid last token of ``data[:end]``; ``table[i - 1]`` is that of ``data[:i]`` for smaller i."""
-        ranks, known, size = self.ranks, self._fits, self.size
-        for k in (4, 3, 2, 1):
-            if k > end:
-                continue
-            for n in self.lengths.get(data[end - k:end], ()):
-                start = end - n
-                if start < 0 or n > k and k < 4:
+    def extend(self, data: bytes, table: array, end: int | None = None) -> array:
+        """Append the entries of ``data`` from ``len(table)`` to ``end``, in place.
+
+        The last token of a prefix is the one of those that end there that fits the
+        last token of the prefix in front of it; there is exactly one.
+        """
+        ranks, known, size, lengths = self.ranks, self._fits, self.size, self.lengths
+        for stop in range(len(table) + 1, (len(data) if end is None else end) + 1):
+            low = stop - 4 if stop > 4 else 0
+            here = (lengths.get(data[low:stop]) or lengths.get(data[low + 1:stop]) or lengths.get(data[low + 2:stop]) or lengths.get(data[low + 3:stop])
+                    or lengths[data[stop - 1:stop]])
+            for n in here:
+                start = stop - n
+                if start < 0:
                     continue
-                t = ranks.get(data[start:end])
+                t = ranks.get(data[start:stop])
                 if t is None:
                     continue
                 if not start:
-                    return t
+                    table.append(t)
+                    break
                 key = table[start - 1] * size + t
                 fits = known.get(key)
                 if fits is None:
@@ -142,13 +151,10 @@ class PrefixCoder:
                         known.clear()
                     fits = known[key] = self.fits(table[start - 1], t)
                 if fits:
-                    return t
-        raise ValueError("the vocabulary lacks a byte")
-
-    def extend(self, data: bytes, table: array) -> array:
-        """Append the entries of ``data`` from ``len(table)`` on, in place."""
-        for end in range(len(table) + 1, len(data) + 1):
-            table.append(self.last_token(data, table, end))
+                    table.append(t)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
         return table
 
     def table(self, data: bytes) -> array:
@@ -163,7 +169,7 @@ class PrefixCoder:
         """
         table, shift, same = old[:start], stop - start - len(new), 0
         while len(table) < len(data):
-            table.append(self.last_token(data, table, len(table) + 1))
+            self.extend(data, table, len(table) + 1)
             if len(table) > start + len(new):
                 same = same + 1 if table[-1] == old[len(table) - 1 + shift] else 0
                 if same == self.longest:
@@ -334,10 +340,26 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, halves, newer = shared.value
         coder, splitter = PrefixCoder(ranks, halves), Splitter(newer)
+
+        def packed(text: str) -> bytes:
+            return b"".join(b"".join(map(coder.packed, p)) for p in splitter.pieces(text))
+
+        def encode(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [packed(x) for x in some]
+            return np.frombuffer(b"".join(found), "<i4"), np.array([len(x) // 4 for x in found], np.int64)
+
+        # no piece goes on from another character to white space behind it, so segments are encoded by themselves
+        store = segments.Store(encode)
         for batch in batches:
-            for part in bytescan.slices(batch, "text"):
-                ids = [b"".join(b"".join(map(coder.packed, p)) for p in splitter.pieces(t.as_py() or "")) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+            for part in bytescan.slices(batch, "text", 2 << 20):
+                texts = part.column("text")
+                ids, ends = store.ids_of(segments.Texts(*bytescan.buffer_of(texts)))
+                data = ids.astype("<i4").tobytes()
+                rows = [data[4 * a:4 * b] for a, b in itertools.pairwise(ends.tolist())]
+                for i, text in enumerate(texts.to_pylist()):
+                    if text and not text.isascii() and segments.WIDE_SPACE.search(text):
+                        rows[i] = packed(text)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array(rows, pa.binary())],
                                                  [id_col, "n_tokens", "ids"])
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary")
@@ -353,9 +375,13 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {i: t for t, i in shared.value[0].items()}
+        if any(i not in token for i in range(len(token))):
+            raise ValueError("the vocabulary's ids have gaps")
+        known = segments.TokenBytes([token[i] for i in range(len(token))])
         for batch in batches:
-            data = [None if x is None else b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("ids"), pa.array(data, pa.binary())], ["row", "ids", "decoded"])
+            for part in bytescan.slices(batch, "ids", 4 << 20):
+                data = [None if x is None else known.joined(np.frombuffer(x, "<u4")).tobytes() for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("ids"), pa.array(data, pa.binary())], ["row", "ids", "decoded"])
 
     rest = [c for c in encoded.columns if c != ids]
     packed = encoded.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("c")).alias("row"), F.col(ids).alias("ids"))
