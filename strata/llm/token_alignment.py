@@ -25,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm import bytescan
+from strata.llm import bytescan, segments
 from strata.llm.shared import Scratch
 
 #: distinct pairs that a task of the count holds before it hands them on
 HELD = 2_000_000
 
 
-#: white space beyond ASCII that the pattern of side A joins with blanks around it, in UTF-8
-_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: ASCII white space, of which all but the carriage return may begin a segment (side B has tokens such as ";" and it)
 _SPACE, _CUT = " \t\n\x0b\x0c\r", " \t\n\x0b\x0c"
 
@@ -87,77 +85,27 @@ class SideB:
         return [ids if s[:1] == " " else ids[2:] for s, ids in zip(segments, self.coder.encode(plain, num_threads=1), strict=True)]
 
 
-class _Bytes:
-    """The bytes of a vocabulary's tokens, by id."""
-
-    def __init__(self, token: list[bytes]):
-        self.length = np.array([len(t) for t in token], np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.raw = np.frombuffer(b"".join(token), np.uint8)
-
-    def joined(self, ids: np.ndarray) -> np.ndarray:
-        return self.raw[_places(self.start[ids], self.length[ids])]
-
-
-def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The places ``start[i] .. start[i] + n[i] - 1`` of all i, one after the other."""
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)
-
-
-class _Segments:
-    """Token ids of segments by the segment's hash; the library is asked once per segment."""
-
-    def __init__(self, side, limit: int = 1 << 19):
-        self.side, self.limit = side, limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.row: dict[int, int] = {}
-        self.ids, self.start, self.n = np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = 0
-
-    def rows(self, hashes: np.ndarray, segment) -> np.ndarray:
-        """A row per hash; ``segment(i)`` is the string of the i-th."""
-        if len(self.row) > self.limit or self.used > 8 * self.limit:
-            self.clear()
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.row]
-        for at in range(0, len(new), 4096):  # the library's own results are large objects
-            some = new[at:at + 4096]
-            found = self.side.encode_segments([segment(i) for i in some])
-            n = np.array([len(x) for x in found], np.int64)
-            flat = np.fromiter((t for x in found for t in x), np.int32, int(n.sum()))
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(len(self.ids), len(flat)), np.int32)])
-            self.ids[self.used:self.used + len(flat)] = flat
-            for k, i in enumerate(some):
-                self.row[keys[i]] = len(self.n) + k
-            self.start = np.concatenate([self.start, self.used + np.cumsum(n) - n])
-            self.n = np.concatenate([self.n, n])
-            self.used += len(flat)
-        return np.fromiter((self.row[k] for k in keys), np.int64, len(keys))
-
-
 class _Tokens:
     """One side's ids of a batch of texts, flat with offsets, whose bytes are checked against the texts'."""
 
     def __init__(self, side):
-        self.side, self.bytes, self.known = side, _Bytes(side.token), _Segments(side)
-
-    def of(self, raw: np.ndarray, off: np.ndarray, uniq: np.ndarray, which: np.ndarray, segment, doc_segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, offsets and which texts' bytes are those of ``raw``; texts that are not have no ids here."""
-        row = self.known.rows(uniq, segment)[which]
-        n = self.known.n[row]
-        ids = self.known.ids[_places(self.known.start[row], n)]
-        ends = np.concatenate([[0], np.cumsum(n)])[doc_segments]
+        self.side, self.bytes, self.store = side, segments.TokenBytes(side.token), segments.Store(self._encode)
+
+    def _encode(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.side.encode_segments(some)
+        n = np.array([len(x) for x in found], np.int64)
+        return np.fromiter((t for x in found for t in x), np.int32, int(n.sum())), n
+
+    def of(self, texts: segments.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, offsets and which texts' bytes are those of their tokens; texts that are not have no ids here."""
+        ids, ends = self.store.ids_of(texts)
         size = np.concatenate([[0], np.cumsum(self.bytes.length[ids])])[ends]
-        good = np.diff(size) == np.diff(off)
+        good = np.diff(size) == np.diff(texts.off)
         keep = np.repeat(good, np.diff(ends))
         ids, n_doc = ids[keep], np.where(good, np.diff(ends), 0)
-        differs = self.bytes.joined(ids) != raw[np.repeat(good, np.diff(off))]
+        differs = self.bytes.joined(ids) != texts.raw[np.repeat(good, np.diff(texts.off))]
         if differs.any():
-            text = np.repeat(np.arange(len(good))[good], np.diff(off)[good])
+            text = np.repeat(np.arange(len(good))[good], np.diff(texts.off)[good])
             wrong = np.zeros(len(good), bool)
             wrong[text[differs]] = True
             ids = ids[~np.repeat(wrong, n_doc)]
@@ -180,15 +128,6 @@ def _spaced(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, to
 
 
-def _segment_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where runs of ASCII white space begin (other than by a carriage return), and every text (with its space)."""
-    space = bytescan.SPACE[raw]
-    first = space & (raw != 0x0D)
-    first[1:] &= ~space[:-1]
-    first[off[:-1]] = True
-    return np.flatnonzero(first)
-
-
 def tokenize_both(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
     """``doc_id, a array<int>, b array<int>``: the ids of both sides, one row per row of ``docs``.
 
@@ -205,21 +144,16 @@ def tokenize_both(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
         sides = [_Tokens(kind(data)) for kind, data in zip((SideA, SideB), shared.value, strict=True)]
         by_segment = all(s.side.by_segment for s in sides)
         for batch in batches:
-            for part in bytescan.slices(batch, "text"):
+            for part in bytescan.slices(batch, "text", 2 << 20):
                 texts = part.column("text")
-                raw, off = _spaced(*bytescan.buffer_of(texts))
-                start = _segment_starts(raw, off)
-                end = np.append(start[1:], len(raw))
-                uniq, at, which = np.unique(bytescan.span_hashes(raw, start, end), return_index=True, return_inverse=True)
-                data = raw.tobytes()
-                segment = lambda i, at=at, start=start, end=end, data=data: data[start[at[i]]:end[at[i]]].decode()
-                found = [s.of(raw, off, uniq, which, segment, np.searchsorted(start, off)) for s in sides]
+                cut = segments.Texts(*_spaced(*bytescan.buffer_of(texts)), carriage_return=False)
+                found = [s.of(cut) for s in sides]
                 good = found[0][2] & found[1][2] & by_segment
                 rows = [[ids[x:y] for x, y in itertools.pairwise(ends.tolist())] for ids, ends, _ in found]
                 for i, text in enumerate(texts.to_pylist()):
                     if not text:
                         good[i] = False
-                    elif not good[i] or not text.isascii() and _WIDE_SPACE.search(text):
+                    elif not good[i] or not text.isascii() and segments.WIDE_SPACE.search(text):
                         whole = [s.whole(text) for s in sides]
                         good[i] = whole[0] is not None and whole[1] is not None
                         for r, x in zip(rows, whole, strict=True):
@@ -318,7 +252,7 @@ def _batch_of(batch: pa.RecordBatch, a_length: np.ndarray, b_length: np.ndarray)
     return Aligned(*sides, a_length, b_length)
 
 
-def _pieces(batch: pa.RecordBatch, tokens: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, tokens: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``tokens`` tokens of A, or one longer text."""
     off = batch.column("a").offsets.to_numpy()
     at = 0
@@ -391,7 +325,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, heavy: int = 1 <<
     for path in (a_path, b_path):
         with open(path, "rb") as f:
             files.append(f.read())
-    lengths = [_Bytes(kind(data).token).length for kind, data in zip((SideA, SideB), files, strict=True)]
+    lengths = [segments.TokenBytes(kind(data).token).length for kind, data in zip((SideA, SideB), files, strict=True)]
     b_size = len(lengths[1])
     tokens = scratch.table(tokenize_both(docs, *files).withColumn("rid", F.monotonically_increasing_id()), "tokens")
     counts = scratch.table(pair_counts(tokens, *lengths), "counts")
