@@ -89,7 +89,7 @@ class _Tokens:
     """One side's ids of a batch of texts, flat with offsets, whose bytes are checked against the texts'."""
 
     def __init__(self, side):
-        self.side, self.bytes, self.store = side, segments.TokenBytes(side.token), segments.Store(self._encode)
+        self.side, self.bytes, self.store = side, segments.TokenBytes(side.token), segments.Store(self._encode, 1 << 18)
 
     def _encode(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.side.encode_segments(some)
@@ -129,7 +129,7 @@ def _spaced(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenize_both(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
-    """``doc_id, a array<int>, b array<int>``: the ids of both sides, one row per row of ``docs``.
+    """``doc_id, a binary, b binary``: the ids of both sides (:func:`packed`), one row per row of ``docs``.
 
     A text that is null or empty, or whose joined bytes of a side differ from
     the space and the text, has no tokens on either side. Neither tokenizer
@@ -144,7 +144,7 @@ def tokenize_both(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
         sides = [_Tokens(kind(data)) for kind, data in zip((SideA, SideB), shared.value, strict=True)]
         by_segment = all(s.side.by_segment for s in sides)
         for batch in batches:
-            for part in bytescan.slices(batch, "text", 2 << 20):
+            for part in bytescan.slices(batch, "text", 1 << 20):
                 texts = part.column("text")
                 cut = segments.Texts(*_spaced(*bytescan.buffer_of(texts)), carriage_return=False)
                 found = [s.of(cut) for s in sides]
@@ -158,19 +158,30 @@ def tokenize_both(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
                         good[i] = whole[0] is not None and whole[1] is not None
                         for r, x in zip(rows, whole, strict=True):
                             r[i] = x
-                cols = []
-                for r in rows:
-                    kept = [x if ok else _NONE for x, ok in zip(r, good.tolist(), strict=True)]
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_NONE, *kept]))))
+                cols = [packed([x if ok else _NONE for x, ok in zip(r, good.tolist(), strict=True)]) for r in rows]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "a", "b"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, a array<int>, b array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, a binary, b binary")
 
 
 _NONE = np.zeros(0, np.int32)
 
 
+def packed(rows: list[np.ndarray]) -> pa.Array:
+    """Ids per row as little-endian integers: of 16 bits behind a zero byte, or of 32 behind a one."""
+    out = []
+    for ids in rows:
+        wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
+        out.append((b"\x01" if wide else b"\x00") + ids.astype("<u4" if wide else "<u2").tobytes())
+    return pa.array(out, pa.binary())
+
+
+def unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows and the offsets of the rows among them."""
+    rows = [np.frombuffer(x, "<u4" if x[0] else "<u2", offset=1) for x in col.to_pylist()]
+    return np.concatenate([_NONE, *rows]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
+
+
 class Aligned:
     """Groups and links of the texts of a batch; a text's tokens of both sides cover the same bytes."""
 
@@ -243,24 +254,11 @@ class _Decimal(dict):
         return got
 
 
-def _batch_of(batch: pa.RecordBatch, a_length: np.ndarray, b_length: np.ndarray) -> Aligned:
-    sides = []
-    for c in ("a", "b"):
-        col = batch.column(c)
-        off = col.offsets.to_numpy().astype(np.int64)
-        sides += [col.values.to_numpy().astype(np.int64)[off[0]:off[-1]], off - off[0]]
-    return Aligned(*sides, a_length, b_length)
-
-
-def _pieces(batch: pa.RecordBatch, tokens: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most ``tokens`` tokens of A, or one longer text."""
-    off = batch.column("a").offsets.to_numpy()
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + tokens, "right")) - 1)
-        to = min(to, batch.num_rows)
-        yield batch.slice(at, to - at)
-        at = to
+def _parts(batches: Iterator[pa.RecordBatch], a_length: np.ndarray, b_length: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+    """Parts of bounded size of all batches (``a``, ``b`` packed), aligned."""
+    for batch in batches:
+        for part in bytescan.slices(batch, "a", 1 << 19):
+            yield part, Aligned(*unpacked(part.column("a")), *unpacked(part.column("b")), a_length, b_length)
 
 
 def _count_pairs(shared, b_size: int):
@@ -274,13 +272,12 @@ def _count_pairs(shared, b_size: int):
             keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             return keys, np.bincount(inverse, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
-        for batch in batches:
-            for part in _pieces(batch):
-                held.append(np.unique(_batch_of(part, *shared.value).text_pairs(b_size)[1], return_counts=True))
-                if len(held) >= 16:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > HELD:
-                        yield rows(*held.pop())
+        for _, x in _parts(batches, *shared.value):
+            held.append(np.unique(x.text_pairs(b_size)[1], return_counts=True))
+            if len(held) >= 16:
+                held[:] = [merged()]
+                if len(held[0][0]) > HELD:
+                    yield rows(*held.pop())
         if held:
             yield rows(*merged())
     return run
@@ -342,22 +339,20 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, heavy: int = 1 <<
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_length, b_length, keys, c, best = shared.value
-        for batch in batches:
-            for part in _pieces(batch):
-                x = _batch_of(part, a_length, b_length)
-                n = part.num_rows
-                text, pair, links = x.text_pairs(b_size)
-                at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
-                known = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
-                per = lambda w: _summed(text[known], w, n)  # noqa: E731, B023
-                hit = at[known]
-                n_groups, groups = x.groups(x.terminals())
-                rare = np.concatenate([[0], np.cumsum(np.bincount(text[~known], minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("doc_id"), pa.array(np.diff(x.a_off)), pa.array(np.diff(x.b_off)), pa.array(n_groups.astype(np.int64)),
-                     pa.array(_summed(text, links, n)), pa.array(per(links[known] * best[hit])), pa.array(per(links[known] * c[hit])), pa.array(groups),
-                     pa.ListArray.from_arrays(pa.array(rare), pa.array(pair[~known])), pa.ListArray.from_arrays(pa.array(rare), pa.array(links[~known]))],
-                    ["rid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rare", "links"])
+        for part, x in _parts(batches, a_length, b_length):
+            n = part.num_rows
+            text, pair, links = x.text_pairs(b_size)
+            at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+            known = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
+            per = lambda w: _summed(text[known], w, n)  # noqa: E731, B023
+            hit = at[known]
+            n_groups, groups = x.groups(x.terminals())
+            rare = np.concatenate([[0], np.cumsum(np.bincount(text[~known], minlength=n))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rid"), part.column("doc_id"), pa.array(np.diff(x.a_off)), pa.array(np.diff(x.b_off)), pa.array(n_groups.astype(np.int64)),
+                 pa.array(_summed(text, links, n)), pa.array(per(links[known] * best[hit])), pa.array(per(links[known] * c[hit])), pa.array(groups),
+                 pa.ListArray.from_arrays(pa.array(rare), pa.array(pair[~known])), pa.ListArray.from_arrays(pa.array(rare), pa.array(links[~known]))],
+                ["rid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rare", "links"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = tokens.mapInArrow(run, f"rid long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long,"
