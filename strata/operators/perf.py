@@ -95,6 +95,39 @@ def group_performance(df: DataFrame, keys: Sequence[str], measure: str, run: str
         perf.alias(f"{prefix}performance"))
 
 
+def one_pass_performance(df: DataFrame, keys: Sequence[str], measure: str, run: str, error_runs: Sequence[str], settle_day: Column,
+                         start: str, end: str, prefix: str = "", label: str = "unknown", exact_decimal: int = 2) -> DataFrame:
+    """:func:`group_performance` from one scan and one exchange of the rows.
+
+    Every row is on the error side, the settled side or neither; both sides of a
+    raw group come from one conditional aggregate, combined in the map tasks.
+    That a null key and a literal ``label`` are groups of their own whose sides
+    are matched by label is settled on the result, which has one row per raw
+    group: under one label at most two values per key (the null and the
+    literal), so at most 2^k rows per side meet there.
+    """
+    dec = f"decimal(38,{exact_decimal})"
+    in_error = F.coalesce(F.col(run).isin(*error_runs), F.lit(False))
+    settled = F.coalesce(~F.col(run).isin(*error_runs) & valid_on(start, end, settle_day), F.lit(False))
+    rows = df.select(*keys, F.col(measure).cast(dec).alias("__m"), in_error.alias("__e"), settled.alias("__s")).where("__e or __s")
+    sides = []
+    for side, flag in (("e", "__e"), ("s", "__s")):
+        sides += [F.sum(F.when(F.col(flag), F.col("__m"))).alias(f"__v{side}"), F.count(F.when(F.col(flag), F.col("__m"))).alias(f"__c{side}"), F.max(flag).alias(f"__has{side}")]
+    raw = rows.groupBy(*keys).agg(*sides)
+    labels = [F.coalesce(F.col(k), F.lit(label)).alias(k) for k in keys]
+    # collect_list leaves out the nulls of a side that a raw group does not have
+    halves = [F.collect_list(F.when(F.col(f"__has{x}"), F.struct(F.col(f"__v{x}").alias("v"), F.col(f"__c{x}").alias("c")))).alias(f"__{x}") for x in ("s", "e")]
+    met = raw.select(*labels, *[c for c in raw.columns if c not in keys]).groupBy(*keys).agg(*halves)
+    met = met.select(*keys, F.explode_outer("__s").alias("__s"), "__e").select(*keys, "__s", F.explode_outer("__e").alias("__e"))
+    zero = F.lit(0).cast(dec)
+    vs, ve = (F.coalesce(F.col(f"__{x}.v"), zero) for x in ("s", "e"))
+    cs, ce = (F.coalesce(F.col(f"__{x}.c"), F.lit(0)).cast("long") for x in ("s", "e"))
+    perf = F.round(safe_ratio(vs.cast("double"), (vs + ve).cast("double"), 0.0), 4)
+    values = {"volume_settled": F.round(vs, exact_decimal).cast("double"), "count_settled": cs, "volume_error": F.round(ve, exact_decimal).cast("double"),
+              "count_error": ce, "total_volume": F.round(vs + ve, exact_decimal).cast("double"), "total_count": ce + cs, "performance": perf}
+    return met.select(*keys, *[values[m].alias(f"{prefix}{m}") for m in METRICS])
+
+
 METRICS = ("volume_settled", "count_settled", "volume_error", "count_error", "total_volume",
            "total_count", "performance")
 

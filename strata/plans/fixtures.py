@@ -13,7 +13,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.columns import concat_parts, ntz
+from strata.functions.columns import concat_parts, first_match, ntz
 from strata.operators.history import EventHistory, describe_events
 from strata.operators.intervals import bucket_by_interval, contiguous_intervals
 from strata.operators.ordered import with_next_in_group
@@ -160,8 +160,9 @@ def cases(t: Tables) -> DataFrame:
 # Descriptions of the return flags (the event code lookup table).
 EVENT_CODES = [("A", "accepted"), ("N", "not returned"), ("R", "returned")]
 # What a part type says about export; other types are FALSE.
-EXPORT_TYPES, UNKNOWN_EXPORT_TYPES = ("ECONOMY", "SMALL"), ("PROMO",)
-COMMERCIAL_SEGMENTS = ("BUILDING", "MACHINERY", "AUTOMOBILE")
+EXPORT_TYPES, UNKNOWN_EXPORT_TYPES = ("ECONOMY",), ("PROMO",)
+# Customer types by market segment; the others are Domestic.
+CUSTOMER_TYPES = {"BUILDING": "Commercial", "MACHINERY": "Commercial", "AUTOMOBILE": "Micro Business"}
 
 
 def event_codes(spark) -> DataFrame:
@@ -176,7 +177,7 @@ def details(t: Tables) -> DataFrame:
     c, n = t.customer, t.nation
     x = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return x.select(F.col("o_orderkey").alias("pk"), F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 25 + 1).cast("string")).alias("distributor"),
-                    (F.col("c_custkey") % 50 + 1).cast("int").alias("line_class"),
+                    (F.col("c_custkey") % 10 + 1).cast("int").alias("line_class"),
                     F.when(F.col("c_custkey") % 10 == 0, F.lit("n/a")).otherwise(F.col("c_nationkey").cast("string")).alias("profile_class"),
                     F.col("c_mktsegment").alias("config_id"), F.col("n_name").alias("area"),
                     F.concat_ws(" ", F.concat(F.lit("Z"), F.col("c_nationkey").cast("string")), (F.col("c_custkey") % 90 + 10).cast("string")).alias("postcode"),
@@ -187,7 +188,7 @@ def details(t: Tables) -> DataFrame:
 def exports(t: Tables) -> DataFrame:
     """(participant, class_id, export_indicator, priority): keys repeat; the flag is three-valued."""
     flag = F.when(F.col("p_type").isin(*UNKNOWN_EXPORT_TYPES), F.lit(None)).otherwise(F.col("p_type").isin(*EXPORT_TYPES))
-    return t.part.select(F.col("p_brand").alias("participant"), F.col("p_size").alias("class_id"), flag.alias("export_indicator"), F.col("p_partkey").alias("priority"))
+    return t.part.select(F.col("p_brand").alias("participant"), (F.col("p_size") % 10 + 1).alias("class_id"), flag.alias("export_indicator"), F.col("p_partkey").alias("priority"))
 
 
 @memo
@@ -208,10 +209,11 @@ def handlers(t: Tables) -> DataFrame:
 def account_holders(t: Tables) -> DataFrame:
     """(id, customer_type, customer_name, customer_number, address); every 17th has no name."""
     c, n, r = t.customer, t.nation, t.region
+    kind = first_match([(F.col("c_mktsegment") == k, v) for k, v in CUSTOMER_TYPES.items()], "Domestic")
     parts = [F.col("c_name"), F.when(F.col("c_custkey") % 7 == 0, F.lit("   ")).otherwise(F.col("c_mktsegment")),
              F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).otherwise(F.col("n_name")), F.col("r_name")]
     return (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-            .select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment").isin(*COMMERCIAL_SEGMENTS), "Commercial").otherwise("Domestic").alias("customer_type"),
+            .select(F.col("c_custkey").alias("id"), kind.alias("customer_type"),
                     F.when(F.col("c_custkey") % 17 != 0, F.col("n_name")).alias("customer_name"), F.col("c_name").alias("customer_number"),
                     concat_parts(parts).alias("address")))
 

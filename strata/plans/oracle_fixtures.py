@@ -6,7 +6,7 @@ they depend on as CTEs, in dependency order.
 
 from __future__ import annotations
 
-from strata.plans.fixtures import (CAPACITY, COMMERCIAL_SEGMENTS, EVENT_CODES, EXPORT_TYPES, RUN_LAGS, STATUS_CODES,
+from strata.plans.fixtures import (CAPACITY, CUSTOMER_TYPES, EVENT_CODES, EXPORT_TYPES, RUN_LAGS, STATUS_CODES,
                                    UNKNOWN_EXPORT_TYPES)
 
 AS_OF = "DATE '2001-08-01'"
@@ -90,19 +90,19 @@ position AS (
   SELECT DISTINCT r.*, e.description, if(r.code = 'N', 'Non-Auditable', 'Auditable') AS audit_status
   FROM reads r JOIN (VALUES {_values(EVENT_CODES)}) e(code, description) USING (code))"""),
     "lookups": ([], f"""details AS (
-  SELECT o_orderkey AS pk, 'Brand#' || (o_orderkey % 25 + 1) AS distributor, o_custkey % 50 + 1 AS line_class,
+  SELECT o_orderkey AS pk, 'Brand#' || (o_orderkey % 25 + 1) AS distributor, o_custkey % 10 + 1 AS line_class,
          if(o_custkey % 10 = 0, 'n/a', c_nationkey::VARCHAR) AS profile_class, c_mktsegment AS config_id, n_name AS area,
          'Z' || c_nationkey || ' ' || (o_custkey % 90 + 10) AS postcode, o_orderpriority[1] AS service_flag
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 exports AS (
-  SELECT p_brand AS participant, p_size AS class_id, arg_min(row(if(p_type IN {UNKNOWN_EXPORT_TYPES + ('',)}, NULL, p_type IN {EXPORT_TYPES})), p_partkey)[1] AS export_indicator
-  FROM part GROUP BY p_brand, p_size),
+  SELECT p_brand AS participant, p_size % 10 + 1 AS class_id, arg_min(row(if(p_type IN {UNKNOWN_EXPORT_TYPES + ('',)}, NULL, p_type IN {EXPORT_TYPES + ('',)})), p_partkey)[1] AS export_indicator
+  FROM part GROUP BY p_brand, p_size % 10),
 meters AS (
   SELECT l_orderkey AS link, max(row(l_shipdate, l_linenumber, l_returnflag))[3] AS meter_type FROM lineitem GROUP BY l_orderkey),
 handlers AS (
   SELECT n_name AS area, max(row(s_acctbal, s_suppkey, s_name))[3] AS handler FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name),
 holders AS (
-  SELECT c_custkey AS id, if(c_mktsegment IN {COMMERCIAL_SEGMENTS}, 'Commercial', 'Domestic') AS customer_type,
+  SELECT c_custkey AS id, coalesce((MAP {CUSTOMER_TYPES})[c_mktsegment], 'Domestic') AS customer_type,
          nullif(if(c_custkey % 17 = 0, '', n_name), '') AS customer_name, c_name AS customer_number,
          array_to_string(list_filter([c_name, if(c_custkey % 7 > 0, c_mktsegment, ''), if(c_custkey % 5 > 0, n_name, ''), r_name], lambda x: x <> ''), ', ') AS address
   FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),

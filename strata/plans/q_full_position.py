@@ -94,11 +94,11 @@ WITH fanned AS (
   SELECT o_orderkey AS pk, o_custkey AS id, o_orderdate::DATE AS start_date,
          lead(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE, o_orderkey) AS end_date FROM orders),
 flags AS (
-  SELECT p_brand, p_size, CASE WHEN p_type = 'PROMO' THEN NULL ELSE p_type IN ('ECONOMY', 'SMALL') END AS export_indicator FROM part)
-SELECT pk, id, start_date, end_date, 'Brand#' || (pk % 25 + 1) AS distributor, (id % 50 + 1)::INT AS line_class, export_indicator, l_returnflag AS meter_type,
+  SELECT p_brand, p_size % 10 + 1 AS class_id, CASE WHEN p_type <> 'PROMO' THEN p_type = 'ECONOMY' END AS export_indicator FROM part)
+SELECT pk, id, start_date, end_date, 'Brand#' || (pk % 25 + 1) AS distributor, (id % 10 + 1)::INT AS line_class, export_indicator, l_returnflag AS meter_type,
        arg_min(l_quantity, row(md5(l_partkey || '|' || l_suppkey || '|' || l_linenumber), l_quantity)) AS quantity
 FROM fanned
-LEFT JOIN flags ON p_brand = 'Brand#' || (pk % 25 + 1) AND p_size = id % 50 + 1
+LEFT JOIN flags ON p_brand = 'Brand#' || (pk % 25 + 1) AND class_id = id % 10 + 1
 LEFT JOIN lineitem ON l_orderkey = pk
 GROUP BY ALL""")
 def q_position_collapse(spark, sf):
@@ -107,7 +107,7 @@ def q_position_collapse(spark, sf):
 
 
 DRILL_DAY = dt.date(2000, 7, 7)
-DRILL = {"customer": "NATION_3", "meter_type": "N", "customer_type": "Commercial"}
+DRILL = {"customer": "NATION_18", "meter_type": "R", "customer_type": "Commercial"}
 
 
 def stored_position(t: Tables) -> str:

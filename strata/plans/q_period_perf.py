@@ -18,7 +18,7 @@ def period_multi_run(t: Tables):
                                  "start_date", "end_date", THRESHOLDS, settle)
 
 
-def _period_multi_run_ctes() -> list[str]:
+def _period_multi_run_ctes(source: str = "position_table", second: str = "segment", stage: str = "placed") -> list[str]:
     """Per id sums over its periods; a period outside both sides of a cut-off counts nowhere there."""
     order = [errs[-1] for _, errs in THRESHOLDS]
     sides, cols = [], []
@@ -36,14 +36,14 @@ def _period_multi_run_ctes() -> list[str]:
     listed, placed = ",\n  ".join(cols), ",\n  ".join(sides)
     any_in = " OR ".join(f"{p}_side IS NOT NULL" for p, _ in THRESHOLDS)
     return [SD_EQUAL, f"""leveled AS (
-  SELECT id, segment, start_date, end_date, coalesce(volume, 0) AS v, list_position({order}, run) AS lv,
-         CASE WHEN run IS NOT NULL THEN coalesce(lv, {len(order) + 1}) END AS level FROM position_table),
-placed AS (
+  SELECT id, {second}, start_date, end_date, coalesce(volume, 0) AS v, list_position({order}, run) AS lv,
+         CASE WHEN run IS NOT NULL THEN coalesce(lv, {len(order) + 1}) END AS level FROM {source}),
+{stage} AS (
   SELECT *, {placed} FROM leveled),
 multi_run AS (
-  SELECT id, max(segment) AS segment,
+  SELECT id, max({second}) AS {second},
   {listed}
-  FROM placed WHERE {any_in} GROUP BY id)"""]
+  FROM {stage} WHERE {any_in} GROUP BY id)"""]
 
 
 @register("q_period_multi_run", with_ctes(["runs", *_POSITION_FIXTURES], "SELECT * FROM multi_run",
