@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strata.functions.columns import seeded_order_key
 from strata.operators.ordered import with_row_number
 
+# Labels of items without an owner and of the team for complex ones.
 UNASSIGNED = "No Agent Assigned"
 COMPLEX_TEAM = "Complex Cases"
 

@@ -14,8 +14,12 @@ from strata.operators.rows import anti_join_null_safe
 from strata.operators.ordered import with_ntile, with_row_number, with_running_sum
 
 
-def performance_bucket(perf: str, edges: Sequence[tuple[str, str, float]] = (
-        ("best", "==", 1), ("good", ">", 0.7), ("alright", ">", 0.3)), default: str = "poor") -> Column:
+# Quality buckets and the shares they begin at, and the bucket of all others.
+BUCKET_EDGES = (("best", "==", 1), ("good", ">", 0.7), ("alright", ">", 0.3))
+LOWEST_BUCKET = "poor"
+
+
+def performance_bucket(perf: str, edges: Sequence[tuple[str, str, float]] = BUCKET_EDGES, default: str = LOWEST_BUCKET) -> Column:
     """Label a share by ordered edges; NULL falls to ``default``."""
     ops = {"==": lambda c, v: c == v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v}
     c = F.col(perf)

@@ -39,7 +39,7 @@ def contiguous_intervals(runs: DataFrame, as_of: dt.date, label: str = "run",
 
 def interval_join(points: DataFrame, ranges: DataFrame, key: str | None, ts: str,
                   lo: str, hi: str, bin_days: int = 30, range_key: str | None = None,
-                  whole_end_day: bool = False, salt: int = DEFAULT_SALT, how: str = "inner") -> DataFrame:
+                  whole_end_day: bool = False, salt: int = DEFAULT_SALT, how: str = "inner", clamp: bool = True) -> DataFrame:
     """Join: ``points.key = ranges.key AND points.ts BETWEEN lo AND hi``.
 
     ``lo``/``hi`` are dates (inclusive; a timestamp after midnight on ``hi`` is
@@ -52,7 +52,8 @@ def interval_join(points: DataFrame, ranges: DataFrame, key: str | None, ts: str
 
     Bins of a range are clamped to the days that occur among the points (one
     aggregate over the time column), so an open range that ends in the year
-    9999 has no more rows than the data has months.
+    9999 has no more rows than the data has months. ``clamp=False`` saves that
+    aggregate where ranges are few.
 
     (key, bin) is split ``salt`` ways: a point gets a hash of its columns mod
     ``salt``, a range row is repeated for every salt value. A key whose points
@@ -67,12 +68,13 @@ def interval_join(points: DataFrame, ranges: DataFrame, key: str | None, ts: str
     """
     p = (points.withColumn("__bin", F.floor(day_number(ts) / bin_days))
          .withColumn("__salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt))))
-    first = points.agg(F.coalesce(F.floor(day_number(F.min(ts)) / bin_days), F.lit(1))).scalar()
-    last = points.agg(F.coalesce(F.floor(day_number(F.max(ts)) / bin_days), F.lit(0))).scalar()
     r = ranges if key is None else ranges.withColumnRenamed(range_key or key, "__rkey")
-    r = r.withColumns({"__from": first, "__to": last})
-    lo_bin = F.greatest(F.floor(day_number(lo) / bin_days), F.col("__from"))
-    hi_bin = F.least(F.floor(day_number(hi) / bin_days), F.col("__to"))
+    lo_bin, hi_bin = (F.floor(day_number(c) / bin_days) for c in (lo, hi))
+    if clamp:
+        first = points.agg(F.coalesce(F.floor(day_number(F.min(ts)) / bin_days), F.lit(1))).scalar()
+        last = points.agg(F.coalesce(F.floor(day_number(F.max(ts)) / bin_days), F.lit(0))).scalar()
+        r = r.withColumns({"__from": first, "__to": last})
+        lo_bin, hi_bin = F.greatest(lo_bin, F.col("__from")), F.least(hi_bin, F.col("__to"))
     bins = F.when((F.col(lo) <= F.col(hi)) & (lo_bin <= hi_bin), F.sequence(lo_bin, hi_bin)).otherwise(
         F.array().cast("array<bigint>"))
     r = (r.withColumn("__rbin", F.explode(bins)).drop("__from", "__to")
@@ -89,14 +91,15 @@ def bucket_by_interval(df: DataFrame, date: str, intervals: DataFrame, label: st
                        bin_days: int = 30, salt: int = DEFAULT_SALT) -> DataFrame:
     """Label each row with the interval containing ``date`` (NULL if none).
 
-    One binned equi-join whatever the number of intervals; the planner
+    One binned equi-join whatever the number of intervals (a small table: an
+    interval has a row per bin, 100,000 up to the year 9999); the planner
     broadcasts the bins when it measures them small. Overlapping intervals
     repeat the row, as a range join does.
     """
     out = out or label
     small = intervals.select(F.col(label).alias("__lab"), F.col(lo).alias("__lo"),
                              F.col(hi).alias("__hi"))
-    res = interval_join(df, small, None, date, "__lo", "__hi", bin_days=bin_days, salt=salt, how="left")
+    res = interval_join(df, small, None, date, "__lo", "__hi", bin_days=bin_days, salt=salt, how="left", clamp=False)
     return res.drop("__lo", "__hi").withColumnRenamed("__lab", out)
 
 

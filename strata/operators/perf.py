@@ -149,14 +149,16 @@ def multi_run_performance(df: DataFrame, id_col: str, second_key: str, measure:
 
     The equivalent SQL joins five per-cut-off tables back on (id, second key);
     here conditional sums are combined before one shuffle on the id, and the
-    run days enter as scalar subqueries. ``null_safe=False`` reproduces the
+    run days (one row per run type) enter as literals. ``null_safe=False`` reproduces the
     plain-equality join back: a NULL second key never matches, so such ids keep
     their keys but get NULL metrics everywhere.
     """
+    # one row per run type, read once: as subqueries, the days would be planned anew in every expression that uses them
+    days = {r["run"]: r["settlement_date"] for r in settle.groupBy("run").agg(F.max("settlement_date").alias("settlement_date")).collect()}
     volume = F.coalesce(F.col(measure), F.lit(0.0))
     sums, any_in = [], None
     for prefix, errs in thresholds:
-        day = settlement_day(settle, errs[-1])
+        day = F.lit(days.get(errs[-1])).cast("date")
         err = F.coalesce(F.col(run).isin(*errs), F.lit(False))
         sett = F.coalesce(~F.col(run).isin(*errs) & valid_on(start, end, day), F.lit(False))
         member = err | sett

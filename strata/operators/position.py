@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from strata.functions.columns import first_match, later_of, safe_ratio
 from strata.operators.history import EventHistory
-from strata.operators.intervals import DEFAULT_SALT, bucket_by_interval, summarize_events_in_period
+from strata.operators.intervals import bucket_by_interval
 from strata.operators.lookups import LookupReport, checked_lookup
 from strata.operators.ordered import with_rank, with_row_number
 from strata.operators.rows import fallback_lookup
+from strata.operators.sweep import sweep_periods
 from strata.session import materialize
 
 
@@ -85,22 +86,9 @@ def priority_rank(df: DataFrame, partition: Sequence[str], score: str, tiebreak:
                      [F.col(c).asc() for c in tiebreak], out=out)
 
 
-def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
-                   volumes: DataFrame, defaults: DataFrame, customers: DataFrame,
-                   intervals: DataFrame, as_of: dt.date, keep_event: Column | None,
-                   bin_days: int = 30, salt: int = DEFAULT_SALT) -> DataFrame:
-    """Wide position table, one row per valid period (see ``q_position``).
-
-    Inputs (already renamed to these columns):
-      periods(pk, id, start_date, end_date, status, disc_date, energ, deenerg_date)
-      reads(id, ts, code, note, l_orderkey, l_linenumber)
-      checkpoints(id, cp_date) one row per id
-      volumes(id, annual_volume) primary volume, one row per id
-      defaults(class_num, segment, default_annual_volume) fallback volume
-      customers(id, class_code, segment, cust_name, area, handler, address)
-    Periods that are filtered out still contribute nothing; every join to a
-    per-period or per-id table is on a unique key, so nothing fans out.
-    """
+def classed_periods(periods: DataFrame, checkpoints: DataFrame, volumes: DataFrame, defaults: DataFrame, customers: DataFrame,
+                    intervals: DataFrame, as_of: dt.date) -> DataFrame:
+    """Valid periods with their last valid day, customer, volume, run and flags; inputs as for :func:`build_position`."""
     base = periods.filter(F.col("status").isin("O", "F")
                           & ((F.col("start_date") < F.col("end_date"))
                              | F.col("end_date").isNull()))
@@ -111,31 +99,41 @@ def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
                            [(F.col("class_code").try_cast("bigint"), "class_num"),
                             (F.col("segment"), "segment")], "default_annual_volume", out="volume",
                            source="volume_source")
-    base = bucket_by_interval(base, "last_valid_date", intervals, label="run")
+    base = bucket_by_interval(base, "last_valid_date", intervals, label="run", salt=1)
     base = affecting_flags(base, intervals, "start_date", "end_date", "disc_date", "energ",
                            "deenerg_date", "cp_date")
-    base = base.withColumn("current_supplier",
+    return base.withColumn("current_supplier",
                            F.col("end_date").isNull() | (F.col("end_date") >= F.lit(as_of)))
-    facts = summarize_events_in_period(
-        base.select("pk", "id", "start_date", "end_date", "cp_date"), reads, "pk", "id",
-        "start_date", "end_date", "ts", as_of, since=later_of("cp_date", "start_date"),
-        order=["l_orderkey", "l_linenumber", "code", "note"], event_filter=keep_event,
-        bin_days=bin_days, attach=False, salt=salt)
-    facts = facts.select("pk", "count_since_start", "count_since_checkpoint",
+
+
+def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
+                   volumes: DataFrame, defaults: DataFrame, customers: DataFrame,
+                   intervals: DataFrame, as_of: dt.date, keep_event: Column | None) -> DataFrame:
+    """Wide position table, one row per valid period (see ``q_position``).
+
+    Inputs (already renamed to these columns):
+      periods(pk, id, start_date, end_date, status, disc_date, energ, deenerg_date)
+      reads(id, ts, code, note, l_orderkey, l_linenumber)
+      checkpoints(id, cp_date) one row per id
+      volumes(id, annual_volume) primary volume, one row per id
+      defaults(class_num, segment, default_annual_volume) fallback volume
+      customers(id, class_code, segment, cust_name, area, handler, address)
+    Periods that are filtered out still contribute nothing; every join to a
+    per-period or per-id table is on a unique key, so nothing fans out. Events
+    are swept once for both counts and the latest one.
+    """
+    base = classed_periods(periods, checkpoints, volumes, defaults, customers, intervals, as_of)
+    kept = reads if keep_event is None else reads.filter(keep_event)
+    facts = sweep_periods(base.select("pk", "id", "start_date", "end_date", "last_valid_date"), kept, "pk", "id", F.col("start_date"),
+                          F.coalesce("end_date", F.lit(as_of)), "ts", ["l_orderkey", "l_linenumber", "code", "note"], since=F.col("last_valid_date"))
+    facts = facts.select("pk", F.col("n").alias("count_since_start"), F.col("n_since").alias("count_since_checkpoint"),
                          F.col("latest.ts").alias("latest_read_ts"),
                          F.col("latest.code").alias("latest_read_code"),
                          F.col("latest.note").alias("latest_read_note"))
     pos = base.join(facts, "pk", "left")
     for c in ("count_since_start", "count_since_checkpoint"):
         pos = pos.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
-    pos = pos.withColumn("score", priority_score("volume", "run", "affecting", "cp_date",
-                                                 "start_date", run_max(intervals, "RF"), as_of))
-    # only keys and order columns go through the two ordered steps; the wide rows are written once
-    pos = materialize(pos)
-    ranked = priority_rank(pos.select("pk", "handler", "score"), ["handler"], "score", ["pk"], out="priority_rank")
-    numbered = with_row_number(pos.select("pk", "id", "start_date"), ["id"], [F.col("start_date").desc(), F.col("pk").desc()],
-                               out="period_rank")
-    return pos.join(ranked.select("pk", "priority_rank"), "pk").join(numbered.select("pk", "period_rank"), "pk")
+    return with_priority(pos, intervals, as_of)
 
 
 def position_base(periods: DataFrame, details: DataFrame, checkpoints: DataFrame, volumes: DataFrame, defaults: DataFrame,
@@ -214,7 +212,7 @@ def drill_down(pos: DataFrame, day: dt.date, customer: str, meter_type: str, cus
 
 def position_filter(pos: DataFrame, day: dt.date, segment: str, handler_not: str) -> DataFrame:
     """Drill-down: affecting, current on ``day``, one segment, excluding one
-    handler's final-run rows (plain predicates, pushed to the scan)."""
+    handler's final-run rows (plain predicates on the finished table)."""
     d = F.lit(day)
     return pos.filter((F.col("segment") == segment) & (F.col("affecting") == True)  # noqa: E712
                       & (F.col("run") != "RF") & (F.col("handler") != handler_not)

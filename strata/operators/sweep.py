@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strata.functions.columns import all_not_null
 from strata.operators.ordered import scan_ranges
 
-_OPEN, _EVENT, _CLOSE, _HEAD, _TAIL = range(5)
+_OPEN, _SINCE, _EVENT, _CLOSE, _HEAD, _TAIL = range(6)
 
 
 def _step(part, batches):
@@ -76,13 +76,15 @@ def _rows(part, key, pk, kind, n, n_whole, payload, first) -> pa.RecordBatch:
 
 
 def sweep_periods(periods: DataFrame, events: DataFrame, pk: str, key: str, lower: Column, upper: Column, ts: str, order: Sequence[str] = (),
-                  whole: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
-    """``pk, n, n_whole, latest`` for every period with ``lower <= upper``, and no other row.
+                  whole: Sequence[str] = (), since: Column | None = None, num_partitions: int | None = None) -> DataFrame:
+    """``pk, n, n_whole, n_since, latest`` for every period with ``lower <= upper``, and no other row.
 
     Events have the period's ``key`` and ``lower <= ts <= upper`` (dates; the
     upper day ends at its first instant, as BETWEEN has it). ``n`` counts them,
-    ``n_whole`` the ones whose ``whole`` columns are all known, ``latest`` is a
-    struct of the greatest (``ts``, ``*order``), null where n is 0. ``pk`` is a
+    ``n_whole`` the ones whose ``whole`` columns are all known, ``n_since`` those
+    on or after ``since`` (a day of the period's own, not before ``lower``; null or
+    none: ``lower``), which costs a period a third row. ``latest`` is a struct of
+    the greatest (``ts``, ``*order``), null where n is 0. ``pk`` is a
     unique whole number. Events without key or time and periods without key or
     bounds match nothing.
     """
@@ -91,9 +93,11 @@ def sweep_periods(periods: DataFrame, events: DataFrame, pk: str, key: str, lowe
     ev = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
         F.col(key).alias("key"), F.col(ts).alias("t"), F.lit(_EVENT).alias("kind"), F.lit(None).cast("long").alias("pk"),
         (all_not_null(whole) if whole else F.lit(True)).alias("whole"), F.struct(*fields).alias("payload"))
-    asked = periods.select(F.col(key).alias("key"), F.col(pk).cast("long").alias("pk"), lower.alias("lo"), upper.alias("hi"))
+    asked = periods.select(F.col(key).alias("key"), F.col(pk).cast("long").alias("pk"), lower.alias("lo"), upper.alias("hi"),
+                           (lower if since is None else F.coalesce(since, lower)).alias("mid"))
     asked = asked.filter(F.col("key").isNotNull() & (F.col("lo") <= F.col("hi")))
-    ends = F.array(F.struct(F.col("lo").cast(kind).alias("t"), F.lit(_OPEN).alias("kind")), F.struct(F.col("hi").cast(kind).alias("t"), F.lit(_CLOSE).alias("kind")))
+    at = {_OPEN: "lo", _CLOSE: "hi"} | ({} if since is None else {_SINCE: "mid"})
+    ends = F.array(*[F.struct(F.col(c).cast(kind).alias("t"), F.lit(k).alias("kind")) for k, c in at.items()])
     none = F.lit(None).cast(ev.schema["payload"].dataType)
     marks = asked.select("key", F.inline(ends), "pk").select("key", "t", "kind", "pk", F.lit(True).alias("whole"), none.alias("payload"))
     kinds = {f: t.simpleString() for f, t in ((c, ev.schema[c].dataType) for c in ("key", "payload"))}
@@ -107,10 +111,11 @@ def sweep_periods(periods: DataFrame, events: DataFrame, pk: str, key: str, lowe
     edges = edges.where(F.col("kind") == _HEAD).drop("kind").withColumnRenamed("part", "part0")
     found = rows.where(F.col("kind") < _HEAD).join(F.broadcast(edges), F.col("first") & (F.col("part") == F.col("part0")), "left")
     more = lambda c: F.col(c) + F.coalesce(F.col(f"{c}0"), F.lit(0))
-    closes = F.col("kind") == _CLOSE
-    found = found.groupBy("pk").agg(*[F.sum(F.when(closes, more(c)).otherwise(-more(c))).alias(c) for c in ("n", "n_whole")],
-                                    F.max(F.when(closes, F.coalesce("payload", "payload0"))).alias("latest"))
-    return found.select(F.col("pk").alias(pk), "n", "n_whole", F.when(F.col("n") > 0, F.col("latest")).alias("latest"))
+    closes, opens = F.col("kind") == _CLOSE, F.col("kind") == _OPEN
+    counts = {c: F.sum(F.when(closes, more(c)).when(opens, -more(c))) for c in ("n", "n_whole")}
+    counts["n_since"] = counts["n"] if since is None else F.greatest(F.sum(F.when(closes, more("n")).when(F.col("kind") == _SINCE, -more("n"))), F.lit(0))
+    found = found.groupBy("pk").agg(*[v.alias(c) for c, v in counts.items()], F.max(F.when(closes, F.coalesce("payload", "payload0"))).alias("latest"))
+    return found.select(F.col("pk").alias(pk), "n", "n_whole", "n_since", F.when(F.col("n") > 0, F.col("latest")).alias("latest"))
 
 
 def facts_in_period(periods: DataFrame, events: DataFrame, pk: str, key: str, lower: Column, upper: Column, ts: str, counts: dict[str, str],

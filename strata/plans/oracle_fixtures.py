@@ -23,13 +23,13 @@ CTE = {
   SELECT l.run, CAST(d.d - l.lag AS DATE) AS date, CAST(d.d + 2 AS DATE) AS run_day
   FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) d
   CROSS JOIN (VALUES {_values(RUN_LAGS)}) l(run, lag))"""),
-    "intervals": (["runs"], f"""intervals AS (
-  SELECT run,
-         COALESCE(CAST(LAG(max_date) OVER (ORDER BY max_date, run) + 1 AS DATE),
-                  DATE '1900-01-01') AS min_date,
-         max_date, run_date
-  FROM (SELECT run, MAX(date) AS max_date, CAST(MAX(run_day) - 1 AS DATE) AS run_date
-        FROM runs WHERE run_day <= CAST({AS_OF} + 1 AS DATE) GROUP BY run) a)"""),
+    "intervals": (["runs"], f"""tops AS (
+  SELECT run, max(date) AS max_date, max(run_day) AS run_day FROM runs WHERE date_diff('day', {AS_OF}, run_day) < 2 GROUP BY run),
+intervals AS (
+  -- a run begins where the next smaller top ends, the smallest on a fixed day
+  SELECT run, coalesce((SELECT max(o.max_date) + 1 FROM tops o WHERE row(o.max_date, o.run) < row(t.max_date, t.run))::DATE, DATE '1900-01-01') AS min_date,
+         max_date, (run_day - 1)::DATE AS run_date
+  FROM tops t)"""),
     "periods": ([], """periods AS (
   SELECT o_orderkey AS pk, o_custkey AS id, CAST(o_orderdate AS DATE) AS start_date,
          o_orderstatus AS status, o_orderpriority AS priority,

@@ -16,11 +16,11 @@ from strata.operators.rows import anti_join_null_safe, not_in
 from strata.plans import fixtures as fx
 from strata.plans.oracle_fixtures import with_ctes
 from strata.plans.q_full_position import BASE_CTES, BASE_FIXTURES, full_base
-from strata.plans.q_groups import (CAL_END, CAL_START, CAL_STEP, LARGE_SHARE, QUOTAS, R2_COLS, WEEK_WEIGHTS, _CALENDAR_SQL,
-                                   _deal_sql)
+from strata.plans.q_groups import (BUCKET_SQL, CAL_END, CAL_START, CAL_STEP, LARGE_SHARE, QUOTA_SQL, QUOTAS, R2_COLS, WEEK_WEIGHTS,
+                                   _CALENDAR_SQL, _deal_sql)
 from strata.plans.q_perf import R2_ERRORS, SD_EQUAL, SD_NEXT, THRESHOLDS, _in
 from strata.plans.q_period_perf import _period_multi_run_ctes
-from strata.plans.q_rows import DECISION_DAYS
+from strata.plans.q_rows import DECISION_DAYS, DECISION_SQL
 from strata.plans.registry import register
 from strata.session import materialize
 from strata.sources.tables import Tables
@@ -103,11 +103,10 @@ def full_members(t: Tables) -> DataFrame:
     return rows.select("pk", "id", "name", "meter_type", "member_status", "week_start", "contract_end", "decision", "distributor", F.col("volume").alias("annual_volume"))
 
 
-@register("q_full_expand_members", _commercial_sql("""
+@register("q_full_expand_members", _commercial_sql(f"""
 SELECT m.pk, m.id, m.name, m.meter_type, side AS member_status,
        (SELECT min(week_start) FROM cal_assign g WHERE g.name = coalesce(m.name, 'unknown') AND g.meter_type = coalesce(m.meter_type, 'unknown')) AS week_start,
-       contract_end, CASE WHEN contract_end IS NULL THEN 'manual' ELSE list_extract(['exclude', 'defer', 'caution', 'safe'],
-         1 + len(list_filter([DATE '2001-01-01', DATE '2001-04-01', DATE '2001-06-01'], lambda day: contract_end >= day))) END AS decision,
+       contract_end, {DECISION_SQL} AS decision,
        'Brand#' || (m.pk % 25 + 1) AS distributor, volume AS annual_volume
 FROM sided m LEFT JOIN contracts c ON c.id = m.id WHERE side IS NOT NULL""", _CALENDAR_SQL))
 def q_full_expand_members(spark, sf):
@@ -155,18 +154,16 @@ def full_groups(t: Tables) -> DataFrame:
     return checked_lookup(groups, registered, [("id", "id")], {"distributor": "distributor"}, rule="last", order=["start_date", "pk"], name="registrations")
 
 
-#: shares by bucket, from the marked quotas, and the buckets by their edges
-_QUOTA_SQL = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in QUOTAS.items()) + "}"
 _STEPS_SQL = ["""taken AS (SELECT list(DISTINCT user_id * 2) AS ids FROM events),
 base AS (
   SELECT id, meter_type, %s FROM multi_run, taken WHERE r2_total_count > 0 AND NOT coalesce(list_contains(ids, id), FALSE))""" % _R2, f"""bucketed AS (
-  SELECT *, if(r2_performance = 1, 'best', if(r2_performance > 0.7, 'good', if(r2_performance > 0.3, 'alright', 'poor'))) AS perf_bucket FROM base),
+  SELECT *, {BUCKET_SQL} AS perf_bucket FROM base),
 counted AS (
   SELECT *, (SELECT count(*) FROM bucketed y WHERE y.perf_bucket = x.perf_bucket AND y.id >= x.id) AS rn,
          (SELECT sum(y.r2_total_count)::BIGINT FROM bucketed y WHERE y.perf_bucket = x.perf_bucket AND y.id >= x.id) AS cum_count
   FROM bucketed x),
 sampled AS (
-  SELECT *, 1::BIGINT AS grp FROM counted WHERE cum_count <= ({_QUOTA_SQL})[perf_bucket] * (SELECT sum(r2_total_count) FROM base))""",
+  SELECT *, 1::BIGINT AS grp FROM counted WHERE cum_count <= ({QUOTA_SQL})[perf_bucket] * (SELECT sum(r2_total_count) FROM base))""",
               "rest AS (SELECT * FROM base ANTI JOIN sampled USING (id))", _deal_sql("rest", "r2_performance DESC NULLS LAST", "r2_total_count", 9, 9, 2),
               f"""grouped AS (
   SELECT g.*, 'Brand#' || ((SELECT arg_max(p.pk, row(p.start_date, p.pk)) FROM periods p WHERE p.id = g.id) % 25 + 1) AS distributor

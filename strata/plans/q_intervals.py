@@ -18,7 +18,9 @@ from strata.sources.tables import Tables
 # note, by three-valued logic).
 EXCLUDED_CODE = "R"
 KEYWORDS = ("f",)
-EXCLUSION_SQL = "NOT (r.code = 'R' AND (lower(r.note) LIKE '%f%'))"
+EXCLUSION_SQL = "coalesce(r.code <> 'R' OR NOT contains(lower(r.note), 'f'), FALSE)"
+#: readings that the rule keeps
+_KEPT_SQL = f"kept AS (SELECT * FROM reads r WHERE {EXCLUSION_SQL})"
 
 
 def keep_reading(prefix: str = ""):
@@ -66,15 +68,9 @@ def q_latest_per_key(spark, sf):
 
 # Periods of open orders ('O') are treated as open-ended (no end yet).
 @register("q_preferred_row", with_ctes(["periods"], """
-SELECT id, pk, start_date, end_date FROM (
-  SELECT id, pk, start_date, end_date,
-         ROW_NUMBER() OVER (PARTITION BY id ORDER BY
-           CASE WHEN end_date IS NULL THEN 1 ELSE 0 END DESC,
-           COALESCE(end_date, DATE '9999-12-31') DESC,
-           COALESCE(start_date, DATE '1900-01-01') DESC, pk DESC) rn
-  FROM (SELECT id, pk, start_date,
-               CASE WHEN status = 'O' THEN NULL ELSE end_date END AS end_date
-        FROM periods) p) x WHERE rn = 1"""))
+SELECT id, top[4] AS pk, top[3] AS start_date, if(top[1], NULL, top[2]) AS end_date
+FROM (SELECT id, max(row(still_open, if(still_open, DATE '9999-12-31', end_date), start_date, pk)) AS top
+      FROM (SELECT *, status = 'O' OR end_date IS NULL AS still_open FROM periods) GROUP BY id)"""))
 def q_preferred_row(spark, sf):
     p = fx.periods(Tables(spark, sf)).select(
         "id", "pk", "start_date",
@@ -85,24 +81,18 @@ def q_preferred_row(spark, sf):
 # Earliest period per customer among those not in status 'P' (the
 # "cancelled" flag of this fixture).
 @register("q_earliest_active", with_ctes(["periods"], """
-SELECT id, pk, start_date FROM (
-  SELECT id, pk, start_date,
-         ROW_NUMBER() OVER (PARTITION BY id ORDER BY start_date ASC, pk ASC) rn
-  FROM periods WHERE status <> 'P') x WHERE rn = 1"""))
+SELECT id, low[2] AS pk, low[1] AS start_date
+FROM (SELECT id, min(row(start_date, pk)) FILTER (status != 'P') AS low FROM periods GROUP BY id) WHERE low IS NOT NULL"""))
 def q_earliest_active(spark, sf):
     p = fx.periods(Tables(spark, sf)).filter(F.col("status") != "P").select("id", "pk", "start_date")
     return latest_per_key(p, ["id"], [F.col("start_date").asc(), F.col("pk").asc()])
 
 
 @register("q_period_counts", with_ctes(["periods", "reads"], f"""
-SELECT p.pk, p.id, p.start_date, p.end_date, COUNT(r.id) AS read_count,
-       COUNT(CASE WHEN r.id IS NOT NULL AND r.ts IS NOT NULL AND r.code IS NOT NULL
-                   AND r.note IS NOT NULL THEN 1 END) AS read_count_all
-FROM periods p
-LEFT JOIN reads r ON r.id = p.id
-      AND r.ts BETWEEN p.start_date AND COALESCE(p.end_date, {AS_OF})
-      AND {EXCLUSION_SQL}
-GROUP BY p.pk, p.id, p.start_date, p.end_date"""))
+SELECT pk, id, start_date, end_date, read_count, read_count_all
+FROM periods p, LATERAL (
+  SELECT count(*) AS read_count, count(k.code || k.note) AS read_count_all
+  FROM kept k WHERE k.id = p.id AND k.ts >= p.start_date AND k.ts <= if(p.end_date IS NULL, {AS_OF}, p.end_date))""", extra=[_KEPT_SQL]))
 def q_period_counts(spark, sf):
     t = Tables(spark, sf)
     per = fx.periods(t).select("pk", "id", "start_date", "end_date")
@@ -111,15 +101,9 @@ def q_period_counts(spark, sf):
 
 
 @register("q_count_since_checkpoint", with_ctes(["periods", "reads", "checkpoints"], f"""
-SELECT p.pk, p.id, p.start_date, p.end_date, c.cp_date, COUNT(r.id) AS read_count_since
-FROM periods p
-LEFT JOIN checkpoints c ON c.id = p.id
-LEFT JOIN reads r ON r.id = p.id
-      AND r.ts BETWEEN CASE WHEN c.cp_date IS NULL OR c.cp_date < p.start_date
-                            THEN p.start_date ELSE c.cp_date END
-                   AND COALESCE(p.end_date, {AS_OF})
-      AND {EXCLUSION_SQL}
-GROUP BY p.pk, p.id, p.start_date, p.end_date, c.cp_date"""))
+SELECT pk, id, start_date, end_date, cp_date,
+       (SELECT count(*) FROM kept k WHERE k.id = p.id AND k.ts >= greatest(cp_date, start_date) AND k.ts <= if(end_date IS NULL, {AS_OF}, end_date)) AS read_count_since
+FROM periods p LEFT JOIN checkpoints USING (id)""", extra=[_KEPT_SQL]))
 def q_count_since_checkpoint(spark, sf):
     t = Tables(spark, sf)
     per = fx.periods(t).select("pk", "id", "start_date", "end_date")
@@ -128,14 +112,9 @@ def q_count_since_checkpoint(spark, sf):
 
 
 @register("q_period_latest", with_ctes(["periods", "reads"], f"""
-SELECT pk, ts, l_orderkey, l_linenumber, code, note FROM (
-  SELECT p.pk, r.ts, r.l_orderkey, r.l_linenumber, r.code, r.note,
-         ROW_NUMBER() OVER (PARTITION BY p.pk ORDER BY r.ts DESC, r.l_orderkey DESC,
-                            r.l_linenumber DESC, r.code DESC, r.note DESC NULLS LAST) rn
-  FROM periods p JOIN reads r ON r.id = p.id
-       AND r.ts BETWEEN p.start_date AND COALESCE(p.end_date, {AS_OF})
-       AND {EXCLUSION_SQL}) x
-WHERE rn = 1"""))
+SELECT pk, last.ts, last.l_orderkey, last.l_linenumber, last.code, last.note
+FROM (SELECT p.pk, arg_max(k, row(k.ts, k.l_orderkey, k.l_linenumber, k.code, coalesce(k.note, ''))) AS last
+      FROM kept k JOIN periods p ON p.id = k.id AND p.start_date <= k.ts AND if(p.end_date IS NULL, {AS_OF}, p.end_date) >= k.ts GROUP BY p.pk)""", extra=[_KEPT_SQL]))
 def q_period_latest(spark, sf):
     t = Tables(spark, sf)
     per = fx.periods(t).select("pk", "id", "start_date", "end_date")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.operators.perf import (group_performance, multi_run_performance,
+from strata.operators.perf import (multi_run_performance, one_pass_performance,
                                    settlement_dates, settlement_day)
 from strata.plans import fixtures as fx
 from strata.plans.oracle_fixtures import AS_OF, with_ctes
@@ -36,8 +36,8 @@ def group_performance_frame(t: Tables):
 def _group_performance(t: Tables):
     pos = fx.position(t)
     day = settlement_day(settlement_dates(fx.runs(t), fx.AS_OF, rule="next"), "R2")
-    return group_performance(pos, ["name", "meter_type"], "value", "run", R2_ERRORS, day,
-                             "start_date", "end_date", prefix="r2_")
+    return one_pass_performance(pos, ["name", "meter_type"], "value", "run", R2_ERRORS, day,
+                                "start_date", "end_date", prefix="r2_")
 
 
 # one pass: every row is on the error side, the settled side or neither

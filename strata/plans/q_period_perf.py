@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from strata.operators.perf import (group_performance, multi_run_performance,
+from strata.operators.perf import (multi_run_performance, one_pass_performance,
                                    settlement_dates, settlement_day)
 from strata.plans import fixtures as fx
 from strata.plans.oracle_fixtures import with_ctes
 from strata.plans.q_perf import R2_ERRORS, SD_EQUAL, SD_NEXT, THRESHOLDS, _in
-from strata.plans.q_position import _POSITION_CTES, _POSITION_FIXTURES, position_frame
+from strata.plans.q_position import _POSITION_CTES, _POSITION_FIXTURES, classed_frame
 from strata.plans.registry import register
 from strata.sources.tables import Tables
 
 
 def period_multi_run(t: Tables):
     settle = settlement_dates(fx.runs(t), fx.AS_OF, rule="equal")
-    return multi_run_performance(position_frame(t), "id", "segment", "volume", "run",
+    return multi_run_performance(classed_frame(t), "id", "segment", "volume", "run",
                                  "start_date", "end_date", THRESHOLDS, settle)
 
 
@@ -72,5 +72,5 @@ def q_period_group_performance(spark, sf):
     """Per (segment, class), over all valid periods: R2 settled vs error volume/count and share."""
     t = Tables(spark, sf)
     day = settlement_day(settlement_dates(fx.runs(t), fx.AS_OF, rule="next"), "R2")
-    return group_performance(position_frame(t), ["segment", "class_code"], "volume", "run", R2_ERRORS, day,
-                             "start_date", "end_date", prefix="r2_")
+    return one_pass_performance(classed_frame(t), ["segment", "class_code"], "volume", "run", R2_ERRORS, day,
+                                "start_date", "end_date", prefix="r2_")

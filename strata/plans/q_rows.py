@@ -121,15 +121,13 @@ def q_rule_cascade(spark, sf):
 DECISION_DAYS = ("2001-01-01", "2001-03-31", "2001-04-01", "2001-05-31", "2001-06-01")
 
 
-@register("q_decision_dates", with_ctes(["contracts"], """
-SELECT c_custkey, k.contract_end,
-       CASE WHEN k.contract_end IS NULL THEN 'manual'
-            WHEN k.contract_end < DATE '2001-01-01' THEN 'exclude'
-            WHEN k.contract_end BETWEEN DATE '2001-01-01' AND DATE '2001-03-31' THEN 'defer'
-            WHEN k.contract_end BETWEEN DATE '2001-04-01' AND DATE '2001-05-31' THEN 'caution'
-            WHEN k.contract_end >= DATE '2001-06-01' THEN 'safe'
-            ELSE 'unknown' END AS decision
-FROM customer LEFT JOIN contracts k ON k.id = c_custkey"""))
+#: the decision by how many of the days it starts a new one a contract has reached
+DECISION_SQL = f"""if(contract_end IS NULL, 'manual', list_extract(['exclude', 'defer', 'caution', 'safe'],
+         1 + len(list_filter([DATE '{DECISION_DAYS[0]}', DATE '{DECISION_DAYS[2]}', DATE '{DECISION_DAYS[4]}'], lambda day: day <= contract_end))))"""
+
+
+@register("q_decision_dates", with_ctes(["contracts"], f"""
+SELECT c_custkey, contract_end, {DECISION_SQL} AS decision FROM customer LEFT JOIN contracts ON id = c_custkey"""))
 def q_decision_dates(spark, sf):
     """Contract-end date -> migration decision (date cascade, NULL first)."""
     t = Tables(spark, sf)

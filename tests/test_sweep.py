@@ -44,9 +44,12 @@ def test_sweep_against_brute_force(spark, seed, parts):
     as_of = day(45)
     ev = spark.createDataFrame(events, "id long, ts timestamp_ntz, code string, note string, n long").repartition(3)
     per = spark.createDataFrame(periods, "pk long, id long, lo date, hi date")
-    got = sweep_periods(per, ev, "pk", "id", F.col("lo"), F.coalesce("hi", F.lit(as_of)), "ts", ["n"], ["note"], num_partitions=parts)
-    found = {r.pk: (r.n, r.n_whole, tuple(r.latest) if r.latest else None) for r in got.collect()}
+    late = F.when(F.col("pk") % 4 != 0, F.date_add("lo", F.col("pk").cast("int") % 40))  # some beyond the end, some unknown
+    got = sweep_periods(per, ev, "pk", "id", F.col("lo"), F.coalesce("hi", F.lit(as_of)), "ts", ["n"], ["note"], since=late, num_partitions=parts).collect()
+    found = {r.pk: (r.n, r.n_whole, tuple(r.latest) if r.latest else None) for r in got}
     want = brute(events, periods, as_of)
+    since = brute(events, [(pk, k, lo + dt.timedelta(pk % 40 if pk % 4 else 0), hi) for pk, k, lo, hi in periods], as_of)
+    assert all(r.n_since == since[r.pk][0] for r in got)
     for pk, w in want.items():
         assert found.get(pk, (0, 0, None)) == w, pk
     counts = facts_in_period(per, ev, "pk", "id", F.col("lo"), F.coalesce("hi", F.lit(as_of)), "ts", {"n": "c"}, event_filter=F.col("code") == "a")
