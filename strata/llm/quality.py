@@ -135,9 +135,13 @@ def _vector(cells: dict[int, float], n: int) -> np.ndarray:
 RIDGES = (0.3, 0.1, 0.03, 0.01, 0.003, 0.001, 0.0003, 0.0001)
 
 
-def fit(table: DataFrame, prior: float | None = None, ridges: tuple = RIDGES, steps: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(table: DataFrame, prior: float | None = None, ridges: tuple = RIDGES, steps: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means and scales from a table of ``f, label`` (label null: unlabelled).
-    Without a positive row all weights are 0 (every score is one half)."""
+    Without a positive row all weights are 0 (every score is one half).
+
+    All ridges take their Newton steps in the same passes over the table, and the
+    last search is one pass, so a fit is at most ``steps`` + 2 jobs.
+    """
     def moments(b):
         x = _matrix(b)
         y = b.column("label").to_pandas().to_numpy(dtype=float, na_value=np.nan)
@@ -154,40 +158,53 @@ def fit(table: DataFrame, prior: float | None = None, ridges: tuple = RIDGES, st
     scale[scale < 1e-5] = 1.0
     mean[0], scale[0] = 0.0, 1.0
 
-    def risk(w):
+    def losses(ws, curved: bool):
+        """Per weight vector the risk on negatives, its sampling error, and (``curved``) gradient and Hessian; one pass."""
+        size = 4 + (WIDTH + WIDTH ** 2 if curved else 0)
+
         def cells(b):
             x = (_matrix(b) - mean) / scale
             pos = b.column("label").to_pandas().to_numpy(dtype=float, na_value=np.nan) == 1
-            z = np.clip(x @ w, -30, 30)
-            s = 1 / (1 + np.exp(-z))
-            loss = np.logaddexp(0, z)
-            grad = x.T @ s / n - prior * x[pos].sum(0) / n_pos
-            hess = (x * (s * (1 - s))[:, None]).T @ x / n
-            sums = [loss.sum(), (loss ** 2).sum(), loss[pos].sum(), (loss[pos] ** 2).sum()]
-            return np.concatenate([sums, grad, hess.ravel()])
-        v = _vector(_cells(table, cells), 4 + WIDTH + WIDTH ** 2)
-        all_, pos = v[0] / n, v[2] / n_pos
-        error = np.sqrt(max(0.0, v[1] / n - all_ ** 2) / n + prior ** 2 * max(0.0, v[3] / n_pos - pos ** 2) / n_pos
-                        + prior * (1 - prior) / max(1.0, n_known) * pos ** 2)
-        return all_ - prior * pos, error, v[4:4 + WIDTH], v[4 + WIDTH:].reshape(WIDTH, WIDTH)
-
-    w = good = np.zeros(WIDTH)
-    for ridge in ridges:  # from a stiff model to a free one, each started from the one before
-        for _ in range(steps):
-            negatives, error, grad, hess = risk(w)
-            eye = np.eye(WIDTH)
-            eye[0, 0] = 1e-3  # the constant is hardly held back
-            step = np.linalg.solve(hess + ridge * eye, grad + ridge * eye @ w)
-            w = w - step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
+            sums = []
+            for w in ws:
+                z = np.clip(x @ w, -30, 30)
+                loss = np.logaddexp(0, z)
+                sums.append([loss.sum(), (loss ** 2).sum(), loss[pos].sum(), (loss[pos] ** 2).sum()])
+                if curved:
+                    s = 1 / (1 + np.exp(-z))
+                    sums += [x.T @ s / n - prior * x[pos].sum(0) / n_pos, ((x * (s * (1 - s))[:, None]).T @ x / n).ravel()]
+            return np.concatenate(sums)
+
+        out = []
+        for v in _vector(_cells(table, cells), size * len(ws)).reshape(len(ws), size):
+            all_, pos = v[0] / n, v[2] / n_pos
+            error = np.sqrt(max(0.0, v[1] / n - all_ ** 2) / n + prior ** 2 * max(0.0, v[3] / n_pos - pos ** 2) / n_pos
+                            + prior * (1 - prior) / max(1.0, n_known) * pos ** 2)
+            out.append((all_ - prior * pos, error, v[4:4 + WIDTH], v[4 + WIDTH:].reshape(-1, WIDTH) if curved else None))
+        return out
+
+    eye = np.eye(WIDTH)
+    eye[0, 0] = 1e-3  # the constant is hardly held back
+    ws, valid, going = [np.zeros(WIDTH) for _ in ridges], [True] * len(ridges), list(range(len(ridges)))
+    for _ in range(steps):
+        for i, (negatives, error, grad, hess) in zip(going, losses([ws[i] for i in going], True), strict=True):
+            valid[i] = negatives >= -2 * error
+            step = np.linalg.solve(hess + ridges[i] * eye, grad + ridges[i] * eye @ ws[i])
+            ws[i] = ws[i] - step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
             if np.abs(step).max() < 0.02:
-                break
-        if negatives < -2 * error:  # below zero by more than its sampling error: only noise is fitted from here on
-            for _ in range(4):  # as far towards it as the risk allows
-                half = (good + w) / 2
-                negatives, error, _, _ = risk(half)
-                good, w = (half, w) if negatives >= -2 * error else (good, half)
+                going = [j for j in going if j != i]
+        if not going:
             break
-        good = w
+    # from a stiff model to a free one: below zero by more than its sampling error, only noise is fitted from there on
+    first = valid.index(False) if False in valid else len(ridges)
+    good = ws[first - 1] if first else np.zeros(WIDTH)
+    if first < len(ridges):  # as far towards that one as the risk allows
+        between = [good + (ws[first] - good) * k / 16 for k in range(17)]
+        kept = [negatives >= -2 * error for negatives, error, _, _ in losses(between, False)]
+        low, high = 0, 16
+        while high - low > 1:
+            low, high = ((low + high) // 2, high) if kept[(low + high) // 2] else (low, (low + high) // 2)
+        good = between[low]
     return good, mean, scale
 
 
