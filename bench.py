@@ -27,7 +27,7 @@ def main() -> None:
     names = sys.argv[1:]
 
     from strata.plans import QUERIES
-    from strata.session import build_session
+    from strata.session import build_session, release_tables
 
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts)
@@ -43,6 +43,7 @@ def main() -> None:
                 t0 = time.perf_counter()
                 QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
                 runs.append(time.perf_counter() - t0)
+                release_tables(spark)
             timings[name] = round(statistics.median(runs), 3)
         except Exception as e:  # noqa: BLE001 - report and continue
             errors[name] = f"{type(e).__name__}: {str(e)[:200]}"

@@ -48,7 +48,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, creating a scratch one only when
-    the session names none *and* runs in local mode (tests, bench).
+    the session names none *and* runs in one JVM (``local``, ``local[n]``: tests, bench).
 
     On a cluster the folder must be shared storage named by the cluster in
     ``spark.checkpoint.dir``; a machine-local temp folder would not survive the
@@ -62,13 +62,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
     path = tempfile.mkdtemp(prefix="strata-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
 
+# folders of the tables that each application has written here and not released
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` has written for this application so
+    far, and forget them; their number. For a caller that has stored or used its
+    results: DataFrames that read these tables can no longer run."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared checkpoint folder and
     return a DataFrame reading it back: the lineage is cut there.
@@ -89,6 +104,7 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     metric of the write job itself (no second job to count)."""
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/tables/{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
     df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(path)
     return df.sparkSession.read.parquet(path), int(obs.get["n"])

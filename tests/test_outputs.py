@@ -1,5 +1,6 @@
 """Stored tables: replaced as a whole, created once, in a kept order; what a write that ends half-way leaves behind."""
 
+import os
 import threading
 
 import pytest
@@ -7,6 +8,7 @@ from oracle_util import SF_SMALL
 from pyspark.sql import functions as F
 
 from strata.plans import QUERIES
+from strata.session import ensure_checkpoint_dir, materialize, release_tables
 from strata.sources.ranked import read_ranked, write_ranked
 from strata.sources.versions import Conflict, VersionedTable
 
@@ -120,3 +122,26 @@ def test_ranked_query_comes_in_order(spark):
     assert [r.position for r in got] == list(range(1, len(got) + 1)) and len(got) > 3
     errors = [r.rf_volume_error for r in got if r.rf_volume_error is not None]
     assert errors == sorted(errors, reverse=True) and all(r.rf_volume_error is None for r in got[len(errors):])
+
+
+def test_released_tables_are_gone_and_later_ones_stay(spark):
+    release_tables(spark)
+    a, b = materialize(spark.range(3)), materialize(spark.range(4))
+    paths = [df.inputFiles()[0].removeprefix("file://") for df in (a, b)]
+    assert release_tables(spark) == 2 and not any(os.path.exists(p) for p in paths)
+    c = materialize(spark.range(5))
+    assert c.count() == 5 and release_tables(spark) == 1 and release_tables(spark) == 0
+
+
+def test_a_scratch_folder_is_made_in_one_jvm_only():
+    class Fake:
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("C", (), {"getCheckpointDir": staticmethod(lambda: type("N", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir is not set"):
+        ensure_checkpoint_dir(Fake)
