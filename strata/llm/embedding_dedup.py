@@ -80,9 +80,9 @@ def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _tile_pair(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("class_id")
+        rows = rows.sort_values("cid")
         x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        ids, copies = rows["class_id"].to_numpy(), rows["copies"].to_numpy()
+        ids, copies = rows["cid"].to_numpy(), rows["copies"].to_numpy()
         side, own = rows["tile"].to_numpy(), rows["tile_a"].iloc[0]
         parts = quantise(x)
         first = np.flatnonzero(side == own)
@@ -91,7 +91,7 @@ def _tile_pair(threshold: float):
         if same:
             second = first
         if not len(first) or not len(second):
-            return pd.DataFrame({"class_id": ids[:0], "links": copies[:0], "root": ids[:0]})
+            return pd.DataFrame({"cid": ids[:0], "links": copies[:0], "root": ids[:0]})
         hit = linked(tuple(p[first] for p in parts), tuple(p[second] for p in parts), threshold)
         links = np.zeros(len(ids), np.int64)
         if same:
@@ -103,7 +103,7 @@ def _tile_pair(threshold: float):
         i, j = np.nonzero(hit)
         root = ids[least_reached(len(ids), first[i], second[j])]
         keep = links > 0
-        return pd.DataFrame({"class_id": ids[keep], "links": links[keep], "root": root[keep]})
+        return pd.DataFrame({"cid": ids[keep], "links": links[keep], "root": root[keep]})
     return run
 
 
@@ -114,8 +114,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 204
     equal and not null, their lengths are equal and their cosine is at least
     ``threshold``. A vector that is null, empty, zero, or holds a null or
     non-finite component links with nothing, nor does a row without id, whose
-    component is null. Rows that repeat an id are further vectors (copies).
-    Components and ``kept`` go by the smallest id reached. An empty table gives none.
+    component is null. Rows that repeat an id are further vectors, each with its own
+    label, values and links. Components and ``kept`` go by the smallest id reached.
+    An empty table gives none.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -126,21 +127,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 204
     # -0.0 and 0.0 are one group for Spark as well as one value here
     rows = rows.withColumn("sound", sound)
     classes = (rows.where("sound").groupBy("label", "embedding")
-               .agg(F.min("vec_id").cast("long").alias("class_id"), F.count("*").alias("copies")))
-    classes = scratch.table(classes, "classes")
+               .agg(F.min("vec_id").cast("long").alias("least_id"), F.count("*").alias("copies")))
+    # a class has a key of its own: several may have one smallest id
+    classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     dims = classes.select("*", F.size("embedding").alias("dim"))
     tiles = dims.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    dealt = dims.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
+    dealt = dims.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     pairs = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .withColumns({"tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")}))
     found = pairs.groupBy("label", "dim", "tile_a", "tile_b").applyInPandas(
-        _tile_pair(threshold), "class_id long, links long, root long")
+        _tile_pair(threshold), "cid long, links long, root long")
     found = scratch.table(found, "found")
-    links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    comps = connected_components(found, "class_id", "root", scratch)
-    known = (classes.join(links, "class_id", "left").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-             .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                     F.coalesce("component", "class_id").alias("component_id")))
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    comps = connected_components(found, "cid", "root", scratch).withColumnRenamed("node", "cid")
+    known = (classes.join(links, "cid", "left").join(comps, "cid", "left")
+             .select("label", "embedding", "least_id", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least = classes.join(comps, "cid").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    known = known.join(least, "component", "left").select("label", "embedding", "n_links", F.coalesce("component_id", "least_id").alias("component_id"))
     out = rows.where("sound").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id", "label")
     rest = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                           F.col("vec_id").cast("long").alias("component_id"), "label")
