@@ -8,8 +8,16 @@ of A'(A X) for a thin X, and only sums of the size words x rank are gathered
 (twice: range finder, then Rayleigh-Ritz). The cosine of a document passage
 and a benchmark passage is taken in that space, with the passage's full TF-IDF
 length, so words outside the benchmark count against it. For the same reason
-the share of a passage's weight on benchmark words bounds the cosine from
-above; passages below the squared threshold are not projected.
+the share of a passage's squared length on benchmark words bounds the squared
+cosine from above; passages below the squared threshold are not projected. (A
+word that occurs twice counts four times in a squared length; pairs of equal
+words within a window's reach are added, so the bound holds for them, too.)
+
+An item's passage of m words lies in a window of ``window`` words, so its cosine
+with a verbatim copy is about sqrt(m / window). The threshold of passages under
+``full`` words sinks by the same law. Items of at most ``exact`` words are also
+looked up as they are, as sequences of words; those of fewer than ``min_words``
+in no other way.
 
 Candidates are decided on the words: the longest common subsequence of item
 and surrounding text must cover ``strong`` of the item, or ``weak`` of it if
@@ -150,9 +158,40 @@ def _decide(h: np.ndarray, lo: int, hi: int, first: int, last: int, words: list[
     return (share, found) if share >= strong or (share >= weak and found) else None
 
 
-def _search(shared, window: int, stride: int, threshold: float, answer: int, strong: float, weak: float, names: list[str]):
+def _earlier(i: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """For each word with a number (``i`` >= 0) how many of the ``window`` - 1 words before it in its text are the same."""
+    out = np.zeros(len(i), np.int64)
+    where = np.flatnonzero(i >= 0)
+    text = np.searchsorted(at, where, "right")
+    # texts are set apart by more than a window, words by more than all texts
+    place = where + text * window
+    reach = int(place[-1]) + window + 1 if len(place) else 1
+    key = i[where].astype(np.int64) * reach + place
+    order = np.argsort(key)
+    ranked = key[order]
+    out[where[order]] = np.arange(len(ranked)) - np.searchsorted(ranked, ranked - window + 1)
+    return out
+
+
+def _sequences(h: np.ndarray, at: np.ndarray, short: dict) -> Iterator[tuple[int, dict]]:
+    """Text and hit of every short item (hashes by number of words) that stands in a text word for word; the first place of each."""
+    for n, (keys, ids) in short.items():
+        if len(h) < n or not len(keys):
+            continue
+        runs = bytescan.runs(h, n)
+        found = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+        place = np.flatnonzero(keys[found] == runs)
+        text = np.searchsorted(at, place, "right") - 1
+        inside = place + n <= at[text + 1]
+        place, text, item = place[inside], text[inside], found[place[inside]]
+        for k in np.unique(text * len(keys) + item, return_index=True)[1]:
+            first = int(place[k] - at[text[k]])
+            yield int(text[k]), {"item_id": int(ids[item[k]]), "cosine": 1.0, "lcs": 1.0, "answer": True, "first_word": first, "last_word": first + n}
+
+
+def _search(shared, window: int, stride: int, answer: int, strong: float, weak: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, table, blocks, item_ids, item_words = shared.value
+        idf, table, blocks, item_ids, item_words, short = shared.value
         table = _object(Table, table)
         square = idf * idf
         for batch in batches:
@@ -163,11 +202,15 @@ def _search(shared, window: int, stride: int, threshold: float, answer: int, str
                 every = np.concatenate([[0.0], np.cumsum(weight)])
                 hits: list[dict] = [{} for _ in range(part.num_rows)]
                 known = table.find(h)
-                for row, dots, owner in blocks:
+                for row, dots, owner, limit in blocks:
                     i = row[known]
                     own = np.concatenate([[0.0], np.cumsum(np.where(i >= 0, weight, 0.0))])
-                    share = (own[e] - own[s]) / np.maximum(every[e] - every[s], 1e-12)
-                    cand = np.flatnonzero(share >= threshold * threshold)
+                    mine = own[e] - own[s]
+                    rest = np.maximum(every[e] - every[s] - mine, 0.0)
+                    twice = np.concatenate([[0.0], np.cumsum(2 * weight * _earlier(i, at, window))])
+                    mine += twice[e] - twice[s]
+                    low = limit.min() if len(limit) else 1.0
+                    cand = np.flatnonzero(mine >= low * low * np.maximum(mine + rest, 1e-12))
                     for k in range(0, len(cand), 512):
                         c = cand[k:k + 512]
                         at_word = s[c][:, None] + np.arange(window)
@@ -178,7 +221,7 @@ def _search(shared, window: int, stride: int, threshold: float, answer: int, str
                         same = (hw[:, :, None] == hw[:, None, :]) & there[:, None, :]
                         length = np.sqrt((np.where(there, weight[at_word], 0.0) * same.sum(axis=2)).sum(axis=1))
                         cosine = dots[code].sum(axis=1) / np.maximum(length, 1e-9)[:, None]
-                        for w, p in zip(*np.nonzero(cosine >= threshold), strict=True):
+                        for w, p in zip(*np.nonzero(cosine >= limit[None, :]), strict=True):
                             d, item = int(text[c[w]]), int(owner[p])
                             hits[d].setdefault(item, []).append((int(s[c[w]]), int(e[c[w]]), float(cosine[w, p])))
                 rows = []
@@ -202,6 +245,9 @@ def _search(shared, window: int, stride: int, threshold: float, answer: int, str
                         if best:
                             found.append(best)
                     rows.append(found)
+                for d, found in _sequences(h, at, short):
+                    if all(x["item_id"] != found["item_id"] for x in rows[d]):
+                        rows[d].append(found)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rows, HITS)], [*names, "hits"])
     return run
 
@@ -211,16 +257,19 @@ HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride: int = 8, rank: int = 256, threshold: float = 0.5,
-               strong: float = 0.7, weak: float = 0.5, answer: int = 5, min_words: int = 5, block: int = 200, blocks_at_once: int = 8) -> DataFrame:
+               strong: float = 0.7, weak: float = 0.5, answer: int = 5, min_words: int = 5, block: int = 200, blocks_at_once: int = 8,
+               full: int = 18, exact: int = 12) -> DataFrame:
     """``docs`` with ``hits``: the benchmark items found in each text.
 
     A hit has item_id, cosine (largest of the passages there), lcs (share of
     the item's words in common order), answer (its last words are there) and
     the word range of the passages. Reads ``text`` and benchmark's ``item_id,
     text``; all columns of ``docs`` are kept, one named ``hits`` is replaced. A
-    null or empty text has no hits. Items that are null or have fewer than
-    ``min_words`` words are not searched for, nor are items without id; of rows
-    with equal id and text one is used. Repeated documents get equal hits.
+    null or empty text has no hits. Items of at most ``exact`` words are also
+    found where they stand word for word (cosine and lcs 1), items of fewer than
+    ``min_words`` words only so. Items that are null
+    or without words or id are not searched for; of rows with equal id and text
+    one is used. Repeated documents get equal hits.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != "hits"]
@@ -234,9 +283,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride:
              .orderBy("item_id", "text"))
     out, base = None, docs.select(*names)
     # a pass over the documents for every chunk of the benchmark; the first one always runs
-    for number, chunk in enumerate(_chunks(items.toLocalIterator(), block * blocks_at_once, rank * blocks_at_once, min_words, window, stride)):
-        shared = spark.sparkContext.broadcast(_index(spark, chunk, idf, window, stride, rank, block))
-        found = base.mapInArrow(_search(shared, window, stride, threshold, answer, strong, weak, names),
+    for number, chunk in enumerate(_chunks(items.toLocalIterator(), block * blocks_at_once, rank * blocks_at_once, window, stride)):
+        shared = spark.sparkContext.broadcast(_index(spark, chunk, idf, window, stride, rank, block, threshold, full, min_words, exact))
+        found = base.mapInArrow(_search(shared, window, stride, answer, strong, weak, names),
                                 _fields(base) + ", hits array<struct<item_id:long,cosine:double,lcs:double,answer:boolean,first_word:long,last_word:long>>")
         if number == 0:
             out = found
@@ -253,13 +302,13 @@ def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _chunks(rows: Iterator, size: int, most: int, min_words: int, window: int, stride: int) -> Iterator[list]:
+def _chunks(rows: Iterator, size: int, most: int, window: int, stride: int) -> Iterator[list]:
     """Lists of (item_id, words as hashes) of usable items, at most ``size`` items
     and ``most`` passages (or one item); one empty list if there are none."""
     held, n, any_ = [], 0, False
     for row in rows:
         h, _ = word_hashes(*bytescan.buffer_of(pa.array([row.text])))
-        if len(h) < min_words:
+        if not len(h):
             continue
         more = len(windows(np.array([0, len(h)]), window, stride)[0])
         if held and (len(held) == size or n + more > most):
@@ -287,10 +336,17 @@ def _blocks(items: list, window: int, stride: int, rank: int, block: int) -> lis
     return out
 
 
-def _index(spark, items: list, idf: np.ndarray, window: int, stride: int, rank: int, block: int) -> tuple:
+def _index(spark, items: list, idf: np.ndarray, window: int, stride: int, rank: int, block: int, threshold: float, full: int, min_words: int, exact: int) -> tuple:
     """Document frequencies, the table of all words, and per block: the row of a
     known word (-1: none), its share of the dot product with each passage of
-    length 1 (the last row, for -1, is zero), and the passages' items."""
+    length 1 (the last row, for -1, is zero), the passages' items and the cosine
+    from which each is a candidate. Then the items' ids and words, and the short
+    ones as sorted hashes by their number of words."""
+    short = {}
+    for n in range(1, max(exact + 1, min_words)):
+        those = sorted((int(bytescan.runs(h, n)[0]), i) for i, h in items if len(h) == n)
+        short[n] = (np.array([k for k, _ in those], _U), np.array([i for _, i in those], np.int64))
+    items = [(i, h) for i, h in items if len(h) >= min_words]
     passages = dict(enumerate(_blocks(items, window, stride, rank, block)))
     vocab = {b: np.unique(np.concatenate([w for _, w in v])) for b, v in passages.items()}
     words = np.unique(np.concatenate([*vocab.values(), np.empty(0, _U)]))
@@ -306,5 +362,6 @@ def _index(spark, items: list, idf: np.ndarray, window: int, stride: int, rank:
             dots = weighted @ (latent / np.maximum(size, 1e-9)).T
             row = np.full(len(words) + 1, -1, np.int32)
             row[np.searchsorted(words, v)] = np.arange(len(v))
-            blocks.append((row, np.concatenate([dots, np.zeros((1, dots.shape[1]), np.float32)]), np.array([i for i, _ in passages[b]])))
-    return idf, _plain(Table(words)), blocks, [i for i, _ in items], [h.tolist() for _, h in items]
+            blocks.append((row, np.concatenate([dots, np.zeros((1, dots.shape[1]), np.float32)]), np.array([i for i, _ in passages[b]]),
+                           np.array([threshold * min(1.0, (len(w) / full) ** 0.5) for _, w in passages[b]])))
+    return idf, _plain(Table(words)), blocks, [i for i, _ in items], [h.tolist() for _, h in items], short

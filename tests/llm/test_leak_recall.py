@@ -77,4 +77,46 @@ def test_blocks_hold_no_more_passages_than_the_rank():
         got = [(i, w.tolist()) for b in blocks for i, w in b]
         s = [decontam.windows(np.array([0, len(h)]), 24, 8) for _, h in items]
         assert got == [(i, items[i][1][x:y].tolist()) for i, (a, e, _) in enumerate(s) for x, y in zip(a, e)]
-    assert [len(c) for c in decontam._chunks(iter([]), 5, 5, 5, 24, 8)] == [0]
+    assert [len(c) for c in decontam._chunks(iter([]), 5, 5, 24, 8)] == [0]
+
+
+def test_verbatim_copies_of_any_length_are_found(spark):
+    r = random.Random(11)
+    items, texts, planted = [], [], []
+    for m in (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 50):
+        for _ in range(60):
+            # a short item of common words alone would stand in many texts by itself
+            item = ["q%d" % r.randrange(10**6) if m < 5 and k == 0 else x for k, x in enumerate(_words(r, m))]
+            w = _words(r, 150)
+            at = r.randint(0, len(w))
+            planted.append((len(texts), len(items), m))
+            items.append(" ".join(item))
+            texts.append(" ".join(w[:at] + item + w[at:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(x.doc_id, h.item_id) for x in decontam.find_leaks(docs, bench).collect() for h in x.hits}
+    share = {m: np.mean([(d, i) in found for d, i, k in planted if k == m]) for m in {m for *_, m in planted}}
+    print(share)
+    assert all(v >= 0.9 for v in share.values()) and all(share[m] == 1 for m in (1, 2, 3, 4)), share
+
+
+def test_bound_holds_for_repeated_words():
+    r = random.Random(3)
+    for _ in range(60):
+        texts = [[r.randrange(6) for _ in range(r.randrange(0, 40))] for _ in range(4)]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        i = np.array([x if x < 4 else -1 for t in texts for x in t], np.int64)
+        weight = np.array([0.5 + x for t in texts for x in t])
+        window = r.choice([3, 8, 24])
+        got = decontam._earlier(i, at, window)
+        for k, t in enumerate(texts):
+            for j, x in enumerate(t):
+                want = t[max(0, j - window + 1):j].count(x) if x < 4 else 0
+                assert got[at[k] + j] == want
+        s, e, text = decontam.windows(at, window, 2)
+        for a, b in zip(s, e, strict=True):
+            counts = Counter(i[a:b][i[a:b] >= 0].tolist())
+            true = sum(c * c * (0.5 + x) for x, c in counts.items())
+            own = i[a:b] >= 0
+            bound = (weight[a:b] * own).sum() + (2 * weight[a:b] * got[a:b]).sum()
+            assert bound >= true - 1e-9
