@@ -7,7 +7,7 @@ estimates the risk on the unseen negatives and must not go below zero, where
 it would only fit noise. The logistic loss makes the unbiased risk convex with
 gradient  E_all[s(z) x] - p E_pos[x],  so a few Newton steps minimise it. The fit
 goes along a path of weaker and weaker ridge penalties and keeps the last
-model whose second part is not negative by more than twice its standard error
+minimum whose second part is not negative by more than twice its standard error
 (non-negative risk). The prior is the
 share of positives among the labelled training rows.
 
@@ -195,10 +195,12 @@ def fit(table: DataFrame, prior: float | None = None, ridges: tuple = RIDGES, st
                 going = [j for j in going if j != i]
         if not going:
             break
-    # from a stiff model to a free one: below zero by more than its sampling error, only noise is fitted from there on
-    first = valid.index(False) if False in valid else len(ridges)
+    # from a stiff model to a free one, as far as there is a minimum: a ridge too weak to give one in so many steps ends the path
+    settled = next((i for i in range(len(ridges)) if i in going), len(ridges))
+    # below zero by more than its sampling error, only noise is fitted from there on
+    first = next((i for i in range(settled) if not valid[i]), settled)
     good = ws[first - 1] if first else np.zeros(WIDTH)
-    if first < len(ridges):  # as far towards that one as the risk allows
+    if first < settled:  # as far towards that one as the risk allows
         between = [good + (ws[first] - good) * k / 16 for k in range(17)]
         kept = [negatives >= -2 * error for negatives, error, _, _ in losses(between, False)]
         low, high = 0, 16
