@@ -160,16 +160,11 @@ def _decide(h: np.ndarray, lo: int, hi: int, first: int, last: int, words: list[
 
 def _earlier(i: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """For each word with a number (``i`` >= 0) how many of the ``window`` - 1 words before it in its text are the same."""
-    out = np.zeros(len(i), np.int64)
-    where = np.flatnonzero(i >= 0)
-    text = np.searchsorted(at, where, "right")
-    # texts are set apart by more than a window, words by more than all texts
-    place = where + text * window
-    reach = int(place[-1]) + window + 1 if len(place) else 1
-    key = i[where].astype(np.int64) * reach + place
-    order = np.argsort(key)
-    ranked = key[order]
-    out[where[order]] = np.arange(len(ranked)) - np.searchsorted(ranked, ranked - window + 1)
+    out = np.zeros(len(i), np.int16)
+    place = (np.arange(len(i)) - np.repeat(at[:-1], np.diff(at))).astype(np.int32)
+    for back in range(1, min(window, len(i))):
+        out[back:] += (i[back:] == i[:-back]) & (place[back:] >= back)
+    out[i < 0] = 0
     return out
 
 
