@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -189,11 +190,33 @@ class PrefixCoder:
         whole = self.ranks.get(piece)  # as the library does, also for tokens that no merge reaches
         return [whole] if whole is not None else self.read(self.table(piece))
 
+    def known_pieces(self) -> dict[str, bytes]:
+        return self._pieces
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of many pieces. In the order of their bytes, a piece takes over the
+        table of the one before as far as they have a prefix in common."""
+        if len(self._pieces) + len(pieces) > self.memory:
+            self._pieces.clear()
+        before, table = b"", array("i")
+        for data in sorted(p.encode() for p in pieces):
+            whole = self.ranks.get(data)
+            if whole is None:
+                k, most = 0, min(len(before), len(data))
+                while k < most and before[k] == data[k]:
+                    k += 1
+                before, table = data, self.extend(data, table[:k])
+                ids = self.read(table)
+            else:
+                ids = [whole]
+            self._pieces[data.decode()] = struct.pack(f"<{len(ids)}I", *ids)
+
     def packed(self, piece: str) -> bytes:
         """The ids of a piece as little-endian 32-bit integers; pieces that recur are remembered."""
         got = self._pieces.get(piece)
         if got is None:
-            got = np.array(self.encode(piece.encode()), "<u4").tobytes()
+            ids = self.encode(piece.encode())
+            got = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= 64:
                 if len(self._pieces) >= self.memory:
                     self._pieces.clear()
@@ -323,8 +346,11 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((ranks, last_merges(ranks), newer_letters()))
 
 
-def _passed(batch: pa.RecordBatch, schema: list[str]) -> list[pa.Array]:
-    return [batch.column(c) for c in schema]
+def _token_bytes(ranks: dict[bytes, int]) -> segments.TokenBytes:
+    token = {i: t for t, i in ranks.items()}
+    if any(i not in token for i in range(len(token))):
+        raise ValueError("the vocabulary's ids have gaps")
+    return segments.TokenBytes([token[i] for i in range(len(token))])
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -345,19 +371,23 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", id_col: str
             return b"".join(b"".join(map(coder.packed, p)) for p in splitter.pieces(text))
 
         def encode(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [packed(x) for x in some]
+            pieces = [list(itertools.chain.from_iterable(splitter.pieces(x))) for x in some]
+            known = coder.known_pieces()
+            coder.learn({p for row in pieces for p in row if p not in known and len(p) <= 64})
+            found = [b"".join(map(coder.packed, row)) for row in pieces]
             return np.frombuffer(b"".join(found), "<i4"), np.array([len(x) // 4 for x in found], np.int64)
 
         # no piece goes on from another character to white space behind it, so segments are encoded by themselves
-        store = segments.Store(encode)
+        store, tokens = segments.Store(encode, at_once=1 << 15), _token_bytes(ranks)
         for batch in batches:
             for part in bytescan.slices(batch, "text", 2 << 20):
-                texts = part.column("text")
-                ids, ends = store.ids_of(segments.Texts(*bytescan.buffer_of(texts)))
+                texts, cut = part.column("text"), segments.Texts(*bytescan.buffer_of(part.column("text")))
+                ids, ends = store.ids_of(cut)
+                true = segments.true_texts(cut, ids, ends, tokens)
                 data = ids.astype("<i4").tobytes()
                 rows = [data[4 * a:4 * b] for a, b in itertools.pairwise(ends.tolist())]
                 for i, text in enumerate(texts.to_pylist()):
-                    if text and not text.isascii() and segments.WIDE_SPACE.search(text):
+                    if text and (not true[i] or not text.isascii() and segments.WIDE_SPACE.search(text)):
                         rows[i] = packed(text)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array(rows, pa.binary())],
                                                  [id_col, "n_tokens", "ids"])
@@ -374,10 +404,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFra
     shared = _shared(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: t for t, i in shared.value[0].items()}
-        if any(i not in token for i in range(len(token))):
-            raise ValueError("the vocabulary's ids have gaps")
-        known = segments.TokenBytes([token[i] for i in range(len(token))])
+        known = _token_bytes(shared.value[0])
         for batch in batches:
             for part in bytescan.slices(batch, "ids", 4 << 20):
                 data = [None if x is None else known.joined(np.frombuffer(x, "<u4")).tobytes() for x in part.column("ids").to_pylist()]

@@ -65,11 +65,21 @@ class Texts:
         return [self._data[a:b].decode() for a, b in zip(self.begin[some].tolist(), self.end[some].tolist(), strict=True)]
 
 
+def true_texts(texts: Texts, ids: np.ndarray, ends: np.ndarray, tokens: TokenBytes) -> np.ndarray:
+    """Which texts' bytes are those of their tokens joined (segments whose hashes clash are found by this)."""
+    size = np.concatenate([[0], np.cumsum(tokens.length[ids])])[ends]
+    good = np.diff(size) == np.diff(texts.off)
+    differs = tokens.joined(ids[np.repeat(good, np.diff(ends))]) != texts.raw[np.repeat(good, np.diff(texts.off))]
+    if differs.any():
+        good[np.repeat(np.arange(len(good))[good], np.diff(texts.off)[good])[differs]] = False
+    return good
+
+
 class Store:
     """Ids of segments by the segment's hash; ``encode`` is asked once per segment, until the store is full and emptied."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 19):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 19, at_once: int = 2048):
+        self.encode, self.limit, self.at_once = encode, limit, at_once
         self.clear()
 
     def clear(self) -> None:
@@ -86,8 +96,8 @@ class Store:
         out[seen] = self.row[at[seen]]
         new = np.flatnonzero(~seen)
         out[new] = len(self.n) + np.arange(len(new))
-        for k in range(0, len(new), 2048):  # a library's own results are large objects
-            ids, n = self.encode(texts.strings(new[k:k + 2048]))
+        for k in range(0, len(new), self.at_once):  # a library's own results are large objects
+            ids, n = self.encode(texts.strings(new[k:k + self.at_once]))
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(len(self.ids) // 2, len(ids)), np.int32)])
             self.ids[self.used:self.used + len(ids)] = ids

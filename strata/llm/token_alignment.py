@@ -99,18 +99,9 @@ class _Tokens:
     def of(self, texts: segments.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, offsets and which texts' bytes are those of their tokens; texts that are not have no ids here."""
         ids, ends = self.store.ids_of(texts)
-        size = np.concatenate([[0], np.cumsum(self.bytes.length[ids])])[ends]
-        good = np.diff(size) == np.diff(texts.off)
-        keep = np.repeat(good, np.diff(ends))
-        ids, n_doc = ids[keep], np.where(good, np.diff(ends), 0)
-        differs = self.bytes.joined(ids) != texts.raw[np.repeat(good, np.diff(texts.off))]
-        if differs.any():
-            text = np.repeat(np.arange(len(good))[good], np.diff(texts.off)[good])
-            wrong = np.zeros(len(good), bool)
-            wrong[text[differs]] = True
-            ids = ids[~np.repeat(wrong, n_doc)]
-            good, n_doc = good & ~wrong, np.where(wrong, 0, n_doc)
-        return ids, np.concatenate([[0], np.cumsum(n_doc)]), good
+        good = segments.true_texts(texts, ids, ends, self.bytes)
+        n = np.where(good, np.diff(ends), 0)
+        return ids[np.repeat(good, np.diff(ends))], np.concatenate([[0], np.cumsum(n)]), good
 
     def whole(self, text: str) -> np.ndarray | None:
         """The ids of a text asked for as a whole, if their bytes are its."""

@@ -128,6 +128,23 @@ def test_edited_documents(spark, library):
         assert r.doc_id != 1 or r.n_kept > 240
 
 
+def test_pattern_is_the_library_files():
+    import public_tokenizers
+    assert B.PATTERN == public_tokenizers.PATTERN
+
+
+def test_clashing_hashes_are_found():
+    import pyarrow as pa
+
+    from strata.llm import bytescan, segments
+    cut = segments.Texts(*bytescan.buffer_of(pa.array(["ab cd", "", "ab xy", "cd"])))
+    tokens = segments.TokenBytes([b"ab", b" cd", b" xy", b"cd", b" c"])
+    good = lambda *rows: segments.true_texts(cut, np.array([i for r in rows for i in r], np.int32), np.cumsum([0, *map(len, rows)]), tokens).tolist()
+    assert good([0, 1], [], [0, 2], [3]) == [True] * 4
+    assert good([0, 2], [], [0, 2], [3]) == [False, True, True, True]
+    assert good([0, 4], [], [0, 1], [3]) == [False, True, False, True]
+
+
 def test_newer_letters_are_split_as_the_library_does(newer):
     splitter = B.Splitter(newer)
     assert splitter.odd and splitter.odd.search("՘")
