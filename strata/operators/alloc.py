@@ -27,14 +27,16 @@ def _open(status: str, closed: str) -> Column:
 
 def owner_workload(cases: DataFrame, capacity: DataFrame, kinds: Sequence[str] = ("LoneCase", "ChildCase"),
                    owner: str = "owner", status: str = "status", kind: str = "kind",
-                   closed: str = "Closed") -> DataFrame:
+                   closed: str = "Closed", team: Column | None = None) -> DataFrame:
     """(owner, adjusted_team, open_count int, hours double) for open items of
     the given kinds that have an owner. Hours come from ``capacity`` (owner,
     hours), 0 for owners missing there; an owner in two teams gets full hours
-    in each. Owners without open items do not appear."""
+    in each. Owners without open items do not appear. ``team`` is the team an
+    item counts for (default: :func:`adjusted_team`)."""
     open_items = cases.filter(_open(status, closed) & F.col(kind).isin(*kinds)
                               & F.col(owner).isNotNull())
-    agg = (open_items.groupBy(F.col(owner).alias("owner"), adjusted_team().alias("adjusted_team"))
+    team = adjusted_team() if team is None else team
+    agg = (open_items.groupBy(F.col(owner).alias("owner"), team.alias("adjusted_team"))
            .agg(F.count(F.lit(1)).cast("int").alias("open_count")))
     cap = capacity.groupBy(F.col("owner").alias("__cap_owner")).agg(F.max("hours").alias("hours"))
     res = agg.join(cap, agg.owner == cap.__cap_owner, "left").drop("__cap_owner")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strata.functions.columns import day_number
-from strata.session import ensure_checkpoint_dir, materialize
+from strata.session import ensure_checkpoint_dir, materialize, note_table
 
 #: at most so many (key, bin) cells can be hot, since each holds that share of all events
 MAX_HOT_CELLS = 1 << 16
@@ -50,7 +50,7 @@ class EventHistory:
         """Write ``events`` (rows without key or time match no period and are left out).
 
         ``cell_rows``: events of a (key, bin) from which it is split. The table
-        is an external one in the shared checkpoint folder; :meth:`drop` removes it.
+        is an external one in the shared checkpoint folder.
         """
         spark = events.sparkSession
         columns = events.columns
@@ -68,7 +68,7 @@ class EventHistory:
         rows = rows.withColumn("__slice", F.pmod(F.xxhash64(*columns), F.coalesce("__slices", F.lit(1))).cast("long")).drop("__hkey", "__hbin", "__slices")
         buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n // cell_rows, 100_000))
         name = f"history_{uuid.uuid4().hex}"
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+        path = note_table(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}")
         # dealt out as the buckets are, so that each bucket is one sorted file
         (rows.repartition(buckets, *_CELL).write.format("parquet").option("path", path)
          .bucketBy(buckets, *_CELL).sortBy(*_CELL, ts).saveAsTable(name))
@@ -76,6 +76,7 @@ class EventHistory:
         return cls(spark, name, columns, key, ts, bin_days, hot, span)
 
     def drop(self) -> None:
+        """Forget the table (its files go with ``release_tables``)."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     @property

@@ -139,8 +139,9 @@ def full_r2_base(t: Tables) -> DataFrame:
 
 
 def full_sample(t: Tables) -> DataFrame:
-    rows = full_r2_base(t).withColumn("perf_bucket", performance_bucket("r2_performance"))
-    return quota_sample(rows, "perf_bucket", [F.col("id").desc()], "r2_total_count", QUOTAS).withColumn("grp", F.lit(1).cast("long"))
+    rows = full_r2_base(t).withColumn("quality", performance_bucket("r2_performance"))
+    taken = quota_sample(rows, "quality", [F.col("id").desc()], "r2_total_count", QUOTAS).withColumn("grp", F.lit(1).cast("long"))
+    return taken.withColumnsRenamed({"rn": "place", "cum_count": "running_count"})
 
 
 def full_rest(t: Tables) -> DataFrame:
@@ -157,13 +158,13 @@ def full_groups(t: Tables) -> DataFrame:
 _STEPS_SQL = ["""taken AS (SELECT list(DISTINCT user_id * 2) AS ids FROM events),
 base AS (
   SELECT id, meter_type, %s FROM multi_run, taken WHERE r2_total_count > 0 AND NOT coalesce(list_contains(ids, id), FALSE))""" % _R2, f"""bucketed AS (
-  SELECT *, {BUCKET_SQL} AS perf_bucket FROM base),
+  SELECT *, {BUCKET_SQL} AS quality FROM base),
 counted AS (
-  SELECT *, (SELECT count(*) FROM bucketed y WHERE y.perf_bucket = x.perf_bucket AND y.id >= x.id) AS rn,
-         (SELECT sum(y.r2_total_count)::BIGINT FROM bucketed y WHERE y.perf_bucket = x.perf_bucket AND y.id >= x.id) AS cum_count
+  SELECT *, (SELECT count(*) FROM bucketed y WHERE y.quality = x.quality AND y.id >= x.id) AS place,
+         (SELECT sum(y.r2_total_count)::BIGINT FROM bucketed y WHERE y.quality = x.quality AND y.id >= x.id) AS running_count
   FROM bucketed x),
 sampled AS (
-  SELECT *, 1::BIGINT AS grp FROM counted WHERE cum_count <= ({QUOTA_SQL})[perf_bucket] * (SELECT sum(r2_total_count) FROM base))""",
+  SELECT *, 1::BIGINT AS grp FROM counted WHERE running_count <= ({QUOTA_SQL})[quality] * (SELECT sum(r2_total_count) FROM base))""",
               "rest AS (SELECT * FROM base ANTI JOIN sampled USING (id))", _deal_sql("rest", "r2_performance DESC NULLS LAST", "r2_total_count", 9, 9, 2),
               f"""grouped AS (
   SELECT g.*, 'Brand#' || ((SELECT arg_max(p.pk, row(p.start_date, p.pk)) FROM periods p WHERE p.id = g.id) % 25 + 1) AS distributor
@@ -174,10 +175,10 @@ def _steps_sql(body: str, upto: int) -> str:
     return with_ctes([*BASE_FIXTURES, "runs"], body, extra=[*_DOMESTIC_SQL, *_STEPS_SQL[:upto]])
 
 
-@register("q_full_quota_sample", _steps_sql(f"SELECT id, meter_type, {_R2}, perf_bucket, rn, cum_count, grp FROM sampled", 2))
+@register("q_full_quota_sample", _steps_sql(f"SELECT id, meter_type, {_R2}, quality, place, running_count, grp FROM sampled", 2))
 def q_full_quota_sample(spark, sf):
     """First group of the domestic base: per quality bucket, ids from the largest down within the bucket's share of all counts."""
-    return full_sample(Tables(spark, sf)).select("id", "meter_type", *R2_COLS, "perf_bucket", "rn", "cum_count", "grp")
+    return full_sample(Tables(spark, sf)).select("id", "meter_type", *R2_COLS, "quality", "place", "running_count", "grp")
 
 
 @register("q_full_remainder", _steps_sql(f"SELECT id, meter_type, {_R2} FROM rest", 3))
@@ -186,19 +187,19 @@ def q_full_remainder(spark, sf):
     return full_rest(Tables(spark, sf))
 
 
-@register("q_full_ntile_bands", _steps_sql("SELECT id, performance_band FROM tiled", 4))
+@register("q_full_ntile_bands", _steps_sql("SELECT id, performance_band AS tile FROM tiled", 4))
 def q_full_ntile_bands(spark, sf):
     """NTILE(9) of the remainder by performance, without one task that holds it."""
     order = [F.col("r2_performance").desc_nulls_last(), F.col("id").asc()]
-    return with_ntile(full_rest(Tables(spark, sf)).select("id", "r2_performance"), order, 9, out="performance_band").select("id", "performance_band")
+    return with_ntile(full_rest(Tables(spark, sf)).select("id", "r2_performance"), order, 9, out="tile").select("id", "tile")
 
 
-@register("q_full_banded_deal", _steps_sql("SELECT id, meter_type, performance_band, order_key, band_position, grp FROM dealt", 4))
+@register("q_full_banded_deal", _steps_sql("SELECT id, meter_type, performance_band AS tile, band_position AS turn, grp FROM dealt", 4))
 def q_full_banded_deal(spark, sf):
     """The remainder dealt in turns, up and down the bands, into groups 2 to 10."""
     rest = full_rest(Tables(spark, sf)).select("id", "meter_type", "r2_performance", "r2_total_count")
     dealt = banded_deal(rest, "r2_performance", [F.col("r2_performance").desc_nulls_last()], "r2_total_count", [F.col("id").asc()], bands=9, groups=9, first_group=2)
-    return dealt.select("id", "meter_type", "performance_band", "order_key", "band_position", "grp")
+    return dealt.select("id", "meter_type", F.col("performance_band").alias("tile"), F.col("band_position").alias("turn"), "grp")
 
 
 @register("q_full_assign_groups", _steps_sql("SELECT * FROM grouped", 5))

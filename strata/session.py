@@ -74,9 +74,9 @@ _WRITTEN: dict[str, list[str]] = {}
 
 
 def release_tables(spark: SparkSession) -> int:
-    """Delete the tables that :func:`materialize` has written for this application so
-    far, and forget them; their number. For a caller that has stored or used its
-    results: DataFrames that read these tables can no longer run."""
+    """Delete the tables written for this application so far (:func:`materialize`,
+    :func:`note_table`), and forget them; their number. For a caller that has stored or
+    used its results: DataFrames that read these tables can no longer run."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -84,6 +84,12 @@ def release_tables(spark: SparkSession) -> int:
     return len(paths)
 
 
+def note_table(spark: SparkSession, path: str) -> str:
+    """Have :func:`release_tables` delete ``path`` as well."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared checkpoint folder and
     return a DataFrame reading it back: the lineage is cut there.
@@ -103,8 +109,7 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """:func:`materialize` that also returns the row count, observed as a
     metric of the write job itself (no second job to count)."""
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/tables/{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = note_table(df.sparkSession, f"{root}/tables/{uuid.uuid4().hex}")
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
     df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(path)
     return df.sparkSession.read.parquet(path), int(obs.get["n"])

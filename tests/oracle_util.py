@@ -23,12 +23,15 @@ def norm(v):
         return v.isoformat()
     if hasattr(v, "as_integer_ratio") and not isinstance(v, int):
         return float(f"{float(v):.9g}")
+    if isinstance(v, (list, tuple)):
+        return tuple(norm(x) for x in v)
     return v
 
 
-def rows_of(cols, rows):
+def rows_of(cols, rows, value=norm):
+    """The multiset of rows, columns in the order of their names, values through ``value``."""
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return Counter(tuple(norm(r[i]) for i in order) for r in rows)
+    return Counter(tuple(value(r[i]) for i in order) for r in rows)
 
 
 def duck(sf_dir: str):

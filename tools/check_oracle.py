@@ -9,44 +9,19 @@ normalised: floats rounded to 9 significant digits, dates/timestamps as ISO).
 from __future__ import annotations
 
 import argparse
-import datetime as dt
-import math
 import os
 import sys
 import time
-from collections import Counter
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-import duckdb  # noqa: E402
+from oracle_util import duck, norm, rows_of  # noqa: E402
 
-from strata.sources.tables import TABLE_NAMES  # noqa: E402
 
-
-EXACT = False
-
-
-def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float) and EXACT:
-        return repr(v)
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return float(f"{v:.9g}")
-    if isinstance(v, (dt.datetime, dt.date)):
-        return v.isoformat()
-    if hasattr(v, "as_integer_ratio") and not isinstance(v, int):  # Decimal
-        return float(f"{float(v):.9g}")
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    return v
-
-
-def rows_of(cols, rows):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return [tuple(norm(r[i]) for i in order) for r in rows]
+def exact(v):
+    """As :func:`norm`, but floats bit for bit."""
+    return repr(v) if isinstance(v, float) else norm(v)
 
 
 def main():
@@ -56,8 +31,7 @@ def main():
     ap.add_argument("--exact", action="store_true", help="compare floats bit for bit, and types")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
-    global EXACT
-    EXACT = a.exact
+    value = exact if a.exact else norm
 
     from strata.plans import ORACLE, QUERIES
     from strata.session import build_session
@@ -65,9 +39,7 @@ def main():
     spark = build_session()
     if a.tz:
         spark.conf.set("spark.sql.session.timeZone", a.tz)
-    con = duckdb.connect()
-    for t in TABLE_NAMES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
+    con = duck(a.sf)
     names = a.names or sorted(QUERIES)
     bad = 0
     for n in names:
@@ -75,19 +47,19 @@ def main():
         try:
             df = QUERIES[n](spark, a.sf)
             s_cols = df.columns
-            s_rows = rows_of(s_cols, [tuple(r) for r in df.collect()])
+            cs = rows_of(s_cols, [tuple(r) for r in df.collect()], value)
         except Exception as e:  # noqa: BLE001
             print(f"{n}: SPARK ERROR {type(e).__name__}: {str(e)[:800]}")
             bad += 1
             continue
         t1 = time.time()
         if n not in ORACLE:
-            print(f"{n}: rows={len(s_rows)} (no oracle) spark={t1 - t0:.1f}s")
+            print(f"{n}: rows={cs.total()} (no oracle) spark={t1 - t0:.1f}s")
             continue
         try:
             cur = con.execute(ORACLE[n])
             d_cols = [c[0] for c in cur.description]
-            d_rows = rows_of(d_cols, cur.fetchall())
+            cd = rows_of(d_cols, cur.fetchall(), value)
         except Exception as e:  # noqa: BLE001
             print(f"{n}: DUCKDB ERROR {type(e).__name__}: {str(e)[:800]}")
             bad += 1
@@ -101,10 +73,9 @@ def main():
             bad_t = {k: (st[k], dt_.get(k)) for k in st if m.get(st[k], st[k]) != dt_.get(k)}
             if bad_t:
                 print(f"   types differ: {bad_t}")
-        cs, cd = Counter(s_rows), Counter(d_rows)
         ok = ok_cols and cs == cd
         status = "OK" if ok else "MISMATCH"
-        print(f"{n}: {status} rows spark={len(s_rows)} duck={len(d_rows)} "
+        print(f"{n}: {status} rows spark={cs.total()} duck={cd.total()} "
               f"spark={t1 - t0:.1f}s")
         if not ok:
             bad += 1
