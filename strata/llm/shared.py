@@ -11,15 +11,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.session import ensure_checkpoint_dir
+from strata.session import ensure_checkpoint_dir, note_table
 
 
 class Scratch:
-    """A folder of its own for the tables of one operator call."""
+    """A folder of its own for the tables of one operator call; ``strata.session.release_tables`` deletes it."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = note_table(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
         self._n = 0
 
     def path(self, name: str) -> str:
