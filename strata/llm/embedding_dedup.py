@@ -140,10 +140,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 204
     found = scratch.table(found, "found")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "cid", "root", scratch).withColumnRenamed("node", "cid")
-    known = (classes.join(links, "cid", "left").join(comps, "cid", "left")
-             .select("label", "embedding", "least_id", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    least = classes.join(comps, "cid").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    known = known.join(least, "component", "left").select("label", "embedding", "n_links", F.coalesce("component_id", "least_id").alias("component_id"))
+    # keys alone are dealt out by component, which may hold much of the table
+    least = comps.join(classes.select("cid", "least_id"), "cid").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = scratch.table(comps, "comps").join(scratch.table(least, "least"), "component").select("cid", "component_id")
+    known = (classes.join(links, "cid", "left").join(named, "cid", "left")
+             .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                     F.coalesce("component_id", "least_id").alias("component_id")))
     out = rows.where("sound").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id", "label")
     rest = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                           F.col("vec_id").cast("long").alias("component_id"), "label")
