@@ -76,10 +76,12 @@ def _passage_frequencies(window: int):
             for part in bytescan.slices(batch, "text"):
                 h, at = word_hashes(*bytescan.buffer_of(part.column("text")))
                 n = np.diff(at)
-                base = np.cumsum(-(-n // window)) - (-(-n // window))
-                passage = np.repeat(base, n) + (np.arange(len(h)) - np.repeat(at[:-1], n)) // window
-                seen = np.unique(passage << BUCKET_BITS | _bucket(h))
-                total += np.bincount(seen & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
+                bucket = _bucket(h)
+                place = ((np.arange(len(h)) - np.repeat(at[:-1], n)) % window).astype(np.int32)
+                first = np.ones(len(h), bool)  # of its bucket in its passage
+                for back in range(1, min(window, len(h))):
+                    first[back:] &= (bucket[back:] != bucket[:-back]) | (place[back:] < back)
+                total += np.bincount(bucket[first], minlength=1 << BUCKET_BITS)
                 passages += int((-(-n // window)).sum())
         hit = np.flatnonzero(total)
         if passages:
@@ -197,12 +199,13 @@ def _search(shared, window: int, stride: int, answer: int, strong: float, weak:
                 every = np.concatenate([[0.0], np.cumsum(weight)])
                 hits: list[dict] = [{} for _ in range(part.num_rows)]
                 known = table.find(h)
+                pairs = 2 * weight * _earlier(known, at, window)
                 for row, dots, owner, limit in blocks:
                     i = row[known]
                     own = np.concatenate([[0.0], np.cumsum(np.where(i >= 0, weight, 0.0))])
                     mine = own[e] - own[s]
                     rest = np.maximum(every[e] - every[s] - mine, 0.0)
-                    twice = np.concatenate([[0.0], np.cumsum(2 * weight * _earlier(i, at, window))])
+                    twice = np.concatenate([[0.0], np.cumsum(np.where(i >= 0, pairs, 0.0))])
                     mine += twice[e] - twice[s]
                     low = limit.min() if len(limit) else 1.0
                     cand = np.flatnonzero(mine >= low * low * np.maximum(mine + rest, 1e-12))
