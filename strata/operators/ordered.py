@@ -38,7 +38,10 @@ from strata.session import materialize
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
-RANGE_BYTES = 128 << 20
+#: stored bytes per task: some hundred thousand rows, which sort in a few hundred MB
+RANGE_BYTES = 8 << 20
+#: tables of up to so many such parts are left to the session's partitions
+FEW_RANGES = 8
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -47,9 +50,22 @@ def _num_ranges(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return num_partitions
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, _stored_ranges(df))
+
+
+def _stored_ranges(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(least, min(size // RANGE_BYTES, 100_000))
+    return min(size // RANGE_BYTES, 100_000)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as its tables' size asks for, before a join or an
+    aggregate on them: the session's number of partitions is fixed, and a task's rows would grow
+    with the input. Small tables are left as they are. For keys of which none holds much of the table."""
+    if _stored_ranges(df) <= FEW_RANGES:
+        return df
+    return df.repartition(_num_ranges(df, None), *keys)
 
 
 def _ranged(df: DataFrame, order: Sequence[Column], num_partitions: int | None) -> DataFrame:

@@ -51,13 +51,14 @@ def flatten_hierarchy(base: DataFrame, steps: Sequence[tuple[DataFrame, Column]]
                       flag_values: tuple[str, str] = ("Non-Auditable", "Auditable"),
                       flag_source: str | None = None) -> DataFrame:
     """Inner join chain down a message hierarchy, a code-description lookup
-    (inner: unknown codes drop out), an audit flag and DISTINCT.
+    (inner: unknown codes drop out; broadcast, as a shuffle on the code would put
+    all rows into as many tasks as there are codes), an audit flag and DISTINCT.
 
     ``flag_source`` names the column tested against ``flagged_codes``
     (default: ``code``). ``select`` lists the output columns besides the flag.
     """
     flat = join_chain(base, steps)
-    flat = flat.join(lookup, flat[code] == lookup[lookup_code])
+    flat = flat.join(F.broadcast(lookup), flat[code] == lookup[lookup_code])
     src = F.col(flag_source or code)
     flag = F.when(src.isin(*flagged_codes), F.lit(flag_values[0])).otherwise(F.lit(flag_values[1]))
     return flat.select(*select, flag.alias(flag_col)).distinct()

@@ -8,6 +8,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from strata.functions.columns import ntz, concat_parts, first_match
+from strata.operators.ordered import spread
 from strata.operators.position import affecting_flags
 from strata.operators.rows import (fallback_lookup, flatten_hierarchy, join_chain, not_in,
                                   preferred_row)
@@ -31,9 +32,10 @@ def q_hierarchy_flatten(spark, sf):
     """Four-level inner join chain, a code lookup and an audit flag, distinct."""
     t = Tables(spark, sf)
     r, n, c, o = t.region, t.nation, t.customer, t.orders
+    # from the largest table up: its rows stay spread over tasks, the few nations and regions come to them
     return flatten_hierarchy(
-        r, [(n, n.n_regionkey == r.r_regionkey), (c, c.c_nationkey == n.n_nationkey),
-            (o, o.o_custkey == c.c_custkey)],
+        spread(o, "o_custkey"), [(c, F.col("o_custkey") == c.c_custkey), (n, c.c_nationkey == n.n_nationkey),
+                                 (r, n.n_regionkey == r.r_regionkey)],
         fx.status_codes(spark), "o_orderstatus", "code", ["1-URGENT", "2-HIGH"], "audit_status",
         ["r_name", "n_name", "c_custkey", F.to_date("o_orderdate").alias("order_day"),
          F.col("o_orderstatus").alias("status"), "description"],
