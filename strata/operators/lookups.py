@@ -67,19 +67,21 @@ def reduced_lookup(lookup: DataFrame, keys: Sequence[str], take: Sequence[str],
 
 def checked_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[tuple[Column | str, str]], take: Mapping[str, str],
                    rule: str = "one", order: Sequence[str] = (), found: str | None = None, name: str = "lookup",
-                   report: LookupReport | None = None) -> DataFrame:
+                   report: LookupReport | None = None, few: bool = False) -> DataFrame:
     """``df`` with columns of ``lookup``: ``take`` maps new column names to the lookup's.
 
     ``on`` pairs an expression or column of ``df`` with a key column of the
     lookup; a null on either side matches nothing. Rows without a match have
     nulls; ``found`` names a boolean column that tells them from nulls in the
     lookup. Under ``rule="one"``, ``"first"`` and ``"last"`` every row of ``df``
-    comes back exactly once.
+    comes back exactly once. ``few``: the lookup has few keys, each of which may
+    hold much of ``df`` (areas, classes); it is broadcast, not shuffled on them.
     """
     keys = [k for _, k in on]
     small = reduced_lookup(lookup, keys, list(dict.fromkeys(take.values())), rule, order, name, report)
     small = small.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hit"),
                          *[F.col(c).alias(f"__t{i}") for i, c in enumerate(take.values())])
+    small = F.broadcast(small) if few else small
     cond = None
     for i, (expr, _) in enumerate(on):
         term = (F.col(expr) if isinstance(expr, str) else expr) == F.col(f"__k{i}")

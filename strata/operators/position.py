@@ -13,7 +13,7 @@ from strata.functions.columns import first_match, later_of, safe_ratio
 from strata.operators.history import EventHistory
 from strata.operators.intervals import bucket_by_interval
 from strata.operators.lookups import LookupReport, checked_lookup
-from strata.operators.ordered import with_rank, with_row_number
+from strata.operators.ordered import spread, with_rank, with_row_number
 from strata.operators.rows import fallback_lookup
 from strata.operators.sweep import sweep_periods
 from strata.session import materialize
@@ -92,18 +92,17 @@ def classed_periods(periods: DataFrame, checkpoints: DataFrame, volumes: DataFra
     base = periods.filter(F.col("status").isin("O", "F")
                           & ((F.col("start_date") < F.col("end_date"))
                              | F.col("end_date").isNull()))
+    base = spread(base, "id").withColumn("current_supplier", F.col("end_date").isNull() | (F.col("end_date") >= F.lit(as_of)))
     base = base.join(checkpoints, "id", "left")
     base = base.withColumn("last_valid_date", later_of("cp_date", "start_date"))
     base = base.join(customers, "id", "left")
-    base = fallback_lookup(base, volumes, ["id"], "annual_volume", defaults,
+    base = fallback_lookup(base, volumes, ["id"], "annual_volume", F.broadcast(defaults),
                            [(F.col("class_code").try_cast("bigint"), "class_num"),
                             (F.col("segment"), "segment")], "default_annual_volume", out="volume",
                            source="volume_source")
     base = bucket_by_interval(base, "last_valid_date", intervals, label="run", salt=1)
-    base = affecting_flags(base, intervals, "start_date", "end_date", "disc_date", "energ",
+    return affecting_flags(base, intervals, "start_date", "end_date", "disc_date", "energ",
                            "deenerg_date", "cp_date")
-    return base.withColumn("current_supplier",
-                           F.col("end_date").isNull() | (F.col("end_date") >= F.lit(as_of)))
 
 
 def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
@@ -130,7 +129,7 @@ def build_position(periods: DataFrame, reads: DataFrame, checkpoints: DataFrame,
                          F.col("latest.ts").alias("latest_read_ts"),
                          F.col("latest.code").alias("latest_read_code"),
                          F.col("latest.note").alias("latest_read_note"))
-    pos = base.join(facts, "pk", "left")
+    pos = spread(base, "pk").join(spread(facts, "pk"), "pk", "left")
     for c in ("count_since_start", "count_since_checkpoint"):
         pos = pos.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
     return with_priority(pos, intervals, as_of)
@@ -158,23 +157,23 @@ def position_base(periods: DataFrame, details: DataFrame, checkpoints: DataFrame
     report = (reports or {}).get
     base = periods.filter(F.col("status").isin("O", "F") & ((F.col("start_date") < F.col("end_date")) | F.col("end_date").isNull()))
     own = ["distributor", "line_class", "profile_class", "config_id", "area", "postcode", "service_flag"]
-    base = checked_lookup(base, details, [("pk", "pk")], {c: c for c in own}, name="period details", report=report("details"))
+    base = checked_lookup(spread(base, "pk"), spread(details, "pk"), [("pk", "pk")], {c: c for c in own}, name="period details", report=report("details"))
+    base = checked_lookup(base, exports, [("distributor", "participant"), ("line_class", "class_id")], {"export_indicator": "export_indicator"},
+                          rule="first", order=["priority"], name="export flags", report=report("exports"), few=True)
+    base = checked_lookup(base, meters, [("pk", "link")], {"meter_type": "meter_type"}, rule="last", order=["seen", "line"], name="meters", report=report("meters"))
+    base = checked_lookup(base, handlers, [("area", "area")], {"handler": "handler"}, name="handlers", report=report("handlers"), few=True)
+    base = spread(base, "id").withColumn("current_supplier", F.col("end_date").isNull() | (F.col("end_date") >= F.lit(as_of)))
     base = checked_lookup(base, checkpoints, [("id", "id")], {"cp_date": "cp_date"}, rule="last", name="checkpoints", report=report("checkpoints"))
     base = base.withColumn("last_valid_date", later_of("cp_date", "start_date"))
     base = bucket_by_interval(base, "last_valid_date", intervals, label="run", salt=1)
     base = affecting_flags(base, intervals, "start_date", "end_date", "disc_date", "energ", "deenerg_date", "cp_date")
-    base = base.withColumn("current_supplier", F.col("end_date").isNull() | (F.col("end_date") >= F.lit(as_of)))
-    base = checked_lookup(base, exports, [("distributor", "participant"), ("line_class", "class_id")], {"export_indicator": "export_indicator"},
-                          rule="first", order=["priority"], name="export flags", report=report("exports"))
-    base = checked_lookup(base, meters, [("pk", "link")], {"meter_type": "meter_type"}, rule="last", order=["seen", "line"], name="meters", report=report("meters"))
-    base = checked_lookup(base, handlers, [("area", "area")], {"handler": "handler"}, name="handlers", report=report("handlers"))
     who = ["customer_type", "customer_name", "customer_number", "address"]
     base = checked_lookup(base, customers, [("id", "id")], {c: c for c in who}, name="customers", report=report("customers"))
     base = checked_lookup(base, volumes, [("id", "id")], {"annual_volume": "annual_volume"}, found="__own", name="volumes", report=report("volumes"))
     # a default only where the id has no volume of its own: a null key matches nothing
     missing = lambda c: F.when(~F.col("__own"), c)
     base = checked_lookup(base, defaults, [(missing(F.col("profile_class").try_cast("bigint")), "class_num"), ("config_id", "config_id"), ("area", "area")],
-                          {"default_annual_volume": "default_annual_volume"}, rule="first", name="default volumes", report=report("defaults"))
+                          {"default_annual_volume": "default_annual_volume"}, rule="first", name="default volumes", report=report("defaults"), few=True)
     volume = F.round(F.when(F.col("__own"), F.col("annual_volume")).otherwise(F.col("default_annual_volume")), 2)
     return base.withColumn("volume", volume.cast("double")).drop("__own", "annual_volume", "default_annual_volume")
 
@@ -187,7 +186,7 @@ def with_event_facts(base: DataFrame, history: EventHistory, as_of: dt.date, ord
     facts = facts.select("pk", "events_since_start", "events_since_checkpoint", F.col(f"latest.{history.ts}").alias("event_ts"),
                          *[F.col(f"latest.{c}").alias(n) for c, n in (("code", "event_code"), ("description", "event_description"),
                                                                       ("note", "event_note"), ("audit_status", "audit_status"))])
-    out = base.join(facts, "pk", "left")
+    out = spread(base, "pk").join(spread(facts, "pk"), "pk", "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("events_since_start", "events_since_checkpoint")})
 
 
@@ -198,7 +197,7 @@ def with_priority(base: DataFrame, intervals: DataFrame, as_of: dt.date) -> Data
     scored = materialize(scored)
     ranked = priority_rank(scored.select("pk", "handler", "score"), ["handler"], "score", ["pk"], out="priority_rank").select("pk", "priority_rank")
     numbered = with_row_number(scored.select("pk", "id", "start_date"), ["id"], [F.col("start_date").desc(), F.col("pk").desc()], out="period_rank")
-    return scored.join(ranked, "pk").join(numbered.select("pk", "period_rank"), "pk")
+    return spread(scored, "pk").join(ranked, "pk").join(numbered.select("pk", "period_rank"), "pk")
 
 
 def drill_down(pos: DataFrame, day: dt.date, customer: str, meter_type: str, customer_type: str, final_run: str = "RF") -> DataFrame:

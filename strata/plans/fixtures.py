@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strata.functions.columns import concat_parts, first_match, ntz
 from strata.operators.history import EventHistory, describe_events
 from strata.operators.intervals import bucket_by_interval, contiguous_intervals
-from strata.operators.ordered import with_next_in_group
+from strata.operators.ordered import spread, with_next_in_group
 from strata.session import materialize
 from strata.sources.tables import Tables
 
@@ -94,7 +94,7 @@ def reads(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag",
                            "l_linestatus")
     o = t.orders.select("o_orderkey", "o_custkey")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
+    return (spread(li, "l_orderkey").join(o, F.col("l_orderkey") == o.o_orderkey)
             .select(F.col("o_custkey").alias("id"), F.col("l_shipdate").alias("ts"),
                     F.col("l_returnflag").alias("code"),
                     F.when(F.col("l_orderkey") % 5 == 0, F.lit(None).cast("string"))
@@ -175,7 +175,7 @@ def details(t: Tables) -> DataFrame:
     period's registration says; the class is not a number for every tenth customer."""
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     c, n = t.customer, t.nation
-    x = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    x = spread(o, "o_custkey").join(c, F.col("o_custkey") == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return x.select(F.col("o_orderkey").alias("pk"), F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 25 + 1).cast("string")).alias("distributor"),
                     (F.col("c_custkey") % 10 + 1).cast("int").alias("line_class"),
                     F.when(F.col("c_custkey") % 10 == 0, F.lit("n/a")).otherwise(F.col("c_nationkey").cast("string")).alias("profile_class"),
@@ -194,7 +194,7 @@ def exports(t: Tables) -> DataFrame:
 @memo
 def meters(t: Tables) -> DataFrame:
     """(link, meter_type, seen, line): a meter per line item, linked to its order's period."""
-    return t.lineitem.select(F.col("l_orderkey").alias("link"), F.col("l_returnflag").alias("meter_type"), F.col("l_shipdate").alias("seen"), F.col("l_linenumber").alias("line"))
+    return spread(t.lineitem, "l_orderkey").select(F.col("l_orderkey").alias("link"), F.col("l_returnflag").alias("meter_type"), F.col("l_shipdate").alias("seen"), F.col("l_linenumber").alias("line"))
 
 
 @memo
@@ -223,7 +223,7 @@ def own_volumes(t: Tables) -> DataFrame:
     """(id, annual_volume): recent returned value per customer that has any, as a decimal."""
     li, o = t.lineitem, t.orders.select("o_orderkey", "o_custkey")
     recent = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= ntz(dt.datetime(2000, 1, 1)))
-    return (li.filter(recent).join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("id"))
+    return (spread(li.filter(recent), "l_orderkey").join(o, F.col("l_orderkey") == o.o_orderkey).groupBy(F.col("o_custkey").alias("id"))
             .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("annual_volume")))
 
 

@@ -34,7 +34,7 @@ def full_base(t: Tables, reports: dict[str, LookupReport] | None = None) -> Data
 
 
 def full_position(t: Tables) -> DataFrame:
-    base = with_event_facts(full_base(t), fx.event_history(t), fx.AS_OF, ["l_orderkey", "l_linenumber"], keep_reading())
+    base = with_event_facts(materialize(full_base(t)), fx.event_history(t), fx.AS_OF, ["l_orderkey", "l_linenumber"], keep_reading())
     return with_priority(base, fx.intervals(t), fx.AS_OF).select(*FULL_COLUMNS)
 
 
