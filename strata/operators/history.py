@@ -32,9 +32,11 @@ _CELL = ["__key", "__bin", "__slice"]
 def describe_events(events: DataFrame, codes: DataFrame, code: str, lookup_code: str, description: str, flagged: Sequence[str],
                     flag: str = "audit_status", values: tuple[str, str] = ("Non-Auditable", "Auditable")) -> DataFrame:
     """Distinct events with the description of their code (an unknown code drops
-    the event) and a flag that tells the ``flagged`` codes from the others."""
+    the event) and a flag that tells the ``flagged`` codes from the others.
+    The code table is broadcast: a shuffle on the code would put all events
+    into as many tasks as there are codes."""
     named = codes.select(F.col(lookup_code).alias("__code"), F.col(description).alias("description")).distinct()
-    out = events.join(named, events[code] == F.col("__code")).drop("__code")
+    out = events.join(F.broadcast(named), events[code] == F.col("__code")).drop("__code")
     return out.withColumn(flag, F.when(F.col(code).isin(*flagged), values[0]).otherwise(values[1])).distinct()
 
 

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from strata.operators.ordered import _num_ranges
 from strata.session import ensure_checkpoint_dir
 
 #: how the columns' order and types are kept beside the rows
@@ -26,14 +27,14 @@ SCHEMA_FILE = "_layout"
 def write_layout(df: DataFrame, partition_by: Sequence[str], sort_by: Sequence[str], path: str | None = None, ranges: int | None = None) -> str:
     """Write ``df`` once and return its folder (of its own in the shared checkpoint folder if none is named).
 
-    ``ranges``: tasks the rows are dealt to, by default the shuffle partitions. Rows
-    are dealt by the partition columns and the sort columns together, so a value
+    ``ranges``: tasks the rows are dealt to, by default as many as the size of the tables
+    read asks for, and the shuffle partitions at least. Rows are dealt by the partition columns and the sort columns together, so a value
     that holds much of the table is split over many files, while a small one is
     in few.
     """
     spark = df.sparkSession
     path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/layout-{uuid.uuid4().hex}"
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = _num_ranges(df, ranges)
     order = [*partition_by, *(c for c in sort_by if c not in partition_by)]
     df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.partitionBy(*partition_by).mode("error").parquet(path)
     spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").json(f"{path}/{SCHEMA_FILE}")
