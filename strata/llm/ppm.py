@@ -37,6 +37,8 @@ from strata.llm.shared import Scratch
 
 _BLANK, _END = 0x20, 0x0A
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: text worked on at a time; the arrays of its contexts take some sixty times as much
+SLICE_BYTES = 1 << 20
 
 
 def token_bytes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, at: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +185,10 @@ def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    uniq, inv = np.unique(keys, return_inverse=True)
-    return uniq, np.bincount(inv, weights=counts, minlength=len(uniq)).astype(np.int64)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _gather(order: int):
@@ -196,17 +200,17 @@ def _gather(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words, docs = [], [], 0
         for batch in batches:
-            for part in bytescan.slices(batch, "text"):
+            for part in bytescan.slices(batch, "text", SLICE_BYTES):
                 raw, off = bytescan.buffer_of(part.column("text"))
                 s, e, at = bytescan.words(raw, off)
                 docs += part.num_rows
                 words.append(np.unique(bytescan.span_hashes(bytescan.LOWER[raw], s, e), return_counts=True))
                 grams.append(np.unique(context_keys(*token_bytes(raw, s, e, at, order), order), return_counts=True))
                 for x in (grams, words):
-                    if len(x) >= 16:
+                    if sum(len(k) for k, _ in x[1:]) > 500_000 + len(x[0][0]) // 2:
                         x[:] = [_merge(x)]
                 for kind, x in ((0, grams), (1, words)):  # a task holds a bounded number of keys
-                    if x and len(x[0][0]) > 4_000_000:
+                    if x and len(x[0][0]) > 2_000_000:
                         yield rows(kind, *_merge(x))
                         x.clear()
         for kind, x in ((0, grams), (1, words)):
@@ -283,7 +287,7 @@ def score_documents(docs: DataFrame, order: int = 5, folds: int = 10, held_out:
             known = known and (_object(Table, known[0]), known[1])
             base_row, n_row = TaskContext.get().partitionId() << 36, 0
             for batch in batches:
-                for piece in bytescan.slices(batch, "text"):
+                for piece in bytescan.slices(batch, "text", SLICE_BYTES):
                     raw, off = bytescan.buffer_of(piece.column("text"))
                     s, e, at = bytescan.words(raw, off)
                     n = piece.num_rows
