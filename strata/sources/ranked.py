@@ -2,7 +2,7 @@
 
 Files have no order that a reader could rely on: Spark deals them to tasks by
 size. An ordered result therefore carries each row's position, is dealt out by
-ranges of it and sorted, one file per range. A page of it reads only the files
+ranges of it and sorted, a file or two per range, none longer than an even share. A page of it reads only the files
 and row groups whose positions overlap; reading it all in order is a merge of
 sorted ranges.
 """
@@ -25,7 +25,9 @@ def write_ranked(df: DataFrame, order: Sequence[Column], path: str | None = None
     path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/ranked-{uuid.uuid4().hex}"
     ranked = with_global_index(df, order, position, num_partitions=ranges).withColumn(position, F.col(position) + 1)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked.repartitionByRange(ranges, position).sortWithinPartitions(position).write.mode("error").parquet(path)
+    # range bounds come from a sample, so a range may be longer than others; its file is not
+    share = max(1, -(-ranked.count() // ranges))
+    ranked.repartitionByRange(ranges, position).sortWithinPartitions(position).write.option("maxRecordsPerFile", share).mode("error").parquet(path)
     return path
 
 
