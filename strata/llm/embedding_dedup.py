@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.components import connected_components
+from strata.llm.components import connected_components, least_reached
 from strata.llm.shared import Scratch
 
 _BLOCK = 1024
@@ -62,22 +62,6 @@ def linked(a: tuple, b: tuple, threshold: float) -> np.ndarray:
     return sure
 
 
-def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 and edges (i, j): the smallest node of each node's component."""
-    root = np.arange(n)
-    while len(i):
-        a, b = root[i], root[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while True:  # follow pointers to the end
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    return root
-
-
 def _tile_pair(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cid")
@@ -139,7 +123,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 204
         _tile_pair(threshold), "cid long, links long, root long")
     found = scratch.table(found, "found")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    comps = connected_components(found, "cid", "root", scratch).withColumnRenamed("node", "cid")
+    comps = connected_components(found, "cid", "root", scratch, files=scratch.files(found)).withColumnRenamed("node", "cid")
     # keys alone are dealt out by component, which may hold much of the table
     least = comps.join(classes.select("cid", "least_id"), "cid").groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = scratch.table(comps, "comps").join(scratch.table(least, "least"), "component").select("cid", "component_id")
